@@ -41,24 +41,15 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-class Memo:
-    """A bounded memo of a pure function of a key: two generations, the older one dropped when the younger is full.
+class Memo(dict):
+    """A bounded memo of a pure function of a key, emptied when full. It only saves time: what is gone is computed again."""
 
-    It only saves time. What it has dropped is computed again, so results don't depend on it.
-    """
-
-    def __init__(self, compute: Callable, limit: int = 250_000):
+    def __init__(self, compute: Callable, limit: int = 400_000):
+        super().__init__()
         self.compute, self.limit = compute, limit
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def __getitem__(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is None:
-                value = self.compute(key)
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.compute(key)
         return value

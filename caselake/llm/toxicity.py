@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -23,22 +25,27 @@ from caselake.llm.common import Memo, small_batches, text_of
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëìíîïñòóôöùúûüœ"
 SYMBOLS = 64
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou"}
-#: Log-probabilities of the channel: a letter as itself, a disguised one, a doubled letter that is meant, a mark put in.
-AS_IS, DISGUISED, DOUBLED, MARK = 0.0, -1.0, -1.5, -0.5
+#: Log-probabilities of the channel: a letter as itself, a disguised one, a doubled letter that is meant, a mark put in, a
+#: mark that stands between words.
+AS_IS, DISGUISED, DOUBLED, MARK, GAP = 0.0, -1.0, -1.5, 0.0, -8.0
 
 CODE = {c: i + 2 for i, c in enumerate(LETTERS)}
 INNER = re.escape("".join(STANDS_FOR))
-EDGES = re.compile(r"\A([^\w@$]*)(.*?)([^\w]*)\Z", re.S)
+BEFORE, AFTER = ".,;:!?\"'()[]{}<>|%&#*~-_/\\^`=+", ".,;:!?\"'()[]{}<>|%&#*~-_/\\^`=+@$"
+MARKS = BEFORE + "$@"
+RUN = re.compile(r"([^\W\d_])\1\1")
 DISGUISE = re.compile(rf"(?:[^\W\d_][{INNER}]|[{INNER}][^\W\d_])|([^\W\d_])\1\1")
 PLAIN = re.compile(rf"[^\W_{INNER}]*(?:[{INNER}][^\W_{INNER}]*)*")
 SPELT = re.compile(r"(?<!\w)[^\W_](?:([ .\-_*/])[^\W_])(?:\1[^\W_])+(?!\w)")
 
 #: Labelled rows of each class, of lowest hash of their id, from which words are learned.
-FIT_ROWS = 6000
-FEATURES = 1 << 20
+FIT_ROWS = 4000
 PREFIXES = (4, 5)
 #: Families of texts that must have a feature before it counts.
 LEAST_FAMILIES = 3
+STRONG = 4.0
+#: Weights of the evidence (largest log-odds, number of strong words, constant) where there are too few labels to fit them.
+DEFAULT_WEIGHTS = np.array([1.0, 0.0, -4.0])
 SEED = 13
 
 
@@ -95,7 +102,7 @@ class Restorer:
                 n += 1
             i += n
             if spelt and c in " .-_*/":
-                out.append([("", MARK), (" ", AS_IS)])
+                out.append([("", MARK), (" ", GAP)])
             elif c in STANDS_FOR:
                 options = [(s, DISGUISED) for s in STANDS_FOR[c]] + [(c, AS_IS - 2.0)]
                 out += [options] * min(n, 2) if n < 3 else [options + [(2 * s, w + DOUBLED) for s, w in options]]
@@ -124,43 +131,55 @@ class Restorer:
 
     def _token(self, token: str) -> str:
         low = token.lower()
-        if low.isalpha() and not DISGUISE.search(low):
+        core = low.lstrip(BEFORE)
+        middle = core.rstrip(AFTER)
+        if middle.isalpha():
+            if not RUN.search(middle):
+                return low
+        elif not DISGUISE.search(middle) or not PLAIN.fullmatch(middle):
             return low
-        before, middle, after = EDGES.fullmatch(low).groups()
-        if not DISGUISE.search(middle) or not PLAIN.fullmatch(middle) or not any(c.isalpha() for c in middle):
-            return low
-        return before + self.decode(middle) + after
+        at = len(low) - len(core)
+        return low[:at] + self.decode(middle) + low[at + len(middle) :]
 
-    def restore(self, text: str) -> str:
-        """The text in lower case with disguised words restored; white space becomes one space."""
+    def words(self, text: str) -> list[str]:
+        """Tokens of a text, letters spelt out with marks between them put together."""
         if SPELT.search(text):
             text = SPELT.sub(lambda m: self.decode(m[0].lower(), spelt=True), text)
-        return " ".join(map(self.memo.__getitem__, text.split()))
+        return text.split()
+
+    def restore(self, text: str) -> str:
+        """The text in lower case with disguised words restored; white space becomes one space."""
+        return " ".join(map(self.memo.__getitem__, self.words(text)))
+
 
+def core_of(word: str) -> str:
+    """A word without the marks at its ends."""
+    return word.strip(MARKS)
 
-def hashed(kind: str, text: str) -> int:
-    return zlib.crc32(f"{kind}{text}".encode()) % FEATURES
 
+class Odds(dict):
+    """Log-odds of words (as ``=word``) and of first letters of longer words (as ``^word``)."""
 
-def word_features(word: str) -> tuple[int, ...]:
-    """Features of a restored word: itself, and its first letters for words that are longer."""
-    core = word.strip(".,;:!?\"'()[]{}<>|%&#$*~-_/\\")
-    if not core:
-        return ()
-    return (hashed("=", core), *(hashed("^", core[:n]) for n in PREFIXES if len(core) > n))
+    def of_word(self, core: str) -> float:
+        n = len(core)
+        return max([self.get("=" + core, 0.0), *[self.get("^" + core[:p], 0.0) for p in PREFIXES if n > p]])
 
 
-class Words:
-    """Evidence of the words of a restored text."""
+class Evidence:
+    """What the words of a text tell, once they are restored."""
 
-    def __init__(self, odds: np.ndarray):
-        self.odds = odds
-        self.memo = Memo(lambda w: max((float(odds[f]) for f in word_features(w)), default=0.0))
+    def __init__(self, restorer: Restorer, odds: Odds):
+        self.restorer = restorer
+        self.memo = Memo(lambda token: odds.of_word(core_of(restorer._token(token))))
 
-    def evidence(self, restored: str) -> tuple[float, float]:
-        """The largest log-odds of a word, and the number of different words that have more than half of the largest seen."""
-        found = [x for x in map(self.memo.__getitem__, set(restored.split())) if x > 0]
-        return (max(found), math.log1p(sum(x >= 4.0 for x in found))) if found else (0.0, 0.0)
+    def of(self, text: str) -> tuple[float, float]:
+        return strength(map(self.memo.__getitem__, set(self.restorer.words(text))))
+
+
+def strength(found) -> tuple[float, float]:
+    """The largest log-odds of a word, and the logarithm of one more than the number of different words over ``STRONG``."""
+    found = [x for x in found if x > 0]
+    return (max(found), math.log1p(sum(x >= STRONG for x in found))) if found else (0.0, 0.0)
 
 
 def family(words: set[str]) -> int:
@@ -168,48 +187,63 @@ def family(words: set[str]) -> int:
     return min((zlib.crc32(w.encode()) for w in words), default=0)
 
 
-def log_odds(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """For each feature, the log of its rate in families of toxic texts over that in the others; 0 if few families have it."""
+def log_odds(texts: list[set[str]], families: np.ndarray, labels: np.ndarray) -> Odds:
+    """For each feature, the log of its rate in families of toxic texts over that in the others.
+
+    Counts are taken at a standard deviation on the careful side, so that a word of a few texts proves little. Features that
+    fewer than ``LEAST_FAMILIES`` toxic families have, or whose odds are against, are left out.
+    """
     seen: tuple[dict, dict] = ({}, {})
-    for text, label in zip(texts, labels, strict=True):
-        words = set(text.split())
-        found = {f for w in words for f in word_features(w)}
-        seen[label].setdefault(family(words), set()).update(found)
-    counts = [np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.int32)]
-    for label in (0, 1):
-        for found in seen[label].values():
-            counts[label][np.fromiter(found, np.int64, len(found))] += 1
-    n0, n1 = len(seen[0]), len(seen[1])
-    odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
-    return np.where(counts[1] >= LEAST_FAMILIES, odds, 0.0).astype(np.float32)
+    for words, one, label in zip(texts, families.tolist(), labels.tolist(), strict=True):
+        seen[label].setdefault(one, set()).update(words)
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for label in (1, 0):
+        for words in seen[label].values():
+            features = {"=" + w for w in words}
+            for p in PREFIXES:
+                features.update(["^" + w[:p] for w in words if len(w) > p])
+            counts[label].update(features if label else [f for f in features if f in counts[1]])
+    n0, n1, out = len(seen[0]), len(seen[1]), Odds()
+    for feature, n in counts[1].items():
+        if n >= LEAST_FAMILIES:
+            m = counts[0][feature]
+            x = math.log((n - math.sqrt(n)) / (n1 + 1)) - math.log((m + math.sqrt(m) + 0.5) / (n0 + 1))
+            if x > 0:
+                out[feature] = x
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights (the last is the constant's) of a logistic regression by Newton steps, both classes weighing the same."""
+    """Weights (the last is the constant's) of a logistic regression by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
-    weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum())) * len(y) / 2
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
     return w
 
 
-def fit(sample: pd.DataFrame, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
+def fit(sample: pd.DataFrame, restorer: Restorer) -> tuple[Odds, np.ndarray]:
     """Log-odds of features and weights of the evidence, from (text, label) rows.
 
-    The weights are fitted on the half of the texts that the log-odds they use have not seen; the log-odds kept are those of
-    the other half, on which the weights were found to hold.
+    The weights are fitted on evidence by log-odds that have not seen the text: each half of the families (by hash) is judged
+    by the other half. The log-odds kept are those of all.
     """
-    texts = [restorer.restore(t) for t in sample["text"]]
+    cores = Memo(lambda token: core_of(restorer._token(token)))
+    texts = [set(map(cores.__getitem__, set(restorer.words(t)))) for t in sample["text"]]
     labels = sample["label"].to_numpy(np.int64)
-    half = np.array([family(set(t.split())) % 2 for t in texts], np.int64)
-    odds = log_odds([t for t, h in zip(texts, half, strict=True) if h == 0], labels[half == 0])
-    words = Words(odds)
-    other = [i for i in range(len(texts)) if half[i] == 1]
-    if len(set(labels[half == 0].tolist())) < 2 or len(set(labels[other].tolist())) < 2:
-        return odds, np.array([1.0, 0.0, -3.0])
-    return odds, logistic(np.array([words.evidence(texts[i]) for i in other]), labels[other])
+    families = np.array([family(t) for t in texts], np.int64)
+    half, evidence, weights = families % 2, np.zeros((len(texts), 2)), DEFAULT_WEIGHTS
+    if all(len(set(labels[half == h].tolist())) == 2 for h in (0, 1)):
+        for h in (0, 1):
+            learn, judge = np.flatnonzero(half != h), np.flatnonzero(half == h)
+            odds = log_odds([texts[i] for i in learn], families[learn], labels[learn])
+            evidence[judge] = [strength(map(odds.of_word, texts[i])) for i in judge]
+        weights = logistic(evidence, labels)
+    return log_odds(texts, families, labels), weights
+
+
+_HELD: dict[str, Evidence] = {}
 
 
 def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_column: str = "text", output: str = "score", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -227,15 +261,16 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_
     rows = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("text")).join(F.broadcast(chosen), "_id")  # at most 2 fit_rows ids
     sample = rows.select("text", "label").distinct().toPandas().sort_values(["label", "text"], ignore_index=True)
     odds, weights = fit(sample, Restorer(model))
-    shared = spark.sparkContext.broadcast((model, odds, weights))
-    held: dict = {}
+    shared, name = spark.sparkContext.broadcast((model, odds, weights)), uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        if not held:
-            held["restorer"], held["words"] = Restorer(shared.value[0]), Words(shared.value[1])
+        evidence = _HELD.get(name)
+        if evidence is None:
+            _HELD.clear()
+            evidence = _HELD[name] = Evidence(Restorer(shared.value[0]), shared.value[1])
         w = shared.value[2]
-        x = np.array([held["words"].evidence(held["restorer"].restore(t)) for t in texts.to_pylist()]).reshape(-1, 2)
+        x = np.array([evidence.of(t) for t in texts.to_pylist()]).reshape(-1, 2)
         return pa.array(1 / (1 + np.exp(-np.clip(x @ w[:2] + w[2], -30, 30))), pa.float64())
 
     return docs.withColumn(output, scores(text_of(text_column)))
