@@ -18,13 +18,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm.common import BATCH_BYTES, small_batches, text_of
+from caselake.llm.common import small_batches, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Cells of the trees that are merged at once.
-TREE_CELLS = 1 << 20
+TREE_CELLS = 1 << 18
 #: Pieces that a worker remembers, in each of two generations; only saves time.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Characters of the texts that are split and encoded at once.
+PART = 1 << 20
 
 
 class Vocabulary:
@@ -192,11 +194,12 @@ def lists_of_ids(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
-def batches_of(texts: list[str], limit: int = BATCH_BYTES):
-    """Runs of texts of ``limit`` characters at most, or one longer text."""
+def batches_of(column: pa.Array, limit: int = PART):
+    """Runs of texts of ``limit`` characters at most, or one longer text, made into Python strings one run at a time."""
     part: list[str] = []
     size = 0
-    for t in texts:
+    for x in column:
+        t = x.as_py()
         if part and size + len(t) > limit:
             yield part
             part, size = [], 0
@@ -217,7 +220,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         encoder = _encoder(path, pattern)
-        return lists_of_ids([x for part in batches_of(texts.to_pylist()) for x in encoder.encode(part)])
+        return lists_of_ids([x for part in batches_of(texts) for x in encoder.encode(part)])
 
     return docs.withColumn(output, ids(text_of(text_column)))
 
