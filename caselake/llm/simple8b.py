@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caselake.llm.bpe import lists_of_ids
+from caselake.llm.bpe import batches_of, lists_of_ids
 from caselake.llm.common import small_batches, text_of
 
 # Fixed values of the format: selector -> (values, bits of each).
@@ -114,7 +114,7 @@ class WordEncoder:
     told apart again by the tokens that end a word.
     """
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 100_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
@@ -195,7 +195,8 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, id_column: s
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "first", "doc_ids", "lengths", "block_words", "words"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            encoded = (x for texts in batches_of(batch.column(1)) for x in encoder.encode(texts))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 if held and size + len(ids) // 4 > PACK:
                     yield row()
