@@ -30,7 +30,7 @@ def words(column: str = "text"):
     text = text_of(column)
     pieces = F.size(F.split(text, SPACES)).cast("long")
     edge = lambda p: text.rlike(p).cast("long")
-    return F.when(F.length(text) == 0, 0).otherwise(pieces - edge(r"\A[\x20\x09-\x0D]") - edge(r"[\x20\x09-\x0D]\z") + edge(r"\A[\x20\x09-\x0D]+\z"))
+    return F.when(F.length(text) == 0, 0).otherwise(pieces - edge(r"\A[\x20\x09-\x0D]") - edge(r"[\x20\x09-\x0D]\z"))
 
 
 def targets(sizes: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
