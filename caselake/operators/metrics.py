@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from caselake.plans.order import with_running
 
-HIT = F.expr("CAST(expected <=> predicted AS INT)")
+def hit() -> Column:
+    """1 if the prediction is right; two nulls agree."""
+    return F.col("expected").eqNullSafe(F.col("predicted")).cast("int")
 
 
 def accuracy(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Share of rows (expected, predicted) that agree."""
-    return results.groupBy(*(by or [])).agg(F.avg(HIT).alias("accuracy"))
+    return results.groupBy(*(by or [])).agg(F.avg(hit()).alias("accuracy"))
 
 
 def cumulative_accuracy(results: DataFrame, order: list[str]) -> DataFrame:
     """(order, position, accuracy) over all rows so far."""
-    run = with_running(results, order, {"hits": HIT})
+    run = with_running(results, order, {"hits": hit()})
     return run.select(*order, (F.col("idx") + 1).alias("position"), (F.col("hits") / (F.col("idx") + 1)).alias("accuracy"))
 
 
 def period_accuracy(results: DataFrame, order: list[str], n: int = 100) -> DataFrame:
     """(period, rows, accuracy) for each block of n rows in order."""
     run = with_running(results, order, {})
-    return run.groupBy(F.floor(F.col("idx") / n).cast("long").alias("period")).agg(F.count("*").alias("rows"), F.avg(HIT).alias("accuracy"))
+    return run.groupBy(F.floor(F.col("idx") / n).cast("long").alias("period")).agg(F.count("*").alias("rows"), F.avg(hit()).alias("accuracy"))
 
 
 def rolling_accuracy(results: DataFrame, order: list[str], w: int) -> DataFrame:
@@ -32,7 +34,7 @@ def rolling_accuracy(results: DataFrame, order: list[str], w: int) -> DataFrame:
 
     The mean is a difference of two running sums, w rows apart, joined on the position: no window holds all rows.
     """
-    run = with_running(results, order, {"hits": HIT}).select("idx", "hits")
+    run = with_running(results, order, {"hits": hit()}).select("idx", "hits")
     before = run.select((F.col("idx") + 1).alias("position"), F.col("hits").alias("upto"))
     far = run.select((F.col("idx") + 1 + w).alias("position"), F.col("hits").alias("from"))
     last = run.agg(F.max("idx").alias("last"))
@@ -57,7 +59,7 @@ def brier_multi(distribution: DataFrame, keys: list[str]) -> DataFrame:
 
 def class_report(results: DataFrame) -> DataFrame:
     """(class, support, predicted, correct, precision, recall, f1) for each class that occurs or is predicted."""
-    a = results.groupBy(F.col("expected").alias("class")).agg(F.count("*").alias("support"), F.sum(HIT).alias("correct"))
+    a = results.groupBy(F.col("expected").alias("class")).agg(F.count("*").alias("support"), F.sum(hit()).alias("correct"))
     b = results.groupBy(F.col("predicted").alias("class")).agg(F.count("*").alias("predicted"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     rows = a.join(b, "class", "full").select("class", zero("support"), zero("predicted"), zero("correct"))
@@ -77,7 +79,7 @@ def weighted_recall(results: DataFrame) -> DataFrame:
 
 
 def confusion(results: DataFrame, mistakes_only: bool = False) -> DataFrame:
-    rows = results.where(HIT == 0) if mistakes_only else results
+    rows = results.where(hit() == 0) if mistakes_only else results
     return rows.groupBy("expected", "predicted").agg(F.count("*").alias("n"))
 
 
