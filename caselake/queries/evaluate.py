@@ -180,9 +180,9 @@ def series(spark, d):
     return dr.score_series(scores, log)
 
 
-@query(SERIES + " SELECT case_id, idx, round(value, 6) + 0.0 AS value FROM i", "od")
+@query(SERIES + " SELECT case_id, idx, round(value + 1e-9, 6) + 0.0 AS value FROM i", "od")
 def s160_score_series(spark, d):
-    return series(spark, d).withColumn("value", r6("value"))
+    return series(spark, d).withColumn("value", r6(F.col("value") + 1e-9))
 
 
 @query(
@@ -316,13 +316,13 @@ def s130_one_hot(spark, d):
 
 @query(
     """WITH o AS (SELECT *, row_number() OVER w AS length, (epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6 AS gap, (epoch_us(time) - epoch_us(first_value(time) OVER w)) / 86400e6 AS days FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY time, tie))
-    SELECT case_id, length, round(days, 6) + 0.0 AS days, round(coalesce(avg(gap) OVER w, 0), 4) + 0.0 AS mean_gap, round(coalesce(min(gap) OVER w, 0), 4) + 0.0 AS min_gap, round(coalesce(max(gap) OVER w, 0), 4) + 0.0 AS max_gap,
-    round(coalesce(median(gap) OVER w, 0), 4) + 0.0 AS median_gap, count(*) FILTER (WHERE activity = 'view') OVER w AS n_view, count(DISTINCT resource) OVER w AS resources FROM o WINDOW w AS (PARTITION BY case_id ORDER BY length)""",
+    SELECT case_id, length, round(days, 6) + 0.0 AS days, round(coalesce(avg(gap) OVER w, 0) + 1e-7, 4) + 0.0 AS mean_gap, round(coalesce(min(gap) OVER w, 0) + 1e-7, 4) + 0.0 AS min_gap, round(coalesce(max(gap) OVER w, 0) + 1e-7, 4) + 0.0 AS max_gap,
+    round(coalesce(median(gap) OVER w, 0) + 1e-7, 4) + 0.0 AS median_gap, count(*) FILTER (WHERE activity = 'view') OVER w AS n_view, count(DISTINCT resource) OVER w AS resources FROM o WINDOW w AS (PARTITION BY case_id ORDER BY length)""",
     "ev",
 )
 def s131_prefix_features(spark, d):
     out = fe.prefix_features(events(spark, d), ["view", "click"])
-    four = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    four = lambda c: (F.round(F.col(c) + 1e-7, 4) + 0.0).alias(c)
     return out.select("case_id", "length", r6("days").alias("days"), four("mean_gap"), four("min_gap"), four("max_gap"), four("median_gap"), "n_view", "resources")
 
 
