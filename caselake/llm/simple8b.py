@@ -7,8 +7,11 @@ selector in its upper 4 bits and values in the other 60; selector 1 is an escape
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
 from caselake.llm.bpe import batches_of, lists_of_ids
 from caselake.llm.common import small_batches, text_of
@@ -29,139 +33,166 @@ PACK = 1 << 18
 PACK_SCHEMA = "part int, first long, doc_ids array<long>, lengths array<int>, block_words array<int>, words binary"
 
 
+LONGEST = max(count for count, _ in SELECTORS.values())
+_COUNTS = np.array([SELECTORS.get(s, (1, 60))[0] for s in range(16)], np.int64)
+_SMALL_BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs."""
+    if int(values.max()) < 1 << 16:
+        return _SMALL_BITS[values.astype(np.uint16)]
+    out, rest = np.zeros(values.shape, np.uint8), values.copy()
+    while rest.any():
+        out += np.where(rest > 0, _SMALL_BITS[np.minimum(rest, 0xFFFF).astype(np.uint16)], 0).astype(np.uint8)
+        rest >>= np.uint64(16)
+        out[rest > 0] = 16 * (out[rest > 0] // 16 + (out[rest > 0] % 16 > 0))
+    return out
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of a stream of unsigned values, and the number of words of each of its blocks."""
-    values = np.ascontiguousarray(values, np.uint64)
+    """Words of a stream of unsigned values, and the number of words of each of its blocks.
+
+    At each place the densest selector whose values all fit is taken; past the end of a block values count as zeros. The
+    largest width in each window comes from those of shorter windows, for all places at once.
+    """
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int32)
-    ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    choice = np.full(n, ESCAPE, np.uint8)
-    step = np.ones(n, np.int32)
-    position = np.arange(n)
-    open_ = np.ones(n, bool)
-    for selector, (count, bits) in SELECTORS.items():
-        large = (values >> np.uint64(bits)) != 0
-        before = np.zeros(n + 1, np.int32)
-        np.cumsum(large, out=before[1:])
-        if before[n] == n:
-            continue
-        stop = np.minimum(position + count, ends)
-        fits = open_ & (before[stop] == before[:-1])
-        choice[fits] = selector
-        step[fits] = count
-        open_ &= ~fits
-    follow, end_of, starts = (position + step).tolist(), ends.tolist(), []
-    i = 0
-    while i < n:
-        starts.append(i)
-        i = min(follow[i], end_of[i])
-    starts = np.array(starts)
-    chosen = choice[starts]
-    size = 1 + (chosen == ESCAPE)
-    at = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
-    padded = np.concatenate([values, np.zeros(240, np.uint64)])
-    for selector, (count, bits) in SELECTORS.items():
+    blocks = -(-n // BLOCK)
+    padded = np.zeros((blocks, BLOCK + LONGEST), np.uint64)
+    full = np.zeros(blocks * BLOCK, np.uint64)
+    full[:n] = values
+    padded[:, :BLOCK] = full.reshape(blocks, BLOCK)
+    widths = _bits(padded)
+    stride = BLOCK + LONGEST
+    window = {1: widths}  # length -> largest width of so many values from each place
+    choice = np.full((blocks, stride), ESCAPE, np.uint8)
+    size = 1
+    while 2 * size <= LONGEST:
+        half = window[size]
+        window[2 * size] = np.maximum(half, np.pad(half[:, size:], ((0, 0), (0, size))))
+        size *= 2
+    for selector, (count, bits) in sorted(SELECTORS.items(), reverse=True):
+        most, done = None, 0
+        for length in (x for x in sorted(window, reverse=True) if count & x):
+            part = np.pad(window[length][:, done:], ((0, 0), (0, done))) if done else window[length]
+            most, done = part if most is None else np.maximum(most, part), done + length
+        choice[most <= bits] = selector
+    chosen, step = choice.tobytes(), _COUNTS.tolist()
+    starts: list[int] = []
+    for block in range(blocks):
+        i, end = block * stride, block * stride + min(BLOCK, n - block * BLOCK)
+        while i < end:
+            starts.append(i)
+            i += step[chosen[i]]
+    at_value = np.array(starts)
+    chosen = choice.ravel()[at_value]
+    length = 1 + (chosen == ESCAPE)
+    at = np.cumsum(length) - length
+    words = np.zeros(int(length.sum()), np.uint64)
+    flat = padded.ravel()
+    for selector in np.unique(chosen).tolist():
         k = np.flatnonzero(chosen == selector)
-        if not len(k):
-            continue
         word = np.full(len(k), selector << 60, np.uint64)
-        if bits:
-            first, limit = starts[k], ends[starts[k]]
-            for j in range(count):
-                word |= np.where(first + j < limit, padded[first + j], 0).astype(np.uint64) << np.uint64(j * bits)
+        if selector == ESCAPE:
+            words[at[k] + 1] = flat[at_value[k]]
+        else:
+            count, bits = SELECTORS[selector]
+            for j in range(count if bits else 0):
+                word |= flat[at_value[k] + j] << np.uint64(j * bits)
         words[at[k]] = word
-    k = np.flatnonzero(chosen == ESCAPE)
-    words[at[k]] = np.uint64(ESCAPE << 60)
-    words[at[k] + 1] = values[starts[k]]
-    return words, np.bincount(starts // BLOCK, weights=size).astype(np.int32)
+    return words, np.bincount(at_value // stride, weights=length).astype(np.int32)
 
 
-def unpack(words: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` values of one block."""
+def unpack_all(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
+    """All values of a pack, words of one selector at once; what a block's last word has in excess is cut.
+
+    Each block begins at a word of its own, so any block can be unpacked alone from its words.
+    """
+    if not n:
+        return np.empty(0, np.uint64)
+    blocks, stride = len(block_words), BLOCK + LONGEST
     selector = (words >> np.uint64(60)).astype(np.uint8)
-    plain = np.zeros(len(words), bool)
+    counts = _COUNTS[selector]
     for i in np.flatnonzero(selector == ESCAPE).tolist():
-        if not plain[i]:
-            plain[i + 1] = True
-    counts = np.zeros(len(words), np.int64)
-    for s, (count, _) in SELECTORS.items():
-        counts[(selector == s) & ~plain] = count
-    counts[plain] = 1
-    at = np.cumsum(counts) - counts
-    out = np.zeros(int(at[-1] + counts[-1]) if len(words) else 0, np.uint64)
+        if counts[i]:  # else it is itself a plain value
+            counts[i], selector[i], selector[i + 1], counts[i + 1] = 1, 255, 254, 0
+    block = np.repeat(np.arange(blocks), block_words)
+    before = np.cumsum(counts) - counts
+    first = before[np.cumsum(block_words) - block_words]
+    at = block * stride + before - first[block]
+    out = np.zeros(blocks * stride, np.uint64)
     for s, (count, bits) in SELECTORS.items():
-        k = np.flatnonzero((selector == s) & ~plain) if bits else ()
-        for j in range(count if len(k) else 0):
-            out[at[k] + j] = (words[k] >> np.uint64(j * bits)) & np.uint64((1 << bits) - 1)
-    out[at[plain]] = words[plain]
-    return out[:n]
+        k = np.flatnonzero(selector == s) if bits else ()
+        if len(k):
+            to, mask, word = at[k], np.uint64((1 << bits) - 1), words[k]
+            for j in range(count):
+                out[to + j] = (word >> np.uint64(j * bits)) & mask
+    k = np.flatnonzero(selector == 255)
+    out[at[k]] = words[k + 1]
+    return out.reshape(blocks, stride)[:, :BLOCK].ravel()[:n]
 
 
-def unpack_all(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
-    """All values of a pack. Words of full blocks are decoded together; what a block's last word has in excess is cut."""
-    edges = np.concatenate([[0], np.cumsum(block_words)])
-    parts = [unpack(words[a:b], min(BLOCK, n - BLOCK * i)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+#: Letters, then ASCII marks (no apostrophe): the tokenizer splits there, so each part is a piece of its own.
+LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class WordEncoder:
     """The tokenizers library over a vocabulary in which white space only separates words, with a memory of words.
 
     Words are cut at ASCII white space, where no token and no normalisation reaches across; A-Z are lower-cased first, as the
-    vocabulary's own normaliser does. Unknown words go to the library in one call; letters-only words are joined for that and
-    told apart again by the tokens that end a word.
+    vocabulary's own normaliser does. Words not remembered go to the library. Letters-only words that are lower-case and
+    composed need no normaliser and no splitting, so they go in large texts that are only cut at spaces, and are told apart
+    again by the tokens that end a piece. All other words go one by one through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remembered: int = 100_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, remembered: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.remembered = remembered
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _look_up(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        out = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(other, self._encode(other), strict=True)}
-        joined = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for part, ids in zip(joined, self._encode([" ".join(p) for p in joined]), strict=True):
-            ids = np.array(ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                flat, edges = ids.tobytes(), (4 * stops).tolist()
-                out.update(zip(part, (flat[a:b] for a, b in zip([0, *edges], edges)), strict=True))
+        self.ids: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        ask, whole, parts = set(), [], []
+        for w, s in zip(words, b" ".join(words).decode().split(" "), strict=True):
+            if s.isalpha():
+                ask.add(w)
+            elif m := LETTERS_AND_MARKS.fullmatch(s):
+                pair = m[1].encode(), m[2].encode()
+                parts.append((w, *pair))
+                ask.update(pair)
             else:
-                out.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, self._encode(part), strict=True))
-        return out
+                whole.append(w)
+        simple = []
+        for w in ask:
+            if w not in self.ids:
+                s = w.decode()
+                (simple if s.isascii() or s.islower() and is_normalized("NFC", s) else whole).append(w)
+        for i in range(0, len(simple), 1000):
+            part = simple[i : i + 1000]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            flat, edges = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            self.ids.update(zip(part, [flat[a:b] for a, b in zip([0, *edges], edges)], strict=True))
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False), strict=True):
+            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+        for w, letters, marks in parts:
+            self.ids[w] = self.ids[letters] + self.ids[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
         cut = [t.encode().lower().split() for t in texts]
         need = set().union(*cut)
-        known = {w: self.old[w] for w in need.intersection(self.old)}
-        known.update((w, self.young[w]) for w in need.intersection(self.young))
-        missing = {w: w.decode() for w in need.difference(known)}
-        # a letters-only word and a final mark are two tokens' worth of text: ask for each of them once
-        split = {}
-        for w, s in missing.items():
-            if len(s) > 1 and s[-1] in ",.!|:;?" and s[:-1].isalpha():
-                split[w] = (s[:-1], s[-1])
-        ask = {p for pair in split.values() for p in pair}.union(s for w, s in missing.items() if w not in split)
-        ids = {s: x for s in ask if (x := known.get(b := s.encode()) or self.young.get(b) or self.old.get(b)) is not None}
-        ids.update(self._look_up(list(ask.difference(ids))))
-        if len(self.young) + len(missing) > self.remembered:
-            self.old, self.young = self.young, {}
-        for w, s in missing.items():
-            known[w] = ids[split[w][0]] + ids[split[w][1]] if w in split else ids[s]
-        self.young.update(known)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        if len(self.ids) > self.remembered:
+            self.ids = {w: self.ids[w] for w in need.intersection(self.ids)}
+        self._learn(list(need.difference(self.ids)))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in cut]
 
 
 @lru_cache(1)
