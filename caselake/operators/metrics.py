@@ -90,20 +90,17 @@ def top_accuracy(distribution: DataFrame, keys: list[str], n: int = 2) -> DataFr
     return found.agg(F.avg("hit").alias("accuracy"))
 
 
-def _ranked(scores: DataFrame, by: list[str], tie: str) -> DataFrame:
-    """Running true and false positives by ascending score (most anomalous first); one point a row."""
-    w = Window.partitionBy(*by).orderBy("score", tie)
-    to, all_ = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    y = F.col("label").cast("long")
-    return scores.withColumns({"tp": F.sum(y).over(to), "fp": F.sum(1 - y).over(to), "positives": F.sum(y).over(all_), "negatives": F.sum(1 - y).over(all_), "rank": F.row_number().over(w)})
-
-
 def _points(scores: DataFrame, by: list[str], tie: str) -> DataFrame:
-    if by:
-        return _ranked(scores, by, tie)
-    run = with_running(scores, ["score", tie], {"tp": F.col("label").cast("long"), "fp": 1 - F.col("label").cast("long")})
-    total = scores.agg(F.sum(F.col("label").cast("long")).alias("positives"), F.sum(1 - F.col("label").cast("long")).alias("negatives"))
-    return run.join(F.broadcast(total)).withColumn("rank", F.col("idx") + 1)
+    """Running true and false positives by ascending score (most anomalous first), one point a row, in each group of ``by``.
+
+    Sums run over the global order by group and score; what the groups before have is taken off again, so that no group is a
+    single task.
+    """
+    y = F.col("label").cast("long")
+    run = with_running(scores, [*by, "score", tie], {"tp": y, "fp": 1 - y})
+    groups = run.groupBy(*by).agg(F.sum(y).alias("positives"), F.sum(1 - y).alias("negatives"), F.min(F.col("tp") - y).alias("_tp"), F.min(F.col("fp") - 1 + y).alias("_fp"), F.min("idx").alias("_i"))
+    points = run.join(groups, by) if by else run.join(F.broadcast(groups))
+    return points.withColumns({"tp": F.col("tp") - F.col("_tp"), "fp": F.col("fp") - F.col("_fp"), "rank": F.col("idx") - F.col("_i") + 1}).drop("_tp", "_fp", "_i")
 
 
 def roc(scores: DataFrame, by: list[str] | None = None, tie: str = "case_id") -> DataFrame:

@@ -38,25 +38,37 @@ def filter_case_length(log: EventLog, longer_than: int) -> EventLog:
     return log.with_df(log.df.withColumn("_n", n).where(F.col("_n") > longer_than).drop("_n"))
 
 
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Add ``n``: the position of a row among those of its column, from 1. Positions are global first, so that a column with
+    very many values is no single task; what the columns before have is one row a column."""
+    placed = with_index(rows, "column", *order, name="_i")
+    first = placed.groupBy("column").agg(F.min("_i").alias("_first"))
+    return placed.join(F.broadcast(first), "column").withColumn("n", F.col("_i") - F.col("_first") + 1).drop("_i", "_first")
+
+
+def _values(columns: list[str]) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(c).alias("column"), as_category(c).alias("value")) for c in columns)))
+
+
 def dictionary(df: DataFrame, columns: list[str], known: DataFrame | None = None) -> DataFrame:
     """(column, value, id): distinct values in ascending order get ids from 1; 0 is left for "no event".
 
     With ``known`` its ids stay and new values are numbered after the largest of their column. Null is the value ``nan``.
     """
-    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), as_category(c).alias("value")) for c in columns))).alias("v")).select("v.*").distinct()
+    values = df.select(_values(columns).alias("v")).select("v.*").distinct()
     if known is None:
-        return values.withColumn("id", F.row_number().over(Window.partitionBy("column").orderBy("value")).cast("long"))
-    new = values.join(known, ["column", "value"], "left_anti")
+        return _numbered(values, "value").select("column", "value", F.col("n").alias("id"))
+    numbered = _numbered(values.join(known, ["column", "value"], "left_anti"), "value")
     last = known.groupBy("column").agg(F.max("id").alias("last"))
-    numbered = new.withColumn("n", F.row_number().over(Window.partitionBy("column").orderBy("value"))).join(last, "column", "left")
-    return known.select("column", "value", "id").unionByName(numbered.select("column", "value", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("long").alias("id")))
+    new = numbered.join(F.broadcast(last), "column", "left").select("column", "value", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("long").alias("id"))
+    return known.select("column", "value", "id").unionByName(new)
 
 
 def first_seen_dictionary(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """(column, value, id): ids from 1 in order of first appearance."""
-    rows = df.select(F.struct(*order).alias("at"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), as_category(c).alias("value")) for c in columns))).alias("v"))
-    first = rows.groupBy("v.column", "v.value").agg(F.min("at").alias("at"))
-    return first.select("column", "value", F.row_number().over(Window.partitionBy("column").orderBy("at", "value")).cast("long").alias("id"))
+    rows = df.select(F.struct(*order).alias("at"), _values(columns).alias("v"))
+    first = rows.groupBy("v.column", "v.value").agg(F.min("at").alias("at")).select("column", "value", *(F.col("at")[c].alias(f"at_{i}") for i, c in enumerate(order)))
+    return _numbered(first, *(f"at_{i}" for i in range(len(order))), "value").select("column", "value", F.col("n").alias("id"))
 
 
 def encode(df: DataFrame, columns: list[str], words: DataFrame) -> DataFrame:

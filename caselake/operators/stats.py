@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caselake.operators.context import traces
 from caselake.plans.log import EventLog, as_category
-from caselake.plans.order import checkpointed, with_running
+from caselake.plans.order import checkpointed, with_index, with_running
 
 
 def characteristics(log: EventLog) -> DataFrame:
@@ -214,7 +214,7 @@ def discover_roles(log: EventLog, similarity: float = 0.7) -> DataFrame:
     edges = resource_correlation(profile).where(F.col("r") > similarity)
     found = components(profile.select(F.col("resource").alias("vertex")).distinct(), edges)
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumn("role", F.row_number().over(Window.orderBy(F.desc("size"), "root")).cast("long"))
+    ranked = with_index(sizes.withColumn("less", -F.col("size")), "less", "root", name="place").select("root", (F.col("place") + 1).alias("role"))
     return found.join(ranked, "root").select(F.col("vertex").alias("resource"), "role")
 
 
