@@ -11,7 +11,6 @@ import math
 import re
 import uuid
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -182,35 +181,54 @@ def strength(found) -> tuple[float, float]:
     return (max(found), math.log1p(sum(x >= STRONG for x in found))) if found else (0.0, 0.0)
 
 
-def family(words: set[str]) -> int:
+def family(words) -> int:
     """The least hash of the words of a text: mostly equal for near copies, so that a family of copies counts as one text."""
     return min((zlib.crc32(w.encode()) for w in words), default=0)
 
 
-def log_odds(texts: list[set[str]], families: np.ndarray, labels: np.ndarray) -> Odds:
-    """For each feature, the log of its rate in families of toxic texts over that in the others.
-
-    Counts are taken at a standard deviation on the careful side, so that a word of a few texts proves little. Features that
-    fewer than ``LEAST_FAMILIES`` toxic families have, or whose odds are against, are left out.
-    """
-    seen: tuple[dict, dict] = ({}, {})
-    for words, one, label in zip(texts, families.tolist(), labels.tolist(), strict=True):
-        seen[label].setdefault(one, set()).update(words)
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for label in (1, 0):
-        for words in seen[label].values():
-            features = {"=" + w for w in words}
-            for p in PREFIXES:
-                features.update(["^" + w[:p] for w in words if len(w) > p])
-            counts[label].update(features if label else [f for f in features if f in counts[1]])
-    n0, n1, out = len(seen[0]), len(seen[1]), Odds()
-    for feature, n in counts[1].items():
-        if n >= LEAST_FAMILIES:
-            m = counts[0][feature]
-            x = math.log((n - math.sqrt(n)) / (n1 + 1)) - math.log((m + math.sqrt(m) + 0.5) / (n0 + 1))
-            if x > 0:
-                out[feature] = x
-    return out
+class Sample:
+    """Labelled texts as arrays of word numbers; the words are kept once, so the driver holds little more than a vocabulary."""
+
+    def __init__(self, texts, labels: np.ndarray, restorer: Restorer):
+        cores = Memo(lambda token: core_of(restorer._token(token)), 100_000)
+        number: dict[str, int] = {}
+        self.labels, self.docs, families = labels, [], []
+        for t in texts:
+            words = set(map(cores.__getitem__, set(restorer.words(t))))
+            families.append(family(words))
+            self.docs.append(np.sort(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))))
+        self.families = np.array(families, np.int64)
+        self.words = list(number)
+        self.names = ["=" + w for w in self.words]
+        self.of_word = [np.arange(len(self.words))]
+        for p in PREFIXES:
+            first: dict[str, int] = {}
+            self.of_word.append(np.array([first.setdefault(w[:p], len(self.names) + len(first)) if len(w) > p else -1 for w in self.words], np.int64))
+            self.names += ["^" + x for x in first]
+
+    def log_odds(self, rows: np.ndarray) -> np.ndarray:
+        """For each feature, the log of its rate in families of toxic texts among ``rows`` over that in the others.
+
+        Counts are taken at a standard deviation on the careful side, so that a word of a few texts proves little. 0 for
+        features that fewer than ``LEAST_FAMILIES`` toxic families have, or whose odds are against.
+        """
+        counts, sizes = np.zeros((2, len(self.names))), [0, 0]
+        for label in (0, 1):
+            members: dict[int, list[int]] = {}
+            for i in rows[self.labels[rows] == label].tolist():
+                members.setdefault(int(self.families[i]), []).append(i)
+            sizes[label] = len(members)
+            for group in members.values():
+                words = np.unique(np.concatenate([self.docs[i] for i in group]))
+                features = np.unique(np.concatenate([f[words] for f in self.of_word]))
+                counts[label][features[features >= 0]] += 1
+        m, n = counts
+        x = np.log(np.maximum(n - np.sqrt(n), 1e-9) / (sizes[1] + 1)) - np.log((m + np.sqrt(m) + 0.5) / (sizes[0] + 1))
+        return np.where(n >= LEAST_FAMILIES, np.maximum(x, 0.0), 0.0)
+
+    def evidence(self, odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        best = np.max([np.where(f >= 0, odds[f], 0.0) for f in self.of_word], axis=0) if self.words else np.zeros(0)
+        return np.array([strength(best[self.docs[i]].tolist()) for i in rows.tolist()]).reshape(-1, 2)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -229,18 +247,16 @@ def fit(sample: pd.DataFrame, restorer: Restorer) -> tuple[Odds, np.ndarray]:
     The weights are fitted on evidence by log-odds that have not seen the text: each half of the families (by hash) is judged
     by the other half. The log-odds kept are those of all.
     """
-    cores = Memo(lambda token: core_of(restorer._token(token)))
-    texts = [set(map(cores.__getitem__, set(restorer.words(t)))) for t in sample["text"]]
     labels = sample["label"].to_numpy(np.int64)
-    families = np.array([family(t) for t in texts], np.int64)
-    half, evidence, weights = families % 2, np.zeros((len(texts), 2)), DEFAULT_WEIGHTS
+    texts = Sample(sample["text"], labels, restorer)
+    half, evidence, weights = texts.families % 2, np.zeros((len(labels), 2)), DEFAULT_WEIGHTS
     if all(len(set(labels[half == h].tolist())) == 2 for h in (0, 1)):
         for h in (0, 1):
             learn, judge = np.flatnonzero(half != h), np.flatnonzero(half == h)
-            odds = log_odds([texts[i] for i in learn], families[learn], labels[learn])
-            evidence[judge] = [strength(map(odds.of_word, texts[i])) for i in judge]
+            evidence[judge] = texts.evidence(texts.log_odds(learn), judge)
         weights = logistic(evidence, labels)
-    return log_odds(texts, families, labels), weights
+    odds = texts.log_odds(np.arange(len(labels)))
+    return Odds((texts.names[i], float(odds[i])) for i in np.flatnonzero(odds).tolist()), weights
 
 
 _HELD: dict[str, Evidence] = {}
