@@ -46,7 +46,7 @@ PART_NOT_MAIN = frozenset(
     " respond widget toolbar pagination pager copyright disclaimer search complementary contentinfo form dialog".split()
 )
 PART_MAYBE = frozenset("header masthead banner top".split())
-PART_MAIN = frozenset("article main post entry content story articlebody".split())
+PART_MAIN = frozenset("article main articlebody".split())
 
 RAW = "script|style|textarea|title|iframe|noframes|xmp"
 TOKEN = re.compile(
@@ -97,11 +97,11 @@ def _part(tag: str, attributes: str, in_article: bool) -> str:
             words.update(re.split(r"[^a-z0-9]+", value))
     if words & PART_NOT_MAIN or tag in NOT_MAIN:
         return "not"
-    if tag in ("article", "main") or words & PART_MAIN:
-        return "main" if tag in ("article", "main") or words & {"articlebody", "main", "article"} else ""
+    if tag in ("article", "main"):
+        return "main"
     if tag == "header" or words & PART_MAYBE:
         return "" if in_article else "not"
-    return ""
+    return "main" if words & PART_MAIN else ""
 
 
 def blocks_of(page: str) -> list[Block]:

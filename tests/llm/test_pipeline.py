@@ -42,3 +42,23 @@ def test_run_equals_the_stages(spark, stages):
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     a, b = (sorted(map(tuple, df.select(*columns).collect())) for df in (corpus_pipeline.run(spark, SF), stages["tokens"]))
     assert a == b
+
+
+ROWS = [
+    (1, "a plain text of some words here", "en", "s1", 31), (1, "a plain text of some words here", "en", "s1", 31), (2, None, None, None, None), (None, "text without an id but with words", "en", "s2", 33),
+    (3, "", "en", "s1", 0), (4, "key password = 'q9X2m7Kd81' " + "long " * 20_000, "en", None, 1), (5, "A plain text of some words here", "en", "s2", 31), (6, "\n \n", "de", "s3", 3),
+]
+
+
+@pytest.mark.parametrize("rows", [[], ROWS])
+def test_stages_on_odd_rows(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("clash"))
+    counts = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).persist()
+        counts.append(docs.count())
+    if not rows:
+        assert counts == [0] * 5
+        return
+    # texts 1, 1, 5 are one group; the null, empty and blank texts another
+    assert counts[:3] == [8, 4, 4] and counts[3] == counts[4] >= 4

@@ -58,6 +58,12 @@ def test_blocks_without_an_article_inherit_from_neighbours():
     assert html_text.main_text(page) == "\n\n".join([body, "Short.", body])
 
 
+def test_parts_named_by_class():
+    body = " ".join(LONG.split())
+    page = f"<div id='main-header'><p>{LONG}</p></div><div class='article'><div class='post-header'><h1>Title</h1></div><p>{LONG}</p><p class='notice'>{LONG}</p></div><div class='sidebar-left'>{LONG}</div>"
+    assert html_text.main_text(page) == f"Title\n\n{body}"
+
+
 def test_extract_keeps_rows_and_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, "u", None, "x"), (3, "u", "", "x"), (3, "u", "", "x"), (4, "u", "<p>cut <a hr", "x")], "page_id long, url string, html string, text string")
     out = html_text.extract(pages).collect()
