@@ -73,7 +73,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = window[size]
         window[2 * size] = np.maximum(half, np.pad(half[:, size:], ((0, 0), (0, size))))
         size *= 2
+    pairs = int(window[2][:, : BLOCK - 1].min()) if n >= BLOCK else 0
     for selector, (count, bits) in sorted(SELECTORS.items(), reverse=True):
+        if count > 1 and bits < pairs:
+            continue  # no two neighbours fit, so it would serve the end of a block only, where a wider one does as well
         most, done = None, 0
         for length in (x for x in sorted(window, reverse=True) if count & x):
             part = np.pad(window[length][:, done:], ((0, 0), (0, done))) if done else window[length]
@@ -138,6 +141,18 @@ def unpack_all(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray
 LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
+class Remembered(dict):
+    """Ids of words; one that is asked for the first time is noted in ``pending`` and is None until it is learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.pending.append(word)
+        self[word] = None
+
+
 class WordEncoder:
     """The tokenizers library over a vocabulary in which white space only separates words, with a memory of words.
 
@@ -147,7 +162,7 @@ class WordEncoder:
     again by the tokens that end a piece. All other words go one by one through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
@@ -157,24 +172,27 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.remembered = remembered
-        self.ids: dict[bytes, bytes] = {}
+        self.ids = Remembered()
 
     def _learn(self, words: list[bytes]) -> None:
-        ask, whole, parts = set(), [], []
+        ask: dict[bytes, str] = {}
+        whole, parts, known = [], [], self.ids
         for w, s in zip(words, b" ".join(words).decode().split(" "), strict=True):
             if s.isalpha():
-                ask.add(w)
+                ask[w] = s
             elif m := LETTERS_AND_MARKS.fullmatch(s):
-                pair = m[1].encode(), m[2].encode()
-                parts.append((w, *pair))
-                ask.update(pair)
+                letters, marks = m.groups()
+                one, two = letters.encode(), marks.encode()
+                parts.append((w, one, two))
+                if one not in known:
+                    ask[one] = letters
+                if two not in known:
+                    ask[two] = marks
             else:
                 whole.append(w)
-        simple = []
-        for w in ask:
-            if w not in self.ids:
-                s = w.decode()
-                (simple if s.isascii() or s.islower() and is_normalized("NFC", s) else whole).append(w)
+        simple = [w for w, s in ask.items() if s.isascii() or s.islower() and is_normalized("NFC", s)]
+        if len(simple) < len(ask):
+            whole += ask.keys() - set(simple)
         for i in range(0, len(simple), 1000):
             part = simple[i : i + 1000]
             ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -187,12 +205,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [t.encode().lower().split() for t in texts]
-        need = set().union(*cut)
         if len(self.ids) > self.remembered:
-            self.ids = {w: self.ids[w] for w in need.intersection(self.ids)}
-        self._learn(list(need.difference(self.ids)))
-        return [b"".join(map(self.ids.__getitem__, words)) for words in cut]
+            self.ids = Remembered()
+        ids, cut = self.ids, [t.encode().lower().split() for t in texts]
+        found = [list(map(ids.__getitem__, words)) for words in cut]
+        if ids.pending:
+            self._learn(ids.pending)
+            ids.pending = []
+            found = [[ids[w] if x is None else x for w, x in zip(words, row)] if None in row else row for words, row in zip(cut, found, strict=True)]
+        return list(map(b"".join, found))
 
 
 @lru_cache(1)
