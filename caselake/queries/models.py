@@ -13,6 +13,7 @@ from caselake.operators import model as mo
 from caselake.operators import predict as pd_
 from caselake.operators import prepare as pr
 from caselake.operators import replay as rp
+from caselake.plans.order import checkpointed
 from caselake.queries.common import dialog, events, folder, long_text, ordering, r6
 from caselake.registry import query
 
@@ -266,19 +267,24 @@ def s105_predict_then_update(spark, d):
 
 @query(None)
 def s106_predict_then_relearn(spark, d):
-    """The parents of the activity are searched again on each week's data, then its table is learned again."""
-    df = context(spark, d).withColumn("batch", F.weekofyear("time"))
+    """The parents of the activity are searched again on each week's data, then its table is learned again.
+
+    All weeks after the first are predicted; any attribute's history may be a parent.
+    """
+    df = checkpointed(context(spark, d).withColumn("batch", F.weekofyear("time")))
     weeks = [r[0] for r in df.select("batch").distinct().orderBy("batch").collect()]  # calendar weeks
-    allowed = structure.allowed_edges(["activity"], 2)
+    log = events(spark, d)
+    allowed = [(f"{a}_Prev{i}", "activity") for a in log.attributes() for i in range(log.spec.k)]
 
     def update(edges, w):
         return structure.learn(df.where(F.col("batch") <= w), allowed, start=edges)
 
     def test(edges, w):
         parents = [a for a, _ in edges]
-        return me.accuracy(pd_.next_event(df.where(F.col("batch") < w), df.where(F.col("batch") == w), "activity", parents, ["tie"])).withColumn("batch", F.lit(w)).withColumn("parents", F.lit(",".join(parents)))
+        accuracy = me.accuracy(pd_.next_event(df.where(F.col("batch") < w), df.where(F.col("batch") == w), "activity", parents, ["tie"]))
+        return checkpointed(accuracy.withColumn("batch", F.lit(w)).withColumn("parents", F.lit(",".join(parents))))
 
-    return rp.replay(weeks[1:3], update([], weeks[0]), test, update)[0]
+    return rp.replay(weeks[1:], update([], weeks[0]), test, update)[0]
 
 
 @query(None)

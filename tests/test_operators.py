@@ -10,6 +10,7 @@ from caselake.operators import context as cx
 from caselake.operators import density, drift, graph, inject, metrics, model, predict, prepare, stats, structure
 from caselake.plans.log import EventLog, LogSpec, column_kinds
 from caselake.plans.order import with_index, with_running
+from caselake.queries import models
 from caselake.sources import logs as sources
 
 
@@ -231,3 +232,11 @@ def test_mxml_and_xes_readers(spark, tmp_path):
     out = sources.read_log(spark, str(tmp_path / "a.xes"))
     assert table(out, "case_id", "position", "activity") == [("c1", 0, "A"), ("c1", 1, "B")]
     assert out.where("position = 0").first()["resource"] == "u" and out.where("position = 1").first()["resource"] is None
+
+
+def test_relearning_replays_all_weeks_with_all_history(spark):
+    sf = "/root/testdata/sf0.001"
+    out = models.s106_predict_then_relearn(spark, sf).collect()
+    weeks = [r[0] for r in models.context(spark, sf).select(F.weekofyear("time")).distinct().collect()]
+    assert sorted(r["batch"] for r in out) == sorted(weeks)[1:]
+    assert any("resource_Prev" in r["parents"] for r in out)
