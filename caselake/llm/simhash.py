@@ -161,24 +161,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     words have fingerprint zero and are linked like any other. A null id is a component's smallest only if all are null.
     Columns of ``docs`` named like the outputs are replaced. Repeated rows stay, each with the same values.
     """
+    return _found(docs, id_column, text_column).drop("_root")
+
+
+def _found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``near_duplicates`` with the root fingerprint of the component as ``_root``."""
     docs = docs.drop("fp", "component_id").withColumn("_text_key", F.xxhash64(text_of(text_column)))
     narrow = add_fingerprint(docs, text_column).select(F.col(id_column).alias("_id"), F.col("_text_key").alias("_key"), "fp").distinct()
     narrow = cut(narrow)
-    found = narrow.join(component_of(narrow.select("fp", F.col("_id").alias("id"))), "fp")
+    found = narrow.join(component_of(narrow.select("fp", F.col("_id").alias("id"))).withColumnRenamed("root", "_root"), "fp")
     same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
     return docs.join(found, same, "left").drop("_id", "_key", "_text_key")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each component: that of its smallest id (of repeated rows with that id, any one of equal rows)."""
-    found = near_duplicates(docs, id_column, text_column)
-    return found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).dropDuplicates(["component_id"]).drop("fp", "component_id")
+    """One row of each component: that of its smallest id (of repeated rows with that id, any one).
+
+    Components are told apart by their root, since several may have the same smallest id, or none.
+    """
+    found = _found(docs, id_column, text_column)
+    return found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).dropDuplicates(["_root"]).drop("fp", "component_id", "_root")
 
 
 def component_of(ids: DataFrame) -> DataFrame:
-    """(fp, id) rows -> (fp, component_id) for each distinct fingerprint."""
+    """(fp, id) rows -> (fp, root, component_id) for each distinct fingerprint; ``root`` is the component's smallest fingerprint."""
     fps = cut(ids.groupBy("fp").agg(F.min("id").alias("id")))
     roots = components(links(fps.select("fp")))
     rooted = fps.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return cut(rooted.join(smallest, "root").select("fp", "component_id"))
+    return cut(rooted.join(smallest, "root").select("fp", "root", "component_id"))

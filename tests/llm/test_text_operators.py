@@ -132,6 +132,13 @@ def test_keep_one_and_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_keep_one_keeps_unrelated_texts_of_one_id_or_none(spark):
+    kept = ["the river runs past the old stone mill", "numbers of the market fell again on monday", "a fox was seen near the garden fence"]
+    rows = [(i, t) for t in kept for i in (None, None)] + [(7, t) for t in ("winter came late to the northern islands", "she wrote every letter with a borrowed pen")] * 2
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(set(rows), key=repr) and found.columns == ["doc_id", "text"]
+
+
 # -- 3 and 4 -----------------------------------------------------------------------------------------------------------------
 
 
