@@ -1,8 +1,9 @@
 """Secrets in texts, told apart by how widely each value is copied over the corpus.
 
 Everything here is DataFrame expressions. Candidate spans come from three patterns. The value of each is hashed, and the
-corpus is asked how many repositories and owners have it: a value of one owner that looks random is ``live``, a value that
-several owners have is an ``example`` (a key from a manual, a fixture). Both are spans beside the pattern's own.
+corpus is asked how many repositories and owners have it: a value that several owners have in many repositories is an
+``example`` (a key from a manual, a fixture), and so is one of more than one owner that doesn't look random. Any other value
+that looks random is ``live``. Both are spans beside the pattern's own.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ KINDS = {
 RANKS = {kind: rank for rank, kind in enumerate([*KINDS, "live", "example"])}
 #: A run of that many matches is summed at once (see ``_ends``).
 RUN = 256
-#: A value of one owner is live-looking if it has this many different characters for its length (at most 16 counted).
+#: A value that looks random is an example only if so many owners (null not counted) have it, in so many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
+#: A value is live-looking if it has this many different characters for its length (at most 16 counted).
 DISTINCT_SHARE = 0.5
 
 
@@ -80,13 +83,15 @@ def scan(docs: DataFrame, text_column: str = "text", output: str = "spans") -> D
 def ownership(candidates: DataFrame) -> DataFrame:
     """(value, repository, owner) rows -> for each hash of a value: its rows, repositories and owners.
 
-    Three partial aggregations, from the finest key up, so that a value that a third of the corpus has is counted where it is
-    read; no set is gathered.
+    Partial aggregations from the finest key up, so that a value that a third of the corpus has is counted where it is read; no
+    set is gathered. A repository that several owners have is one. A null owner is one of ``owners`` but not of ``named``.
     """
     hashed = candidates.select(F.sha2("value", 256).alias("value_hash"), "repository", "owner")
     fine = hashed.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = fine.groupBy("value_hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
-    return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
+    by_owner = fine.groupBy("value_hash", "owner").agg(F.sum("n").alias("n"))
+    owners = by_owner.groupBy("value_hash").agg(F.sum("n").alias("n"), F.count("*").alias("owners"), F.count("owner").alias("named"))
+    repositories = fine.select("value_hash", "repository").distinct().groupBy("value_hash").agg(F.count("*").alias("repositories"))
+    return owners.join(repositories, "value_hash")
 
 
 def looks_random(value: Column) -> Column:
@@ -95,12 +100,20 @@ def looks_random(value: Column) -> Column:
     return (different >= DISTINCT_SHARE * F.least(F.length(value), F.lit(16))) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
 
+def counts_up(value: Column) -> Column:
+    """At least half of the characters follow the one before (0123456789abcdef), as in a placeholder."""
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    steps = F.transform(codes, lambda c, i: (c - F.get(codes, i - 1) == 1).cast("int"))
+    return 2 * F.size(F.filter(steps, lambda x: x == 1)) >= F.length(value)
+
+
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """One row for each distinct (id, text) with ``spans``: base spans and the ``live`` or ``example`` spans of their values.
 
     Returns ``id``, ``text_key`` (hash of the text), ``spans``, an array of (start, end, rank) by start and rank (see
     ``RANKS``); texts without spans have an empty array. Positions are code points, ends exclusive. Null text counts as
     empty, a null owner or repository as one of its own. A value of one owner that doesn't look random adds no span.
+    A random-looking value is an ``example`` only from ``EXAMPLE_OWNERS`` and ``EXAMPLE_REPOSITORIES`` up, or if it counts up.
     """
     narrow = scan(docs.select(F.col(id_column).alias("id"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), text_of(text_column).alias("text")))
     narrow = cut(narrow.select("id", "owner", "repository", F.xxhash64("text").alias("text_key"), "spans"))
@@ -109,7 +122,10 @@ def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     counts = ownership(each.select("value", "owner", "repository"))
     joined = each.select("id", "text_key", "start", "end", "rank", "value_start", "value", F.sha2("value", 256).alias("value_hash")).join(counts, "value_hash")
     base = F.struct("start", "end", "rank")
-    verdict = F.when(F.col("owners") > 1, F.lit(RANKS["example"])).when(looks_random(F.col("value")), F.lit(RANKS["live"]))
+    value = F.col("value")
+    widespread = (F.col("named") >= EXAMPLE_OWNERS) & (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    example = (F.col("owners") > 1) & (widespread | ~looks_random(value) | counts_up(value))
+    verdict = F.when(example, F.lit(RANKS["example"])).when(looks_random(value), F.lit(RANKS["live"]))
     added = F.when(verdict.isNotNull(), F.struct(F.col("value_start").alias("start"), F.col("end"), verdict.alias("rank")))
     spans = joined.select("id", "text_key", F.explode(F.array_compact(F.array(base, added))).alias("s"))
     gathered = spans.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("s")).alias("spans"))

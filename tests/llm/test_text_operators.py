@@ -250,6 +250,16 @@ def test_secret_spans_and_ownership(spark):
     assert secret_scan.classify(empty(spark)).count() == 0
 
 
+def test_random_value_of_few_documents_stays_live(spark):
+    few, many, nobody = ("".join(random.Random(i).choices("0123456789abcdef", k=40)) for i in range(3))
+    rows = [(1, f"at {few} here", "s1"), (2, f"there {few}", "s2"), (3, nobody, None), (4, f"{nobody} x", "s1"), *((i, f"see {many} {i}", f"s{i % 3}") for i in range(10, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ranks = {r["id"]: {s["rank"] for s in r["spans"]} - {secret_scan.RANKS["hex"]} for r in secret_scan.classify(docs).collect()}
+    assert ranks == {i: {secret_scan.RANKS["live" if i < 10 else "example"]} for i, *_ in rows}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean == {i: "at [SECRET] here" if i == 1 else "there [SECRET]" if i == 2 else "[SECRET]" if i == 3 else "[SECRET] x" if i == 4 else t for i, t, _ in rows}
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------------
 
 
