@@ -180,7 +180,7 @@ class WordEncoder:
         for w, s in zip(words, b" ".join(words).decode().split(" "), strict=True):
             if s.isalpha():
                 ask[w] = s
-            elif m := LETTERS_AND_MARKS.fullmatch(s):
+            elif (m := LETTERS_AND_MARKS.fullmatch(s)) and m[1].isalpha():  # numerals such as ² are pieces of their own
                 letters, marks = m.groups()
                 one, two = letters.encode(), marks.encode()
                 parts.append((w, one, two))

@@ -183,6 +183,13 @@ def test_token_files(spark, tmp_path):
     assert simple8b.read_ids(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_numerals_before_marks_are_split_as_the_library_does():
+    words = "km², cm³) m². ½, x½! Ⅳ. aⅳ; ①, über², naïve, 10²) km² ²,".split()
+    tokenizer, encoder = Tokenizer.from_file(WORD_BPE), simple8b.WordEncoder(WORD_BPE)
+    for t in [*words, " ".join(words)]:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------------
 
 
