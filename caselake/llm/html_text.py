@@ -1,13 +1,15 @@
 """Main text of web pages by two passes over blocks.
 
-Pass 1 labels each block from its length, its density of stop words, its density of links and what it stands in (a menu,
-a form, an article). Pass 2 gives blocks left open (short ones, or middling ones) the label of the nearest decided blocks.
+Pass 1 labels each block by its length, its density of stop words and its density of links; what it stands in (a menu, a form,
+an article) is one more feature. Blocks that this leaves open are short, linked or middling ones. Pass 2 gives them the
+label of the nearest decided blocks.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from caselake.llm.common import small_batches
 
-# Frequent function words of the languages served.
+# Frequent function words of the languages served; a choice, not a fixed list.
 STOP_WORDS = frozenset(
     "a about all also an and are as at be been but by can for from had has have he her his how i if in into is it its more"
     " no not of on one or our out she so that the their there they this to up was we were what when which who will with"
@@ -36,16 +38,25 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FLAT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption option hr html body head".split())
+#: An element that opens ends these, where they are the innermost open ones.
+ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}, "option": {"option"}}
 NOT_MAIN = frozenset("nav footer aside form button select menu dialog noscript template object svg math canvas audio video head".split())
 
-# Words of class, id and role attributes that name a part of a page.
+# Names of classes, ids and roles for parts of a page.
 PART_NOT_MAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidebars menu nav navbar"
-    " navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices alert popup modal newsletter subscribe"
-    " subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies"
-    " respond widget toolbar pagination pager copyright disclaimer search complementary contentinfo form dialog".split()
+    " navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices popup modal newsletter subscribe"
+    " subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus"
+    " reply replies respond widget toolbar pagination pager copyright disclaimer".split()
 )
-PART_MAYBE = frozenset("header masthead banner top".split())
+ROLE_NOT_MAIN = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: The second part of a name such as sidebar-left, and the first of one that doesn't name the element itself (has-sidebar).
+PLACES = frozenset(
+    "left right top bottom container wrapper wrap area list box bar block section slot unit banner panel menu item items links"
+    " content inner outer main nav form thread header body text widget policy group region".split()
+)
+SAYS_OF = frozenset("has no with without is not show hide on".split())
+PART_MAYBE = frozenset("header masthead banner".split())
 PART_MAIN = frozenset("article main articlebody".split())
 
 RAW = "script|style|textarea|title|iframe|noframes|xmp"
@@ -56,7 +67,8 @@ TOKEN = re.compile(
     r"|<[!?/a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,30 +96,51 @@ class Block:
     label: str = ""
 
 
+def _names_not_main(name: str) -> bool:
+    """A class or id that names a part other than the main text: itself, or with a word for its place (``sidebar-left``)."""
+    if name in PART_NOT_MAIN:
+        return True
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if len(parts) != 2 or parts[0] in SAYS_OF:
+        return False
+    return parts[1] in PART_NOT_MAIN or parts[0] in PART_NOT_MAIN and (parts[1] in PLACES or parts[1].isdigit())
+
+
 def _part(tag: str, attributes: str, in_article: bool) -> str:
-    """What an element is by its name and attributes: ``main``, ``not`` (not main text) or nothing."""
+    """What an element is by its name and attributes: ``main``, ``not`` (not main text) or nothing.
+
+    Articles are shut out by a whole name only (``class="comment"``), blocks such as headings by their classes only.
+    """
     if tag in ("html", "body"):
         return ""
-    words: set[str] = set()
+    names: set[str] = set()
+    role = ""
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return "not"
-        if name in ("class", "id", "role", "itemprop"):
-            words.update(re.split(r"[^a-z0-9]+", value))
-    if words & PART_NOT_MAIN or tag in NOT_MAIN:
-        return "not"
+        if name == "role":
+            role = value.strip()
+        elif name in ("class", "itemprop") or name == "id" and tag not in FLAT:
+            names.update(value.split())
     if tag in ("article", "main"):
-        return "main"
-    if tag == "header" or words & PART_MAYBE:
+        return "not" if names & PART_NOT_MAIN else "main"
+    if tag in NOT_MAIN or role in ROLE_NOT_MAIN or any(map(_names_not_main, names)):
+        return "not"
+    if tag == "header" or any(x.split("-")[-1] in PART_MAYBE for x in names):
         return "" if in_article else "not"
-    return "main" if words & PART_MAIN else ""
+    return "main" if names & PART_MAIN or role in PART_MAIN else ""
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Cut a page into blocks of text; scripts, styles, comments and markup don't make text."""
+    """Cut a page into blocks of text; scripts, styles, comments and markup don't make text.
+
+    Elements of ``FLAT`` are put on the stack of open elements only where they are shut out; they end with their own end, with
+    an element of ``ENDS``, or with the element around them.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # element, article, shut out
+    stack: list[tuple[str, int, bool]] = []  # element; article and shut out as they were before it
+    open_: Counter = Counter()  # elements on the stack by name
     article, shut_out, articles, in_link, breaks, at = 0, False, 0, False, 0, 0
     current: Block | None = None
 
@@ -125,6 +158,14 @@ def blocks_of(page: str) -> list[Block]:
         if in_link:
             current.link_chars += len("".join(chunk.split()))
 
+    def close(i: int) -> None:
+        nonlocal article, shut_out, current
+        if stack[i][2] != shut_out:
+            current = None
+        _, article, shut_out = stack[i]
+        open_.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
@@ -143,21 +184,24 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             current, in_link, breaks = None, False, 0
-        if tag in VOID or m[4].endswith("/") or (tag in FLAT and not m[4]):
-            continue
+            if not closing:
+                while stack and stack[-1][0] in ENDS.get(tag, {"p"}):
+                    close(len(stack) - 1)
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            if open_[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag and not (tag in FLAT and stack[i][0] in BLOCKS):
+                    i -= 1
                 if stack[i][0] == tag:
-                    if tag not in BLOCKS and stack[i][2] != shut_out:
-                        current = None
-                    _, article, shut_out = stack[i]
-                    del stack[i:]
-                    break
+                    close(i)
+            continue
+        if tag in VOID or m[4].endswith("/") or (tag in FLAT and not m[4]):
             continue
         part = _part(tag, m[4], article > 0)
         if tag in FLAT and part != "not" or tag not in BLOCKS and tag not in NOT_MAIN and part != "not":
             continue
         stack.append((tag, article, shut_out))
+        open_[tag] += 1
         if part == "not":
             shut_out, current = True, None
         elif part == "main" and not shut_out and not article:
@@ -169,51 +213,74 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in blocks if b.text]
 
 
-def decide(blocks: list[Block], limits: Thresholds) -> list[Block]:
-    """Both passes; returns the blocks of the main text."""
-    for b in blocks:
-        n, words = len(b.text), WORD.findall(b.text.lower())
-        links = b.link_chars / max(1, len(b.text.replace(" ", "")))
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.shut_out or links > (limits.links_in_article if b.container else limits.links):
-            b.label = "bad"
-        elif n < limits.short:
-            b.label = "short" if b.container or not b.link_chars else "bad"
-        elif stops >= limits.stop_high:
-            b.label = "good" if n > limits.long else "near"
-        elif stops >= limits.stop_low or b.container:
-            b.label = "near"
-        else:
-            b.label = "bad"
-    if any(b.container and b.label != "bad" for b in blocks):
-        for b in blocks:  # what a page marks as its article is what is not around it
+def first_pass(b: Block, limits: Thresholds) -> str:
+    """``good``, ``bad``, or open: ``near`` (middling), ``short``, ``linked`` (links in an article).
+
+    Inside an article no density makes a block bad, since an article may hold a list or a table; outside it does.
+    """
+    n, words = len(b.text), WORD.findall(b.text.lower())
+    links = b.link_chars / max(1, len(b.text.replace(" ", "")))
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if b.shut_out or not b.container and links > limits.links:
+        return "bad"
+    if links > limits.links_in_article and stops < limits.stop_low:
+        return "linked"
+    if n < limits.short:
+        return "short" if b.container or not b.link_chars else "bad"
+    if stops >= limits.stop_high:
+        return "good" if n > limits.long else "near"
+    return "near" if stops >= limits.stop_low or b.container else "bad"
+
+
+def _nearest(labels: list[str], counts: list[bool]) -> list[str]:
+    """For each block, the label of the nearest one before that counts and is decided; nothing if there is none."""
+    found, last = [], ""
+    for label, count in zip(labels, counts, strict=True):
+        found.append(last)
+        if count and label in ("good", "bad"):
+            last = label
+    return found
+
+
+def second_pass(blocks: list[Block]) -> None:
+    """Open blocks take the label of their decided neighbours; blocks that are shut out are nobody's neighbours.
+
+    If an article has a good block, or nothing outside of articles is good, the articles are the text and what is around
+    them is bad. Their open blocks are then good, but for links that don't stand between good blocks (or between other open
+    ones, where none is decided): those are menus at an end. Else (an article is a mere teaser beside the text) and on pages
+    without articles, a middling block is good if a neighbour is, a short or linked one if all are that it has. A page without
+    any good block has nothing but short or middling ones: they are the text.
+    """
+    inside = any(b.container and not b.shut_out for b in blocks)
+    bounded = inside and (any(b.container and b.label == "good" for b in blocks) or all(b.container for b in blocks if b.label == "good"))
+    if bounded:
+        for b in blocks:
             if not b.container:
                 b.label = "bad"
-    before = after = ""
-    nearest: list[list[str]] = []
-    last = 0
+    counts = [not b.shut_out and (b.container > 0 or not bounded) for b in blocks]
+    labels = [b.label for b in blocks]
+    anchors = labels if "good" in labels else ["good" if x in ("near", "short") else x for x in labels]
+    before, after = _nearest(anchors, counts), _nearest(anchors[::-1], counts[::-1])[::-1]
+    for b, sides in zip(blocks, zip(before, after, strict=True), strict=True):
+        if b.label in ("good", "bad"):
+            continue
+        found = [s for s in sides if s]
+        if bounded:
+            good = b.label != "linked" or sides == ("good", "good") or "good" not in anchors
+        elif "good" not in labels:
+            good = b.label != "linked"
+        elif b.label == "near":
+            good = not found or "good" in found
+        else:
+            good = bool(found) and set(found) == {"good"}
+        b.label = "good" if good else "bad"
+
+
+def decide(blocks: list[Block], limits: Thresholds) -> list[Block]:
+    """Both passes; returns the blocks of the main text."""
     for b in blocks:
-        if b.container != last:
-            before, last = "", b.container
-        nearest.append([before])
-        if b.label in ("good", "bad") and not (b.container and b.shut_out):
-            before = b.label
-    last = 0
-    for b, sides in zip(reversed(blocks), reversed(nearest), strict=True):
-        if b.container != last:
-            after, last = "", b.container
-        sides.append(after)
-        if b.label in ("good", "bad") and not (b.container and b.shut_out):
-            after = b.label
-    for b, sides in zip(blocks, nearest, strict=True):
-        if b.label in ("short", "near"):
-            sides = [s for s in sides if s]
-            if b.container:
-                b.label = "good" if not sides or "good" in sides else "bad" if b.label == "short" and len(sides) == 2 else "good"
-            elif b.label == "near":
-                b.label = "good" if not sides or "good" in sides else "bad"
-            else:
-                b.label = "good" if sides and set(sides) == {"good"} else "bad"
+        b.label = first_pass(b, limits)
+    second_pass(blocks)
     return [b for b in blocks if b.label == "good"]
 
 
@@ -226,9 +293,9 @@ def extract(pages: DataFrame, html_column: str = "html", output: str = "text", l
     """Add the main text of each page as ``output`` and its length in code points as ``n_chars``.
 
     Null or empty html gives an empty text. Columns of ``pages`` that have these names are replaced, all others are kept,
-    rows are neither dropped nor merged. An unclosed element ends with its parent; a tag cut off by the end is dropped.
-    A page that marks an article (``article``, ``main``, role) has its text there only. One line break is white space, two
-    end a block.
+    rows are neither dropped nor merged, and an empty table gives an empty one. An unclosed element ends with its parent; a
+    tag cut off by the end is dropped. One line break is white space, two end a block. Pages are worked on one at a time,
+    whole, in time in proportion to their length.
     """
     small_batches(pages.sparkSession)
 
