@@ -15,13 +15,14 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
-from caselake.llm.bpe import batches_of, lists_of_ids
+from caselake.llm.bpe import lists_of_ids
 from caselake.llm.common import small_batches, text_of
 
 # Fixed values of the format: selector -> (values, bits of each).
@@ -137,83 +138,143 @@ def unpack_all(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray
     return out.reshape(blocks, stride)[:, :BLOCK].ravel()[:n]
 
 
-#: Letters, then ASCII marks (no apostrophe): the tokenizer splits there, so each part is a piece of its own.
-LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII marks without the apostrophe: the tokenizer splits between a run of them and letters or digits.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Units of a word: marks before, its core, marks after.
+UNITS = 3
 
 
-class Remembered(dict):
-    """Ids of words; one that is asked for the first time is noted in ``pending`` and is None until it is learned."""
-
-    def __init__(self):
-        super().__init__()
-        self.pending: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> None:
-        self.pending.append(word)
-        self[word] = None
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[start[i] : start[i] + length[i]]`` for each i of ``pick``, put together, and their lengths."""
+    lengths = length[pick]
+    ends = np.cumsum(lengths)
+    at = np.repeat(start[pick] - ends + lengths, lengths)
+    at += np.arange(len(at))
+    return flat[at], lengths
 
 
 class WordEncoder:
     """The tokenizers library over a vocabulary in which white space only separates words, with a memory of words.
 
     Words are cut at ASCII white space, where no token and no normalisation reaches across; A-Z are lower-cased first, as the
-    vocabulary's own normaliser does. Words not remembered go to the library. Letters-only words that are lower-case and
-    composed need no normaliser and no splitting, so they go in large texts that are only cut at spaces, and are told apart
-    again by the tokens that end a piece. All other words go one by one through the whole tokenizer.
+    vocabulary's own normaliser does. Arrow numbers the distinct words of some texts, so that each is looked up once; marks
+    around a word are units of their own. Units that are not remembered go to the library. Those of lower-case, composed
+    letters need no normaliser and no splitting, so they go in longer texts that are only cut at spaces, and are told apart
+    again by the tokens that end a piece. All other units go one by one through the whole tokenizer. Texts are cut where they have a special token,
+    as the library does before anything else.
     """
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer, self.ascii, self.plain = (Tokenizer.from_file(path) for _ in range(3))
+        for t in (self.tokenizer, self.ascii, self.plain):
+            t.encode_special_tokens = True  # texts are cut at them beforehand
+            t.model._resize_cache(0)  # each unit is asked for once
+        self.ascii.normalizer, self.ascii.pre_tokenizer = None, CharDelimiterSplit(" ")
+        self.plain.normalizer, self.plain.pre_tokenizer = None, Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.remembered = remembered
-        self.ids = Remembered()
-
-    def _learn(self, words: list[bytes]) -> None:
-        ask: dict[bytes, str] = {}
-        whole, parts, known = [], [], self.ids
-        for w, s in zip(words, b" ".join(words).decode().split(" "), strict=True):
-            if s.isalpha():
-                ask[w] = s
-            elif (m := LETTERS_AND_MARKS.fullmatch(s)) and m[1].isalpha():  # numerals such as ² are pieces of their own
-                letters, marks = m.groups()
-                one, two = letters.encode(), marks.encode()
-                parts.append((w, one, two))
-                if one not in known:
-                    ask[one] = letters
-                if two not in known:
-                    ask[two] = marks
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.start, self.length = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _add(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, k = len(self.number), len(units)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + k > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.length[n : n + k] = lengths
+        self.start[n : n + k] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.number.update(zip(units, range(n, n + k)))
+
+    def _learn(self, units: list[str]) -> None:
+        letters: tuple[list[str], list[str]] = [], []
+        whole: list[str] = []
+        for u in units:
+            if not u.isalpha():
+                whole.append(u)
+            elif u.isascii():
+                letters[0].append(u)
             else:
-                whole.append(w)
-        simple = [w for w, s in ask.items() if s.isascii() or s.islower() and is_normalized("NFC", s)]
-        if len(simple) < len(ask):
-            whole += ask.keys() - set(simple)
-        for i in range(0, len(simple), 1000):
-            part = simple[i : i + 1000]
-            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            flat, edges = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            self.ids.update(zip(part, [flat[a:b] for a, b in zip([0, *edges], edges)], strict=True))
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        for w, letters, marks in parts:
-            self.ids[w] = self.ids[letters] + self.ids[marks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if len(self.ids) > self.remembered:
-            self.ids = Remembered()
-        ids, cut = self.ids, [t.encode().lower().split() for t in texts]
-        found = [list(map(ids.__getitem__, words)) for words in cut]
-        if ids.pending:
-            self._learn(ids.pending)
-            ids.pending = []
-            found = [[ids[w] if x is None else x for w, x in zip(words, row)] if None in row else row for words, row in zip(cut, found, strict=True)]
-        return list(map(b"".join, found))
+                (letters[1] if u.islower() and is_normalized("NFC", u) else whole).append(u)
+        for tokenizer, simple in zip((self.ascii, self.plain), letters, strict=True):
+            for i in range(0, len(simple), 100):
+                part = simple[i : i + 100]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                self._add(part, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        if whole:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+            self._add(whole, np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
+
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """Numbers of units in the memory; those that are new are learned."""
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.number.get, distinct))
+        if None in found:
+            new = [u for u, n in zip(distinct, found, strict=True) if n is None]
+            self._learn(new)
+            learned = map(self.number.__getitem__, new)
+            found = [next(learned) if n is None else n for n in found]
+        return np.array(found, np.int64)[coded.indices.to_numpy()]
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, put together, and the number of each."""
+        if len(self.number) + len(words) > self.remembered:
+            self._forget()
+        kept = pc.ascii_ltrim(words, MARKS)
+        core = pc.ascii_rtrim(kept, MARKS)
+        whole, left, inner = (pc.binary_length(x).to_numpy() for x in (words, kept, core))
+        # a word is cut at its marks only where what is left is letters: other units may have rules across the cut
+        letters = pc.or_(pc.equal(inner, 0), pc.utf8_is_alpha(core)).to_numpy(zero_copy_only=False)
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        before, after = np.where(letters, whole - left, 0), np.where(letters, left - inner, 0)
+        edges = np.empty(UNITS * len(words) + 1, np.int64)
+        edges[0:-1:UNITS], edges[1::UNITS], edges[2::UNITS], edges[-1] = at[:-1], at[:-1] + before, at[1:] - after, at[-1]
+        units = pa.Array.from_buffers(pa.string(), UNITS * len(words), [None, pa.py_buffer(edges.astype(np.int32)), words.buffers()[2]])
+        numbers = self._numbers(units)
+        ids, lengths = _gather(self.flat, self.start, self.length, numbers)
+        return ids, lengths.reshape(-1, UNITS).sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, put together, and the number of each text."""
+        if any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            return self._with_special(texts.to_pylist())
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        ids, lengths = self._of_words(coded.dictionary)
+        out, each = _gather(ids, np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
+        upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        return out, np.diff(upto)
+
+    def _with_special(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [self.at_special.split(t) for t in texts]  # ordinary and special ones take turns
+        ids, lengths = self._encode(pa.array([p for row in pieces for p in row[::2]], pa.string()))
+        out, counts, at, k = [], [], 0, 0
+        for row in pieces:
+            n = 0
+            for i, p in enumerate(row):
+                if i % 2:
+                    out.append(np.array([self.special[p]], "<u4"))
+                else:
+                    out.append(ids[at : at + lengths[k]])
+                    at, k = at + lengths[k], k + 1
+                n += len(out[-1])
+            counts.append(n)
+        return np.concatenate(out), np.array(counts, np.int64)
 
 
 @lru_cache(1)
@@ -224,9 +285,11 @@ def _encoder(path: str) -> WordEncoder:
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encode whole texts, append ``end_id`` to each, and write packs in ascending order of the ids of the documents.
 
-    Null text counts as empty (one id: the end). Null ids come first; equal ids are ordered by text. Rows are range-partitioned
-    by id; ``part`` numbers the ranges, and ``first`` counts the ids of a pack's range that stand before it. The files are a Parquet dataset, so that a lost task is
-    written again by Spark's own committer.
+    Null text counts as empty (one id: the end). Null ids come first; equal ids are ordered by a hash of the text, so that an
+    id which many rows share is spread over ranges. Special tokens in a text are single ids, as the library has it. Rows are
+    range-partitioned; ``part`` numbers the ranges, and ``first`` counts the ids of a pack's range that stand before it. The
+    files are a Parquet dataset, so that a lost task is written again by Spark's own committer. An empty table makes a dataset
+    without packs; other columns of ``docs`` are not read, whatever their names. The folder is the caller's to delete.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -235,31 +298,32 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, id_column: s
 
     def packs(batches):
         encoder, part, first = _encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int | None, bytes]] = []
-        size = 0
+        held, size = [], 0  # ids of the documents of the next pack, by document: (id, ids)
 
         def row() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for _, x in held]
-            words, blocks = pack(np.frombuffer(b"".join(x for _, x in held), "<u4"))
+            lengths = [len(x) for _, x in held]
+            words, blocks = pack(np.concatenate([x for _, x in held]))
             columns = [[part], [first], [[i for i, _ in held]], [lengths], [blocks.tolist()], [words.astype("<u8").tobytes()]]
             types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "first", "doc_ids", "lengths", "block_words", "words"])
 
         for batch in batches:
-            encoded = (x for texts in batches_of(batch.column(1)) for x in encoder.encode(texts))
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += end
-                if held and size + len(ids) // 4 > PACK:
+            ids, lengths = encoder.encode(batch.column(1))
+            ends = np.cumsum(lengths)
+            ids = np.insert(ids, ends, end_id)
+            ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), [0, *ends], ends):
+                if held and size + b - a > PACK:
                     yield row()
                     held, size, first = [], 0, first + size
-                held.append((doc, ids))
-                size += len(ids) // 4
+                held.append((doc, ids[a:b]))
+                size += b - a
         if held:
             yield row()
 
-    ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(packs, PACK_SCHEMA).write.mode("overwrite").parquet(folder)
+    key = F.xxhash64("text")
+    ordered = rows.withColumn("key", key).repartitionByRange(partitions, "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    ordered.select("doc_id", "text").mapInArrow(packs, PACK_SCHEMA).write.mode("overwrite").parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
