@@ -1,9 +1,9 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Documents of a source are queued in a shuffled order, round after round. A document's virtual finish time is the words of
-its source up to its end, divided by the source's weight. Serving the queues in order of finish time gives each source words
-in proportion to its weight; a source that runs out leaves its share to the others. The mix is the order by finish time,
-cut where the budget is spent.
+its source up to its end, divided by the source's weight. All queues are put in one global order of finish times, and the
+words served up to each place are running totals over that order; where they exceed the budget the mix is cut. A source whose
+rounds are over leaves its share to the others from then on.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselake.llm.common import cut, text_of
+from caselake.plans.order import with_running
 
 # Weights of the sources in ascending order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -68,38 +69,62 @@ def targets(sizes: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, weig
 
 
 def queue(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, text_key, source, source_size, weight, target, size, start): where each document begins in its source's queue.
+    """(row, doc_id, text_key, source, source_size, weight, target, size, start): where each row begins in its source's queue.
 
-    The order of a source is that of a seeded hash of id and text. Sums run inside buckets of that hash, and bucket totals
-    add up the buckets before, so the largest source is spread over as many tasks as it has buckets.
+    The order of a source is that of a seeded MD5 of id and text. Sums run inside buckets of that hash, and bucket totals
+    add up the buckets before, so the largest source is spread over as many tasks as it has buckets. ``row`` numbers the rows
+    of ``docs``.
     """
-    key = F.xxhash64(text_of(text_column))
-    rows = docs.select(F.col(id_column).alias("doc_id"), key.alias("text_key"), F.col(source_column).alias("source"), words(text_column).alias("size"))
-    rows = cut(rows.withColumn("shuffled", F.xxhash64(F.lit(SEED), "doc_id", "text_key")))
+    digest = F.md5(F.concat_ws("|", F.lit(SEED).cast("string"), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(text_of(text_column))))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_of(text_column)).alias("text_key"), F.col(source_column).alias("source"), words(text_column).alias("size"), digest.alias("shuffled"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # which fixes the row numbers
     n = rows.count()
     buckets = min(MOST_BUCKETS, max(16, -(-n // BUCKET)))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("shuffled", 20), F.lit(buckets)).cast("int"))
+    width = (1 << 32) // buckets + 1
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") / width).cast("int"))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")
     totals = totals.select("source", "bucket", before.alias("before"))
     shares = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), rounds=rounds)
     offsets = cut(totals.join(shares, totals["source"].eqNullSafe(shares["source"])).drop(shares["source"]))
-    inside = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("shuffled", "row").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     placed = rows.join(offsets.withColumnRenamed("bucket", "b").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return placed.select("doc_id", "text_key", "source", "source_size", "weight", "target", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
+    return placed.select("row", "doc_id", "text_key", "source", "source_size", "weight", "target", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
+
+
+def cut_at_budget(queued: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """Rows of all rounds with ``finish`` (virtual time), in global order of it, and ``taken``: the words served by the cut.
+
+    At a place with finish time f, the words served are those of the sources that are over, plus f times the weight of the
+    others: two running totals over the sorted queue, kept by ranges with one offset each. The cut is in the last stretch
+    between places whose words are within the budget; inside it time runs on until the budget is spent, and what each source
+    is just serving counts with the words served. No task has the whole order, and the driver has one row for each range.
+    """
+    source = queued.groupBy("source").agg(F.max("source_size").alias("size"), F.max("weight").alias("weight"))
+    all_words, all_weights = source.agg(F.sum("size"), F.sum(F.when(F.col("size") > 0, F.col("weight")).otherwise(0))).first()
+    begin = F.col("start") + F.col("round") * F.col("source_size")
+    rows = queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("start", begin)
+    rows = rows.withColumn("finish", (F.col("start") + F.col("size")) / F.col("weight"))
+    over = (F.col("size") > 0) & (F.col("start") + F.col("size") == rounds * F.col("source_size"))
+    sums = {"_over_words": F.when(over, rounds * F.col("source_size")).otherwise(0), "_over_weight": F.when(over, F.col("weight")).otherwise(0)}
+    ordered = with_running(rows, ["finish", "row", "round"], sums, None)
+    served = F.col("_over_words") + (F.lit(all_weights or 0) - F.col("_over_weight")) * F.col("finish")
+    spent = budget * (all_words or 0)
+    within = ordered.where(served <= spent).agg(F.max("_over_words"), F.max("_over_weight")).first()
+    left = (all_weights or 0) - (within[1] or 0)
+    time = (spent - (within[0] or 0)) / left if left else float("inf")
+    reached = F.floor(F.col("weight") * F.lit(time)) if left else F.col("start") + F.col("size")
+    taken = F.greatest(F.lit(0), F.least(F.col("size"), reached - F.col("start"))).cast("long")
+    return ordered.drop("_over_words", "_over_weight").withColumn("taken", taken)
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Every document in each round with ``finish`` (virtual time) and ``taken`` (words served), in global order of finish.
+    """Each row of ``docs`` in each round with ``finish`` and ``taken``: (row, doc_id, text_key, source, size, round, ...).
 
-    With the sources' weights as rates, the total budget is spent at the virtual time at which all targets are served;
-    what would be served later is cut. The document that a source is serving at that time counts with the words served,
-    so each source's words are its target, rounded down. Repeated rows are documents of their own; null ids and null
-    sources are values like others. The shuffle is seeded: runs agree. An empty table gives an empty mix.
+    Partitions hold following ranges of finish times, each in order. The total budget is spent at the virtual time at which all
+    targets are served, so each source's words are its target, rounded down. Repeated rows are documents of their own; null ids
+    and null sources are values like others; texts without words are never short of words. Other columns are not read. The
+    shuffle is seeded: runs agree. An empty table gives an empty mix.
     """
-    rows = queue(docs, id_column, source_column, text_column, rounds).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    start = F.col("start") + F.col("round") * F.col("source_size")
-    served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
-    rows = rows.withColumn("finish", (start + F.col("size")) / F.col("weight")).withColumn("taken", served)
-    return rows.drop("start").orderBy("finish", "doc_id", "text_key", "round")
+    return cut_at_budget(queue(docs, id_column, source_column, text_column, rounds), rounds=rounds)

@@ -85,8 +85,8 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
-    each = rows.groupBy("doc_id", "text_key").agg(*(F.first(c).alias(c) for c in ("size", "source_size", "target")), F.sum("taken").alias("taken"), F.min("finish").alias("finish"))
-    return each.select("doc_id", "size", "source_size", "target", "taken", "finish")
+    each = rows.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    return each.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def _spans_sql(kind: str) -> str:
+    """Spans of one kind: the text is split at the matches, and lengths add up to positions."""
+    pattern, least = secret_scan.KINDS[kind]
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT row, doc_id, owner, {secret_scan.RANKS[kind]} AS rank, i,
+        CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT) AS e, length(m[i]) AS n, length(h[i]) AS head, substr(m[i], length(h[i]) + 1) AS value
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT row, doc_id, owner, regexp_extract_all(t, '{quoted}', 0) AS m, regexp_extract_all(t, '{quoted}', 1) AS h, string_split_regex(t, '{quoted}') AS g FROM d)) WHERE length(m[i]) - length(h[i]) >= {least}"""
+
+
+SECRETS_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
+    s AS ({" UNION ALL ".join(map(_spans_sql, secret_scan.KINDS))}),
+    o AS (SELECT value, count(DISTINCT owner) AS named, count(DISTINCT owner) + max(CAST(owner IS NULL AS INTEGER)) AS owners, count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INTEGER)) AS repositories FROM s GROUP BY value),
+    c AS (SELECT *, list_transform(string_split(value, ''), lambda x: ascii(x)) AS codes FROM o),
+    f AS (SELECT *, len(list_distinct(codes)) >= {secret_scan.DISTINCT_SHARE} * least(length(value), 16) AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AS random,
+        2 * len(list_filter(range(2, len(codes) + 1), lambda i: codes[i] - codes[i - 1] = 1)) >= length(value) AS up FROM c),
+    v AS (SELECT value, CASE WHEN owners > 1 AND (named >= {secret_scan.EXAMPLE_OWNERS} AND repositories >= {secret_scan.EXAMPLE_REPOSITORIES} OR NOT random OR up) THEN {secret_scan.RANKS["example"]} WHEN random THEN {secret_scan.RANKS["live"]} END AS rank FROM f),
+    a AS (SELECT row, rank, e - n AS b, e FROM s UNION SELECT row, v.rank, e - n + head, e FROM s JOIN v USING (value) WHERE v.rank IS NOT NULL),
+    k AS (SELECT *, {list(secret_scan.RANKS)}[rank + 1] || ':' || b || ':' || e AS x FROM a),
+    g AS (SELECT row, count_if(rank = 0) AS n_assign, count_if(rank = 1) AS n_access, count_if(rank = 2) AS n_hex, string_agg(x, ',' ORDER BY b, rank, e) FILTER (WHERE rank < 3) AS base, string_agg(x, ',' ORDER BY b, rank, e) AS spans FROM k GROUP BY row)
+    SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)
+"""
+
+MIXING_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+    n AS (SELECT row, doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(t)) AS h FROM d),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM n GROUP BY source),
+    w AS (SELECT *, {list(mixing.WEIGHTS)}[CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1 AS INTEGER)] AS weight, {mixing.ROUNDS} * source_size AS most FROM s),
+    f AS (SELECT sum(most) OVER o AS full_words, sum(weight) OVER o AS full_weight, sum(source_size) OVER () AS words, sum(weight) OVER () AS weights FROM w WINDOW o AS (ORDER BY most / weight, source)),
+    l AS (SELECT CAST(greatest(max({mixing.BUDGET} * words / weights), coalesce(max(({mixing.BUDGET} * words - full_words) / (weights - full_weight)) FILTER (WHERE weights > full_weight), 0)) AS DOUBLE) AS level FROM f),
+    p AS (SELECT doc_id, size, source_size, CAST(least(most, weight * level) AS DOUBLE) AS target, floor(weight * level) AS reached, sum(size) OVER (PARTITION BY n.source ORDER BY h, row ROWS UNBOUNDED PRECEDING) - size AS start FROM n JOIN w ON n.source IS NOT DISTINCT FROM w.source, l)
+    SELECT doc_id, size, source_size, target, CAST({" + ".join(f"greatest(0, least(size, reached - start - {r} * source_size))" for r in range(mixing.ROUNDS))} AS BIGINT) AS taken FROM p
+"""
+
 ORACLE_SQL = {
+    "op6_secret_scan": SECRETS_SQL,
+    "op8_mixing": MIXING_SQL,
     "op7_exact_topk": """
         WITH v AS (
             SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm.common import cut, text_of
+from caselake.llm.common import cut, join_counted, text_of
 
 # Kind -> pattern; the group that holds the value; least characters of that group. Order is that of the report.
 KINDS = {
@@ -84,7 +84,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
     """(value, repository, owner) rows -> for each hash of a value: its rows, repositories and owners.
 
     Partial aggregations from the finest key up, so that a value that a third of the corpus has is counted where it is read; no
-    set is gathered. A repository that several owners have is one. A null owner is one of ``owners`` but not of ``named``.
+    set is gathered. ``n`` is the number of rows. A repository that several owners have is one. A null owner is one of ``owners`` but not of ``named``.
     """
     hashed = candidates.select(F.sha2("value", 256).alias("value_hash"), "repository", "owner")
     fine = hashed.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
@@ -108,29 +108,32 @@ def counts_up(value: Column) -> Column:
 
 
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row for each distinct (id, text) with ``spans``: base spans and the ``live`` or ``example`` spans of their values.
+    """Each row of ``docs`` as (id, text_key, spans): base spans and the ``live`` or ``example`` spans of their values.
 
-    Returns ``id``, ``text_key`` (hash of the text), ``spans``, an array of (start, end, rank) by start and rank (see
-    ``RANKS``); texts without spans have an empty array. Positions are code points, ends exclusive. Null text counts as
-    empty, a null owner or repository as one of its own. A value of one owner that doesn't look random adds no span.
-    A random-looking value is an ``example`` only from ``EXAMPLE_OWNERS`` and ``EXAMPLE_REPOSITORIES`` up, or if it counts up.
+    ``text_key`` is a hash of the text; ``spans`` an array of (start, rank, end), sorted (see ``RANKS``), empty for
+    texts without any. Repeated rows come back each. Positions are code points, ends exclusive. Null text counts as empty, a
+    null owner or repository as one of its own; an empty table gives an empty one, and other columns are not read. A value of
+    one owner that doesn't look random adds no span. A random-looking value is an ``example`` only from ``EXAMPLE_OWNERS`` and
+    ``EXAMPLE_REPOSITORIES`` up, or if it counts up.
     """
     narrow = scan(docs.select(F.col(id_column).alias("id"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), text_of(text_column).alias("text")))
-    narrow = cut(narrow.select("id", "owner", "repository", F.xxhash64("text").alias("text_key"), "spans"))
-    each = narrow.where(F.size("spans") > 0).select("id", "owner", "repository", "text_key", F.explode("spans").alias("s"))
-    each = each.select("id", "text_key", "owner", "repository", "s.*")
-    counts = ownership(each.select("value", "owner", "repository"))
-    joined = each.select("id", "text_key", "start", "end", "rank", "value_start", "value", F.sha2("value", 256).alias("value_hash")).join(counts, "value_hash")
-    base = F.struct("start", "end", "rank")
+    narrow = narrow.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", F.xxhash64("text").alias("text_key"), "spans")
+    narrow = cut(narrow)  # which fixes the row numbers
+    each = narrow.where(F.size("spans") > 0).select("row", "id", "text_key", "owner", "repository", F.explode("spans").alias("s"))
+    each = each.select("row", "id", "text_key", "owner", "repository", "s.*")
+    counts = cut(ownership(each.select("value", "owner", "repository")))
+    hashed = each.select("row", "id", "text_key", "start", "end", "rank", "value_start", "value", F.sha2("value", 256).alias("value_hash"))
+    joined = join_counted(hashed, counts, "value_hash", "n")
+    base = F.struct("start", "rank", "end")
     value = F.col("value")
     widespread = (F.col("named") >= EXAMPLE_OWNERS) & (F.col("repositories") >= EXAMPLE_REPOSITORIES)
     example = (F.col("owners") > 1) & (widespread | ~looks_random(value) | counts_up(value))
     verdict = F.when(example, F.lit(RANKS["example"])).when(looks_random(value), F.lit(RANKS["live"]))
-    added = F.when(verdict.isNotNull(), F.struct(F.col("value_start").alias("start"), F.col("end"), verdict.alias("rank")))
-    spans = joined.select("id", "text_key", F.explode(F.array_compact(F.array(base, added))).alias("s"))
-    gathered = spans.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("s")).alias("spans"))
-    empty = narrow.where(F.size("spans") == 0).select("id", "text_key", F.array().cast("array<struct<start:bigint,end:bigint,rank:int>>").alias("spans"))
-    return gathered.unionByName(empty.distinct())
+    added = F.when(verdict.isNotNull(), F.struct(F.col("value_start").alias("start"), verdict.alias("rank"), F.col("end")))
+    spans = joined.select("row", "id", "text_key", F.explode(F.array_compact(F.array(base, added))).alias("s"))
+    gathered = spans.groupBy("row", "id", "text_key").agg(F.array_sort(F.collect_set("s")).alias("spans")).drop("row")
+    empty = narrow.where(F.size("spans") == 0).select("id", "text_key", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>").alias("spans"))
+    return gathered.unionByName(empty)
 
 
 def listed(spans: Column) -> Column:
@@ -144,6 +147,7 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     found = classify(docs, id_column, text_column, **by)
     live = F.filter("spans", lambda s: s["rank"] == RANKS["live"])
     bad = found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), live.alias("_live")).where(F.size("_live") > 0)
+    bad = bad.dropDuplicates(["_id", "_key"])  # equal texts have equal spans
     docs = docs.withColumn("_text_key", F.xxhash64(text_of(text_column)))
     joined = docs.join(bad, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     text, n = F.col(text_column), F.size("_live")
