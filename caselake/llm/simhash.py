@@ -5,7 +5,8 @@ within ``radius`` have distances that differ by ``radius`` at most to every refe
 pair without looking at it. The references are the zero fingerprint, masks of two neighbouring bits, and pseudo-random
 ones. From the distances to zero and to a mask follows how many bits of the mask are set; ``radius`` differing bits
 change that for at most ``radius`` masks. The masks are dealt into groups, and with ``radius + 3`` groups any pair within
-``radius`` agrees on all masks of some three groups: these coordinates are the keys on which pairs meet.
+``radius`` agrees on all masks of some three groups: these coordinates are the keys on which pairs meet. Where more than two
+meet, ranges of the distances to the pseudo-random references, wide enough to overlap by ``radius``, part them further.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm.common import cut, small_batches, text_of
+from caselake.llm.common import cut, join_counted, small_batches, text_of
 
 SEED = 42
 RADIUS = 2
 GROUPS = 5
 MASK_BITS = 2
 RANDOM_REFERENCES = 16
+#: Width of a range of distances; references by which a level parts crowded keys; levels.
+WIDTH = 8
+REFERENCES_OF_LEVEL = 4
+LEVELS = 2
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -100,20 +105,42 @@ def _keyed(table: DataFrame, groups: int, radius: int) -> DataFrame:
     return chosen.select("fp", "choice", F.xxhash64(F.transform("of", lambda i: F.col("g")[i])).alias("key"))
 
 
-def links(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """Links (a, b), a < b, that connect distinct fingerprints exactly as all pairs at ``RADIUS`` or fewer bits do.
+def _parted(crowded: DataFrame, first: int, references_: int) -> DataFrame:
+    """(fp, key) rows -> rows with finer keys: the ranges of the distances to some of the pseudo-random references.
 
-    A key that two fingerprints have is a pair: it is discarded when any coordinate differs by more than the radius, else
-    verified. Fingerprints with keys that more have (a family of near copies) are not paired there. Each of them is put on the
-    65 fingerprints at most one bit away; two are within two bits exactly if they meet on one, where at most 65 can meet, and
-    a star of links on each meeting point connects them. So no bucket makes pairs, and none is cut.
+    Ranges are ``WIDTH`` wide. A fingerprint is put in the range of its distance and in that of its distance plus the radius;
+    of two within the radius, the further one's range is one of these two of the nearer one, so they still share a key.
     """
-    table = distance_table(fps)
-    keyed = _keyed(table, groups, RADIUS)
-    buckets = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    buckets = cut(buckets)
-
-    pairs = buckets.where("n = 2").select("a", "b").distinct()
+    out = crowded
+    _, others = references()
+    for r in others[first : first + references_]:
+        d = _distance(F.col("fp"), r)
+        cells = F.array_distinct(F.array(*(F.floor((d + x) / WIDTH).cast("int") for x in (0, RADIUS))))
+        out = out.select("fp", "key", F.explode(cells).alias("cell")).select("fp", F.xxhash64("key", "cell").alias("key"))
+    return out
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """(key, n, a, b) of the keys that more than one fingerprint has: how many, the smallest and the largest."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+
+
+def candidate_pairs(fps: DataFrame, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) that alone share a key, fingerprints that share a key with more than one other at every level)."""
+    keyed = _keyed(distance_table(fps), groups, RADIUS).select("fp", F.xxhash64("choice", "key").alias("key"))
+    pairs, buckets = None, cut(_met(keyed))
+    for level in range(LEVELS):
+        two = buckets.where("n = 2").select("a", "b")
+        pairs = two if pairs is None else pairs.unionByName(two)
+        crowded = keyed.join(buckets.where("n > 2").select("key"), "key").select("fp", "key")
+        keyed = cut(_parted(crowded, level * REFERENCES_OF_LEVEL, REFERENCES_OF_LEVEL))
+        buckets = cut(_met(keyed))
+    pairs = pairs.unionByName(buckets.where("n = 2").select("a", "b"))
+    return pairs.distinct(), keyed.join(buckets.where("n > 2").select("key"), "key").select("fp").distinct()
+
+
+def within_radius(pairs: DataFrame) -> DataFrame:
+    """Pairs whose largest coordinate difference in the table is within the radius; all others are no links."""
     for side in "ab":
         pairs = pairs.withColumnRenamed(side, "fp")
         pairs = distance_table(pairs).withColumnsRenamed({"fp": side, "d0": f"d0{side}", "dm": f"dm{side}", "dr": f"dr{side}"})
@@ -121,9 +148,20 @@ def links(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
         F.abs(F.col("d0a") - F.col("d0b")),
         *(F.array_max(F.zip_with(f"{d}a", f"{d}b", lambda x, y: F.abs(x - y))) for d in ("dm", "dr")),
     )
-    pairs = pairs.where(furthest <= RADIUS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
+    return pairs.where(furthest <= RADIUS).select("a", "b")
+
+
+def links(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """Links (a, b), a < b, that connect distinct fingerprints exactly as all pairs at ``RADIUS`` or fewer bits do.
 
-    dense = keyed.join(buckets.where("n > 2").select("choice", "key"), ["choice", "key"]).select("fp").distinct()
+    Two fingerprints that alone share a key are a pair: it is discarded when any coordinate differs by more than the radius,
+    else verified. Where more share a key, chance mates are parted by further references; what is crowded after all levels is
+    a family of near copies, and is not paired. Each of it is put on the 65 fingerprints at most one bit away; two are within
+    two bits exactly if they meet on one, where at most 65 can meet, and a star of links on each meeting point connects
+    them. So no bucket makes pairs, and none is cut.
+    """
+    pairs, dense = candidate_pairs(fps, groups)
+    pairs = within_radius(pairs).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
     near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in range(64)))
     meets = dense.select("fp", F.explode(near).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("fps"))
     stars = meets.where(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
@@ -161,32 +199,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     words have fingerprint zero and are linked like any other. A null id is a component's smallest only if all are null.
     Columns of ``docs`` named like the outputs are replaced. Repeated rows stay, each with the same values.
     """
-    return _found(docs, id_column, text_column).drop("_root")
+    docs = _with_keys(docs.drop("fp", "component_id"), id_column, text_column)
+    found = _found(docs, id_column, text_column).select(*KEYS, "fp", "component_id")
+    return docs.join(found, KEYS, "left").drop(*KEYS)
+
+
+#: Columns by which rows are found again: the id as text (null: its own flag), and a hash of the text.
+KEYS = ["_no_id", "_id_text", "_text_key"]
+
+
+def _with_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    of = (F.col(id_column).isNull(), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.xxhash64(text_of(text_column)))
+    return docs.withColumns(dict(zip(KEYS, of, strict=True)))
 
 
 def _found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``near_duplicates`` with the root fingerprint of the component as ``_root``."""
-    docs = docs.drop("fp", "component_id").withColumn("_text_key", F.xxhash64(text_of(text_column)))
-    narrow = add_fingerprint(docs, text_column).select(F.col(id_column).alias("_id"), F.col("_text_key").alias("_key"), "fp").distinct()
-    narrow = cut(narrow)
-    found = narrow.join(component_of(narrow.select("fp", F.col("_id").alias("id"))).withColumnRenamed("root", "_root"), "fp")
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    return docs.join(found, same, "left").drop("_id", "_key", "_text_key")
+    """(keys, id, fp, root, component_id) for each distinct id and text of rows with keys."""
+    narrow = cut(add_fingerprint(docs, text_column, "fp").select(*KEYS, F.col(id_column).alias("id"), "fp").distinct())
+    return join_counted(narrow, component_of(narrow.select("fp", "id")), "fp", "n")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each component: that of its smallest id (of repeated rows with that id, any one).
+    """One row of each component: that of its smallest id (of several texts with that id, the one of the lowest hash).
 
-    Components are told apart by their root, since several may have the same smallest id, or none.
+    Components are told apart by their root, since several may have the same smallest id, or none. Which rows stay is found
+    on keys; texts are moved once. All columns of ``docs`` stay; an empty table gives an empty one.
     """
-    found = _found(docs, id_column, text_column)
-    return found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).dropDuplicates(["_root"]).drop("fp", "component_id", "_root")
+    keyed = _with_keys(docs, id_column, text_column)
+    found = _found(keyed.select(id_column, text_column, *KEYS), id_column, text_column).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct(*KEYS)).alias("k")).select("k.*")
+    return keyed.join(kept, KEYS).dropDuplicates(KEYS).drop(*KEYS)
 
 
 def component_of(ids: DataFrame) -> DataFrame:
-    """(fp, id) rows -> (fp, root, component_id) for each distinct fingerprint; ``root`` is the component's smallest fingerprint."""
-    fps = cut(ids.groupBy("fp").agg(F.min("id").alias("id")))
+    """(fp, id) rows -> (fp, n, root, component_id) for each distinct fingerprint: its rows, and the smallest fingerprint and id
+    of its component."""
+    fps = cut(ids.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     roots = components(links(fps.select("fp")))
-    rooted = fps.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return cut(rooted.join(smallest, "root").select("fp", "root", "component_id"))
+    rooted = cut(fps.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = cut(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("_members")))
+    return cut(join_counted(rooted.select("fp", "n", "root"), smallest, "root", "_members").select("fp", "n", "root", "component_id"))

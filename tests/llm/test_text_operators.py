@@ -125,6 +125,27 @@ def test_links_of_clustered_fingerprints_lose_none(spark):
     assert [got[f] for f in fps] == brute_components(fps)
 
 
+def test_chance_mates_are_parted_and_discarded_by_the_table(spark):
+    """Crowded keys of fingerprints with few set bits: all but families are parted, and the table discards nearly all pairs."""
+    rng = random.Random(6)
+    fps = {sum(1 << b for b in rng.sample(range(64), 6)) for _ in range(3000)}
+    for f in rng.sample(sorted(fps), 100):
+        fps.add(f ^ sum(1 << b for b in rng.sample(range(64), 2)))
+    fps = sorted(fps)
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    pairs, dense = simhash.candidate_pairs(frame)
+    pairs = pairs.cache()
+    assert dense.count() < len(fps) and simhash.within_radius(pairs).count() < 0.2 * pairs.count()
+    got = {r["fp"] % 2**64: r["component_id"] for r in simhash.component_of(frame.withColumn("id", F.col("fp"))).collect()}
+    want = brute_components(fps)
+    members = {}
+    for f, c in zip(fps, want, strict=True):
+        members.setdefault(c, []).append(f)
+    for group in members.values():
+        assert len({got[f] for f in group}) == 1
+    assert len(set(got.values())) == len(members)
+
+
 def test_keep_one_and_empty_table(spark):
     docs = docs_of(spark, ["a b c d", "A b c d", "something else entirely here", None, ""])
     kept = simhash.keep_one(docs.union(docs))
