@@ -308,6 +308,36 @@ def test_exact_search(spark, n):
     assert got == want
 
 
+def test_search_with_ragged_and_repeated_rows(spark):
+    rng = np.random.default_rng(7)
+    vectors = [(i % 150, [float(x) for x in rng.normal(size=3 if i % 5 else 2)]) for i in range(300)]
+    rows = vectors + vectors[:40] + [(401, [2.0**40, 1.0, 0.0]), (402, [2.0**40, 3.0, 1.0]), (403, [1.0, 2.0**-10, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, k=4).collect())
+    distinct = {(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in rows}
+    want = []
+    for q, v in distinct:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in distinct if i != q and len(w) == len(v))[:4]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("big", [1, 1 << 40])
+def test_lists_are_read_in_part_only(big):
+    """Vectors with a few long ones: their bounds end the reading early; numbers beyond 53 bits stay exact."""
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-20, 20, (2000, 8)) * big
+    vectors[:15] *= 50
+    lists = topk.SortedLists(vectors.astype(object if big > 1 else float))
+    queries = rng.integers(-9, 9, (20, 8)) * big
+    for q, (rows, scores) in zip(queries, lists.search(queries.astype(object if big > 1 else float), 5), strict=True):
+        exact = [sum(int(a) * int(b) for a, b in zip(v, q)) for v in vectors]
+        assert [int(s) for s in scores] == [exact[r] for r in rows]
+        assert sorted(exact)[-5:] == sorted(int(s) for s in scores)[-5:]
+    assert lists.read < 0.7 * 20 * vectors.size
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------------------
 
 
