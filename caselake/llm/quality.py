@@ -1,8 +1,8 @@
 """Quality of texts by Naive Bayes support vectors: n-gram indicators scaled by class log-count ratios, then a linear
 hinge-loss model fitted by dual coordinate descent.
 
-The n-grams are over shapes of words (case, digits, marks at the ends) and over repetition, not over the words themselves,
-so they are few, carry over between languages and cost one pass over a text.
+The n-grams are of words (one and two in a row), of shapes of words (case, digits, marks at the ends; one to three) and of
+marks of repetition. All are hashed into one space.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm.common import Memo, cut, small_batches, text_of
+from caselake.llm.common import Memo, cut, lowest, small_batches, text_of
 
 #: N-grams are hashed into so many features, which bounds the counts that go to the driver and the model that is broadcast.
 FEATURES = 1 << 18
 SHAPES = 1 << 12
 #: Labelled rows, of lowest hash of their id, on which the hinge-loss model is fitted. The log-count ratios use all of them.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 ALPHA = 1.0
+#: Training rows that must have a feature before its ratio counts.
+LEAST_ROWS = 5
 COST = 1.0
 EPOCHS = 12
 SEED = 11
@@ -43,25 +45,31 @@ def shape(word: str) -> int:
     return zlib.crc32(f"{before[-2:]}{kind}{long}{after[:3]}".encode()) % SHAPES
 
 
-_SHAPES = Memo(shape)
+def numbers_of(word: str) -> int:
+    """The shape of a word in the lower bits, above it a hash of its letters in lower case."""
+    core = "".join(filter(str.isalnum, word)).lower() or word
+    return (zlib.crc32(core.encode()) << 12) | shape(word)
+
+
+_WORDS = Memo(numbers_of)
 
 
 def features(text: str) -> np.ndarray:
-    """Sorted distinct feature numbers of a whole text: n-grams of one to three shapes, and of two repetition marks.
+    """Sorted distinct feature numbers of a whole text: n-grams of one and two words, of one to three shapes, of repetition marks.
 
     A repetition mark tells whether a word equals the word before, or the one two before. An empty text has one feature.
     """
     words = text.split()
     if not words:
         return np.array([0], np.int32)
-    s = np.fromiter(map(_SHAPES.__getitem__, words), np.int64, len(words))
-    low = text.lower().split()
-    low = low if len(low) == len(words) else words
+    both = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+    s, w = both & (SHAPES - 1), both >> 12
     same = np.zeros(len(words), np.int64)
-    same[1:] = [a == b for a, b in zip(low, low[1:])]
-    same[2:] += np.array([2 * (a == b) for a, b in zip(low, low[2:])], np.int64)
-    grams = [s + 1]
+    same[1:] = w[1:] == w[:-1]
+    same[2:] += 2 * (w[2:] == w[:-2])
+    grams = [s + 1, w * 2_654_435_761 + 97]
     if len(s) > 1:
+        grams.append(w[1:] * 40_503 + w[:-1] * 2_246_822_519 + 193)
         two = s[1:] * 8191 + s[:-1] * 131 + 7_000_003
         grams.append(two)
         if len(s) > 2:
@@ -88,17 +96,19 @@ def add_features(docs: DataFrame, text_column: str = "text", output: str = "feat
     return docs.withColumn(output, numbers(text_of(text_column)))
 
 
-def log_count_ratios(training: DataFrame, alpha: float = ALPHA) -> np.ndarray:
+def log_count_ratios(training: DataFrame, alpha: float = ALPHA, least_rows: int = LEAST_ROWS) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) with p, q = alpha + rows of label 1, 0 that have the feature; over all rows of ``training``.
 
-    At most ``FEATURES`` counts for each label come to the driver.
+    0 for features of fewer rows than ``least_rows``. At most ``FEATURES`` counts for each label come to the driver.
     """
     counts = training.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
     p, q = np.full(FEATURES, alpha), np.full(FEATURES, alpha)
-    counts = counts.toPandas()
+    counts = counts.where(F.col("p") + F.col("q") >= least_rows).toPandas()
     p[counts["f"]] += counts["p"]
     q[counts["f"]] += counts["q"]
-    return np.log((p / p.sum()) / (q / q.sum()))
+    ratios = np.log((p / p.sum()) / (q / q.sum()))
+    ratios[(p == alpha) & (q == alpha)] = 0.0
+    return ratios
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
@@ -148,12 +158,14 @@ def scale_of(margins: np.ndarray, labels: np.ndarray) -> float:
 def score(featured: DataFrame, training: DataFrame, id_column: str = "doc_id", fit_rows: int = FIT_ROWS, output: str = "score") -> DataFrame:
     """Add ``output`` (0 to 1) to rows with ``features``, learned from ``training`` (id, label 0 or 1, features).
 
-    Ratios come from all training rows; the hinge-loss model from the ``fit_rows`` of lowest hash of the id, so it is the same
-    on every run. Rows of one label only, or none, make a model that knows nothing: all scores are 0.5.
+    Ratios come from all training rows; the hinge-loss model from those of the ``fit_rows`` ids with the lowest hash, so it is
+    the same on every run. Rows of one label only, or none, make a model that knows nothing: all scores are 0.5.
     """
     spark = featured.sparkSession
     ratios = log_count_ratios(training)
-    sample = training.select("label", "features").orderBy(F.xxhash64(id_column, F.lit(SEED)), id_column, "features").limit(fit_rows).toPandas()
+    chosen = lowest(training.select(F.col(id_column).alias("_id")).distinct(), fit_rows, SEED)  # ids first: features are large
+    sample = training.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(F.xxhash64("_id").alias("h"), "label", "features")
+    sample = sample.toPandas().sort_values(["h", "label"], kind="stable", ignore_index=True)
     labels = sample["label"].to_numpy(np.int64)
     rows = [np.asarray(x, np.int32) for x in sample["features"]]
     if len(set(labels.tolist())) < 2:
@@ -179,12 +191,13 @@ def score(featured: DataFrame, training: DataFrame, id_column: str = "doc_id", f
 def quality(docs: DataFrame, labels: DataFrame, held_out: Column, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for each row of ``docs``; labels are learned where ``held_out`` is false only.
 
-    Null text counts as empty. Rows whose label is null, or whose id has no label, teach nothing. An id with several labels
-    teaches each of them once. Features are computed once for each text and written to the checkpoint folder.
+    ``held_out`` is a condition on ``doc_id``; where it is null, as for a null id, a row is not held out. Null text counts as
+    empty. Rows whose label is null, or whose id has no label or is null, teach nothing. An id with several labels or texts
+    teaches each of them once. Repeated rows are scored each; an empty table gives an empty one; other columns are not read.
     """
+    out = F.coalesce(held_out, F.lit(False))
     narrow = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
-    featured = cut(add_features(narrow).select("doc_id", "features"))
-    known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1)").distinct()
-    training = cut(featured.join(known.where(~held_out), "doc_id"))
-    scored = score(featured, training)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1)").distinct().where(~out)
+    training = cut(add_features(narrow.join(known, "doc_id")).select("doc_id", "label", "features"))
+    scored = score(add_features(narrow), training)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
