@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm.common import Memo, small_batches, text_of
+from caselake.llm.common import Memo, cut, lowest, small_batches, text_of
 
 # The characters of the model (0: between words, 1: any other), and what a character may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëìíîïñòóôöùúûüœ"
@@ -86,10 +86,10 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Restores disguised words under one character model."""
+    """Restores disguised words under one character model; without a model, words are only lower-cased."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+    def __init__(self, model: np.ndarray | None):
+        self.model = None if model is None else model.tolist()
         self.memo = Memo(self._token)
 
     def _choices(self, token: str, spelt: bool) -> list[list[tuple[str, float]]]:
@@ -130,6 +130,8 @@ class Restorer:
 
     def _token(self, token: str) -> str:
         low = token.lower()
+        if self.model is None:
+            return low
         core = low.lstrip(BEFORE)
         middle = core.rstrip(AFTER)
         if middle.isalpha():
@@ -142,7 +144,7 @@ class Restorer:
 
     def words(self, text: str) -> list[str]:
         """Tokens of a text, letters spelt out with marks between them put together."""
-        if SPELT.search(text):
+        if self.model is not None and SPELT.search(text):
             text = SPELT.sub(lambda m: self.decode(m[0].lower(), spelt=True), text)
         return text.split()
 
@@ -186,49 +188,20 @@ def family(words) -> int:
     return min((zlib.crc32(w.encode()) for w in words), default=0)
 
 
-class Sample:
-    """Labelled texts as arrays of word numbers; the words are kept once, so the driver holds little more than a vocabulary."""
+def features_of(words: Column) -> Column:
+    """Array of words -> their features: ``=word``, and ``^`` with the first letters of longer words."""
+    first = [F.transform(F.filter(words, lambda w, p=p: F.length(w) > p), lambda w, p=p: F.concat(F.lit("^"), F.substring(w, 1, p))) for p in PREFIXES]
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), *first))
 
-    def __init__(self, texts, labels: np.ndarray, restorer: Restorer):
-        cores = Memo(lambda token: core_of(restorer._token(token)), 100_000)
-        number: dict[str, int] = {}
-        self.labels, self.docs, families = labels, [], []
-        for t in texts:
-            words = set(map(cores.__getitem__, set(restorer.words(t))))
-            families.append(family(words))
-            self.docs.append(np.sort(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))))
-        self.families = np.array(families, np.int64)
-        self.words = list(number)
-        self.names = ["=" + w for w in self.words]
-        self.of_word = [np.arange(len(self.words))]
-        for p in PREFIXES:
-            first: dict[str, int] = {}
-            self.of_word.append(np.array([first.setdefault(w[:p], len(self.names) + len(first)) if len(w) > p else -1 for w in self.words], np.int64))
-            self.names += ["^" + x for x in first]
-
-    def log_odds(self, rows: np.ndarray) -> np.ndarray:
-        """For each feature, the log of its rate in families of toxic texts among ``rows`` over that in the others.
-
-        Counts are taken at a standard deviation on the careful side, so that a word of a few texts proves little. 0 for
-        features that fewer than ``LEAST_FAMILIES`` toxic families have, or whose odds are against.
-        """
-        counts, sizes = np.zeros((2, len(self.names))), [0, 0]
-        for label in (0, 1):
-            members: dict[int, list[int]] = {}
-            for i in rows[self.labels[rows] == label].tolist():
-                members.setdefault(int(self.families[i]), []).append(i)
-            sizes[label] = len(members)
-            for group in members.values():
-                words = np.unique(np.concatenate([self.docs[i] for i in group]))
-                features = np.unique(np.concatenate([f[words] for f in self.of_word]))
-                counts[label][features[features >= 0]] += 1
-        m, n = counts
-        x = np.log(np.maximum(n - np.sqrt(n), 1e-9) / (sizes[1] + 1)) - np.log((m + np.sqrt(m) + 0.5) / (sizes[0] + 1))
-        return np.where(n >= LEAST_FAMILIES, np.maximum(x, 0.0), 0.0)
-
-    def evidence(self, odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        best = np.max([np.where(f >= 0, odds[f], 0.0) for f in self.of_word], axis=0) if self.words else np.zeros(0)
-        return np.array([strength(best[self.docs[i]].tolist()) for i in rows.tolist()]).reshape(-1, 2)
+
+def log_odds(n: np.ndarray, m: np.ndarray, toxic: int, others: int) -> np.ndarray:
+    """For each feature, the log of its rate in families of toxic texts (n of ``toxic``) over that in the others (m).
+
+    Counts are taken at a standard deviation on the careful side, so that a word of a few texts proves little. 0 for features
+    that fewer than ``LEAST_FAMILIES`` toxic families have, or whose odds are against.
+    """
+    x = np.log(np.maximum(n - np.sqrt(n), 1e-9) / (toxic + 1)) - np.log((m + np.sqrt(m) + 0.5) / (others + 1))
+    return np.where(n >= LEAST_FAMILIES, np.maximum(x, 0.0), 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -241,42 +214,71 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(sample: pd.DataFrame, restorer: Restorer) -> tuple[Odds, np.ndarray]:
-    """Log-odds of features and weights of the evidence, from (text, label) rows.
+def read_words(sample: DataFrame, model, text_column: str = "text") -> DataFrame:
+    """Add ``words`` (distinct restored words of each whole text) and ``family``; the texts themselves go no further."""
+
+    @F.pandas_udf("words array<string>, family long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        restorer = Restorer(model.value)
+        cores = Memo(lambda token: core_of(restorer._token(token)), 100_000)
+        found = [sorted(set(map(cores.__getitem__, set(restorer.words(t))))) for t in texts]
+        return pd.DataFrame({"words": found, "family": [family(w) for w in found]})
+
+    return sample.withColumn("_read", of(text_column)).select("*", "_read.*").drop("_read", text_column)
+
+
+def fit(sample: DataFrame) -> tuple[Odds, np.ndarray]:
+    """Log-odds of features and weights of the evidence, from (label, words, family) rows.
 
     The weights are fitted on evidence by log-odds that have not seen the text: each half of the families (by hash) is judged
-    by the other half. The log-odds kept are those of all.
+    by the other half. The log-odds kept are those of all. Spark counts the families; to the driver come the counts of features
+    that ``LEAST_FAMILIES`` toxic families have, and two numbers for each row.
     """
-    labels = sample["label"].to_numpy(np.int64)
-    texts = Sample(sample["text"], labels, restorer)
-    half, evidence, weights = texts.families % 2, np.zeros((len(labels), 2)), DEFAULT_WEIGHTS
-    if all(len(set(labels[half == h].tolist())) == 2 for h in (0, 1)):
-        for h in (0, 1):
-            learn, judge = np.flatnonzero(half != h), np.flatnonzero(half == h)
-            evidence[judge] = texts.evidence(texts.log_odds(learn), judge)
-        weights = logistic(evidence, labels)
-    odds = texts.log_odds(np.arange(len(labels)))
-    return Odds((texts.names[i], float(odds[i])) for i in np.flatnonzero(odds).tolist()), weights
+    sample = cut(sample.withColumn("half", F.pmod("family", F.lit(2)).cast("int")))
+    of = lambda label, half: (F.col("label") == label) & (F.col("half") == half)
+    cells = [(label, half) for label in (0, 1) for half in (0, 1)]
+    families = sample.select("label", "half", "family").distinct().agg(*(F.count_if(of(*c)) for c in cells)).first()
+    size = dict(zip(cells, families, strict=True))
+    each = sample.select("label", "half", "family", F.explode(features_of(F.col("words"))).alias("feature")).distinct()
+    counts = each.groupBy("feature").agg(*(F.count_if(of(*c)).alias(f"n{c[0]}{c[1]}") for c in cells))
+    counts = counts.where(F.col("n10") + F.col("n11") >= LEAST_FAMILIES).toPandas()
+    names = counts["feature"].tolist()
+    n = {c: counts[f"n{c[0]}{c[1]}"].to_numpy(np.float64) for c in cells}
+    odds = lambda halves: log_odds(sum(n[1, h] for h in halves), sum(n[0, h] for h in halves), sum(size[1, h] for h in halves), sum(size[0, h] for h in halves))
+    weights = DEFAULT_WEIGHTS
+    if all(size.values()):
+        other = sample.sparkSession.sparkContext.broadcast([Odds((names[i], float(x[i])) for i in np.flatnonzero(x).tolist()) for x in (odds([1]), odds([0]))])
+
+        @F.pandas_udf("array<double>")
+        def evidence(words: pd.Series, half: pd.Series) -> pd.Series:
+            judges = [Memo(o.of_word) for o in other.value]
+            return pd.Series([list(strength(map(judges[h].__getitem__, w))) for w, h in zip(words, half, strict=True)])
+
+        judged = sample.select("label", evidence("words", "half").alias("e")).select("label", F.col("e")[0].alias("e0"), F.col("e")[1].alias("e1")).toPandas().sort_values(["label", "e0", "e1"])
+        weights = logistic(judged[["e0", "e1"]].to_numpy(), judged["label"].to_numpy(np.float64))
+    kept = odds([0, 1])
+    return Odds((names[i], float(kept[i])) for i in np.flatnonzero(kept).tolist()), weights
 
 
 _HELD: dict[str, Evidence] = {}
 
 
-def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_column: str = "text", output: str = "score", fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_column: str = "text", output: str = "score", fit_rows: int = FIT_ROWS, channel: bool = True) -> DataFrame:
     """Add ``output`` (0 to 1, higher: toxic likelier) to every row; null and empty texts are scored as texts without words.
 
     ``training`` has id and label (0, 1); its ``fit_rows`` rows of each label with the lowest hash of the id are looked up in
-    ``docs`` and fitted on the driver, copies once. The character model is of all rows. Without labels of both kinds every
-    score comes from a fixed default. Other columns and repeated rows stay.
+    ``docs`` and learned from, copies once. The character model is of all rows. Without labels of both kinds every score comes
+    from a fixed default. Other columns and repeated rows stay; an empty table gives an empty one. ``channel`` false reads the
+    words as they are written, to measure what restoring them is worth.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    model = language_model(character_counts(docs, text_column))
-    lowest = lambda label: training.where(F.col("label") == label).select(F.col(id_column).alias("_id"), "label").distinct().orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(fit_rows)
-    chosen = lowest(0).unionByName(lowest(1))
+    model = language_model(character_counts(docs, text_column)) if channel else None
+    known = training.select(F.col(id_column).alias("_id"), "label").where("_id is not null").distinct()
+    chosen = lowest(known.where("label = 0"), fit_rows, SEED).unionByName(lowest(known.where("label = 1"), fit_rows, SEED))
     rows = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("text")).join(F.broadcast(chosen), "_id")  # at most 2 fit_rows ids
-    sample = rows.select("text", "label").distinct().toPandas().sort_values(["label", "text"], ignore_index=True)
-    odds, weights = fit(sample, Restorer(model))
+    sample = rows.select("text", "label").dropDuplicates()
+    odds, weights = fit(read_words(sample, spark.sparkContext.broadcast(model)))
     shared, name = spark.sparkContext.broadcast((model, odds, weights)), uuid.uuid4().hex
 
     @F.arrow_udf("double")
@@ -292,11 +294,14 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_
     return docs.withColumn(output, scores(text_of(text_column)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", channel: bool = True) -> DataFrame:
     """Add ``held_out``, ``score`` and ``predicted`` to every row; labels are learned where ``held_out`` is false only.
 
-    ``held_out`` is a condition on ``doc_id``. Columns of ``docs`` with these names are replaced.
+    ``held_out`` is a condition on ``doc_id``; where it is null, as for a null id, a row is not held out. Columns of ``docs``
+    with these names are replaced, all others stay, as do repeated rows. Null and empty texts count as texts without words.
+    Null ids and labels teach nothing. An empty table gives an empty one.
     """
+    held_out = F.coalesce(held_out, F.lit(False))
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1)").where(~held_out)
-    scored = score(docs, known.withColumnRenamed("doc_id", id_column) if id_column != "doc_id" else known, id_column, text_column)
+    scored = score(docs, known.withColumnRenamed("doc_id", id_column) if id_column != "doc_id" else known, id_column, text_column, channel=channel)
     return scored.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
