@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Bound what a Python worker holds: batches by bytes, because texts run from one word to megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 

@@ -147,9 +147,8 @@ UNITS = 3
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``flat[start[i] : start[i] + length[i]]`` for each i of ``pick``, put together, and their lengths."""
     lengths = length[pick]
-    ends = np.cumsum(lengths)
-    at = np.repeat(start[pick] - ends + lengths, lengths)
-    at += np.arange(len(at))
+    at = np.repeat(start[pick] - np.cumsum(lengths, dtype=np.int32) + lengths, lengths)
+    at += np.arange(len(at), dtype=np.int32)
     return flat[at], lengths
 
 
@@ -164,13 +163,12 @@ class WordEncoder:
     as the library does before anything else.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, self.ascii, self.plain = (Tokenizer.from_file(path) for _ in range(3))
-        for t in (self.tokenizer, self.ascii, self.plain):
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.plain):
             t.encode_special_tokens = True  # texts are cut at them beforehand
             t.model._resize_cache(0)  # each unit is asked for once
-        self.ascii.normalizer, self.ascii.pre_tokenizer = None, CharDelimiterSplit(" ")
         self.plain.normalizer, self.plain.pre_tokenizer = None, Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -182,7 +180,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {"": 0}
-        self.flat, self.start, self.length = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.start, self.length = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _add(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -198,20 +196,13 @@ class WordEncoder:
         self.number.update(zip(units, range(n, n + k)))
 
     def _learn(self, units: list[str]) -> None:
-        letters: tuple[list[str], list[str]] = [], []
-        whole: list[str] = []
+        simple, whole = [], []
         for u in units:
-            if not u.isalpha():
-                whole.append(u)
-            elif u.isascii():
-                letters[0].append(u)
-            else:
-                (letters[1] if u.islower() and is_normalized("NFC", u) else whole).append(u)
-        for tokenizer, simple in zip((self.ascii, self.plain), letters, strict=True):
-            for i in range(0, len(simple), 100):
-                part = simple[i : i + 100]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                self._add(part, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+            (simple if u.isalpha() and (u.isascii() or u.islower() and is_normalized("NFC", u)) else whole).append(u)
+        for i in range(0, len(simple), 100):
+            part = simple[i : i + 100]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            self._add(part, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
         if whole:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
             self._add(whole, np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
@@ -226,7 +217,7 @@ class WordEncoder:
             self._learn(new)
             learned = map(self.number.__getitem__, new)
             found = [next(learned) if n is None else n for n in found]
-        return np.array(found, np.int64)[coded.indices.to_numpy()]
+        return np.array(found, np.int32)[coded.indices.to_numpy()]
 
     def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, put together, and the number of each."""
@@ -244,7 +235,7 @@ class WordEncoder:
         units = pa.Array.from_buffers(pa.string(), UNITS * len(words), [None, pa.py_buffer(edges.astype(np.int32)), words.buffers()[2]])
         numbers = self._numbers(units)
         ids, lengths = _gather(self.flat, self.start, self.length, numbers)
-        return ids, lengths.reshape(-1, UNITS).sum(1)
+        return ids, lengths.reshape(-1, UNITS).sum(1, dtype=np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, put together, and the number of each text."""
@@ -256,7 +247,7 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.flatten().dictionary_encode()
         ids, lengths = self._of_words(coded.dictionary)
-        out, each = _gather(ids, np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
+        out, each = _gather(ids, np.cumsum(lengths, dtype=np.int32) - lengths, lengths, coded.indices.to_numpy())
         upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
         return out, np.diff(upto)
 
@@ -292,7 +283,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, id_column: s
     without packs; other columns of ``docs`` are not read, whatever their names. The folder is the caller's to delete.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2 << 20)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
 
