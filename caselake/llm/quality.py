@@ -20,8 +20,10 @@ from caselake.llm.common import Memo, cut, lowest, small_batches, text_of
 #: N-grams are hashed into so many features, which bounds the counts that go to the driver and the model that is broadcast.
 FEATURES = 1 << 18
 SHAPES = 1 << 12
-#: Labelled rows, of lowest hash of their id, on which the hinge-loss model is fitted. The log-count ratios use all of them.
-FIT_ROWS = 8_000
+#: Labelled ids, of lowest hash, from which the log-count ratios are counted, and of these the ones on which the hinge-loss
+#: model is fitted. The bound lets the ids be broadcast, so that texts are not shuffled to meet their labels.
+RATIO_ROWS = 40_000
+FIT_ROWS = 4_000
 ALPHA = 1.0
 #: Training rows that must have a feature before its ratio counts.
 LEAST_ROWS = 5
@@ -98,7 +100,6 @@ def add_features(docs: DataFrame, text_column: str = "text", output: str = "feat
 
 def log_count_ratios(training: DataFrame, alpha: float = ALPHA, least_rows: int = LEAST_ROWS) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) with p, q = alpha + rows of label 1, 0 that have the feature; over all rows of ``training``.
-
     0 for features of fewer rows than ``least_rows``. At most ``FEATURES`` counts for each label come to the driver.
     """
     counts = training.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
@@ -124,7 +125,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios:
     vectors = []
     for r in rows:
         x = ratios[r]
-        vectors.append((np.append(r, len(ratios)), np.append(x / (np.linalg.norm(x) or 1.0), 1.0)))
+        vectors.append((np.append(r, np.int32(len(ratios))), np.append(x / (np.linalg.norm(x) or 1.0), 1.0).astype(np.float32)))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
@@ -188,16 +189,18 @@ def score(featured: DataFrame, training: DataFrame, id_column: str = "doc_id", f
     return featured.withColumn(output, scores(F.col("features")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, held_out: Column, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, held_out: Column, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", ratio_rows: int = RATIO_ROWS) -> DataFrame:
     """(id, held_out, score, predicted) for each row of ``docs``; labels are learned where ``held_out`` is false only.
 
     ``held_out`` is a condition on ``doc_id``; where it is null, as for a null id, a row is not held out. Null text counts as
     empty. Rows whose label is null, or whose id has no label or is null, teach nothing. An id with several labels or texts
-    teaches each of them once. Repeated rows are scored each; an empty table gives an empty one; other columns are not read.
+    teaches each of them once. ``ratio_rows`` ids are learned from. Repeated rows are scored each; an empty table gives an empty one; other columns are not read.
     """
     out = F.coalesce(held_out, F.lit(False))
     narrow = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1)").distinct().where(~out)
-    training = cut(add_features(narrow.join(known, "doc_id")).select("doc_id", "label", "features"))
+    ids = lowest(known.select("doc_id").where("doc_id is not null").distinct(), ratio_rows, SEED, "doc_id")
+    chosen = known.join(F.broadcast(ids), "doc_id")  # at most ratio_rows ids, with at most both labels each
+    training = cut(add_features(narrow.join(F.broadcast(chosen), "doc_id")).select("doc_id", "label", "features"))
     scored = score(add_features(narrow), training)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
