@@ -37,6 +37,22 @@ def test_linear(model: PipelineModel, df: DataFrame, label: str, columns: list[s
     )
 
 
+def test_and_update(df: DataFrame, batch: str, label: str, columns: list[str], keys: list[str], kept: int | None = None) -> DataFrame:
+    """Results of every batch after the first by a classifier that is updated with each batch once it has been tested.
+
+    An update fits on the last ``kept`` batches: 1 is the batch alone, more are retained data, None is all so far. The loop is
+    over the batches, which are calendar units; each fit and test is a Spark job over their rows.
+    """
+    batches = [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()]
+    out = None
+    for i in range(1, len(batches)):
+        learned = batches[max(0, i - kept) : i] if kept else batches[:i]
+        model = train_linear(df.where(F.col(batch).between(learned[0], learned[-1])), label, columns)
+        part = test_linear(model, df.where(F.col(batch) == batches[i]), label, columns, keys)
+        out = part if out is None else out.unionByName(part)
+    return df.select(*keys, *(F.lit("").alias(c) for c in ("expected", "predicted")), *(F.lit(0.0).alias(c) for c in ("p_predicted", "p_expected"))).limit(0) if out is None else out
+
+
 def co_occurrence_embedding(pairs: DataFrame, a: str, b: str, seed: int = 42) -> DataFrame:
     """(kind, value, embedding): vectors of two columns whose products approach how often values meet; dimension is the
     fourth root of (values of a times values of b), rounded up."""

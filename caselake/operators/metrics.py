@@ -156,3 +156,21 @@ def timing(results: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def missing_experiments(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.select(*keys).join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def report_by_axis(flags: DataFrame, axes: dict[str, list[str]], attribute: str = "attribute") -> DataFrame:
+    """(axis, attribute, label, precision, recall, f1) of 0/1 ``truth`` and ``predicted`` for normal (0) and anomalous (1).
+
+    An axis is a list of columns: flags are collapsed to one for each of their values, set if any of them is. ``attribute`` is
+    ``any`` on axes without that column. A label that nothing has or predicts scores 0.
+    """
+    out = None
+    for axis, by in axes.items():
+        one = flags.groupBy(*by).agg(F.max("truth").alias("t"), F.max("predicted").alias("p"))
+        name = F.col(attribute) if attribute in by else F.lit("any")
+        each = one.select(name.alias("attribute"), "t", "p", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+        hit, said, is_ = F.count_if((F.col("t") == F.col("label")) & (F.col("p") == F.col("label"))), F.count_if(F.col("p") == F.col("label")), F.count_if(F.col("t") == F.col("label"))
+        share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+        part = each.groupBy("attribute", "label").agg(share(hit, said).alias("precision"), share(hit, is_).alias("recall"), share(2 * hit, said + is_).alias("f1")).select(F.lit(axis).alias("axis"), "attribute", "label", "precision", "recall", "f1")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -12,7 +12,7 @@ from caselake.functions.columns import edit_similarity, osa_distance, timed_edit
 from caselake.operators.context import END
 from caselake.operators.model import key_of
 from caselake.plans.log import EventLog, as_category
-from caselake.plans.order import checkpointed
+from caselake.plans.order import checkpointed, with_index
 
 UNKNOWN = "0"
 
@@ -133,27 +133,33 @@ def step_table(train: DataFrame, activity: str, k: int) -> DataFrame:
 def predict_suffixes(log: EventLog, train: DataFrame, k: int = 2, longest: int = 100, end: str = END) -> DataFrame:
     """(case, prefix_size, suffix, predicted): for each event what follows and what is predicted to.
 
-    A roll forward depends on the last k activities only, so each different context is rolled once: all contexts take a step a
-    round by a join with the table of steps, until each has met the end, an unknown context or ``longest`` steps.
+    A roll forward depends on the last k activities only, so each different context is rolled once. The table of single steps is
+    put together with itself, so that a join doubles the steps it makes, and ``longest`` steps take as many rounds as that
+    number has binary digits. A roll ends with the end event, with an unknown context, or after ``longest`` steps.
     """
     s, w = log.spec, log.window()
     a = as_category(s.activity)
-    steps = checkpointed(step_table(train, s.activity, k))
+    steps = step_table(train, s.activity, k)
     state = F.array(*(F.coalesce(F.lag(a, i).over(w), F.lit("0")) for i in range(k)))
     rows = checkpointed(log.df.select(s.case, F.row_number().over(w).cast("long").alias("prefix_size"), state.alias("ctx"), F.collect_list(a).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("suffix")))
-    live = rows.select("ctx").distinct().select(F.col("ctx").alias("start"), "ctx", F.array().cast("array<string>").alias("path"))
-    done = None
-    for i in range(longest):
-        moved = live.join(steps, "ctx", "left").withColumn("path", F.when(F.col("predicted").isNull(), F.col("path")).otherwise(F.concat("path", F.array("predicted"))))
-        over = F.col("predicted").isNull() | (F.col("predicted") == end) if i < longest - 1 else F.lit(True)
-        moved = moved.withColumn("over", over).withColumn("ctx", F.slice(F.concat(F.array(F.coalesce("predicted", F.lit(""))), F.col("ctx")), 1, k))
-        moved = checkpointed(moved)
-        ended = moved.where("over").select("start", "path")
-        done = ended if done is None else done.unionByName(ended)
-        live = moved.where("NOT over").select("start", "ctx", "path")
-        if not live.limit(1).count():
-            break
-    return rows.join(done.withColumnRenamed("start", "ctx"), "ctx").select(s.case, "prefix_size", "suffix", F.col("path").alias("predicted"))
+    moved = F.slice(F.concat(F.array("predicted"), F.col("ctx")), 1, k)
+    power = checkpointed(steps.select("ctx", moved.alias("to"), F.array("predicted").alias("path"), (F.col("predicted") == end).alias("over")))
+    rolled = rows.select("ctx").distinct().select("ctx", F.col("ctx").alias("to"), F.array().cast("array<string>").alias("path"), F.lit(False).alias("over"))
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        next_ = second.select(F.col("ctx").alias("to"), F.col("to").alias("to2"), F.col("path").alias("path2"), F.col("over").alias("over2"))
+        going = ~F.col("over") & F.col("to2").isNotNull()
+        both = first.join(next_, "to", "left")
+        return checkpointed(both.select("ctx", F.when(going, F.col("to2")).otherwise(F.col("to")).alias("to"), F.when(going, F.concat("path", "path2")).otherwise(F.col("path")).alias("path"), (F.col("over") | F.col("to2").isNull() | F.col("over2")).alias("over")))
+
+    left = longest
+    while left:
+        if left & 1:
+            rolled = then(rolled, power)
+        left >>= 1
+        if left:
+            power = then(power, power)
+    return rows.join(rolled.select("ctx", "path"), "ctx").select(s.case, "prefix_size", "suffix", F.col("path").alias("predicted"))
 
 
 def suffix_similarity(pairs: DataFrame, a: str = "suffix", b: str = "predicted") -> DataFrame:
@@ -162,39 +168,65 @@ def suffix_similarity(pairs: DataFrame, a: str = "suffix", b: str = "predicted")
     return pairs.join(distinct, [a, b])
 
 
+#: First code point of the letters that stand for activities, and how many there may be.
+FIRST_LETTER, MOST_LETTERS = 0x4E00, 20_000
+
+
+def letters_of(df: DataFrame, column: str) -> DataFrame:
+    """(value, letter) for each distinct item of an array column: one character of its own for each."""
+    items = with_index(df.select(F.explode(column).alias("value")).where("value IS NOT NULL").distinct(), "value", name="i")
+    return items.select("value", F.decode(F.unhex(F.lpad(F.hex(F.col("i") + FIRST_LETTER), 4, "0")), "UTF-16BE").alias("letter"))
+
+
 def text_similarity(pairs: DataFrame, a: str = "suffix", b: str = "predicted", letters: DataFrame | None = None) -> DataFrame:
-    """Add ``levenshtein`` (1 - distance / longer length, each activity as one letter) and ``jaccard`` of the sets."""
-    letter = lambda c: F.array_join(F.transform(c, lambda x: F.substring(x, 1, 1)), "")
+    """Add ``levenshtein`` (1 - distance / longer length, each activity as one letter) and ``jaccard`` of the sets.
+
+    ``letters`` has a character for each activity (see ``letters_of``; by default of both columns). It is one broadcast row, of
+    ``MOST_LETTERS`` entries at most: more activities are an error, as there is no letter for each.
+    """
+    letters = letters_of(pairs.select(F.concat(a, b).alias("_both")), "_both") if letters is None else letters
+    letters = checkpointed(letters)
+    if letters.count() > MOST_LETTERS:
+        raise ValueError(f"more than {MOST_LETTERS} activities")
+    row = letters.agg(F.map_from_entries(F.collect_list(F.struct("value", "letter"))).alias("_letters"))
+    letter = lambda c: F.array_join(F.transform(c, lambda x: F.col("_letters")[x]), "")
     longest = F.greatest(F.size(a), F.size(b))
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return pairs.withColumn("levenshtein", F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(letter(a), letter(b)) / longest)).withColumn("jaccard", F.when(either == 0, 1.0).otherwise(both / either))
+    pairs = pairs.join(F.broadcast(row))
+    return pairs.withColumn("levenshtein", F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(letter(a), letter(b)) / longest)).withColumn("jaccard", F.when(either == 0, 1.0).otherwise(both / either)).drop("_letters")
 
 
 def timed_similarity(pairs: DataFrame, a: str, b: str, ta: str, tb: str) -> DataFrame:
     return pairs.withColumn("similarity", timed_edit_similarity(a, b, ta, tb))
 
 
-def similarity_of_logs(a: DataFrame, b: DataFrame, column: str = "activity", blocks: int = 8) -> DataFrame:
+def similarity_of_logs(a: DataFrame, b: DataFrame, column: str = "activity", block: int = 1000) -> DataFrame:
     """(variant, cases, nearest, similarity): the most similar variant of b for each variant of a, with replacement.
 
-    Variants are few next to cases. They meet in blocks: each variant of a goes to every block of b's variants once, and a
-    block is compared inside one task.
+    Variants are few next to cases. Both sides are dealt into blocks of about ``block`` variants; each block of a meets each of b
+    in a task of its own. A pair is compared only if the difference of their lengths alone leaves it a chance.
     """
-    va = a.groupBy(F.col(column).alias("variant")).agg(F.count("*").alias("cases"))
-    vb = b.select(F.col(column).alias("other")).distinct().withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks)))
-    asked = va.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    va = checkpointed(a.groupBy(F.col(column).alias("variant")).agg(F.count("*").alias("cases")))
+    vb = checkpointed(b.select(F.col(column).alias("other")).distinct())
+    na, nb = (max(1, -(-x.count() // block)) for x in (va, vb))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    vb = vb.withColumn("block", deal("other", nb)).withColumn("of", every(na))
+    asked = va.withColumn("of", deal("variant", na)).withColumn("block", every(nb))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         others = sorted(map(list, right["other"]))
         for v, n in zip(left["variant"], left["cases"], strict=True):
             v = list(v)
-            found = [(-(1 - osa_distance(v, o) / max(len(v), len(o), 1)), o) for o in others]
-            if found:
-                q, o = min(found)
-                rows.append((v, n, o, -q))
+            best = (2.0, [])
+            for o in sorted(others, key=lambda o: abs(len(o) - len(v))):
+                if -(1 - abs(len(o) - len(v)) / max(len(v), len(o), 1)) <= best[0]:
+                    best = min(best, (-(1 - osa_distance(v, o) / max(len(v), len(o), 1)), o))
+            if others:
+                rows.append((v, n, best[1], -best[0]))
         return pd.DataFrame(rows, columns=["variant", "cases", "nearest", "similarity"])
 
-    found = asked.groupBy("block").cogroup(vb.groupBy("block")).applyInPandas(nearest, "variant array<string>, cases long, nearest array<string>, similarity double")
+    found = asked.groupBy("block", "of").cogroup(vb.groupBy("block", "of")).applyInPandas(nearest, "variant array<string>, cases long, nearest array<string>, similarity double")
     best = found.groupBy("variant").agg(F.first("cases").alias("cases"), F.min(F.struct((-F.col("similarity")).alias("q"), "nearest")).alias("b"))
     return best.select("variant", "cases", F.col("b.nearest").alias("nearest"), (-F.col("b.q")).alias("similarity"))

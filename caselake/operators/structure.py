@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +60,10 @@ def creates_cycle(parents: dict[str, set[str]], a: str, b: str) -> bool:
     return False
 
 
-def learn(df: DataFrame, allowed: list[tuple[str, str]], start: list[tuple[str, str]] = (), fixed: list[tuple[str, str]] = (), most: int = 100) -> list[tuple[str, str]]:
+def learn(df: DataFrame, allowed: list[tuple[str, str]], start: list[tuple[str, str]] = (), fixed: list[tuple[str, str]] = (), most: int | None = None) -> list[tuple[str, str]]:
     """Greedy search: in each round the addition or removal with the largest gain, until none is above 1e-10.
 
-    ``fixed`` edges always stay. Scores are memoized by family, so after the first round only the changed node's are counted.
+    ``fixed`` edges always stay; ``most`` limits the rounds, if given. Each round raises the score, so the search ends. Scores are memoized by family, so after the first round only the changed node's are counted.
     The driver holds one number for each candidate.
     """
     df = checkpointed(df.select(*sorted({c for e in (*allowed, *start, *fixed) for c in e})))
@@ -73,7 +73,7 @@ def learn(df: DataFrame, allowed: list[tuple[str, str]], start: list[tuple[str,
     def of(node: str) -> tuple[str, ...]:
         return tuple(sorted(a for a, b in edges if b == node))
 
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         parents = {b: {a for a, c in edges if c == b} for _, b in (*allowed, *edges)}
         moves = [(a, b) for a, b in allowed if (a, b) in edges and (a, b) not in fixed or (a, b) not in edges and not creates_cycle(parents, a, b)]
         families = {(b, of(b)) for _, b in moves} | {(b, tuple(sorted({*of(b)} ^ {a}))) for a, b in moves}

@@ -233,10 +233,10 @@ PATHS = (
 )
 
 
-@query(PATHS + " SELECT a, position, round(ln(min(running)), 6) + 0.0 AS log_likelihood FROM (SELECT *, product(step) OVER (PARTITION BY case_id ORDER BY position) AS running FROM p) WHERE running > 0 AND position <= 20 GROUP BY a, position", "ev")
+@query(PATHS + " SELECT a, position, round(ln(min(running)), 6) + 0.0 AS log_likelihood FROM (SELECT *, product(step) OVER (PARTITION BY case_id ORDER BY position) AS running FROM p) WHERE running > 0 GROUP BY a, position", "ev")
 def s081_least_likelihood(spark, d):
     log = events(spark, d)
-    out = gr.least_likelihood(gr.path_likelihoods(log, gr.edges(log)), 20)
+    out = gr.least_likelihood(gr.path_likelihoods(log, gr.edges(log)))
     return out.select("a", "position", r6(F.ln("likelihood")).alias("log_likelihood"))
 
 

@@ -138,11 +138,32 @@ def s135_rank_methods(spark, d):
 
 @query("SELECT activity, round(avg(price) FILTER (WHERE status = 'F'), 4) + 0.0 AS \"F\", round(avg(price) FILTER (WHERE status = 'O'), 4) + 0.0 AS \"O\", round(avg(price) FILTER (WHERE status = 'P'), 4) + 0.0 AS \"P\" FROM od GROUP BY activity", "od")
 def s183_result_table(spark, d):
-    """Means by row and column (182, 183)."""
+    """Means by row and column (183)."""
     out = me.result_table(ordering(spark, d).df, ["activity"], "status", ["F", "O", "P"], "price")
     return out.select("activity", *((F.round(c, 4) + 0.0).alias(c) for c in "FOP"))
 
 
+FLAGS = """WITH f AS (SELECT case_id, tie, 'activity' AS attribute, CAST(activity = 'purchase' AS INTEGER) AS truth, CAST(tie % 7 = 0 OR activity = 'purchase' AND tie % 3 > 0 AS INTEGER) AS predicted FROM ev
+    UNION ALL SELECT case_id, tie, 'value', CAST(value > 150 AS INTEGER), CAST(value > 120 AND tie % 5 > 0 AS INTEGER) FROM ev),"""
+AXES = " UNION ALL ".join(f"SELECT '{axis}' AS axis, attribute, max(truth) AS t, max(predicted) AS p FROM f GROUP BY attribute, {by}" for axis, by in (("attribute", "case_id, tie"), ("event", "case_id, tie"), ("case", "case_id")))
+
+
+@query(
+    FLAGS + f""" a AS ({AXES.replace("SELECT 'event' AS axis, attribute,", "SELECT 'event' AS axis, 'any' AS attribute,").replace("GROUP BY attribute, case_id, tie UNION ALL SELECT 'case'", "GROUP BY case_id, tie UNION ALL SELECT 'case'")}), l AS (SELECT unnest([0, 1]) AS label),
+    c AS (SELECT axis, attribute, label, count_if(t = label AND p = label) AS hit, count_if(p = label) AS said, count_if(t = label) AS is_ FROM a, l GROUP BY ALL)
+    SELECT axis, attribute, label, round(coalesce(hit / nullif(said, 0), 0), 6) + 0.0 AS precision, round(coalesce(hit / nullif(is_, 0), 0), 6) + 0.0 AS recall, round(coalesce(2 * hit / nullif(said + is_, 0), 0), 6) + 0.0 AS f1 FROM c""",
+    "ev",
+)
+def s182_report_by_axis(spark, d):
+    """Flags of attributes of events, judged by attribute, by event and by attribute over the case (182)."""
+    df = events(spark, d).df
+    purchase, flag = F.col("activity") == "purchase", lambda c: c.cast("int")
+    one = df.select("case_id", "tie", F.lit("activity").alias("attribute"), flag(purchase).alias("truth"), flag((F.col("tie") % 7 == 0) | purchase & (F.col("tie") % 3 > 0)).alias("predicted"))
+    two = df.select("case_id", "tie", F.lit("value").alias("attribute"), flag(F.col("value") > 150).alias("truth"), flag((F.col("value") > 120) & (F.col("tie") % 5 > 0)).alias("predicted"))
+    out = me.report_by_axis(one.unionByName(two), {"attribute": ["case_id", "tie", "attribute"], "event": ["case_id", "tie"], "case": ["case_id", "attribute"]})
+    return out.select("axis", "attribute", "label", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
 @query("SELECT status, round(avg(price), 4) + 0.0 AS mean, round(stddev_samp(price), 4) + 0.0 AS std, count(*) AS batches FROM od GROUP BY status", "od")
 def s184_timing(spark, d):
     out = me.timing(ordering(spark, d).df, ["status"], "price")
@@ -151,8 +172,12 @@ def s184_timing(spark, d):
 
 @query("SELECT DISTINCT activity, resource FROM (SELECT DISTINCT activity FROM ev), (SELECT DISTINCT resource FROM ev) EXCEPT SELECT activity, resource FROM ev WHERE tie % 2 = 0", "ev")
 def s185_missing_experiments(spark, d):
+    """The grid is every resource with every activity; activities are the settings, at most a thousand (185)."""
     df = events(spark, d).df
-    grid = df.select("activity").distinct().join(F.broadcast(df.select("resource").distinct()))
+    settings = [r[0] for r in df.select("activity").distinct().limit(1001).collect()]
+    if len(settings) > 1000:
+        raise ValueError("more than a thousand settings")
+    grid = df.select("resource").distinct().withColumn("activity", F.explode(F.array(*map(F.lit, settings))))
     return me.missing_experiments(grid, df.where("tie % 2 = 0"), ["activity", "resource"])
 
 
@@ -186,13 +211,13 @@ def s160_score_series(spark, d):
 
 
 @query(
-    SERIES + """, e AS (SELECT max(idx) + 1 AS n FROM i), w AS (SELECT unnest(range(0, (SELECT n FROM e) - 61, 5)) AS start), t AS (SELECT start, round(value, 9) AS value, CASE WHEN idx < start + 30 THEN 0 ELSE 1 END AS side FROM w JOIN i ON idx >= start AND idx < start + 60)"""
+    SERIES + """, e AS (SELECT max(idx) + 1 AS n FROM i), w AS (SELECT unnest(range(0, (SELECT n FROM e) - 60, 1)) AS start), t AS (SELECT start, round(value, 9) AS value, CASE WHEN idx < start + 30 THEN 0 ELSE 1 END AS side FROM w JOIN i ON idx >= start AND idx < start + 60)"""
     + KS.format(by="start") + f", r AS (SELECT k AS start, d, {P} AS p FROM y) SELECT CAST(start AS BIGINT) AS start, round(d, 6) + 0.0 AS d, round(p, 5) + 0.0 AS p FROM r",
     "od",
 )
 def s162_sliding_drift(spark, d):
-    """Windows of 30 cases, each with the next 30, every 5 cases (162, 49)."""
-    out = dr.sliding_drift(series(spark, d).withColumn("value", F.round("value", 9)), 30, 5)
+    """Windows of 30 cases, each with the next 30, at every case (162, 49)."""
+    out = dr.sliding_drift(series(spark, d).withColumn("value", F.round("value", 9)), 30, 1)
     return out.select("start", r6("d").alias("d"), (F.round("p", 5) + 0.0).alias("p"))
 
 

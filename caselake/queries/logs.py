@@ -62,6 +62,14 @@ def s006_xes_names(spark, d):
     return src.read_xes(spark, at, names_only=True).select("case_id", F.col("position").cast("long").alias("position"), "activity")
 
 
+@query(f"SELECT CAST(case_id AS VARCHAR) AS case_id, CAST(row_number() OVER w - 1 AS BIGINT) AS position, activity, 'complete' AS lifecycle, resource FROM ev {EV}", "ev")
+def s007_mxml_write_and_read(spark, d):
+    """Write the log as MXML and load it again (7)."""
+    at = folder(spark, "mxml")
+    src.write_mxml(events(spark, d), at)
+    return src.read_mxml(spark, at).select("case_id", F.col("position").cast("long").alias("position"), "activity", "lifecycle", "resource")
+
+
 @query("SELECT case_id, activity, time AS start, time + INTERVAL 1 HOUR AS \"end\" FROM ev", "ev")
 def s008_start_end_columns(spark, d):
     at = folder(spark, "csv")

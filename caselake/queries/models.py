@@ -292,18 +292,18 @@ def s108_suffixes(spark, d):
     """Roll forward from every prefix of the test cases (108, 110)."""
     log = cx.add_end_events(dialog(spark, d))
     train = cx.k_context(log.with_df(log.df.where("case_id % 2 = 0")), 2, ["activity"])
-    found = pd_.predict_suffixes(log.with_df(log.df.where("case_id % 2 = 1")), train, longest=30)
+    found = pd_.predict_suffixes(log.with_df(log.df.where("case_id % 2 = 1")), train, longest=100)
     return pd_.suffix_similarity(found).select("case_id", "prefix_size", long_text("predicted").alias("predicted"), r6("similarity").alias("similarity"))
 
 
 @query(
     """WITH p AS (SELECT case_id, row_number() OVER w AS prefix_size, list(activity) OVER (PARTITION BY case_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a, list(activity) OVER w AS b FROM di WINDOW w AS (PARTITION BY case_id ORDER BY turn))
-    SELECT case_id, prefix_size, round(1 - levenshtein(list_aggregate(list_transform(coalesce(a, []), lambda x: x[1]), 'string_agg', ''), list_aggregate(list_transform(b, lambda x: x[1]), 'string_agg', '')) / greatest(len(coalesce(a, [])), len(b)), 6) + 0.0 AS levenshtein,
-    round(len(list_intersect(list_distinct(coalesce(a, [])), list_distinct(b))) / len(list_distinct(list_concat(coalesce(a, []), b))), 6) + 0.0 AS jaccard FROM p WHERE len(coalesce(a, [])) > 0""",
+    SELECT case_id, prefix_size, round(1 - levenshtein(list_aggregate(list_transform(coalesce(a, []), lambda x: chr(CAST(64 + list_position(v, x) AS INTEGER))), 'string_agg', ''), list_aggregate(list_transform(b, lambda x: chr(CAST(64 + list_position(v, x) AS INTEGER))), 'string_agg', '')) / greatest(len(coalesce(a, [])), len(b)), 6) + 0.0 AS levenshtein,
+    round(len(list_intersect(list_distinct(coalesce(a, [])), list_distinct(b))) / len(list_distinct(list_concat(coalesce(a, []), b))), 6) + 0.0 AS jaccard FROM p, (SELECT list(DISTINCT activity ORDER BY activity) AS v FROM di) WHERE len(coalesce(a, [])) > 0""",
     "di",
 )
 def s111_text_similarity(spark, d):
-    """Prefix against suffix, as letters and as sets."""
+    """Prefix against suffix, with a letter for each activity, and as sets."""
     p = cx.prefixes_and_suffixes(dialog(spark, d)).where(F.size("suffix") > 0)
     out = pd_.text_similarity(p, "suffix", "prefix")
     return out.select("case_id", "prefix_size", r6("levenshtein").alias("levenshtein"), r6("jaccard").alias("jaccard"))
@@ -336,6 +336,18 @@ def s115_linear_classifier(spark, d):
     return classify.test_linear(model, df.where("tie % 3 = 0"), "activity", P2, ["tie"]).select("tie", "expected", "predicted")
 
 
+@query(None)
+def s116_updated_classifier(spark, d):
+    """Each week is predicted by a classifier fitted on the week before, and by one on all weeks before; accuracy of both (116)."""
+    df = checkpointed(context(spark, d).withColumn("batch", F.weekofyear("time")))
+    found = None
+    for kept in (1, None):
+        results = classify.test_and_update(df, "batch", "activity", P2, ["tie", "batch"], kept)
+        part = me.accuracy(results, ["batch"]).select("batch", F.lit("last" if kept else "all").alias("kept"), r6("accuracy").alias("accuracy"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query(None)
 def s117_embeddings(spark, d):
     return classify.co_occurrence_embedding(events(spark, d).df, "activity", "resource").select("kind", "value", F.size("embedding").alias("dimension"))

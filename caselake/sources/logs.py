@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from caselake.functions.columns import parse_time
 from caselake.operators.prepare import dictionary, encode
-from caselake.plans.log import EventLog
+from caselake.plans.log import EventLog, as_category
 
 _ATTRIBUTES = T.ArrayType(T.StructType([T.StructField("_key", T.StringType()), T.StructField("_value", T.StringType())]))
 _XES_EVENT = T.StructType([T.StructField("string", _ATTRIBUTES), T.StructField("date", _ATTRIBUTES), T.StructField("int", _ATTRIBUTES), T.StructField("float", _ATTRIBUTES)])
@@ -57,6 +57,18 @@ def read_xes(spark: SparkSession, path: str, names_only: bool = False) -> DataFr
     return out.select("case_id", "position", "activity", "time") if names_only else out
 
 
+def write_mxml(log: EventLog, path: str) -> None:
+    """Write cases as process instances with their events (activity, resource, complete) in order."""
+    s = log.spec
+    entry = F.struct(
+        as_category(s.activity).alias("WorkflowModelElement"), F.lit("complete").alias("EventType"),
+        F.date_format(s.time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Timestamp"), as_category("resource").alias("Originator"),
+    )
+    rows = log.df.select(F.col(s.case).cast("string").alias("_id"), F.struct(*s.order, entry.alias("e")).alias("e"))
+    cases = rows.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["e"]).alias("AuditTrailEntry"))
+    cases.write.format("xml").options(rootTag="Process", rowTag="ProcessInstance").mode("overwrite").save(path)
+
+
 def read_mxml(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, position, activity, lifecycle, resource, time) of an MXML file."""
     cases = spark.read.format("xml").option("rowTag", "ProcessInstance").schema(_MXML).load(path)

@@ -1,13 +1,14 @@
 """Results worked out by hand on logs of a few events."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions.columns import osa_distance, parse_time
 from caselake.operators import context as cx
-from caselake.operators import density, drift, graph, inject, metrics, model, predict, prepare, stats, structure
+from caselake.operators import classify, density, drift, graph, inject, metrics, model, predict, prepare, stats, structure
 from caselake.plans.log import EventLog, LogSpec, column_kinds
 from caselake.plans.order import with_index, with_running
 from caselake.queries import models
@@ -240,3 +241,50 @@ def test_relearning_replays_all_weeks_with_all_history(spark):
     weeks = [r[0] for r in models.context(spark, sf).select(F.weekofyear("time")).distinct().collect()]
     assert sorted(r["batch"] for r in out) == sorted(weeks)[1:]
     assert any("resource_Prev" in r["parents"] for r in out)
+
+
+def test_suffixes_are_rolled_step_by_step(spark):
+    """Against a loop over single steps: loops, ends, unknown contexts, and a limit that is no power of two."""
+    cases = {0: "ababc!", 1: "abd!", 2: "abab!", 3: "xaab!", 4: "ccd!", 5: "ababab!"}
+    rows = [(c, i, "end" if x == "!" else x) for c, s in cases.items() for i, x in enumerate(s)]
+    log = EventLog(spark.createDataFrame(rows, "case_id long, time long, activity string"), LogSpec(categorical=("activity",)))
+    train, test = log.with_df(log.df.where("case_id % 2 = 0")), log.with_df(log.df.where("case_id % 2 = 1"))
+    steps, counts = {}, {}
+    for c, s in cases.items():
+        if c % 2 == 0:
+            names = ["end" if x == "!" else x for x in s]
+            for i, x in enumerate(names):
+                ctx = tuple(names[j] if j >= 0 else "0" for j in (i - 1, i - 2))
+                counts.setdefault(ctx, {}).setdefault(x, 0)
+                counts[ctx][x] += 1
+    steps = {ctx: min(of, key=lambda x: (-of[x], x)) for ctx, of in counts.items()}
+    found = predict.predict_suffixes(test, cx.k_context(train, 2, ["activity"]), longest=11, end="end").collect()
+    assert len(found) == sum(len(s) for c, s in cases.items() if c % 2)
+    for r in found:
+        names = ["end" if x == "!" else x for x in cases[r["case_id"]]]
+        i, path = r["prefix_size"] - 1, []
+        ctx = tuple(names[j] if j >= 0 else "0" for j in (i, i - 1))
+        while len(path) < 11 and ctx in steps and (not path or path[-1] != "end"):
+            path.append(steps[ctx])
+            ctx = (path[-1], ctx[0])
+        assert (r["predicted"], r["suffix"]) == (path, names[i + 1 :])
+
+
+def test_nearest_variants_by_brute_force(spark):
+    rng = random.Random(3)
+    a, b = ([[rng.choice("abcd") for _ in range(rng.randint(1, 8))] for _ in range(40)] for _ in range(2))
+    frames = (spark.createDataFrame([(x,) for x in side], "activity array<string>") for side in (a, b))
+    found = {tuple(r["variant"]): (r["similarity"], r["nearest"]) for r in predict.similarity_of_logs(*frames, block=15).collect()}
+    for v in a:
+        want = min((-(1 - osa_distance(v, o) / max(len(v), len(o))), o) for o in b)
+        assert found[tuple(v)] == (pytest.approx(-want[0]), want[1])
+
+
+def test_updated_classifier_on_all_equals_one_fit(spark):
+    rows = [(i, b, "ab"[(i + b) % 2], "cd"[i % 2]) for b in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "tie long, batch long, act string, prev string")
+    got = {tuple(r) for r in classify.test_and_update(df, "batch", "act", ["prev"], ["tie", "batch"], None).where("batch = 2").select("tie", "predicted", "p_predicted").collect()}
+    want = classify.test_linear(classify.train_linear(df.where("batch < 2"), "act", ["prev"]), df.where("batch = 2"), "act", ["prev"], ["tie", "batch"])
+    assert got == {tuple(r) for r in want.select("tie", "predicted", "p_predicted").collect()}
+    last = classify.test_and_update(df, "batch", "act", ["prev"], ["tie", "batch"], 1).where("predicted = expected").count()
+    assert last == 0
