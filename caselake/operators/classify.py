@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
@@ -29,10 +29,10 @@ def test_linear(model: PipelineModel, df: DataFrame, label: str, columns: list[s
     """(keys, expected, predicted, p_predicted, p_expected)."""
     names = model.stages[0].labels
     rows = model.transform(df.select(*(F.col(k).alias(f"key_{k}") for k in keys), as_category(label).alias("label"), *(as_category(c).alias(c) for c in columns)))
+    rows = IndexToString(inputCol="y", outputCol="predicted", labels=[*names, "0"]).transform(rows)
     p = vector_to_array("probability")
-    labels = F.array(*map(F.lit, [*names, "0"]))
     return rows.select(
-        *(F.col(f"key_{k}").alias(k) for k in keys), F.col("label").alias("expected"), F.get(labels, F.col("y").cast("int")).alias("predicted"),
+        *(F.col(f"key_{k}").alias(k) for k in keys), F.col("label").alias("expected"), "predicted",
         F.get(p, F.col("y").cast("int")).alias("p_predicted"), F.coalesce(F.get(p, F.col("label_id").cast("int")), F.lit(0.0)).alias("p_expected"),
     )
 
@@ -64,7 +64,7 @@ def co_occurrence_embedding(pairs: DataFrame, a: str, b: str, seed: int = 42) ->
     als = ALS(userCol="ia", itemCol="ib", ratingCol="n", rank=rank, implicitPrefs=True, seed=seed, maxIter=10).fit(coded)
     out = None
     for kind, labels, factors in ((a, la, als.userFactors), (b, lb, als.itemFactors)):
-        names = F.array(*map(F.lit, labels))
-        part = factors.select(F.lit(kind).alias("kind"), F.get(names, F.col("id")).alias("value"), F.col("features").alias("embedding"))
+        named = IndexToString(inputCol="at", outputCol="value", labels=list(labels)).transform(factors.withColumn("at", F.col("id").cast("double")))
+        part = named.select(F.lit(kind).alias("kind"), "value", F.col("features").alias("embedding"))
         out = part if out is None else out.unionByName(part)
     return out

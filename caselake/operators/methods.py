@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from itertools import product
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from caselake.operators import classify, metrics
 from caselake.operators.predict import backoff_tables, predict, results
+from caselake.operators.prepare import prepare
+from caselake.plans.log import EventLog, Setting
+from caselake.plans.order import checkpointed
 
 Metric = Callable[[DataFrame], DataFrame]
 METRICS: dict[str, Metric] = {"accuracy": metrics.accuracy, "precision": metrics.weighted_precision, "recall": metrics.weighted_recall, "brier": metrics.brier}
@@ -59,3 +63,28 @@ def cross_validate(method: Method, folded: DataFrame, k: int, keys: list[str], m
         one = METRICS[metric](method.test(model, folded.where(F.col("fold") == i), keys)).withColumn("fold", F.lit(i).cast("long"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def experiments(**axes: list) -> list[Setting]:
+    """The grid: every combination of the values given for fields of a setting."""
+    return [Setting(**dict(zip(axes, values, strict=True))) for values in product(*axes.values())]
+
+
+def run_experiments(log: EventLog, settings: list[Setting], names: list[str], keys: list[str], metric: str = "accuracy") -> DataFrame:
+    """(fields of the setting, method, metric): each method under each setting; ``k-fold`` gives the mean of its folds.
+
+    A setting is prepared once for all its methods. The loop is over experiments; the driver holds one number for each.
+    """
+    rows = []
+    for setting in settings:
+        ready = prepare(log, setting)
+        df = checkpointed(ready.df)
+        for name in names:
+            method, k = METHODS[name], {"k": ready.spec.k}
+            if setting.split == "k-fold":
+                found = cross_validate(replace(method, parameters=k), df, setting.folds, keys, metric).agg(F.avg(metric))
+            else:
+                found = METRICS[metric](method.test(method.train(df.where("split = 'train'"), **k), df.where("split = 'test'"), keys))
+            rows.append((*asdict(setting).values(), name, found.first()[0]))
+    schema = "k int, split string, by_case boolean, add_end boolean, percentage double, folds int, longer_than int"
+    return log.df.sparkSession.createDataFrame(rows, f"{schema}, method string, {metric} double")

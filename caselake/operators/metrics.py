@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselake.plans.order import with_running
+from caselake.plans.order import with_index, with_running
+
 
 def hit() -> Column:
     """1 if the prediction is right; two nulls agree."""
@@ -41,10 +42,20 @@ def rolling_accuracy(results: DataFrame, order: list[str], w: int) -> DataFrame:
     return before.join(far, "position", "left").join(F.broadcast(last)).where((F.col("position") >= w) & (F.col("position") <= F.col("last"))).select("position", ((F.col("upto") - F.coalesce("from", F.lit(0))) / w).alias("accuracy"))
 
 
-def moving_mean(series: DataFrame, order: list[str], value: str, w: int = 100, by: list[str] | None = None) -> DataFrame:
-    """Add ``mean`` over the last w values (fewer at the start) of each series."""
-    window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(1 - w, 0)
-    return series.withColumn("mean", F.avg(value).over(window))
+def moving_mean(series: DataFrame, order: list[str], value: str, w: int = 100, by: list[str] | None = None, block: int = 1_000_000) -> DataFrame:
+    """Add ``mean`` over the last w values (fewer at the start) of each series.
+
+    Without ``by`` all rows are one series, whose order should be total. It is cut into blocks of rows, and the last w - 1 rows
+    of a block go to the next one too, so no task has the whole series.
+    """
+    if by:
+        return series.withColumn("mean", F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - w, 0)))
+    block = max(block, w)
+    own = F.floor(F.col("_idx") / block)
+    blocks = F.when(F.col("_idx") % block > block - w, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = with_index(series, *order, name="_idx").withColumn("_block", F.explode(blocks))
+    rows = rows.withColumn("mean", F.avg(value).over(Window.partitionBy("_block").orderBy("_idx").rowsBetween(1 - w, 0)))
+    return rows.where(own == F.col("_block")).drop("_idx", "_block")
 
 
 def brier(results: DataFrame, by: list[str] | None = None) -> DataFrame:

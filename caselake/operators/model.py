@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselake.plans.log import EventLog, as_category
+from caselake.plans.order import checkpointed
 
 FLOOR = 1e-10
 
@@ -73,15 +74,20 @@ class Node:
 
 
 def train(df: DataFrame, structure: dict[str, tuple[list[str], list[str]]]) -> dict[str, Node]:
-    """Nodes of ``structure``: name -> (conditional parents, functional parents). Only rates go to the driver."""
+    """Nodes of ``structure``: name -> (conditional parents, functional parents).
+
+    The rows are read once for each table; tables are checkpointed, as training and scoring use them several times. The rates
+    come from the tables, and only they go to the driver.
+    """
     out = {}
     for name, (parents, dependencies) in structure.items():
-        rates = df.agg(F.count_distinct(as_category(name)).alias("v"), F.count_distinct(key_of(parents)).alias("r"), F.count("*").alias("n")).first()
+        table = checkpointed(conditional_table(df, name, parents))
+        rates = table.agg(F.count_distinct("value").alias("v"), F.count_distinct("parents").alias("r"), F.sum("n").alias("n")).first()
         node = Node(name, parents, dependencies, relation_rate=rates["r"] / rates["n"] if parents and rates["n"] else 1.0, value_rate=rates["v"] / rates["n"] if rates["n"] else 1.0)
-        node.table = conditional_table(df, name, parents) if parents else None
-        node.values = df.select(as_category(name).alias("value")).distinct()
+        node.table = table if parents else None
+        node.values = checkpointed(table.select("value").distinct())
         for d in dependencies:
-            node.dependency_tables[d] = dependency_table(df, d, name)
+            node.dependency_tables[d] = checkpointed(dependency_table(df, d, name))
             r = node.dependency_tables[d].agg(F.first("violation")).first()
             node.violations[d] = r[0] or 0.0
         out[name] = node

@@ -57,24 +57,29 @@ def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
     return shares.groupBy("column").agg(_entropy("n", F.col("total")).alias("entropy"))
 
 
+def counts_by_sets(df: DataFrame, sets: list[tuple[str, ...]], weight: str | None = None) -> DataFrame:
+    """(of, cells, n): rows (or the sum of ``weight``) by the values of each set of columns; ``of`` is the set's place in the list.
+
+    Rows are counted by all columns in use first, so different rows, not all rows, are copied once for each set.
+    """
+    columns = sorted({c for s in sets for c in s})
+    name = {c: f"c{i}" for i, c in enumerate(columns)}
+    rows = df.groupBy(*(as_category(c).alias(name[c]) for c in columns)).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    copies = F.array(*(F.struct(F.lit(i).alias("of"), F.array(*(name[c] for c in s)).alias("cells")) for i, s in enumerate(sets)))
+    return rows.select(F.explode(copies).alias("copy"), "n").groupBy("copy.of", "copy.cells").agg(F.sum("n").alias("n"))
+
+
 def mutual_information(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(x, y, hx, hy, mi, uncertainty): entropies and mutual information in nats of each pair of columns.
 
-    One pass: grouping sets over all pairs give the joint counts, and these give the marginal ones. ``uncertainty`` is
-    mi / hy, the share of y that x explains; 0 if y is constant.
+    One pass gives the joint counts of all pairs, and these give the marginal ones. ``uncertainty`` is mi / hy, the share of y
+    that x explains; 0 if y is constant.
     """
-    columns = sorted({c for p in pairs for c in p})
-    names = {c: f"c{i}" for i, c in enumerate(columns)}
-    coded = df.select(*(as_category(c).alias(names[c]) for c in columns))
-    sets = list(dict.fromkeys(tuple(sorted({names[a], names[b]})) for a, b in pairs))
-    joint = coded.groupingSets([[F.col(c) for c in s] for s in sets], *names.values()).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
-    bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(names.values())}
-    full = (1 << len(columns)) - 1
-    of_set = {s: full - sum(bit[c] for c in s) for s in sets}
-    wanted = F.explode(F.array(*(F.struct(F.lit(of_set[tuple(sorted({names[a], names[b]}))]).cast("long").alias("g"), F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs)))
-    table = df.sparkSession.range(1).select(wanted.alias("w")).select("w.*")
-    value = lambda of: F.element_at(F.create_map(*(e for c in columns for e in (F.lit(c), F.col(names[c])))), F.col(of))
-    rows = joint.join(F.broadcast(table), F.col("gid") == F.col("g")).select("x", "y", value("x").alias("vx"), value("y").alias("vy"), "n")
+    sets = list(dict.fromkeys(tuple(sorted({x, y})) for x, y in pairs))
+    place = {s: i for i, s in enumerate(sets)}
+    wanted = [(place[s], x, y, s.index(x), s.index(y)) for x, y in pairs for s in [tuple(sorted({x, y}))]]
+    table = df.sparkSession.createDataFrame(wanted, "of int, x string, y string, ix int, iy int")  # one row a pair of columns
+    rows = counts_by_sets(df, sets).join(F.broadcast(table), "of").select("x", "y", F.get("cells", F.col("ix")).alias("vx"), F.get("cells", F.col("iy")).alias("vy"), "n")
     wide = rows.withColumns({"nx": F.sum("n").over(Window.partitionBy("x", "y", "vx")), "ny": F.sum("n").over(Window.partitionBy("x", "y", "vy"))})
     wide = wide.withColumn("total", F.sum("n").over(Window.partitionBy("x", "y")))
     p, t = F.col("n") / F.col("total"), F.col("total")

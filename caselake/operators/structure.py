@@ -9,30 +9,25 @@ from pyspark.sql import functions as F
 
 from caselake.operators.context import k_context
 from caselake.operators.model import Node, train
-from caselake.operators.stats import functional_dependencies
+from caselake.operators.stats import counts_by_sets, functional_dependencies
 from caselake.plans.log import EventLog, as_category
 from caselake.plans.order import checkpointed
 
 GAIN = 1e-10
 
 
-def family_scores(df: DataFrame, families: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
+def family_scores(df: DataFrame, families: list[tuple[str, tuple[str, ...]]], weight: str | None = None) -> DataFrame:
     """(node, parents, loglik, tuples): sum of n ln(n / n_parents), and the number of parent tuples, of many families.
 
-    All families come from one pass: rows are counted by the columns in use, and grouping sets roll the counts up. ``parents``
-    is a comma-joined sorted list.
+    All families come from one pass over the rows, or over counts of them if ``weight`` names the count. ``parents`` is a
+    comma-joined sorted list.
     """
     families = list(dict.fromkeys((n, tuple(sorted(p))) for n, p in families))
-    columns = sorted({c for n, p in families for c in (n, *p)})
-    name = {c: f"c{i}" for i, c in enumerate(columns)}
-    coded = df.select(*(as_category(c).alias(name[c]) for c in columns))
     sets = list(dict.fromkeys(tuple(sorted({n, *p})) for n, p in families))
-    counts = coded.groupingSets([[F.col(name[c]) for c in s] for s in sets], *name.values()).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
-    bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
-    gid = lambda s: (1 << len(columns)) - 1 - sum(bit[c] for c in s)
-    table = df.sparkSession.createDataFrame([(gid(tuple(sorted({n, *p}))), n, ",".join(p), [columns.index(c) for c in p]) for n, p in families], "gid long, node string, parents string, at array<int>")
-    cells = F.array(*name.values())
-    rows = counts.join(F.broadcast(table), "gid").select("node", "parents", F.transform("at", lambda i: F.get(cells, i)).alias("key"), "n")
+    place = {s: i for i, s in enumerate(sets)}
+    wanted = [(place[s], n, ",".join(p), [s.index(c) for c in p]) for n, p in families for s in [tuple(sorted({n, *p}))]]
+    table = df.sparkSession.createDataFrame(wanted, "of int, node string, parents string, at array<int>")  # one row a family
+    rows = counts_by_sets(df, sets, weight).join(F.broadcast(table), "of").select("node", "parents", F.transform("at", lambda i: F.get("cells", i)).alias("key"), "n")
     given = rows.groupBy("node", "parents", "key").agg(F.sum(F.col("n") * F.ln("n")).alias("s"), F.sum("n").alias("m"))
     return given.groupBy("node", "parents").agg((F.sum("s") - F.sum(F.col("m") * F.ln("m"))).alias("loglik"), F.count("*").alias("tuples"))
 
@@ -63,10 +58,12 @@ def creates_cycle(parents: dict[str, set[str]], a: str, b: str) -> bool:
 def learn(df: DataFrame, allowed: list[tuple[str, str]], start: list[tuple[str, str]] = (), fixed: list[tuple[str, str]] = (), most: int | None = None) -> list[tuple[str, str]]:
     """Greedy search: in each round the addition or removal with the largest gain, until none is above 1e-10.
 
-    ``fixed`` edges always stay; ``most`` limits the rounds, if given. Each round raises the score, so the search ends. Scores are memoized by family, so after the first round only the changed node's are counted.
-    The driver holds one number for each candidate.
+    ``fixed`` edges always stay; ``most`` limits the rounds, if given. Each round raises the score, so the search ends. Rows are
+    counted once; scores are memoized by family, so after the first round only the changed node's are computed. The driver
+    holds one number for each candidate.
     """
-    df = checkpointed(df.select(*sorted({c for e in (*allowed, *start, *fixed) for c in e})))
+    columns = sorted({c for e in (*allowed, *start, *fixed) for c in e})
+    counts = checkpointed(df.groupBy(*(as_category(c).alias(c) for c in columns)).agg(F.count("*").alias("_rows")))
     edges: set[tuple[str, str]] = {*start, *fixed}
     memo: dict[tuple[str, tuple[str, ...]], float] = {}
 
@@ -79,7 +76,7 @@ def learn(df: DataFrame, allowed: list[tuple[str, str]], start: list[tuple[str,
         families = {(b, of(b)) for _, b in moves} | {(b, tuple(sorted({*of(b)} ^ {a}))) for a, b in moves}
         missing = [f for f in families if f not in memo]
         if missing:
-            for r in family_scores(df, missing).collect():
+            for r in family_scores(counts, missing, "_rows").collect():
                 memo[r["node"], tuple(filter(None, r["parents"].split(",")))] = r["loglik"] - r["tuples"]
         gains = [(memo[b, tuple(sorted({*of(b)} ^ {a}))] - memo[b, of(b)], a, b) for a, b in moves]
         best = max(gains, key=lambda g: (g[0], g[1], g[2]), default=(0.0, "", ""))

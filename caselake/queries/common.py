@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselake.plans.log import EventLog, get_log
-from caselake.plans.order import checkpointed
+from caselake.plans.order import folder  # noqa: F401  (for the query modules)
 
 
 def r6(c: str | Column) -> Column:
@@ -32,12 +30,6 @@ def dialog(spark: SparkSession, d: str) -> EventLog:
     return get_log(spark, d, "dialog")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share."""
-    checkpointed(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def long_text(c: str, separator: str = ",") -> Column:
     """An array as one text."""
     return F.array_join(F.transform(c, lambda x: x.cast("string")), separator)

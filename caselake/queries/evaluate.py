@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from caselake.operators import context as cx
 from caselake.operators import drift as dr
 from caselake.operators import features as fe
+from caselake.operators import methods
 from caselake.operators import metrics as me
 from caselake.operators import model as mo
 from caselake.operators import prepare as pr
 from caselake.operators import replay as rp
 from caselake.queries.common import events, folder, long_text, ordering, r6
-from caselake.queries.models import CTX, P2, context
+from caselake.queries.models import CTX, P2, SCORES, context
 from caselake.registry import query
 from caselake.streaming import logs as sl
 
@@ -181,6 +182,19 @@ def s185_missing_experiments(spark, d):
     return me.missing_experiments(grid, df.where("tie % 2 = 0"), ["activity", "resource"])
 
 
+@query(
+    CTX + """, o AS (SELECT *, row_number() OVER (ORDER BY time, tie, case_id) - 1 AS i, count(*) OVER () AS n FROM c), e AS (SELECT split, CAST(percentage AS DOUBLE) AS percentage FROM (SELECT unnest(['train-test', 'test-train']) AS split), (SELECT unnest([50, 80]) AS percentage)),
+    g AS (SELECT o.*, e.*, CASE WHEN split = 'train-test' THEN i < ceil(n * (percentage / 100)) ELSE i >= ceil(n * (1 - percentage / 100)) END AS train FROM o, e), t AS (SELECT split, percentage, p0, activity AS value, count(*) AS m FROM g WHERE train GROUP BY ALL),
+    b AS (SELECT split, percentage, p0, arg_min(value, (-m, value)) AS predicted FROM t GROUP BY ALL), a AS (SELECT split, percentage, arg_min(value, (-m, value)) AS predicted FROM (SELECT split, percentage, value, sum(m) AS m FROM t GROUP BY ALL) GROUP BY ALL)
+    SELECT split, percentage, 'counts' AS method, round(avg(CAST(g.activity = coalesce(b.predicted, a.predicted) AS INTEGER)), 6) + 0.0 AS accuracy FROM g LEFT JOIN b USING (split, percentage, p0) JOIN a USING (split, percentage) WHERE NOT train GROUP BY split, percentage""",
+    "ev",
+)
+def s148_experiment_grid(spark, d):
+    """Two splits and two percentages, each prepared, trained and tested (148)."""
+    settings = methods.experiments(split=["train-test", "test-train"], percentage=[50.0, 80.0], k=[1])
+    return methods.run_experiments(events(spark, d), settings, ["counts"], ["tie"]).select("split", "percentage", "method", r6("accuracy").alias("accuracy"))
+
+
 # -- drift ------------------------------------------------------------------------------------------------------------------
 
 P = """CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda j: 2 * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * x * x))))) END"""
@@ -254,7 +268,7 @@ def s168_adaptive_window(spark, d):
     return dr.adaptive_window(rows, "week").select("batch", "past", "keep")
 
 
-@query(None)
+@query(SCORES.replace("tie % 2 = 0", "case_id % 2 = 0").replace("WHERE tie % 2 = 1", "") + " SELECT case_id, count(*) AS events, round(avg(score_activity), 6) + 0.0 AS score FROM z GROUP BY case_id", "ev")
 def s159_parameters_of_another_log(spark, d):
     """Structure from one half of the cases, tables from the other, scores of both (159)."""
     df = context(spark, d)
@@ -262,7 +276,11 @@ def s159_parameters_of_another_log(spark, d):
     return mo.case_scores(mo.score_events(df, nodes), "case_id").select("case_id", "events", r6("score").alias("score"))
 
 
-@query(None)
+@query(
+    SCORES.replace("tie % 2 = 0", "right(resource, 1) = '0'").replace("WHERE tie % 2 = 1", "")
+    + " SELECT right(resource, 1) AS department, count(*) AS events, round(avg(score_activity), 6) + 0.0 AS score FROM z JOIN c USING (tie) GROUP BY 1",
+    "ev",
+)
 def s166_scores_by_department(spark, d):
     """A model of one department (resources ending in 0) scores all departments (166)."""
     df = context(spark, d).withColumn("department", F.expr("substring(resource, -1, 1)"))

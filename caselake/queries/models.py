@@ -13,7 +13,7 @@ from caselake.operators import model as mo
 from caselake.operators import predict as pd_
 from caselake.operators import prepare as pr
 from caselake.operators import replay as rp
-from caselake.plans.order import checkpointed
+from caselake.plans.order import checkpointed, with_index
 from caselake.queries.common import dialog, events, folder, long_text, ordering, r6
 from caselake.registry import query
 
@@ -196,9 +196,16 @@ def s095_choose_bandwidth(spark, d):
     return density.choose_bandwidth(events(spark, d).df.select("tie", "value"), "value", 2.0)
 
 
-@query(None)
+@query(
+    f"""WITH t AS (SELECT CAST(round(value / {DELTA}) AS BIGINT) AS bin, count(*) AS n, activity FROM ev GROUP BY 1, activity), m AS (SELECT activity, sum(n)::DOUBLE AS total FROM t GROUP BY 1), q AS (SELECT activity, value AS x, count(*) AS k FROM ev GROUP BY 1, 2),
+    p AS (SELECT activity, x, sum(n * exp(-((x - bin * {DELTA}) / {H}) * ((x - bin * {DELTA}) / {H}) / 2)) / any_value(total) / CAST({H * math.sqrt(2 * math.pi)} AS DOUBLE) AS d
+    FROM q JOIN t USING (activity) JOIN m USING (activity) WHERE abs(CAST(round(x / {DELTA}) AS BIGINT) - bin) <= {math.ceil(8 * H / DELTA)} GROUP BY activity, x)
+    SELECT round(sum(k * ln(greatest(coalesce(d, 0), 1e-10))), 3) + 0.0 AS loglik, count(DISTINCT activity) AS complexity FROM q LEFT JOIN p USING (activity, x)""",
+    "ev",
+)
 def s096_numeric_score(spark, d):
-    return density.numeric_score(events(spark, d).df, "value", ["activity"], ["tie"], H, DELTA)
+    out = density.numeric_score(events(spark, d).df, "value", ["activity"], ["tie"], H, DELTA)
+    return out.select((F.round("loglik", 3) + 0.0).alias("loglik"), "complexity")
 
 
 # -- predictions ---------------------------------------------------------------------------------------------------------
@@ -311,14 +318,14 @@ def s111_text_similarity(spark, d):
 
 @query(None)
 def s112_timed_similarity(spark, d):
+    """Each case against the next one in order of their ids (112)."""
     log = events(spark, d)
-    from pyspark.sql import Window
-
     w = log.window()
     gap = F.coalesce((F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.lag("time").over(w).cast("timestamp"))) / 1e6, F.lit(0.0))
     t = cx.traces(log.with_df(log.df.withColumn("gap", gap)), ["activity", "gap"])
-    both = t.withColumn("a2", F.lead("activity").over(Window.partitionBy(F.pmod("case_id", F.lit(4))).orderBy("case_id"))).withColumn("g2", F.lead("gap").over(Window.partitionBy(F.pmod("case_id", F.lit(4))).orderBy("case_id")))
-    return pd_.timed_similarity(both.where("a2 IS NOT NULL"), "activity", "a2", "gap", "g2").select("case_id", r6("similarity").alias("similarity"))
+    t = with_index(t, "case_id")
+    both = t.join(t.select((F.col("idx") - 1).alias("idx"), F.col("activity").alias("a2"), F.col("gap").alias("g2")), "idx")
+    return pd_.timed_similarity(both, "activity", "a2", "gap", "g2").select("case_id", r6("similarity").alias("similarity"))
 
 
 @query(None)
@@ -350,7 +357,8 @@ def s116_updated_classifier(spark, d):
 
 @query(None)
 def s117_embeddings(spark, d):
-    return classify.co_occurrence_embedding(events(spark, d).df, "activity", "resource").select("kind", "value", F.size("embedding").alias("dimension"))
+    found = classify.co_occurrence_embedding(events(spark, d).df, "activity", "resource")
+    return found.select("kind", "value", F.posexplode("embedding").alias("dimension", "weight"))
 
 
 @query(BACKOFF + ", q AS (SELECT *, row_number() OVER (PARTITION BY tie ORDER BY p DESC, value) AS k FROM (SELECT d.tie, d.value, round(d.p, 12) AS p, s.activity FROM d JOIN s USING (tie))), h AS (SELECT tie, max(CASE WHEN k <= 2 AND value = activity THEN 1 ELSE 0 END) AS hit FROM q GROUP BY tie) SELECT round(avg(hit), 6) + 0.0 AS accuracy FROM h", "ev")

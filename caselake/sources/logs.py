@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,7 @@ from pyspark.sql import types as T
 from caselake.functions.columns import parse_time
 from caselake.operators.prepare import dictionary, encode
 from caselake.plans.log import EventLog, as_category
+from caselake.plans.order import folder
 
 _ATTRIBUTES = T.ArrayType(T.StructType([T.StructField("_key", T.StringType()), T.StructField("_value", T.StringType())]))
 _XES_EVENT = T.StructType([T.StructField("string", _ATTRIBUTES), T.StructField("date", _ATTRIBUTES), T.StructField("int", _ATTRIBUTES), T.StructField("float", _ATTRIBUTES)])
@@ -18,8 +24,30 @@ _MXML_ENTRY = T.StructType([T.StructField(n, t) for n, t in (("WorkflowModelElem
 _MXML = T.StructType([T.StructField("_id", T.StringType()), T.StructField("AuditTrailEntry", T.ArrayType(_MXML_ENTRY))])
 
 
+def unpacked(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+    """A folder with the text of a zip archive of one file, as UTF-8.
+
+    An archive can't be split, so one task unpacks it, some megabytes at a time, into the folder that the session shares; what
+    reads the folder then has many tasks.
+    """
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for content in (c for batch in batches for c in batch["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                (name,) = archive.namelist()
+                with archive.open(name) as f:
+                    while some := f.readlines(1 << 23):
+                        yield pd.DataFrame({"value": [x.rstrip(b"\r\n").decode(encoding) for x in some]})
+
+    at = folder(spark, "unpacked")
+    spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string").write.text(at)
+    return at
+
+
 def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType | None = None, separator: str = ",", header: bool = True, rows: int | None = None, encoding: str = "ISO-8859-1", time_format: str | None = None) -> DataFrame:
-    """Delimited text, plain or gzip. With ``schema`` nothing is inferred; ``rows`` limits the read."""
+    """Delimited text, plain, gzip or zip. With ``schema`` nothing is inferred; ``rows`` limits the read."""
+    if path.lower().endswith(".zip"):
+        path, encoding = unpacked(spark, path, encoding), "UTF-8"
     reader = spark.read.options(sep=separator, header=header, encoding=encoding)
     if time_format:
         reader = reader.option("timestampNTZFormat", time_format)
@@ -77,11 +105,12 @@ def read_mxml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch by extension (before .gz)."""
-    name = path.lower().removesuffix(".gz")
+    """Dispatch by extension (before .gz or .zip)."""
+    name = path.lower().removesuffix(".gz").removesuffix(".zip")
     for end, read in ((".xes", read_xes), (".mxml", read_mxml), (".csv", read_delimited), (".txt", read_delimited)):
         if name.endswith(end):
-            return read(spark, path)
+            zipped = read is not read_delimited and path.lower().endswith(".zip")
+            return read(spark, unpacked(spark, path) if zipped else path)
     return spark.read.parquet(path)
 
 

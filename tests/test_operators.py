@@ -1,14 +1,16 @@
 """Results worked out by hand on logs of a few events."""
 
 import datetime as dt
+import math
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions.columns import osa_distance, parse_time
 from caselake.operators import context as cx
-from caselake.operators import classify, density, drift, graph, inject, metrics, model, predict, prepare, stats, structure
+from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, stats, structure
 from caselake.plans.log import EventLog, LogSpec, column_kinds
 from caselake.plans.order import with_index, with_running
 from caselake.queries import models
@@ -94,8 +96,6 @@ def test_scores_of_the_three_branches_and_no_side_effect(spark):
     train = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b"), ("q", "b")], "parent string, x string")
     test = spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (3, "q", "a"), (4, "new", "a"), (5, "p", "c")], "id int, parent string, x string")
     nodes = model.train(train, {"x": (["parent"], [])})
-    import math
-
     r, v = 0.5, 0.5
     want = {1: (1 - r) * 2 / 3 * (1 - v), 2: (1 - r) / 3 * (1 - v), 3: (1 - r) * r * (1 - v), 4: r * (1 - v), 5: (1 - r) * r * v}
     for _ in range(2):
@@ -206,8 +206,6 @@ def test_injection_is_repeatable_and_labelled(spark):
 
 
 def test_density_of_a_far_value_is_the_floor(spark):
-    import math
-
     train = spark.createDataFrame([(float(i % 3),) for i in range(60)], "x double")
     test = spark.createDataFrame([(1, 1.0), (2, 1e6)], "id int, x double")
     out = {r["id"]: r.log_density for r in density.log_density(test, density.grid(train, "x", [], 0.5), "x", [], ["id"], 1.0, 0.5).collect()}
@@ -288,3 +286,81 @@ def test_updated_classifier_on_all_equals_one_fit(spark):
     assert got == {tuple(r) for r in want.select("tie", "predicted", "p_predicted").collect()}
     last = classify.test_and_update(df, "batch", "act", ["prev"], ["tie", "batch"], 1).where("predicted = expected").count()
     assert last == 0
+
+
+@pytest.mark.parametrize("block", [3, 7, 100])
+def test_moving_mean_in_blocks(spark, block):
+    values = [random.Random(5 + i).random() for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, x double")
+    out = metrics.moving_mean(df, ["i"], "x", w=3, block=block).orderBy("i").collect()
+    assert [r["i"] for r in out] == list(range(40))
+    assert [r["mean"] for r in out] == pytest.approx([sum(values[max(0, i - 2) : i + 1]) / min(3, i + 1) for i in range(40)])
+
+
+def test_counts_by_sets_and_weights(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "x string, y long")
+    out = {(r["of"], *r["cells"]): r["n"] for r in stats.counts_by_sets(df, [("x",), ("x", "y")]).collect()}
+    assert out == {(0, "a"): 2, (0, "b"): 1, (1, "a", "1"): 2, (1, "b", "nan"): 1}
+    whole = structure.family_scores(df, [("x", ()), ("x", ("y",))])
+    counted = structure.family_scores(df.groupBy("x", "y").agg(F.count("*").alias("k")), [("x", ()), ("x", ("y",))], "k")
+    assert table(whole, "node", "parents", "loglik", "tuples") == table(counted, "node", "parents", "loglik", "tuples")
+
+
+def test_search_beyond_sixty_four_columns(spark):
+    rows = [tuple("ab"[(i >> (j % 5)) & 1] for j in range(70)) for i in range(64)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} string" for j in range(70)))
+    assert structure.learn(df, [(f"c{j}", "c0") for j in range(1, 70)], most=1)[0][0] in {f"c{j}" for j in range(5, 70, 5)}
+
+
+def test_bandwidth_by_brute_force(spark):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, round(rng.gauss(0, 5), 2)) for i in range(60)], "tie long, x double")
+    folds = [(round_half_away(r["x"] / 0.5), r["fold"]) for r in df.withColumn("fold", F.pmod(F.xxhash64("tie", "x"), F.lit(2))).collect()]
+    for r in density.choose_bandwidth(df, "x", 0.5).collect():
+        h, total = r["bandwidth"], 0.0
+        for b, f in folds:
+            others = [o for o, g in folds if g != f]
+            total += math.log(max(sum(math.exp(-(((b - o) * 0.5 / h) ** 2) / 2) for o in others) / len(others) / h / math.sqrt(2 * math.pi), 1e-10))
+        assert r["loglik"] == pytest.approx(total, abs=1e-6)
+
+
+def round_half_away(x):
+    return int(math.copysign(math.floor(abs(x) + 0.5), x))
+
+
+def test_injected_split_keeps_training_cases_clean(spark):
+    log = log_of(spark, [(f"c{i // 4}", "xyzw"[i % 4]) for i in range(400)])
+    out = inject.injected_split(log, density=0.5).collect()
+    assert len(out) == 400 and len({(r["case_id"], r["split"]) for r in out}) == 100
+    assert {r["anomaly"] for r in out if r["split"] == "train"} == {0} and {r["anomaly"] for r in out if r["split"] == "test"} == {0, 1}
+
+
+def test_three_parts_by_share(spark):
+    out = prepare.split_three(spark.range(5000), ["id"]).groupBy("split").count().collect()
+    share = {r["split"]: r["count"] / 5000 for r in out}
+    assert share == {"train": pytest.approx(0.8, abs=0.03), "valid": pytest.approx(0.06, abs=0.02), "test": pytest.approx(0.14, abs=0.03)}
+
+
+def test_timed_similarity_of_equal_cases_is_one(spark):
+    df = spark.createDataFrame([(["a", "b"], ["a", "b"], [0.0, 5.0], [0.0, 5.0]), (["a"], ["c"], [0.0], [0.0])], "a array<string>, b array<string>, g array<double>, h array<double>")
+    assert [r["similarity"] for r in predict.timed_similarity(df, "a", "b", "g", "h").collect()] == [1.0, 0.0]
+
+
+def test_zip_archives(spark, tmp_path):
+    text = "case,activity\r\n" + "".join(f"c{i},caf\u00e9 {i}\r\n" for i in range(1000))
+    with zipfile.ZipFile(tmp_path / "log.csv.zip", "w") as z:
+        z.writestr("log.csv", text.encode("latin-1"))
+    out = sources.read_delimited(spark, str(tmp_path / "log.csv.zip"), "case string, activity string")
+    assert table(out, "case", "activity") == sorted((f"c{i}", f"caf\u00e9 {i}") for i in range(1000))
+    assert sources.read_log(spark, str(tmp_path / "log.csv.zip")).count() == 1000
+    with zipfile.ZipFile(tmp_path / "log.xes.zip", "w") as z:
+        z.writestr("log.xes", '<log><trace><string key="concept:name" value="c1"/><event><string key="concept:name" value="A"/><date key="time:timestamp" value="2024-01-01T00:00:00.000+00:00"/></event></trace></log>')
+    assert table(sources.read_log(spark, str(tmp_path / "log.xes.zip")), "case_id", "activity") == [("c1", "A")]
+
+
+def test_experiments_of_all_splits(spark):
+    log = log_of(spark, [(f"c{i // 4}", "xyzw"[i % 4]) for i in range(48)])
+    settings = methods.experiments(split=["train-test", "k-fold"], by_case=[False], k=[1, 2])
+    out = methods.run_experiments(log, settings, ["counts", "linear"], ["tie"]).collect()
+    assert len(out) == 8 and {(r["split"], r["k"], r["method"]) for r in out} == {(s, k, m) for s in ("train-test", "k-fold") for k in (1, 2) for m in ("counts", "linear")}
+    assert all(r["accuracy"] == 1.0 for r in out)
