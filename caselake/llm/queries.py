@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselake.llm import bpe, html_text, matroska, mixing, quality, secret_scan, simhash, simple8b, topk, toxicity
+from caselake.llm import bpe, html_text, infill, line_dedup, matroska, mixing, quality, secret_scan, simhash, simple8b, topk, toxicity, whitening
 from caselake.llm.common import shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -98,6 +98,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restore(cut.select("doc_id", "infilled"), F.col("infilled.output"), F.col("infilled.form"))
+    columns = ["n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return back.select("doc_id", *(f"infilled.{c}" for c in columns), F.col("restored.sha256").alias("restored_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2("deduped.text", 256).alias("kept_sha256"))
+
+
 def _spans_sql(kind: str) -> str:
     """Spans of one kind: the text is split at the matches, and lengths add up to positions."""
     pattern, least = secret_scan.KINDS[kind]
@@ -132,7 +148,39 @@ MIXING_SQL = f"""
     SELECT doc_id, size, source_size, target, CAST({" + ".join(f"greatest(0, least(size, reached - start - {r} * source_size))" for r in range(mixing.ROUNDS))} AS BIGINT) AS taken FROM p
 """
 
+def _draw_sql(i: int) -> str:
+    return f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT)"
+
+
+INFILL_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u FROM d),
+    c AS (SELECT *, len(u) AS n, {_draw_sql(0)} % (len(u) + 1) AS a, {_draw_sql(1)} % (len(u) + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_draw_sql(2)} % 100 >= {infill.PLAIN_FROM} THEN 'plain'
+             WHEN {_draw_sql(3)} % 100 < {infill.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM u),
+    p AS (SELECT doc_id, n, form, t, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+        array_to_string(u[greatest(a, b) + 1:], '') AS suffix FROM c)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+    FROM p
+"""
+
+LINES_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT row, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {line_dedup.LEAST_CHARS} GROUP BY key
+        HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INTEGER)) >= {line_dedup.LEAST_DOCUMENTS}),
+    j AS (SELECT row, k.doc_id, line, i, keeper IS NULL OR k.doc_id IS NOT DISTINCT FROM keeper AS stays FROM k LEFT JOIN s USING (key))
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256
+    FROM j GROUP BY row
+"""
+
 ORACLE_SQL = {
+    "op12_fill_in_middle": INFILL_SQL,
+    "op13_line_dedup": LINES_SQL,
     "op6_secret_scan": SECRETS_SQL,
     "op8_mixing": MIXING_SQL,
     "op7_exact_topk": """
@@ -150,7 +198,7 @@ ORACLE_SQL = {
 
 
 def queries() -> dict:
-    found = [op1_html_extraction, op2_simhash, op3_byte_bpe, op4_token_files, op5_matroska, op6_secret_scan, op7_exact_topk, op8_mixing, op9_quality, op10_toxicity]
+    found = [op1_html_extraction, op2_simhash, op3_byte_bpe, op4_token_files, op5_matroska, op6_secret_scan, op7_exact_topk, op8_mixing, op9_quality, op10_toxicity, op11_whitening, op12_fill_in_middle, op13_line_dedup]
     return {f.__name__: f for f in found}
 
 

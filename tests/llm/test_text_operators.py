@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caselake.llm import bpe, html_text, matroska, mixing, quality, secret_scan, simhash, simple8b, topk, toxicity
+from caselake.llm import bpe, html_text, infill, line_dedup, matroska, mixing, quality, secret_scan, simhash, simple8b, topk, toxicity, whitening
 from caselake.llm.queries import BYTE_BPE, WORD_BPE, held_out
 
 WORDS = "the of and river stone Über naïve 12 x9 don't fox, jumps. 日本 🙂 end".split()
@@ -545,3 +545,148 @@ def test_character_counts_are_of_all_rows(spark):
     counts = toxicity.character_counts(docs)
     a, b = toxicity.CODE["a"], toxicity.CODE["b"]
     assert counts[0, a, b] == 2 and counts[b, b, b] == 9998
+
+
+# -- 11 --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["plain", "close", "equal", "low rank", "indefinite"])
+def test_spectrum_slicing_finds_what_a_dense_solver_finds(kind):
+    rng = np.random.default_rng(3)
+    q = np.linalg.qr(rng.normal(size=(30, 30)))[0]
+    values = {
+        "plain": rng.uniform(0, 5, 30), "close": 1 + 1e-9 * np.arange(30), "equal": np.repeat([3.0, 2.0, 1.0], 10),
+        "low rank": np.concatenate([rng.uniform(1, 2, 4), np.zeros(26)]), "indefinite": rng.normal(size=30),
+    }[kind]
+    a = q @ np.diag(values) @ q.T
+    a = (a + a.T) / 2
+    found, vectors = whitening.leading(a, 12)
+    assert np.allclose(found, np.sort(values)[::-1][:12], atol=1e-12)
+    assert np.allclose(vectors.T @ vectors, np.eye(12), atol=1e-12) and np.allclose(a @ vectors, vectors * found, atol=1e-12)
+    for shift in rng.normal(size=20) * 2:
+        assert whitening.positive_pivots(a - shift * np.eye(30)) == (values > shift).sum()
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, component string, n string")
+
+
+def test_whitening_of_more_dimensions_than_components(spark):
+    """Far from zero nothing cancels; a dimension that copies another adds no component."""
+    rng = np.random.default_rng(5)
+    c = (1000 + rng.normal(size=(500, 40)) @ rng.normal(size=(40, 40))).astype(np.float32)
+    c[:, 7] = c[:, 9]
+    rows = whitening.whiten(vectors_of(spark, [(i, v.tolist(), "x", "x") for i, v in enumerate(c)]).repartition(7)).collect()
+    x = np.floor(64 * c.astype(float)).astype(int) + 1_000_000
+    assert len(rows) == 500 * 32 and max(r["identity_error"] for r in rows) < 1e-9
+    values = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
+    assert all(abs(r["explained"] / (values[r["component"] - 1] / values.sum()) - 1) < 1e-9 for r in rows[:64])
+    got = np.array([r["whitened"] for r in sorted(rows, key=lambda r: (r["vec_id"], r["component"]))]).reshape(500, 32)
+    assert np.allclose(got.T @ got / 500, np.eye(32), atol=1e-9)
+
+
+def test_whitening_of_odd_tables(spark):
+    assert whitening.whiten(vectors_of(spark, [])).collect() == []
+    assert whitening.whiten(vectors_of(spark, [(1, [1.0, 2.0], "x", "x")] * 3)).collect() == []
+    huge = [(None, [3e38, 1.0], "x", "x"), (1, [-3e38, 2.0], "x", "x"), (1, [0.0, 2.0], "x", "x"), (2, [], "x", "x"), (3, [1.0], "x", "x"), (4, None, "x", "x")]
+    rows = whitening.whiten(vectors_of(spark, huge)).collect()
+    assert {r["vec_id"] for r in rows} == {None, 1} and all(r["n"] == 3 for r in rows)
+    assert {r["deviation"] is None for r in rows} == {True, False}  # beyond a long, and near the mean
+
+
+# -- 12 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_units_and_offsets_cross_steps(monkeypatch):
+    monkeypatch.setattr(infill, "STEP", 5)
+    for text in [*filter(None, texts(20)), "abcdefghijkl", "éé日本ab🙂cd", "a" * 23 + "é"]:
+        units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+        found = infill.Units(memoryview(text.encode()))
+        assert found.n == len(units)
+        for i in range(len(units) + 1):
+            head = "".join(units[:i])
+            assert found.offset(i) == len(head.encode()) and found.chars(0, found.offset(i)) == len(head)
+
+
+def test_piece_table_cuts_permutes_and_restores():
+    table = infill.PieceTable([b"abcdef", b"<>"], [infill.Piece(0, 0, 6)])
+    for at in (2, 4, 0, 6):
+        table.cut(at)
+    assert bytes(table) == b"abcdef" and len(table.pieces) == 5
+    order = [3, 0, 4, 2, 1]
+    table.arrange(order)
+    table.arrange(infill.inverse(order))
+    assert bytes(table) == b"abcdef" and table.sha256() == infill.hashlib.sha256(b"abcdef").hexdigest()
+    with pytest.raises(ValueError):
+        table.cut(7)
+    for bad in (("<a", "a>", "x"), ("ab", "b", "c"), ("aba", "x", "y"), ("", "x", "y"), ("x", "x", "y")):
+        with pytest.raises(ValueError):
+            infill.check_sentinels(bad)
+
+
+def test_fill_in_middle_keeps_rows_and_restores_texts(spark):
+    rows = [*texts(), "a <P> b", "x <S", "<S<M", "<", ">", "P><S", "w " * 200_000]
+    docs = docs_of(spark, rows)
+    cut = infill.fill_in_middle(docs, output="score", plain_from=100, suffix_first=50)
+    back = infill.restore(cut, F.col("score.output"), F.col("score.form"))
+    assert cut.columns == docs.columns and infill.fill_in_middle(empty(spark)).collect() == []
+    forms = set()
+    for r in back.collect():
+        text, s = r["text"] or "", r["score"]
+        forms.add(s["form"])
+        assert r["restored"]["text"] == text and (s["form"] == "plain") == (not text or "<P>" in text)
+        pieces = "".join((text.encode(), b"<P><S><M>")[p["buffer"]][p["start"] : p["start"] + p["length"]].decode() for p in s["pieces"])
+        assert pieces == s["output"]
+        if s["form"] != "plain":
+            assert text == text[: s["prefix_chars"]] + text[s["prefix_chars"] :] and s["output"].endswith("<M>" + text[s["prefix_chars"] :][: s["middle_chars"]])
+    assert forms == {"plain", "psm", "spm"}
+
+
+# -- 13 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_bitmaps_come_back():
+    rng = random.Random(2)
+    for n in (1, 2, 7, 300, 70_000):
+        for share in (0.01, 0.5, 1.0):
+            dropped = [i for i in range(n) if rng.random() < share] or [n - 1]
+            keep = line_dedup.decode_bitmap(line_dedup.encode_bitmap(dropped + dropped[:3]), n)
+            assert np.flatnonzero(~keep).tolist() == dropped
+    assert len(line_dedup.encode_bitmap(list(range(5, 60_000)))) == 4
+
+
+def brute_lines(rows, least=3):
+    """Kept text of each (id, text)."""
+    keyed = [[(line, line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})) for line in (t or "").split("\n")] for _, t in rows]
+    holders = {}
+    for (i, _), lines in zip(rows, keyed, strict=True):
+        for _, k in lines:
+            holders.setdefault(k, set()).add(line_dedup.NO_ID if i is None else i)
+    gone = {k: max(h) for k, h in holders.items() if len(k) >= 20 and len(h) >= least}
+    return ["\n".join(line for line, k in lines if gone.get(k, i) == (line_dedup.NO_ID if i is None else i) or k not in gone) for (i, _), lines in zip(rows, keyed, strict=True)]
+
+
+@pytest.mark.parametrize(("parts", "batch"), [(1, 10_000), (3, 4), (16, 1)])
+def test_line_dedup_over_many_ranges(spark, parts, batch, monkeypatch):
+    """One line in nearly all documents, in many ranges and batches; repeated rows; ids that are null or repeat."""
+    rng = random.Random(parts)
+    lines = [f"{'É' if i % 2 else 'E'}very line number {i:04} is long" for i in range(40)] + ["short", "", " ", "É" * 19]
+    rows = [(rng.randrange(120) if i % 11 else None, "\n".join(["  the LINE that all documents hold "] * (i % 3) + [rng.choice(lines).upper() if i % 5 else rng.choice(lines) for _ in range(rng.randint(1, 12))])) for i in range(150)]
+    rows += rows[:30] + [(7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "x", "x", i) for i, r in enumerate(rows)], "doc_id long, text string, keep string, doc string, at int").repartition(6)
+    monkeypatch.setattr(line_dedup, "small_batches", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["at"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    want = brute_lines(rows)
+    assert [got[i]["deduped"]["text"] for i in range(len(rows))] == want
+    assert all(r["deduped"]["n_lines"] - r["deduped"]["n_dropped"] == len(want[i].split("\n")) for i, r in got.items() if want[i])
+    assert got[0].asDict().keys() == {*docs.columns, "deduped"}
+
+
+def test_line_dedup_of_an_empty_table(spark):
+    assert line_dedup.dedup_lines(empty(spark)).collect() == [] and line_dedup.keep_bitmaps(empty(spark)).collect() == []
