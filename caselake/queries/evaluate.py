@@ -412,6 +412,10 @@ def streamed(spark, d, table: str):
     return reader.option("pathGlobFilter", f"{table}.parquet").load(d) if one else reader.load(path)
 
 
+#: A gap after which a case of the batch form, which knows none, would start anew.
+NEVER = "36500 days"
+
+
 def log_stream(spark, d):
     raw = streamed(spark, d, "events")
     log = events(spark, d)
@@ -432,35 +436,47 @@ def s189_stream_counts(spark, d):
 
 @query("SELECT CAST(case_id AS VARCHAR) AS case_id, tie, activity AS value, lag(activity, 1, '0') OVER w || ',' || lag(activity, 2, '0') OVER w AS prev FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY time, tie)", "ev")
 def s190_stream_context(spark, d):
-    """Context held in state by case; over the table as it stands it equals the batch form."""
+    """Context held in state by case; events come out in order of time, whatever the order of arrival."""
     at = folder(spark, "stream")
+    log, end = sl.end_of_log(log_stream(spark, d), f"{at}/end")
+    out = sl.run_to_end(sl.stream_context(log, 2, idle=NEVER), end, spark, at)
+    return out.select("case_id", "tie", "value", long_text("prev").alias("prev"))
 
-    def sink(df, i):
-        df.write.mode("overwrite").parquet(f"{at}/out/batch={i}")
 
-    sl.run_available(sl.stream_context(log_stream(spark, d), 2), at, "append", sink)
-    return spark.read.parquet(f"{at}/out").select("case_id", "tie", "value", long_text("prev").alias("prev"))
+#: Score of each event (x) under a table of half of the events, and its place in its case.
+EVENT_SCORES = (
+    CTX
+    + """, k AS (SELECT p0, p1, activity, count(*) AS n FROM c WHERE tie % 2 = 0 GROUP BY 1, 2, 3),
+    m AS (SELECT p0, p1, sum(n)::DOUBLE AS m FROM k GROUP BY 1, 2),
+    r AS (SELECT count(DISTINCT p0 || ',' || p1) / count(*) AS r FROM c WHERE tie % 2 = 0),
+    x AS (SELECT c.case_id, time, tie, ln(greatest(CASE WHEN m IS NULL THEN r ELSE (1 - r) * coalesce(n / m, r) END, 1e-10)) AS x
+        FROM c CROSS JOIN r LEFT JOIN m USING (p0, p1) LEFT JOIN k ON k.p0 = c.p0 AND k.p1 = c.p1 AND k.activity = c.activity)"""
+)
+ALERT_BELOW, ALERT_AFTER = -1.65, 3
 
 
-@query(
-    CTX + """, k AS (SELECT p0, p1, activity, count(*) AS n FROM c WHERE tie % 2 = 0 GROUP BY 1, 2, 3), m AS (SELECT p0, p1, sum(n)::DOUBLE AS m FROM k GROUP BY 1, 2), r AS (SELECT count(DISTINCT p0 || ',' || p1) / count(*) AS r FROM c WHERE tie % 2 = 0)
-    SELECT CAST(case_id AS VARCHAR) AS case_id, count(*) AS events, round(avg(ln(greatest(CASE WHEN m IS NULL THEN r ELSE (1 - r) * coalesce(n / m, r) END, 1e-10))), 6) + 0.0 AS score FROM c CROSS JOIN r LEFT JOIN m USING (p0, p1) LEFT JOIN k ON k.p0 = c.p0 AND k.p1 = c.p1 AND k.activity = c.activity GROUP BY case_id""",
-    "ev",
-)
-def s191_stream_scores(spark, d):
-    """Scores of cases over the streamed contexts, against tables of half of the events."""
+def streamed_scores(spark, d, threshold: float, least: int):
+    """Scores after each event, by two state machines in one stream, against a table of half of the events."""
     at, train = folder(spark, "stream"), context(spark, d).where("tie % 2 = 0")
     table, rate = mo.conditional_table(train, "activity", P2), mo.new_relation_rate(train, P2).first()[0]
+    log, end = sl.end_of_log(log_stream(spark, d), f"{at}/end")
+    return sl.run_to_end(sl.stream_scores(sl.stream_context(log, 2, idle=NEVER), table, rate, threshold, least, NEVER), end, spark, at)
 
-    def keep(df, i):
-        df.write.mode("overwrite").parquet(f"{at}/contexts/batch={i}")
 
-    sl.run_available(sl.stream_context(log_stream(spark, d), 2), at, "append", keep)
-    schema = spark.read.parquet(f"{at}/contexts").drop("batch").schema
-    rows = spark.readStream.schema(schema).parquet(f"{at}/contexts/*")
+@query(EVENT_SCORES + " SELECT CAST(case_id AS VARCHAR) AS case_id, count(*) AS events, round(avg(x), 6) + 0.0 AS score FROM x GROUP BY case_id", "ev")
+def s191_stream_scores(spark, d):
+    """Score of each case after its last event."""
+    last = streamed_scores(spark, d, float("-inf"), 1).groupBy("case_id").agg(F.max_by("score", "events").alias("score"), F.max("events").alias("events"))
+    return last.withColumn("score", r6("score"))
 
-    def sink(df, _):
-        df.write.mode("overwrite").parquet(f"{at}/scores")
 
-    sl.run_available(sl.stream_scores(rows, table, rate), f"{at}/second", "complete", sink)
-    return spark.read.parquet(f"{at}/scores").withColumn("score", r6("score"))
+@query(
+    EVENT_SCORES + f""", y AS (SELECT *, row_number() OVER w AS events, avg(x) OVER (PARTITION BY case_id ORDER BY time, tie ROWS UNBOUNDED PRECEDING) AS score FROM x WINDOW w AS (PARTITION BY case_id ORDER BY time, tie)),
+    z AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY events) AS i FROM y WHERE events >= {ALERT_AFTER} AND score < {ALERT_BELOW})
+    SELECT CAST(case_id AS VARCHAR) AS case_id, tie, events, round(score, 6) + 0.0 AS score FROM z WHERE i = 1""",
+    "ev",
+)
+def s191_stream_alerts(spark, d):
+    """The event of each case at which its mean score first falls below a threshold: one alert a case."""
+    alerts = streamed_scores(spark, d, ALERT_BELOW, ALERT_AFTER).where("alert")
+    return alerts.select("case_id", "tie", "events", r6("score").alias("score"))

@@ -1,64 +1,266 @@
-"""Streams of events: counts that grow, contexts held in state, scores of cases."""
+"""Streams of events: counts that grow, contexts in the order of time, scores of cases and alerts.
+
+State machines with timers in event time: events wait until the watermark has passed them, so what comes out is in order
+whatever the order of arrival; state of cases that stay idle is dropped.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from caselake.operators.model import key_of
 from caselake.plans.log import EventLog, as_category
 
+#: State machines need this store; it keeps state on disk, so cases need not fit in memory.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EVENT = "case_id string, time timestamp, tie long, value string"
+CONTEXT = f"{EVENT}, prev array<string>"
+SCORE = "case_id string, time timestamp, tie long, events long, score double, alert boolean"
+#: Time of the row that ends a log: later than all events.
+END_OF_LOG = "2200-01-01 00:00:00"
+
 
 def stream_counts(df: DataFrame, value: str, parents: list[str]) -> DataFrame:
     """(parents, value, n) as a running aggregate: update or complete output mode; the state is the table itself."""
     return df.groupBy(key_of(parents).alias("parents"), as_category(value).alias("value")).agg(F.count("*").alias("n"))
 
 
-def stream_context(log: EventLog, k: int | None = None, idle: str = "30 days", late: str = "1 day") -> DataFrame:
-    """(case, time, tie, value, prev): each event's activity and the k before it, newest first, ``0`` where there is none.
+def micros(duration: str) -> int:
+    return int(pd.Timedelta(duration).total_seconds() * 1_000_000)
 
-    State of a case is its last k activities. A case without events for ``idle`` of event time is forgotten; events later than
-    ``late`` behind the watermark may be dropped by it. Events of a case in one micro-batch are taken in the log's order.
+
+class Ordered(StatefulProcessor):
+    """Rows of a key wait in a list until the watermark has passed their time; then ``released`` gets them in order.
+
+    State: the waiting rows (time in microseconds, tie, and what a subclass needs), when the next timer is due, and when the
+    last row and the last released row were. Two kinds of timers: for the first waiting row, and for the end of a key that
+    stays idle. A key starts anew after a gap longer than ``idle``, so what comes out depends on the rows alone and not on
+    when they came.
     """
-    s, k = log.spec, log.spec.k if k is None else k
-    order = [o for o in s.order if o != s.time]
-    rows = log.df.select(F.col(s.case).cast("string").alias("case_id"), F.col(s.time).cast("timestamp").alias("time"), F.col(order[0] if order else s.case).cast("long").alias("tie"), as_category(s.activity).alias("value"))
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    waiting_schema = "time long, tie long"
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.clock = handle.getValueState("clock", "due long, last long, released long")
+
+    def rows_of(self, pdf: pd.DataFrame) -> Iterator[tuple]:
+        """The rows that are to wait, from a frame of input: (time, tie, ...)."""
+        raise NotImplementedError
+
+    def released(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def _wake(self, at: int) -> int:
+        """A timer in milliseconds, not before ``at`` in microseconds."""
+        ms = -(-at // 1000)
+        self.handle.registerTimer(ms)
+        return ms
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in self.rows_of(pdf)]
+        if key[0] is None or not new:  # the row that ends a log has no case
             return
-        last = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(frames)).sort_values(["time", "tie"])
+        self.waiting.appendList(new)
+        due, last, released = self.clock.get() if self.clock.exists() else (None, None, None)
+        first, latest = min(r[0] for r in new), max(r[0] for r in new)
+        if due is None or first < due * 1000:
+            due = self._wake(first)
+        if last is None or latest > last:
+            if last is not None:
+                self.handle.deleteTimer(-(-(last + self.idle) // 1000))
+            last = latest
+            self._wake(last + self.idle)
+        self.clock.update((due, last, released))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.clock.exists():
+            return
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, last, before = self.clock.get()
+        if due is not None and due * 1000 <= passed:
+            rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+            ready = [r for r in rows if r[0] <= passed]
+            rest = rows[len(ready) :]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            due = self._wake(rest[0][0]) if rest else None
+            self.clock.update((due, last, ready[-1][0] if ready else before))
+            run: list[tuple] = []
+            for r in ready:
+                if before is not None and r[0] - before > self.idle:
+                    if run:
+                        yield self.released(key, run)
+                    self.forget()
+                    run = []
+                run.append(r)
+                before = r[0]
+            if run:
+                yield self.released(key, run)
+        if due is None and last + self.idle <= passed:
+            self.clock.clear()
+            self.forget()
+
+    def close(self) -> None:
+        pass
+
+
+class ContextProcessor(Ordered):
+    """The k values before each event, newest first."""
+
+    waiting_schema = "time long, tie long, value string"
+
+    def __init__(self, k: int, idle: int):
+        super().__init__(idle)
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "prev array<string>")
+
+    def rows_of(self, pdf: pd.DataFrame) -> Iterator[tuple]:
+        return ((int(t), int(i), str(v)) for t, i, v in zip(pdf["micros"], pdf["tie"], pdf["value"], strict=True))
+
+    def released(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        last, prev = list(self.last.get()[0]) if self.last.exists() else [], []
+        for _, _, v in rows:
+            prev.append((last + ["0"] * self.k)[: self.k])
+            last = [v, *last][: self.k]
+        self.last.update((last,))
+        time, tie, value = zip(*rows, strict=True)
+        return pd.DataFrame({"case_id": key[0], "time": pd.to_datetime(time, unit="us"), "tie": tie, "value": value, "prev": prev})
+
+    def forget(self) -> None:
+        self.last.clear()
+
+
+class ScoreProcessor(Ordered):
+    """Running mean of the scores of a case; one alert, at the first event after ``least`` at which it is below the threshold."""
+
+    waiting_schema = "time long, tie long, x double"
+
+    def __init__(self, threshold: float, least: int, idle: int):
+        super().__init__(idle)
+        self.threshold, self.least = threshold, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sums = handle.getValueState("sums", "n long, total double, alerted boolean")
+
+    def rows_of(self, pdf: pd.DataFrame) -> Iterator[tuple]:
+        return ((int(t), int(i), float(x)) for t, i, x in zip(pdf["micros"], pdf["tie"], pdf["x"], strict=True))
+
+    def released(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        n, total, alerted = self.sums.get() if self.sums.exists() else (0, 0.0, False)
         out = []
-        for v in pdf["value"]:
-            out.append((last + ["0"] * k)[:k])
-            last = [v, *last][:k]
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(pdf["time"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame({"case_id": key[0], "time": pdf["time"], "tie": pdf["tie"], "value": pdf["value"], "prev": out})
+        for time, tie, x in rows:
+            n, total = n + 1, total + x
+            alert = not alerted and n >= self.least and total / n < self.threshold
+            alerted = alerted or alert
+            out.append((time, tie, n, total / n, alert))
+        self.sums.update((n, total, alerted))
+        time, tie, events, score, alert = zip(*out, strict=True)
+        return pd.DataFrame({"case_id": key[0], "time": pd.to_datetime(time, unit="us"), "tie": tie, "events": events, "score": score, "alert": alert})
 
-    return rows.withWatermark("time", late).groupBy("case_id").applyInPandasWithState(step, "case_id string, time timestamp, tie long, value string, prev array<string>", "last array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    def forget(self) -> None:
+        self.sums.clear()
 
 
-def stream_scores(context: DataFrame, table: DataFrame, rate: float) -> DataFrame:
-    """(case_id, events, score): running mean over a case's events of ln(score) under a conditional table of the context.
+def _ordered(rows: DataFrame, processor: Ordered, schema: str) -> DataFrame:
+    """Rows with a watermark on ``time``, by case, through a processor; its output has an event time too, so processors chain."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    by = rows.withColumn("micros", F.unix_micros("time")).groupBy("case_id")
+    return by.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName="time")
+
+
+def stream_context(log: EventLog, k: int | None = None, idle: str = "30 days", late: str = "1 day") -> DataFrame:
+    """(case, time, tie, value, prev): each event's activity and the k before it, newest first, ``0`` where there is none.
 
-    The table is static and joined to the stream; the mean is a running aggregate in the state store.
+    An event comes out once the watermark, ``late`` behind the latest event, has passed it; so contexts are those of the log in
+    order of time, however events arrive within that. Later ones are dropped. State of a case is its waiting events and
+    its last k activities; after a gap longer than ``idle`` a case starts anew, and its state is gone by then. Rows without a
+    case come out nowhere, but move the watermark: see ``end_of_log``.
     """
+    s, k = log.spec, log.spec.k if k is None else k
+    order = [o for o in s.order if o != s.time]
+    rows = log.df.select(
+        F.col(s.case).cast("string").alias("case_id"), F.col(s.time).cast("timestamp").alias("time"), F.coalesce(F.col(order[0]).cast("long"), F.lit(0)).alias("tie") if order else F.lit(0).cast("long").alias("tie"),
+        as_category(s.activity).alias("value"),
+    )
+    return _ordered(rows.withWatermark("time", late), ContextProcessor(k, micros(idle)), CONTEXT)
+
+
+def event_scores(context: DataFrame, table: DataFrame, rate: float | Column) -> DataFrame:
+    """``context`` with x, the ln of each event's score under a conditional table: joined, so it works on streams and tables."""
     exact = table.select(F.col("parents").alias("prev"), "value", "p")
     known = table.select(F.col("parents").alias("prev")).distinct().withColumn("known", F.lit(True))
     j = context.join(known, "prev", "left").join(exact, ["prev", "value"], "left")
-    score = F.when(F.col("known").isNull(), rate).otherwise((1 - rate) * F.coalesce("p", F.lit(rate)))
-    return j.groupBy("case_id").agg(F.count("*").alias("events"), F.avg(F.ln(F.greatest(score, F.lit(1e-10)))).alias("score"))
+    rate = rate if isinstance(rate, Column) else F.lit(rate)
+    score = F.when(F.col("known").isNull(), rate).otherwise((1 - rate) * F.coalesce("p", rate))
+    return j.select("case_id", "time", "tie", F.ln(F.greatest(score, F.lit(1e-10))).alias("x"))
+
+
+def stream_scores(context: DataFrame, table: DataFrame, rate: float, threshold: float = float("-inf"), least: int = 1, idle: str = "30 days") -> DataFrame:
+    """(case_id, time, tie, events, score, alert): the running mean of a case's event scores after each of its events.
 
+    ``context`` comes from ``stream_context``, whose event time goes on; the table is static and joined to the stream. ``alert``
+    is true at the first event, from the ``least``-th on, after which the mean is below the threshold: once a case. After a
+    gap longer than ``idle`` a case starts anew.
+    """
+    return _ordered(event_scores(context, table, rate), ScoreProcessor(threshold, least, micros(idle)), SCORE)
+
+
+def end_of_log(log: EventLog, folder: str) -> tuple[EventLog, Callable[[], None]]:
+    """A streamed log that can be ended: the log with the rows of ``folder``, and a function that writes one row there.
+
+    That row has no case and a time after all others, so the watermark passes every event that still waits.
+    """
+    s, spark = log.spec, log.df.sparkSession
+    fields = log.df.schema.fields
+    closing = spark.createDataFrame([(None,) * len(fields)], log.df.schema).withColumn(s.time, F.lit(END_OF_LOG).cast("timestamp").cast(log.df.schema[s.time].dataType))
+    closing.limit(0).write.mode("ignore").parquet(folder)  # the folder has to be there when the stream starts
+
+    def end() -> None:
+        closing.write.mode("append").parquet(folder)
+
+    return log.with_df(log.df.unionByName(spark.readStream.schema(log.df.schema).parquet(folder))), end
 
-def run_available(df: DataFrame, folder: str, mode: str, sink: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over what is there now, exactly once for each micro-batch, with its progress under ``folder``."""
+
+def run_available(df: DataFrame, folder: str, mode: str, sink: Callable[[DataFrame, int], None]) -> list:
+    """Run a stream over what is there now, exactly once for each micro-batch, with its progress under ``folder``.
+
+    Returns the progress of its micro-batches, state rows among it.
+    """
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q.recentProgress
+
+
+def run_to_end(df: DataFrame, end: Callable[[], None], spark: SparkSession, folder: str) -> DataFrame:
+    """Run a stream of ``end_of_log`` over what is there and once more after its end; all rows that came out, as a table."""
+    out = f"{folder}/out-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/batch=-1")
+
+    def sink(rows: DataFrame, i: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    run_available(df, folder, "append", sink)
+    end()
+    run_available(df, folder, "append", sink)
+    return spark.read.parquet(out).drop("batch")
