@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +144,16 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 UNITS = 3
 
 
+@lru_cache(1)
+def letters_that_end_in_marks() -> str:
+    """A class of the letters whose lower-case composed form is not letters only, such as U+0130 or Devanagari ones with nukta.
+
+    The tokenizer normalises before it splits, so such a letter may join the mark beside it.
+    """
+    found = (c for c in map(chr, range(128, 0x110000)) if c.isalpha() and not normalize("NFC", c.lower()).isalpha())
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in found) + "]"
+
+
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``flat[start[i] : start[i] + length[i]]`` for each i of ``pick``, put together, and their lengths."""
     lengths = length[pick]
@@ -226,8 +236,9 @@ class WordEncoder:
         kept = pc.ascii_ltrim(words, MARKS)
         core = pc.ascii_rtrim(kept, MARKS)
         whole, left, inner = (pc.binary_length(x).to_numpy() for x in (words, kept, core))
-        # a word is cut at its marks only where what is left is letters: other units may have rules across the cut
-        letters = pc.or_(pc.equal(inner, 0), pc.utf8_is_alpha(core)).to_numpy(zero_copy_only=False)
+        # a word is cut at its marks only where what is left is letters in their normal form: other units may have rules across the cut
+        alone = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring_regex(core, letters_that_end_in_marks()))
+        letters = pc.or_(pc.equal(inner, 0), alone).to_numpy(zero_copy_only=False)
         at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         before, after = np.where(letters, whole - left, 0), np.where(letters, left - inner, 0)
         edges = np.empty(UNITS * len(words) + 1, np.int64)
