@@ -24,6 +24,8 @@ SHAPES = 1 << 12
 #: model is fitted. The bound lets the ids be broadcast, so that texts are not shuffled to meet their labels.
 RATIO_ROWS = 40_000
 FIT_ROWS = 4_000
+#: The rows that are fitted have at most that many features together, so that long texts can't fill the driver.
+FIT_FEATURES = 1 << 23
 ALPHA = 1.0
 #: Training rows that must have a feature before its ratio counts.
 LEAST_ROWS = 5
@@ -31,12 +33,20 @@ COST = 1.0
 EPOCHS = 12
 SEED = 11
 
-WORD_PARTS = re.compile(r"([^\w]*)(.*?)([^\w]*)", re.S)
+MARKS_BEFORE = re.compile(r"\W*")
+
+
+def word_parts(word: str) -> tuple[str, str, str]:
+    """Marks before, middle and marks after, in time in proportion to the word."""
+    start, end = MARKS_BEFORE.match(word).end(), len(word)
+    while end > start and not (word[end - 1].isalnum() or word[end - 1] == "_"):
+        end -= 1
+    return word[:start], word[start:end], word[end:]
 
 
 def shape(word: str) -> int:
     """A small number for the shape of a word: marks before, kind of its middle and length class, marks after."""
-    before, middle, after = WORD_PARTS.fullmatch(word).groups()
+    before, middle, after = word_parts(word)
     if not middle:
         kind = "."
     elif middle.isalpha():
@@ -156,16 +166,20 @@ def scale_of(margins: np.ndarray, labels: np.ndarray) -> float:
     return a
 
 
-def score(featured: DataFrame, training: DataFrame, id_column: str = "doc_id", fit_rows: int = FIT_ROWS, output: str = "score") -> DataFrame:
+def score(featured: DataFrame, training: DataFrame, id_column: str = "doc_id", fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, output: str = "score") -> DataFrame:
     """Add ``output`` (0 to 1) to rows with ``features``, learned from ``training`` (id, label 0 or 1, features).
 
-    Ratios come from all training rows; the hinge-loss model from those of the ``fit_rows`` ids with the lowest hash, so it is
-    the same on every run. Rows of one label only, or none, make a model that knows nothing: all scores are 0.5.
+    Ratios come from all training rows; the hinge-loss model from those of the ``fit_rows`` ids with the lowest hash, in that
+    order as long as they have ``fit_features`` features together, so it is the same on every run. Rows of one label only, or none, make a model that knows nothing: all scores are 0.5.
     """
     spark = featured.sparkSession
     ratios = log_count_ratios(training)
     chosen = lowest(training.select(F.col(id_column).alias("_id")).distinct(), fit_rows, SEED)  # ids first: features are large
     sample = training.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(F.xxhash64("_id").alias("h"), "label", "features")
+    sizes = sample.groupBy("h").agg(F.sum(F.size("features")).alias("n")).toPandas().sort_values("h")  # one row an id
+    beyond = sizes.loc[sizes["n"].cumsum() > fit_features, "h"]
+    if len(beyond):
+        sample = sample.where(F.col("h") < int(beyond.min()))
     sample = sample.toPandas().sort_values(["h", "label"], kind="stable", ignore_index=True)
     labels = sample["label"].to_numpy(np.int64)
     rows = [np.asarray(x, np.int32) for x in sample["features"]]

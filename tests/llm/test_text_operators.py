@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -690,3 +691,37 @@ def test_line_dedup_over_many_ranges(spark, parts, batch, monkeypatch):
 
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(empty(spark)).collect() == [] and line_dedup.keep_bitmaps(empty(spark)).collect() == []
+
+
+# -- rules found wanting in earlier rounds -----------------------------------------------------------------------------------
+
+
+def test_letters_beside_marks_are_encoded_as_the_library_does():
+    """Every letter of the Basic Multilingual Plane below the ideographs, and presentation forms, before and after marks."""
+    encoder, tokenizer = simple8b.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    letters = [c for c in map(chr, [*range(128, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFF0)]) if c.isalpha()]
+    texts = [f"{c}. .{c} a{c}! ({c}b) \"x{c}y\"" for c in letters] + ["VERDİ. İ, ΑΣ. ΑΣ,Β", "क़. (ड़)"]
+    ids, lengths = encoder.encode(pa.array(texts, pa.string()))
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(lengths)
+    differ = [t for t, a, b, w in zip(texts, ends - lengths, ends, want, strict=True) if ids[a:b].tolist() != w]
+    assert differ == []
+
+
+def test_shapes_of_words_take_time_in_proportion():
+    pattern = re.compile(r"([^\w]*)(.*?)([^\w]*)", re.S)
+    for word in ["", "...", "a", "(a)", "a-b", "--_--", "«é»", "don't!", "1.2,", "\u0301a\u0301"]:
+        assert quality.word_parts(word) == pattern.fullmatch(word).groups()
+    began = time.perf_counter()
+    quality.shape("a" + "-" * 1_000_000 + "b")
+    assert time.perf_counter() - began < 2
+
+
+def test_fit_is_bounded_by_features(spark):
+    """Ids whose features go beyond the bound are left out, in the order of their hashes; others still teach."""
+    rows = [(i, i % 2, [10 * j + i % 2 for j in range(50)] + [5000 + i]) for i in range(60)]
+    training = spark.createDataFrame(rows, "doc_id long, label int, features array<int>")
+    full, some, none = (
+        {r["doc_id"]: r["score"] for r in quality.score(training.drop("label"), training, fit_features=n).collect()} for n in (10_000, 600, 10)
+    )
+    assert all((full[i] > 0.5) == (some[i] > 0.5) == (i % 2 == 1) for i in full) and set(none.values()) == {0.5}
