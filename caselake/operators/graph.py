@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselake.plans.log import EventLog, as_category
+from caselake.plans.order import checkpointed
 
 BEGIN, FINISH = "START", "END"
 PENALTY_ACTIVITY, PENALTY_OTHER = 0.9, 0.95
@@ -106,27 +109,108 @@ def reachable(graph: DataFrame) -> DataFrame:
     return out.groupBy("a", "type", "target").agg(F.sum("l").alias("likelihood"))
 
 
-def case_likelihood(log: EventLog, graph: DataFrame) -> DataFrame:
-    """(case, likelihood): least likelihood over the prefixes of a case, walked with penalties.
+@dataclass(frozen=True)
+class LikelihoodModel:
+    """Tables of a likelihood graph with what a walk takes where an edge is missing.
 
-    Where an edge is missing the walk goes on from the event's own nodes with the likelihood times 0.9 (activity) or 0.95
-    (resource, weekday) instead of the edge's; everywhere else it is the product of the edges. The steps are joined to the
-    edges first, so the fold over a case sees two numbers an event.
+    ``activities`` (a, miss_r, miss_w, miss_a), ``resources`` (a, r, p, miss_w, miss_a) and ``weekdays`` (a, r, w, p, miss_a) are
+    the nodes: p is the edge into a node, miss_* is (1 - Gini index) times (1 - class likelihood) of a resource, a weekday or an
+    activity that has no edge and can't be reached. ``successors`` (a, r, w, target, p) and ``begin`` (target, p) are the edges
+    into activities; ``reach_w`` and ``reach_a`` (a, target, p) sum the paths from an activity to weekdays and activities.
     """
-    s = log.spec
-    e = steps(log)
-    w = Window.partitionBy(s.case).orderBy("position")
-    prior = e.withColumns({f"p{c}": F.lag(c).over(w) for c in "arw"})
-    look = lambda kind, *on: graph.where(F.col("kind") == kind).select(*(F.col(c).alias(f"{kind}_{c}") for c in on), F.col("likelihood").alias(f"l_{kind}"))
-    j = prior.join(look("begin", "target"), F.col("a") == F.col("begin_target"), "left")
-    j = j.join(look("next", "a", "r", "w", "target"), (F.col("pa") == F.col("next_a")) & (F.col("pr") == F.col("next_r")) & (F.col("pw") == F.col("next_w")) & (F.col("a") == F.col("next_target")), "left")
-    j = j.join(look("resource", "a", "target"), (F.col("a") == F.col("resource_a")) & (F.col("r") == F.col("resource_target")), "left")
-    j = j.join(look("weekday", "a", "r", "target"), (F.col("a") == F.col("weekday_a")) & (F.col("r") == F.col("weekday_r")) & (F.col("w") == F.col("weekday_target")), "left")
-    into = F.when(F.col("position") == 1, F.col("l_begin")).otherwise(F.col("l_next"))
-    step = F.coalesce(into, F.lit(PENALTY_ACTIVITY)) * F.coalesce("l_resource", F.lit(PENALTY_OTHER)) * F.coalesce("l_weekday", F.lit(PENALTY_OTHER))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = j.select(s.case, "position", step.alias("step")).withColumn("running", F.exp(F.sum(F.ln("step")).over(run)))
-    return rows.groupBy(s.case).agg(F.min("running").alias("likelihood"))
+
+    activities: DataFrame
+    resources: DataFrame
+    weekdays: DataFrame
+    successors: DataFrame
+    begin: DataFrame
+    reach_w: DataFrame
+    reach_a: DataFrame
+
+
+def scaled_class(found: Column, total: Column) -> Column:
+    """Class likelihood: the share of ``found`` in ``total``, mirrored at one half, scaled from 1 / (total + 1) to one half."""
+    raw, low = found / total, 1 / (total + 1)
+    return F.when(total > 1, (F.when(raw > 0.5, 1 - raw).otherwise(raw) - low) / (0.5 - low)).otherwise(0.0)
+
+
+def likelihood_model(log: EventLog) -> LikelihoodModel:
+    """The tables, from a log. Class likelihoods count different values, but a weekday after a known resource counts events."""
+    e, graph = checkpointed(steps(log)), edges(log)
+    follows = F.when(F.col("next") != FINISH, F.col("next"))
+    reach = checkpointed(reachable(graph))
+    spread = gini(reach, ["a", "type"], "likelihood").groupBy("a").pivot("type", ["resource", "weekday", "activity"]).agg(F.first("gini"))
+    even = {t: 1 - F.coalesce(F.col(t), F.lit(0.0)) for t in ("resource", "weekday", "activity")}
+    totals = e.agg(F.count_distinct("r").alias("nr"), F.count_distinct("w").alias("nw"))
+    by_a = e.groupBy("a").agg(F.count_distinct("r").alias("cr"), F.count_distinct("w").alias("cw"), F.count_distinct(follows).alias("na")).join(spread, "a", "left").crossJoin(F.broadcast(totals))  # one row
+    by_a = checkpointed(by_a.select("a", *(v.alias(f"even_{t}") for t, v in even.items()), "cr", "cw", "na", "nr", "nw"))
+    miss = lambda t, found, total: (F.col(f"even_{t}") * (1 - scaled_class(found, F.col(total)))).alias(f"miss_{t[0]}")
+    activities = by_a.select("a", miss("resource", F.col("cr"), "nr"), miss("weekday", F.col("cw"), "nw"), miss("activity", F.lit(0), "na"))
+    ar = e.groupBy("a", "r").agg(F.count("*").alias("n"), F.count_distinct(follows).alias("s"))
+    p = lambda kind, *names: graph.where(F.col("kind") == kind).select(*(F.col(x).alias(y) for x, y in names), F.col("likelihood").alias("p"))
+    resources = p("resource", ("a", "a"), ("target", "r")).join(ar, ["a", "r"]).join(by_a, "a").select("a", "r", "p", miss("weekday", F.col("n"), "nw"), miss("activity", F.col("s"), "na"))
+    aw = e.groupBy("a", "w").agg(F.count_distinct(follows).alias("s")).join(by_a, "a").select("a", "w", miss("activity", F.col("s"), "na"))
+    weekdays = p("weekday", ("a", "a"), ("r", "r"), ("target", "w")).join(aw, ["a", "w"]).select("a", "r", "w", "p", "miss_a")
+    of_type = lambda t: reach.where(F.col("type") == t).select("a", "target", F.col("likelihood").alias("p"))
+    return LikelihoodModel(*map(checkpointed, (activities, resources, weekdays, p("next", ("a", "a"), ("r", "r"), ("w", "w"), ("target", "target")), p("begin", ("target", "target")), of_type("weekday"), of_type("activity"))))
+
+
+def case_likelihood(log: EventLog, model: LikelihoodModel) -> DataFrame:
+    """(case, log_likelihood): ln of the least likelihood over the prefixes of a case, walked through the graph.
+
+    A walk keeps the last node (start, activity, activity with resource, or with weekday too), the last activity (none after an
+    unknown one) and the likelihood L. For each value of an event (activity, resource, weekday): if an edge leads from the
+    last node to it, L takes the edge's likelihood; else, with a last activity, the summed likelihood of paths from there to
+    the value, or (1 - Gini)(1 - class likelihood) if there are none, times 0.9 (activity) or 0.95; else L is squared and takes
+    that factor alone. Known activities become the last node, unknown ones leave it as it is.
+
+    Nodes only depend on what is known, so windows find them: the last known activity, the first resource since then that has
+    an edge, the first weekday since then. Edges are joined once for each kind. The steps are L -> L^(2^d) f, so with c the
+    sum of d, ln L = 2^c sum(ln f / 2^c): running sums too, and no case is folded in one place. Likelihood zero is null.
+    """
+    s, w = log.spec, Window.partitionBy(log.spec.case).orderBy("position")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    e = steps(log).select(s.case, "position", "a", "r", "w").join(model.activities, "a", "left")
+    known = F.col("miss_r").isNotNull()
+    e = e.withColumn("known", known).withColumns({"run": F.count(F.when(F.col("known"), 1)).over(so_far), "a0": F.last(F.when(F.col("known"), F.col("a")), True).over(so_far)})
+    run = Window.partitionBy(s.case, "run").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = lambda df, names, values: df.select(*(F.col(x).alias(f"_{y}") for x, y in names.items()), F.struct(*(F.col(v) for v in values)).alias("_found"))
+
+    def look(rows: DataFrame, df: DataFrame, names: dict[str, str], values: list[str], out: str) -> DataFrame:
+        """``rows`` with a struct of ``values``, null where ``df`` has no row for the columns that ``names`` maps to."""
+        on = [F.col(y) == F.col(f"_{y}") for y in names.values()]
+        return rows.join(keyed(df, names, values), on, "left").drop(*(f"_{y}" for y in names.values())).withColumnRenamed("_found", out)
+
+    e = look(e, model.resources, {"a": "a0", "r": "r"}, ["p", "miss_w", "miss_a"], "to_r")
+    first = lambda found, *columns: F.first(F.when(F.col(found).isNotNull(), F.struct(*columns)), True).over(run)
+    e = e.withColumn("at_r", first("to_r", F.col("r"), F.col("to_r.miss_w"), F.col("to_r.miss_a"), F.col("position"))).withColumn("r0", F.col("at_r.r"))
+    e = look(e, model.weekdays, {"a": "a0", "r": "r0", "w": "w"}, ["p", "miss_a"], "to_w")
+    e = e.withColumn("at_w", first("to_w", F.col("w"), F.col("to_w.miss_a"), F.col("position")))
+    e = look(e, model.reach_w, {"a": "a0", "target": "w"}, ["p"], "by_w")
+    before = lambda c: F.lag(c).over(w)
+    leave = F.coalesce(F.col("at_w.miss_a"), F.col("at_r.miss_a"), F.col("miss_a"))
+    e = e.withColumns({"la": before("a0"), "lr": before("r0"), "lw": before(F.col("at_w.w")), "last": before(F.when(F.col("known"), F.col("a"))), "leave": before(F.when(F.col("known"), leave))})
+    e = look(e, model.successors, {"a": "la", "r": "lr", "w": "lw", "target": "a"}, ["p"], "to_a")
+    e = look(e, model.begin, {"target": "a"}, ["p"], "to_first")
+    e = look(e, model.reach_a, {"a": "last", "target": "a"}, ["p"], "by_a")
+    into = F.when(F.col("la").isNull(), F.col("to_first.p")).otherwise(F.col("to_a.p"))
+    missing_a = F.coalesce(F.col("by_a.p"), F.col("leave")) * PENALTY_ACTIVITY
+    new_r = F.col("at_r.position") == F.col("position")  # the edge to the resource is taken at this event
+    new_w = F.col("at_w.position") == F.col("position")
+    missing_w = F.coalesce(F.col("by_w.p"), F.col("at_r.miss_w"), F.col("miss_w")) * PENALTY_OTHER
+    factors = [  # what is multiplied, and whether the likelihood is squared before
+        (F.coalesce(into, missing_a, F.lit(PENALTY_ACTIVITY)), into.isNull() & F.col("last").isNull()),
+        (F.when(new_r, F.col("to_r.p")).when(F.col("known"), F.col("miss_r") * PENALTY_OTHER).otherwise(PENALTY_OTHER), ~F.coalesce(new_r, F.lit(False)) & ~F.col("known")),
+        (F.when(new_w, F.col("to_w.p")).when(F.col("known"), missing_w).otherwise(PENALTY_OTHER), ~F.coalesce(new_w, F.lit(False)) & ~F.col("known")),
+    ]
+    d, b = F.lit(0), F.lit(0.0)
+    for f, squared in factors:
+        twice = squared.cast("int")
+        d, b = d + twice, b * (1 + twice) + F.when(f > 0, F.ln(f)).otherwise(float("-inf"))
+    e = e.select(s.case, "position", d.alias("d"), b.alias("b")).withColumn("c", F.least(F.sum("d").over(so_far), F.lit(1000)))
+    running = F.pow(F.lit(2.0), F.col("c")) * F.sum(F.col("b") * F.pow(F.lit(2.0), -F.col("c"))).over(so_far)
+    least = F.least(F.min("running"), F.lit(0.0))
+    return e.withColumn("running", running).groupBy(s.case).agg(F.when(least > float("-inf"), least).alias("log_likelihood"))
 
 
 def per_case(log: EventLog, f, schema: str) -> DataFrame:

@@ -267,34 +267,78 @@ def s084_reachable_nodes(spark, d):
     return gr.reachable(gr.edges(events(spark, d))).withColumn("likelihood", r6("likelihood"))
 
 
-CASE = (
-    PATHS
-    + """, f AS (SELECT q.case_id, q.position, coalesce(CASE WHEN q.position = 1 THEN b.likelihood ELSE n.likelihood END, 0.9) * coalesce(x.likelihood, 0.95) * coalesce(y.likelihood, 0.95) AS step FROM q
-    LEFT JOIN h b ON b.kind = 'begin' AND b.target = q.a LEFT JOIN h n ON n.kind = 'next' AND n.a = q.pa AND n.r = q.pr AND n.w = q.pw AND n.target = q.a
-    LEFT JOIN h x ON x.kind = 'resource' AND x.a = q.a AND x.target = q.r LEFT JOIN h y ON y.kind = 'weekday' AND y.a = q.a AND y.r = q.r AND y.target = q.w)"""
-)
-TRAIN_GRAPH = """, s2 AS (SELECT * FROM s WHERE case_id % 2 = 0), h AS (SELECT DISTINCT 'begin' AS kind, NULL::VARCHAR AS a, NULL::VARCHAR AS r, NULL::VARCHAR AS w, a AS target, 1.0::DOUBLE AS likelihood FROM s2 WHERE position = 1
-    UNION ALL SELECT 'resource', a, NULL, NULL, r, count(*) / sum(count(*)) OVER (PARTITION BY a) FROM s2 GROUP BY a, r
-    UNION ALL SELECT 'weekday', a, r, NULL, w, count(*) / sum(count(*)) OVER (PARTITION BY a, r) FROM s2 GROUP BY a, r, w
-    UNION ALL SELECT 'next', a, r, w, next, l FROM (SELECT a, r, w, next, count(*) / sum(count(*)) OVER (PARTITION BY a, r, w) AS l FROM s2 GROUP BY a, r, w, next) WHERE next <> 'END')"""
+def _class(found: str, total: str) -> str:
+    """Class likelihood, see ``graph.scaled_class``."""
+    raw = f"(CAST({found} AS DOUBLE) / {total})"
+    return f"CASE WHEN {total} > 1 THEN (CASE WHEN {raw} > 0.5 THEN 1 - {raw} ELSE {raw} END - 1 / ({total} + 1.0)) / (0.5 - 1 / ({total} + 1.0)) ELSE 0 END"
+
+
+def _walk(train: str) -> str:
+    """All cases of the log walked, event by event, through the graph of the rows of ``ev`` for which ``train`` holds."""
+    return STEPS.replace("WITH s AS", "WITH RECURSIVE s AS") + f""",
+    t AS (SELECT case_id, row_number() OVER w AS position, activity AS a, 'r_' || resource AS r, 'wd_' || CAST(isodow(time) - 1 AS VARCHAR) AS w, lead(activity) OVER w AS next
+        FROM ev WHERE {train} WINDOW w AS (PARTITION BY case_id ORDER BY time, tie)),
+    gr AS (SELECT a, r, count(*) / sum(count(*)) OVER (PARTITION BY a) AS p, count(*) AS n, count(DISTINCT next) AS s FROM t GROUP BY a, r),
+    gw AS (SELECT a, r, w, count(*) / sum(count(*)) OVER (PARTITION BY a, r) AS p FROM t GROUP BY a, r, w),
+    ga AS (SELECT * FROM (SELECT a, r, w, next AS target, count(*) / sum(count(*)) OVER (PARTITION BY a, r, w) AS p FROM t GROUP BY a, r, w, next) WHERE target IS NOT NULL),
+    gb AS (SELECT DISTINCT a AS target, 1.0::DOUBLE AS p FROM t WHERE position = 1),
+    aw AS (SELECT a, w, count(DISTINCT next) AS s FROM t GROUP BY a, w),
+    re AS (SELECT a, 'r' AS type, r AS target, p FROM gr
+        UNION ALL SELECT gr.a, 'w', gw.w, sum(gr.p * gw.p) FROM gr JOIN gw USING (a, r) GROUP BY gr.a, gw.w
+        UNION ALL SELECT gr.a, 'a', target, sum(gr.p * gw.p * ga.p) FROM gr JOIN gw USING (a, r) JOIN ga USING (a, r, w) GROUP BY gr.a, target),
+    gi AS (SELECT a, type, 1 - sum((2 * i - n - 1) * p) / (any_value(n) * sum(p)) AS even
+        FROM (SELECT *, row_number() OVER (PARTITION BY a, type ORDER BY p) AS i, count(*) OVER (PARTITION BY a, type) AS n FROM re) GROUP BY a, type),
+    ac AS (SELECT a, count(DISTINCT r) AS cr, count(DISTINCT w) AS cw, count(DISTINCT next) AS na FROM t GROUP BY a),
+    al AS (SELECT count(DISTINCT r) AS nr, count(DISTINCT w) AS nw FROM t),
+    m AS (SELECT ac.a, na, nw, coalesce(gia.even, 1) AS ea, coalesce(giw.even, 1) AS ew, coalesce(gir.even, 1) * (1 - ({_class("cr", "nr")})) AS miss_r, coalesce(giw.even, 1) * (1 - ({_class("cw", "nw")})) AS miss_w
+        FROM ac CROSS JOIN al LEFT JOIN gi gia ON gia.a = ac.a AND gia.type = 'a' LEFT JOIN gi giw ON giw.a = ac.a AND giw.type = 'w' LEFT JOIN gi gir ON gir.a = ac.a AND gir.type = 'r'),
+    walk AS (
+        SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS position, NULL::VARCHAR AS a0, NULL::VARCHAR AS r0, NULL::VARCHAR AS w0, NULL::VARCHAR AS last, CAST(0 AS DOUBLE) AS l, CAST(0 AS DOUBLE) AS least FROM s
+        UNION ALL
+        SELECT case_id, position, a0, r0, w0, last, l3, least(least, l3) FROM (
+            SELECT *, CASE WHEN to_w THEN ln(pw) + l2 WHEN last IS NULL THEN 2 * l2 + ln(0.95)
+                ELSE ln(0.95 * coalesce(reach_w, CASE WHEN r0 IS NULL THEN miss_w ELSE ew * (1 - ({_class("n_ar", "nw")})) END)) + l2 END AS l3
+            FROM (SELECT y.*, y.w0_before IS NULL AND gw.p IS NOT NULL AS to_w, gw.p AS pw, coalesce(y.w0_before, CASE WHEN gw.p IS NOT NULL THEN y.w END) AS w0, re.p AS reach_w, gr.n AS n_ar
+                FROM (SELECT x.*, CASE WHEN r0_before IS NULL AND gr.p IS NOT NULL THEN ln(gr.p) + l1 WHEN last IS NULL THEN 2 * l1 + ln(0.95) ELSE ln(0.95 * miss_r) + l1 END AS l2, coalesce(r0_before, CASE WHEN gr.p IS NOT NULL THEN x.r END) AS r0
+                    FROM (SELECT s.case_id, s.position, s.a, s.r, s.w, k.least, here.miss_r, here.miss_w, here.ew, here.nw, here.a AS last, coalesce(here.a, k.a0) AS a0,
+                            CASE WHEN here.a IS NULL THEN k.r0 END AS r0_before, CASE WHEN here.a IS NULL THEN k.w0 END AS w0_before,
+                            CASE WHEN coalesce(CASE WHEN k.a0 IS NULL THEN gb.p END, ga.p) IS NOT NULL THEN ln(coalesce(CASE WHEN k.a0 IS NULL THEN gb.p END, ga.p)) + k.l
+                                WHEN k.last IS NULL THEN 2 * k.l + ln(0.9)
+                                ELSE ln(0.9 * coalesce(re.p, there.ea * (1 - (CASE WHEN k.w0 IS NOT NULL THEN {_class("aw.s", "there.na")} WHEN k.r0 IS NOT NULL THEN {_class("ar.s", "there.na")} ELSE {_class("0", "there.na")} END)))) + k.l END AS l1
+                        FROM walk k JOIN s ON s.case_id = k.case_id AND s.position = k.position + 1 LEFT JOIN m here ON here.a = s.a LEFT JOIN m there ON there.a = k.last
+                        LEFT JOIN gb ON gb.target = s.a LEFT JOIN ga ON ga.a = k.a0 AND ga.r = k.r0 AND ga.w = k.w0 AND ga.target = s.a
+                        LEFT JOIN re ON re.a = k.last AND re.type = 'a' AND re.target = s.a LEFT JOIN aw ON aw.a = k.last AND aw.w = k.w0 LEFT JOIN gr ar ON ar.a = k.last AND ar.r = k.r0) x
+                    LEFT JOIN gr ON gr.a = x.a0 AND gr.r = x.r) y
+                LEFT JOIN gw ON gw.a = y.a0 AND gw.r = y.r0 AND gw.w = y.w LEFT JOIN re ON re.a = y.last AND re.type = 'w' AND re.target = y.w LEFT JOIN gr ON gr.a = y.a0 AND gr.r = y.r0))),
+    f AS (SELECT case_id, CASE WHEN isfinite(min(least)) THEN min(least) END AS log_likelihood FROM walk GROUP BY case_id)"""
+
+
+TRAINED, UNSEEN = "case_id % 2 = 0", "case_id % 2 = 0 AND activity <> 'purchase' AND CAST(resource AS INTEGER) % 3 > 0"
+
+
+def walked(spark, d, train: str):
+    log = events(spark, d)
+    return gr.case_likelihood(log, gr.likelihood_model(log.with_df(log.df.where(train))))
 
 
-@query(CASE.replace(", f AS (SELECT q.case_id", TRAIN_GRAPH + ", f AS (SELECT q.case_id") + " SELECT case_id, round(sum(ln(step)), 6) + 0.0 AS log_likelihood FROM f GROUP BY case_id", "ev")
+@query(_walk(TRAINED) + " SELECT case_id, round(log_likelihood, 6) + 0.0 AS log_likelihood FROM f", "ev")
 def s101_case_likelihood(spark, d):
     """Cases walked through the graph of half of the cases, with penalties where an edge is missing."""
-    log = events(spark, d)
-    out = gr.case_likelihood(log, gr.edges(log.with_df(log.df.where("case_id % 2 = 0"))))
-    return out.select("case_id", r6(F.ln("likelihood")).alias("log_likelihood"))
+    return walked(spark, d, TRAINED).withColumn("log_likelihood", r6("log_likelihood"))
 
 
-@query(CASE.replace(", f AS (SELECT q.case_id", TRAIN_GRAPH + ", f AS (SELECT q.case_id") + ", k AS (SELECT case_id, round(sum(ln(step)), 6) AS l FROM f GROUP BY case_id) SELECT case_id, row_number() OVER (ORDER BY l, case_id) AS rank FROM k ORDER BY l, case_id LIMIT 10", "ev")
+@query(_walk(UNSEEN) + " SELECT case_id, round(log2(1 - log_likelihood), 6) + 0.0 AS depth FROM f", "ev")
+def s101_unseen_values(spark, d):
+    """The same where an activity and a third of the resources are unknown: likelihoods are squared, so their logarithm is large."""
+    return walked(spark, d, UNSEEN).select("case_id", r6(F.log2(1 - F.col("log_likelihood"))).alias("depth"))
+
+
+@query(_walk(TRAINED) + ", k AS (SELECT case_id, round(log_likelihood, 6) AS l FROM f) SELECT case_id, row_number() OVER (ORDER BY l, case_id) AS rank FROM k ORDER BY l, case_id LIMIT 10", "ev")
 def s102_case_ranking(spark, d):
     """The ten least likely cases (102, 156)."""
-    log = events(spark, d)
-    out = gr.case_likelihood(log, gr.edges(log.with_df(log.df.where("case_id % 2 = 0"))))
     from pyspark.sql import Window
 
-    top = out.select("case_id", F.round(F.ln("likelihood"), 6).alias("l")).orderBy("l", "case_id").limit(10)
+    top = walked(spark, d, TRAINED).select("case_id", F.round("log_likelihood", 6).alias("l")).orderBy("l", "case_id").limit(10)
     return top.select("case_id", F.row_number().over(Window.orderBy("l", "case_id")).cast("long").alias("rank"))
 
 

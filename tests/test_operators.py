@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,10 +144,103 @@ def test_graph_edges_and_penalties(spark):
     log = log_of(spark, [("c1", "a", "r1"), ("c1", "b", "r1"), ("c2", "a", "r2"), ("c2", "b", "r1")])
     g = graph.edges(log)
     assert table(g.where("kind = 'resource'"), "a", "target", "likelihood") == [("a", "r_r1", 0.5), ("a", "r_r2", 0.5), ("b", "r_r1", 1.0)]
-    known = {r.case_id: r.likelihood for r in graph.case_likelihood(log, g).collect()}
-    assert known["c1"] == pytest.approx(0.5)
-    odd = graph.case_likelihood(log_of(spark, [("x", "b", "r9")]), g).first()["likelihood"]
-    assert odd == pytest.approx(0.9 * 0.95 * 0.95)
+    m = graph.likelihood_model(log)
+    known = {r.case_id: r.log_likelihood for r in graph.case_likelihood(log, m).collect()}
+    assert known["c1"] == pytest.approx(math.log(0.5))
+    odd = graph.case_likelihood(log_of(spark, [("x", "z", "r9"), ("x", "z", "r9")]), m).first()["log_likelihood"]
+    last = 0.0
+    for pun in (0.9, 0.95, 0.95) * 2:  # nothing is known: squared each time
+        last = 2 * last + math.log(pun)
+    assert odd == pytest.approx(last)
+
+
+class Walk:
+    """Likelihood graph of (case, a, r, w) rows as dictionaries; one case at a time, step by step."""
+
+    def __init__(self, cases):
+        rows = [(a, r, w, c[i + 1][0] if i + 1 < len(c) else None) for c in cases for i, (a, r, w) in enumerate(c)]
+        share = lambda pairs: {(x, y): n / sum(m for (z, _), m in pairs.items() if z == x) for (x, y), n in pairs.items()}
+        self.rows = rows
+        self.edges = {("START", c[0][0]): 1.0 for c in cases}
+        self.edges |= {((a,), r): p for (a, r), p in share(Counter((a, r) for a, r, _, _ in rows)).items()}
+        self.edges |= {((a, r), w): p for ((a, r), w), p in share(Counter(((a, r), w) for a, r, w, _ in rows)).items()}
+        self.edges |= {(x, n): p for (x, n), p in share(Counter(((a, r, w), n) for a, r, w, n in rows)).items() if n}
+
+    def reached(self, a, depth):
+        """Value -> summed likelihood of paths of a length from an activity."""
+        out = Counter()
+        for (n1, r), p1 in self.edges.items():
+            if n1 == (a,):
+                if depth == 1:
+                    out[r] += p1
+                for (n2, w), p2 in self.edges.items():
+                    if n2 == (a, r) and depth > 1:
+                        if depth == 2:
+                            out[w] += p1 * p2
+                        else:
+                            for (n3, x), p3 in self.edges.items():
+                                if n3 == (a, r, w):
+                                    out[x] += p1 * p2 * p3
+        return out
+
+    def class_likelihood(self, depth, a, node):
+        own = [x for x in self.rows if x[0] == a]
+        if depth == 1:
+            total, found = len({x[1] for x in self.rows}), len({x[1] for x in own})
+        elif depth == 2:
+            total = len({x[2] for x in self.rows})
+            found = len([x for x in own if x[1] == node[1]]) if len(node) == 2 else len({x[2] for x in own})
+        else:
+            total = len({x[3] for x in own} - {None})
+            same = [x for x in own if len(node) == 2 and x[1] == node[1] or len(node) == 3 and x[2] == node[2]]
+            found = len({x[3] for x in same} - {None})
+        if total < 2:
+            return 0.0
+        raw = found / total
+        return ((1 - raw if raw > 0.5 else raw) - 1 / (total + 1)) / (0.5 - 1 / (total + 1))
+
+    def score(self, case):
+        node, last, log_l, least = "START", None, 0.0, 0.0
+        known = {x[0] for x in self.rows}
+        for event in case:
+            for i, f in enumerate(event):
+                depth, pun = i or 3, 0.95 if i else 0.9
+                if (node, f) in self.edges:
+                    p = self.edges[node, f]
+                    node = (f,) if i == 0 else (*node, f)
+                    log_l += math.log(p)
+                elif last is None:
+                    log_l = 2 * log_l + math.log(pun)
+                else:
+                    there = self.reached(last, depth)
+                    x = sorted(there.values())
+                    gini = sum((2 * j - len(x) - 1) * v for j, v in enumerate(x, 1)) / (len(x) * sum(x)) if x else 0.0
+                    p = there[f] if f in there else (1 - gini) * (1 - self.class_likelihood(depth, last, node))
+                    log_l += math.log(p * pun) if p > 0 else -math.inf
+                if i == 0:
+                    last = f if f in known else None
+                    node = (f,) if f in known else node
+            least = min(least, log_l)
+        return None if least == -math.inf else least
+
+
+def test_walks_through_the_graph_step_by_step(spark):
+    """Unknown activities, resources, and both, in random cases; against a walk in Python."""
+    rng = random.Random(4)
+    cases = lambda n, acts, res: [[(rng.choice(acts), f"r_{rng.choice(res)}", rng.randrange(7)) for _ in range(rng.randint(1, 8))] for _ in range(n)]
+
+    def log(found):
+        monday = dt.datetime(2024, 1, 1)
+        data = [(c, a, r[2:], monday + dt.timedelta(days=7 * i + w), i) for c, events in enumerate(found) for i, (a, r, w) in enumerate(events)]
+        df = spark.createDataFrame(data, "case_id long, activity string, resource string, time timestamp_ntz, tie long")
+        return EventLog(df, LogSpec(order=("tie",), resource="resource", categorical=("activity", "resource")))
+
+    train, test = cases(25, "abcd", "123"), cases(60, "abcdez", "1234") + cases(5, "z", "123") + cases(5, "a", "9")
+    named = lambda found: [[(a, r, f"wd_{w}") for a, r, w in c] for c in found]
+    walk = Walk(named(train))
+    got = {r["case_id"]: r["log_likelihood"] for r in graph.case_likelihood(log(test), graph.likelihood_model(log(train))).collect()}
+    want = {i: walk.score(c) for i, c in enumerate(named(test))}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-12) if want[i] is not None else got[i] is None for i in want)
 
 
 def test_two_sample_distance_at_a_jump(spark):
