@@ -3,44 +3,136 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselake.functions.columns import log_space
-from caselake.operators.model import key_of
+from caselake.operators.model import FLOOR, key_of
+from caselake.plans.order import checkpointed
 
 #: A group with that many training rows or fewer uses the density of all rows.
 LEAST_ROWS = 20
 NORMAL = math.sqrt(2 * math.pi)
+#: Cost of a categorical parent by the number of numeric columns.
+COMPLEXITY = (4, 19, 67, 223, 768, 2790, 10700, 43700, 187000, 842000)
 
 
-def grid(train: DataFrame, column: str, parents: list[str], delta: float) -> DataFrame:
-    """(key, bin, n, total): training values rounded to multiples of ``delta``, of each parent tuple and (key null) of all."""
-    rows = train.where(F.col(column).isNotNull()).select(key_of(parents).alias("key"), F.round(F.col(column) / delta).cast("long").alias("bin"))
-    bins = rows.groupBy("key", "bin").agg(F.count("*").alias("n"))
+Numbers = float | list[float]
+
+
+def _each(value: Numbers, columns: list[str]) -> list[float]:
+    return list(value) if isinstance(value, (list, tuple)) else [value] * len(columns)
+
+
+def _list(columns: str | list[str]) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def _present(columns: list[str]) -> Column:
+    """All columns hold a number."""
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns))
+
+
+def _places(columns: list[str], delta: Numbers) -> list[Column]:
+    return [F.round(F.col(c).cast("double") / d).cast("long") for c, d in zip(columns, _each(delta, columns), strict=True)]
+
+
+def grid(train: DataFrame, column: str | list[str], parents: list[str], delta: Numbers) -> DataFrame:
+    """(key, bin, n, total): training values rounded to multiples of ``delta``, of each parent tuple and (key null) of all.
+
+    Of one column ``bin`` is a long, of several an array. Rows that lack a number are left out.
+    """
+    columns = _list(column)
+    places = _places(columns, delta)
+    rows = train.where(_present(columns)).select(key_of(parents).alias("key"), (F.array(*places) if len(columns) > 1 else places[0]).alias("bin"))
+    return with_totals(rows.groupBy("key", "bin").agg(F.count("*").alias("n")))
+
+
+def with_totals(bins: DataFrame) -> DataFrame:
+    """A grid from counts (key, bin, n) of parent tuples."""
     all_ = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("array<string>").alias("key"), "bin", "n")
     bins = bins.unionByName(all_)
     return bins.join(bins.groupBy("key").agg(F.sum("n").alias("total")).withColumnRenamed("key", "k2"), F.col("key").eqNullSafe(F.col("k2"))).drop("k2")
 
 
-def log_density(df: DataFrame, bins: DataFrame, column: str, parents: list[str], keys: list[str], bandwidth: float, delta: float) -> DataFrame:
-    """(keys, log_density): ln of the kernel density of each row's value, in its parents' group if that is large enough.
+def add_density(df: DataFrame, bins: DataFrame, column: str | list[str], parents: list[str], bandwidth: Numbers, delta: Numbers, output: str) -> DataFrame:
+    """``df`` with the kernel density of each row's values, in its parents' group if that is large enough, else of all rows.
 
-    Kernels reach 8 bandwidths, so a row meets (16 bandwidth / delta) bins at most, by an equi-join on the bin; values that are
-    further from all training values get ln(1e-10). Rows with one key and value are computed once.
+    Kernels reach 8 bandwidths in each dimension; further off the density is null, as it is where a value is missing. Cells are
+    gathered in blocks as wide as that reach, so a row meets the cells of 3 blocks a dimension by an equi-join on blocks, and
+    those out of reach are discarded before kernels are summed. Rows of equal values are computed once.
     """
-    reach = math.ceil(8 * bandwidth / delta)
-    rows = df.select(*keys, F.col(column).alias("x"), key_of(parents).alias("key"))
-    large = bins.where(F.col("key").isNotNull() & (F.col("total") > LEAST_ROWS)).select("key").distinct().withColumn("large", F.lit(True))
-    ask = rows.select("x", "key").where("x IS NOT NULL").distinct().join(large, "key", "left").withColumn("g", F.when(F.col("large"), F.col("key")))
-    near = ask.withColumn("bin", F.explode(F.sequence(F.round(F.col("x") / delta).cast("long") - reach, F.round(F.col("x") / delta).cast("long") + reach)))
+    columns = _list(column)
+    deltas, widths = _each(delta, columns), _each(bandwidth, columns)
+    reach = [max(1, math.ceil(8 * h / d)) for h, d in zip(widths, deltas, strict=True)]
     text = lambda c: F.coalesce(F.to_json(c), F.lit(""))
-    met = near.withColumn("_g", text("g")).join(bins.select(text("key").alias("_g"), "bin", "n", "total"), ["_g", "bin"])
-    z = (F.col("x") - F.col("bin") * delta) / bandwidth
-    dens = met.groupBy("x", "key").agg((F.sum(F.col("n") * F.exp(-z * z / 2)) / F.first("total") / (bandwidth * NORMAL)).alias("d"))
-    joined = rows.join(dens, ["x", "key"], "left")
-    return joined.select(*keys, F.ln(F.greatest(F.coalesce("d", F.lit(0.0)), F.lit(1e-10))).alias("log_density"))
+    names = [f"_x{i}" for i in range(len(columns))]
+    rows = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, columns, strict=True)} | {"_key": key_of(parents)})
+    large = bins.where(F.col("key").isNotNull() & (F.col("total") > LEAST_ROWS)).select(F.col("key").alias("_key")).distinct().withColumn("_large", F.lit(True))
+    ask = rows.where(_present(names)).select(*names, "_key").distinct().join(large, "_key", "left").withColumn("_g", text(F.when(F.col("_large"), F.col("_key"))))
+    cells = bins.select(text("key").alias("_g"), *((F.col("bin")[i] if len(columns) > 1 else F.col("bin")).alias(f"_b{i}") for i in range(len(columns))), "n", "total")
+    near = ask
+    for i, (r, d) in enumerate(zip(reach, deltas, strict=True)):
+        cells = cells.withColumn(f"_block{i}", F.floor(F.col(f"_b{i}") / r))
+        near = near.withColumn(f"_c{i}", F.round(F.col(names[i]) / d).cast("long"))
+        near = near.withColumn(f"_block{i}", F.explode(F.sequence(F.floor((F.col(f"_c{i}") - r) / r), F.floor((F.col(f"_c{i}") + r) / r))))
+    met = near.join(cells, ["_g", *(f"_block{i}" for i in range(len(columns)))])
+    for i, r in enumerate(reach):
+        met = met.where(F.abs(F.col(f"_c{i}") - F.col(f"_b{i}")) <= r)
+    squares = sum((F.pow((F.col(n) - F.col(f"_b{i}") * d) / h, F.lit(2.0)) for i, (n, d, h) in enumerate(zip(names, deltas, widths, strict=True))), F.lit(0.0))
+    area = math.prod(h * NORMAL for h in widths)
+    found = met.groupBy(*names, "_key").agg((F.sum(F.col("n") * F.exp(-squares / 2)) / F.first("total") / area).alias(output))
+    return rows.join(found, [*names, "_key"], "left").drop(*names, "_key")
+
+
+def ln_floor(density: Column) -> Column:
+    return F.ln(F.greatest(F.coalesce(density, F.lit(0.0)), F.lit(FLOOR)))
+
+
+def log_density(df: DataFrame, bins: DataFrame, column: str | list[str], parents: list[str], keys: list[str], bandwidth: Numbers, delta: Numbers) -> DataFrame:
+    """(keys, log_density): ln of ``add_density``, at least ln(1e-10)."""
+    found = add_density(df.select(*dict.fromkeys([*keys, *_list(column), *parents])), bins, column, parents, bandwidth, delta, "_density")
+    return found.select(*keys, ln_floor(F.col("_density")).alias("log_density"))
+
+
+@dataclass(frozen=True)
+class NumericNode:
+    """A numeric attribute with numeric and categorical parents: p(x | numeric, categorical) = p(x, numeric) / p(numeric).
+
+    Both densities are of the same categorical group. ``joint`` and ``marginal`` are grids; widths and deltas stand in the order
+    of the numeric parents, the attribute last.
+    """
+
+    name: str
+    continuous: list[str]
+    discrete: list[str]
+    joint: DataFrame
+    marginal: DataFrame | None
+    widths: list[float]
+    deltas: list[float]
+
+    def add_score(self, df: DataFrame, output: str | None = None) -> DataFrame:
+        """``df`` with ``score_<name>``: ln of the conditional density, at least ln(1e-10), also where a value is missing."""
+        output = output or f"score_{self.name}"
+        out = add_density(df, self.joint, [*self.continuous, self.name], self.discrete, self.widths, self.deltas, "_joint")
+        if self.marginal is None:
+            return out.withColumn(output, ln_floor(F.col("_joint"))).drop("_joint")
+        out = add_density(out, self.marginal, self.continuous, self.discrete, self.widths[:-1], self.deltas[:-1], "_marginal")
+        return out.withColumn(output, ln_floor(F.try_divide("_joint", "_marginal"))).drop("_joint", "_marginal")
+
+
+def numeric_node(train: DataFrame, name: str, continuous: list[str], discrete: list[str], bandwidth: Numbers, delta: Numbers) -> NumericNode:
+    """Learn the grids of an attribute; the marginal one is the joint one summed over the attribute."""
+    columns = [*continuous, name]
+    joint = checkpointed(grid(train, columns, discrete, delta))
+    marginal = None
+    if continuous:
+        head = F.slice("bin", 1, len(continuous)) if len(continuous) > 1 else F.col("bin")[0]
+        marginal = checkpointed(with_totals(joint.where("key IS NOT NULL").groupBy("key", head.alias("bin")).agg(F.sum("n").alias("n"))))
+    return NumericNode(name, continuous, discrete, joint, marginal, _each(bandwidth, columns), _each(delta, columns))
 
 
 def choose_bandwidth(train: DataFrame, column: str, delta: float, low: float = -1.0, high: float = 1.5, n: int = 20, folds: int = 2) -> DataFrame:
@@ -68,3 +160,28 @@ def numeric_score(df: DataFrame, column: str, parents: list[str], keys: list[str
     """One row: sum of log-densities of the training rows under their own density, and the number of parent groups."""
     bins = grid(df, column, parents, delta)
     return log_density(df, bins, column, parents, keys, bandwidth, delta).agg(F.sum("log_density").alias("loglik")).join(bins.where("key IS NOT NULL").agg(F.count_distinct("key").alias("complexity")))
+
+
+def complexity(numeric: int, categorical: int) -> int:
+    """What a numeric node costs in a search, by its number of numeric columns (itself included) and categorical parents."""
+    return categorical * COMPLEXITY[min(numeric, len(COMPLEXITY) - 1)]
+
+
+def family_score(df: DataFrame, name: str, continuous: list[str], discrete: list[str], bandwidth: Numbers, delta: Numbers, weight: str | None = None) -> float:
+    """Local score of a numeric node: ln of the conditional densities of its training rows, summed, less ``complexity``.
+
+    ``df`` may be counts of rows, if ``weight`` names the count.
+    """
+    n = F.col(weight) if weight else F.lit(1)
+    columns, rows = [*continuous, name], df.where(_present([*continuous, name]))
+    places = _places(columns, delta)
+    counts = rows.select(key_of(discrete).alias("key"), (F.array(*places) if len(columns) > 1 else places[0]).alias("bin"), n.alias("n")).groupBy("key", "bin").agg(F.sum("n").alias("n"))
+    joint = with_totals(checkpointed(counts))
+    marginal = None
+    if continuous:
+        head = F.slice("bin", 1, len(continuous)) if len(continuous) > 1 else F.col("bin")[0]
+        marginal = with_totals(joint.where("key IS NOT NULL").groupBy("key", head.alias("bin")).agg(F.sum("n").alias("n")))
+    node = NumericNode(name, continuous, discrete, joint, marginal, _each(bandwidth, columns), _each(delta, columns))
+    scored = node.add_score(rows.groupBy(*dict.fromkeys([*columns, *discrete])).agg(F.sum(n).alias("_n")), "_score")
+    total = scored.agg(F.sum(F.col("_n") * F.col("_score"))).first()[0] or 0.0
+    return total - complexity(len(columns), len(discrete))

@@ -99,9 +99,13 @@ def score_events(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:
 
     Functional parents: 1 - v if the child is as expected, the parent's value is unknown or "no event"; else v. Conditional
     table: the rate r of new parent tuples if the tuple is unknown; (1-r) r if only the value is; else (1-r) p; 1 without
-    parents. Value: the rate of new values if unknown, else 1 minus it. Scoring changes nothing in the model.
+    parents. Value: the rate of new values if unknown, else 1 minus it. Numeric nodes (``density.NumericNode``) add the ln of
+    their conditional density. Scoring changes nothing in the model.
     """
     for node in nodes.values():
+        if not isinstance(node, Node):
+            df = node.add_score(df)
+            continue
         c, parts = as_category(node.name), []
         for d, table in node.dependency_tables.items():
             v = F.lit(node.violations[d])

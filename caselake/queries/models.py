@@ -14,7 +14,7 @@ from caselake.operators import predict as pd_
 from caselake.operators import prepare as pr
 from caselake.operators import replay as rp
 from caselake.plans.order import checkpointed, with_index
-from caselake.queries.common import dialog, events, folder, long_text, ordering, r6
+from caselake.queries.common import dialog, events, folder, long_text, ordering, r6, shipping
 from caselake.registry import query
 
 P2 = ["activity_Prev0", "activity_Prev1"]
@@ -191,6 +191,55 @@ def s094_log_density(spark, d):
     return density.log_density(df.where("tie % 2 = 1"), bins, "value", ["activity"], ["tie"], H, DELTA).withColumn("log_density", r6("log_density"))
 
 
+def _conditional(rows: str, test: str, train: str, columns: list[str], widths: list[float], deltas: list[float]) -> str:
+    """ln p(last column | the others), each by an exact cross join of test rows and training cells."""
+    bin_ = lambda c, d: f"CAST(round({c} / {d}) AS BIGINT)"
+
+    def sums(k: int, name: str) -> str:
+        cells = ", ".join(f"{bin_(c, d)} AS b{i}" for i, (c, d) in enumerate(zip(columns[:k], deltas, strict=False)))
+        squares = " + ".join(f"pow((q.{c} - b{i} * {d}) / {h}, 2)" for i, (c, d, h) in enumerate(zip(columns[:k], deltas, widths, strict=False)))
+        within = " AND ".join(f"abs({bin_('q.' + c, d)} - b{i}) <= {math.ceil(8 * h / d)}" for i, (c, d, h) in enumerate(zip(columns[:k], deltas, widths, strict=False)))
+        area = math.prod(h * math.sqrt(2 * math.pi) for h in widths[:k])
+        return f"""{name}c AS (SELECT activity, {cells}, count(*) AS n FROM tr GROUP BY ALL), {name}t AS (SELECT activity, sum(n)::DOUBLE AS total FROM {name}c GROUP BY activity),
+    {name} AS (SELECT q.tie, sum(n * exp(-({squares}) / 2)) / any_value(total) / CAST({area} AS DOUBLE) AS d FROM te q JOIN {name}c USING (activity) JOIN {name}t USING (activity) WHERE {within} GROUP BY q.tie)"""
+
+    full = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return f"""WITH rows_ AS ({rows}), tr AS (SELECT * FROM rows_ WHERE {train} AND {full}), te AS (SELECT * FROM rows_ WHERE {test} AND {full}), {sums(len(columns), "j")}, {sums(len(columns) - 1, "k")}
+    SELECT rows_.tie, round(ln(greatest(coalesce(j.d / k.d, 0), 1e-10)), 6) + 0.0 AS log_density FROM rows_ LEFT JOIN j USING (tie) LEFT JOIN k USING (tie) WHERE {test}"""
+
+
+TWO_PARENTS, WIDTHS, DELTAS = ["value_Prev0", "value_Prev1", "value"], [12.0, 12.0, 9.0], [4.0, 4.0, 3.0]
+
+
+def lagged_values(spark, d):
+    """Events with the values of the two events before them."""
+    log = events(spark, d)
+    w = log.window()
+    return log.df.select("tie", "activity", "value", *(F.lag("value", i + 1).over(w).alias(f"value_Prev{i}") for i in range(2)))
+
+
+@query(_conditional("SELECT tie, activity, value, lag(value, 1) OVER w AS value_Prev0, lag(value, 2) OVER w AS value_Prev1 FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY time, tie)", "tie % 2 = 1", "tie % 2 = 0", TWO_PARENTS, WIDTHS, DELTAS), "ev")
+def s094_two_continuous_parents(spark, d):
+    """The value given the two before it, numeric parents, and the activity, a categorical one."""
+    df = lagged_values(spark, d)
+    node = density.numeric_node(df.where("tie % 2 = 0"), "value", TWO_PARENTS[:2], ["activity"], WIDTHS, DELTAS)
+    return node.add_score(df.where("tie % 2 = 1"), "log_density").select("tie", r6("log_density").alias("log_density"))
+
+
+#: Lines of a few orders are asked; equal ones once.
+ASKED = "activity || '|' || CAST(quantity AS BIGINT) || '|' || CAST(round(price * 100) AS BIGINT)"
+ONE_ROWS = f"SELECT DISTINCT ON (tie) * FROM (SELECT *, {ASKED} AS tie FROM sh WHERE case_id % 40 = 1) UNION ALL SELECT *, NULL FROM sh WHERE case_id % 40 <> 1"
+
+
+@query(_conditional(ONE_ROWS, "tie IS NOT NULL", "tie IS NULL", ["quantity", "price"], [1.5, 900.0], [0.5, 300.0]).replace("rows_ AS (", "rows_ AS (SELECT tie, activity, quantity::DOUBLE AS quantity, price::DOUBLE AS price FROM (", 1).replace("), tr AS", ")), tr AS", 1), "sh")
+def s094_one_continuous_parent(spark, d):
+    """The price given the quantity, as part of event scores: a numeric node of the shipping log beside a categorical one (97)."""
+    df = shipping(spark, d).df.selectExpr("case_id % 40 = 1 AS asked", "activity", "cast(quantity AS double) AS quantity", "cast(price AS double) AS price")
+    train, test = df.where("NOT asked"), df.where("asked").withColumn("tie", F.expr(ASKED)).dropDuplicates(["tie"])
+    nodes = mo.train(train, {"activity": ([], [])}) | {"price": density.numeric_node(train, "price", ["quantity"], ["activity"], [1.5, 900.0], [0.5, 300.0])}
+    return mo.score_events(test, nodes).select("tie", r6("score_price").alias("log_density"))
+
+
 @query(None)
 def s095_choose_bandwidth(spark, d):
     return density.choose_bandwidth(events(spark, d).df.select("tie", "value"), "value", 2.0)

@@ -306,6 +306,33 @@ def test_density_of_a_far_value_is_the_floor(spark):
     assert out[2] == pytest.approx(math.log(1e-10)) and out[1] > math.log(0.2)
 
 
+@pytest.mark.parametrize("continuous", [[], ["u"], ["u", "v"]])
+def test_conditional_density_equals_the_sum_over_all_training_rows(spark, continuous):
+    """Values on the grid, so that cells are exact; a group too small for a density of its own; missing values; event scores."""
+    rng = random.Random(len(continuous))
+    rows = [(i, rng.choice("ab") if i else "rare", float(rng.randint(0, 12)), float(rng.randint(-5, 5)), float(rng.randint(-9, 9))) for i in range(150)]
+    rows += [(200, "a", 1000.0, 0.0, 0.0), (201, "a", None, 0.0, 0.0), (202, "b", 1.0, float("nan"), 0.0), (203, "unknown", 3.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, u double, v double")
+    widths, columns = [0.6, 0.5, 0.7][-len(continuous) - 1 :], [*continuous, "x"]
+    node = density.numeric_node(df.where("id < 150"), "x", continuous, ["g"], widths, 1.0)
+    got = {r["id"]: r["score_x"] for r in model.score_events(df, {"x": node}).collect()}
+    at = {"x": 2, "u": 3, "v": 4}
+
+    def dens(row, names, hs):
+        group = [r for r in rows[:150] if r[1] == row[1]]
+        group = group if len(group) > density.LEAST_ROWS else rows[:150]
+        kernel = lambda r: math.prod(math.exp(-(((row[at[c]] - r[at[c]]) / h) ** 2) / 2) / (h * density.NORMAL) if abs(row[at[c]] - r[at[c]]) <= math.ceil(8 * h) else 0 for c, h in zip(names, hs, strict=True))
+        return sum(map(kernel, group)) / len(group)
+
+    for row in rows:
+        values = [row[at[c]] for c in columns]
+        if any(v is None or math.isnan(v) for v in values):
+            assert got[row[0]] == pytest.approx(math.log(1e-10))
+            continue
+        below = dens(row, continuous, widths[:-1]) if continuous else 1.0
+        assert got[row[0]] == pytest.approx(math.log(max(dens(row, columns, widths) / below, 1e-10)) if below else math.log(1e-10), abs=1e-9)
+
+
 def test_edit_distance():
     assert osa_distance("ab", "ba") == 1 and osa_distance("abc", "abc") == 0 and osa_distance("", "abc") == 3 and osa_distance("ca", "abc") == 3
 
