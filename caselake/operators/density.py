@@ -176,7 +176,7 @@ def family_score(df: DataFrame, name: str, continuous: list[str], discrete: list
     columns, rows = [*continuous, name], df.where(_present([*continuous, name]))
     places = _places(columns, delta)
     counts = rows.select(key_of(discrete).alias("key"), (F.array(*places) if len(columns) > 1 else places[0]).alias("bin"), n.alias("n")).groupBy("key", "bin").agg(F.sum("n").alias("n"))
-    joint = with_totals(checkpointed(counts))
+    joint = with_totals(counts)
     marginal = None
     if continuous:
         head = F.slice("bin", 1, len(continuous)) if len(continuous) > 1 else F.col("bin")[0]

@@ -17,14 +17,15 @@ from caselake.plans.order import checkpointed, with_index
 UNKNOWN = "0"
 
 
-def backoff_tables(df: DataFrame, value: str, parents: list[str]) -> DataFrame:
+def backoff_tables(df: DataFrame, value: str, parents: list[str], weight: str | None = None) -> DataFrame:
     """(mask, key, value, n, p): distributions of ``value`` given every subset of the parents.
 
     Bit i of ``mask`` says that parent i is used; ``key`` holds the used parents' values, others null. Rows are first counted
-    by all parents, then rolled up to the subsets by one pass of grouping sets over the counts.
+    by all parents (or ``weight``, if ``df`` holds counts, is summed), then rolled up to the subsets by one pass of grouping sets
+    over the counts.
     """
     names = [f"p{i}" for i in range(len(parents))]
-    counts = df.groupBy(*(as_category(p).alias(n) for p, n in zip(parents, names, strict=True)), as_category(value).alias("value")).agg(F.count("*").alias("m"))
+    counts = df.groupBy(*(as_category(p).alias(n) for p, n in zip(parents, names, strict=True)), as_category(value).alias("value")).agg((F.sum(weight) if weight else F.count("*")).alias("m"))
     subsets = [s for r in range(len(names) + 1) for s in combinations(names, r)]
     sets = counts.groupingSets([[F.col("value"), *map(F.col, s)] for s in subsets], *names, "value").agg(F.sum("m").alias("n"), F.grouping_id().alias("g"))
     size = len(names)

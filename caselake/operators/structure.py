@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations, count
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselake.operators.context import k_context
+from caselake.operators.density import NumericNode, numeric_node
 from caselake.operators.model import Node, train
-from caselake.operators.stats import counts_by_sets, functional_dependencies
+from caselake.operators.statistics import CountStore, Family, columns_of, family, likelihoods, named_counts, search
+from caselake.operators.stats import functional_dependencies
 from caselake.plans.log import EventLog, as_category
 from caselake.plans.order import checkpointed
 
@@ -22,14 +24,8 @@ def family_scores(df: DataFrame, families: list[tuple[str, tuple[str, ...]]], we
     All families come from one pass over the rows, or over counts of them if ``weight`` names the count. ``parents`` is a
     comma-joined sorted list.
     """
-    families = list(dict.fromkeys((n, tuple(sorted(p))) for n, p in families))
-    sets = list(dict.fromkeys(tuple(sorted({n, *p})) for n, p in families))
-    place = {s: i for i, s in enumerate(sets)}
-    wanted = [(place[s], n, ",".join(p), [s.index(c) for c in p]) for n, p in families for s in [tuple(sorted({n, *p}))]]
-    table = df.sparkSession.createDataFrame(wanted, "of int, node string, parents string, at array<int>")  # one row a family
-    rows = counts_by_sets(df, sets, weight).join(F.broadcast(table), "of").select("node", "parents", F.transform("at", lambda i: F.get("cells", i)).alias("key"), "n")
-    given = rows.groupBy("node", "parents", "key").agg(F.sum(F.col("n") * F.ln("n")).alias("s"), F.sum("n").alias("m"))
-    return given.groupBy("node", "parents").agg((F.sum("s") - F.sum(F.col("m") * F.ln("m"))).alias("loglik"), F.count("*").alias("tuples"))
+    families = [family(n, p) for n, p in families]
+    return likelihoods(named_counts(df, list(dict.fromkeys(map(columns_of, families))), weight), families)
 
 
 def edge_deltas(df: DataFrame, parents: dict[str, tuple[str, ...]], candidates: list[tuple[str, str]]) -> DataFrame:
@@ -64,26 +60,22 @@ def learn(df: DataFrame, allowed: list[tuple[str, str]], start: list[tuple[str,
     """
     columns = sorted({c for e in (*allowed, *start, *fixed) for c in e})
     counts = checkpointed(df.groupBy(*(as_category(c).alias(c) for c in columns)).agg(F.count("*").alias("_rows")))
-    edges: set[tuple[str, str]] = {*start, *fixed}
-    memo: dict[tuple[str, tuple[str, ...]], float] = {}
-
-    def of(node: str) -> tuple[str, ...]:
-        return tuple(sorted(a for a, b in edges if b == node))
-
-    for _ in count() if most is None else range(most):
-        parents = {b: {a for a, c in edges if c == b} for _, b in (*allowed, *edges)}
-        moves = [(a, b) for a, b in allowed if (a, b) in edges and (a, b) not in fixed or (a, b) not in edges and not creates_cycle(parents, a, b)]
-        families = {(b, of(b)) for _, b in moves} | {(b, tuple(sorted({*of(b)} ^ {a}))) for a, b in moves}
-        missing = [f for f in families if f not in memo]
-        if missing:
-            for r in family_scores(counts, missing, "_rows").collect():
-                memo[r["node"], tuple(filter(None, r["parents"].split(",")))] = r["loglik"] - r["tuples"]
-        gains = [(memo[b, tuple(sorted({*of(b)} ^ {a}))] - memo[b, of(b)], a, b) for a, b in moves]
-        best = max(gains, key=lambda g: (g[0], g[1], g[2]), default=(0.0, "", ""))
-        if best[0] <= GAIN:
-            break
-        edges ^= {best[1:]}
-    return sorted(edges)
+
+    def score(families: list[Family]) -> dict[Family, float]:
+        found = family_scores(counts, families, "_rows").collect()  # one row a family
+        return {family(r["node"], filter(None, r["parents"].split(","))): r["loglik"] - r["tuples"] for r in found}
+
+    return search(score, allowed, creates_cycle, start, fixed, most, GAIN)
+
+
+def learn_from_counts(store: CountStore, allowed: list[tuple[str, str]], start: list[tuple[str, str]] = (), fixed: list[tuple[str, str]] = (), most: int | None = None) -> list[tuple[str, str]]:
+    """The search of ``learn`` over a store of counts, which may hold numeric columns.
+
+    A numeric node takes numeric and categorical parents, and moves of its edges are scored by conditional densities; a
+    categorical node takes categorical parents only.
+    """
+    possible = [(a, b) for a, b in allowed if a not in store.numeric or b in store.numeric]
+    return search(store.scores, possible, creates_cycle, start, fixed, most, GAIN)
 
 
 def model_score(df: DataFrame, parents: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -135,6 +127,39 @@ def generate_model(log: EventLog, only_activity: bool = False, threshold: float
     return train(df, structure), edges, dependencies
 
 
+def mixed_context(log: EventLog, numeric: list[str]) -> DataFrame:
+    """The context of all attributes and of numeric columns, whose earlier values are null where there are none."""
+    s, w = log.spec, log.window()
+    df = k_context(log, columns=log.attributes())
+    return df.withColumns({f"{c}_Prev{i}": F.lag(c, i + 1).over(w) for c in numeric for i in range(s.k)})
+
+
+def mixed_edges(log: EventLog, numeric: list[str]) -> list[tuple[str, str]]:
+    """Edges that a search over mixed nodes may use: those of ``allowed_edges``, and into each numeric column from its own and
+    other numeric columns' earlier values, other numeric columns, and attributes of the event."""
+    into = [(f"{p}_Prev{i}", c) for c in numeric for p in numeric for i in range(log.spec.k)]
+    same = [(p, c) for c in numeric for p in (*numeric, *log.attributes()) if p != c]
+    return allowed_edges(log.attributes(), log.spec.k) + into + same
+
+
+def generate_mixed_model(log: EventLog, numeric: dict[str, tuple[float, float]]) -> tuple[dict[str, Node | NumericNode], list[tuple[str, str]]]:
+    """Nodes and edges of a model with numeric columns, each given with a bandwidth and a cell width. The rows are counted once;
+    the search works on counts. ``model.score_events`` takes the nodes on rows of ``mixed_context``."""
+    df = checkpointed(mixed_context(log, list(numeric)))
+    widths = {f"{c}{x}": v for c, v in numeric.items() for x in ("", *(f"_Prev{i}" for i in range(log.spec.k)))}
+    allowed = mixed_edges(log, list(numeric))
+    store = CountStore(df.sparkSession, {c for e in allowed for c in e}, widths)
+    store.add(df)
+    edges = learn_from_counts(store, allowed)
+    parents = {c: [a for a, b in edges if b == c] for c in (*log.attributes(), *numeric)}
+    nodes = train(df, {a: (parents[a], []) for a in log.attributes()})
+    for c in numeric:
+        continuous, discrete = ([p for p in parents[c] if (p in widths) == kind] for kind in (True, False))
+        h, d = zip(*(widths[x] for x in (*continuous, c)), strict=True)
+        nodes[c] = numeric_node(df, c, continuous, discrete, list(h), list(d))
+    return nodes, edges
+
+
 def update_model(log: EventLog, edges: list[tuple[str, str]], dependencies: list[tuple[str, str]], only_activity: bool = False) -> tuple[dict[str, Node], list[tuple[str, str]]]:
     """The search started from the old edges on new data, and all tables learned again."""
     attributes = log.attributes()

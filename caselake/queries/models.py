@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from caselake.operators import model as mo
 from caselake.operators import predict as pd_
 from caselake.operators import prepare as pr
 from caselake.operators import replay as rp
+from caselake.operators.statistics import CountStore
+from caselake.plans.log import EventLog
 from caselake.plans.order import checkpointed, with_index
 from caselake.queries.common import dialog, events, folder, long_text, ordering, r6, shipping
 from caselake.registry import query
@@ -175,6 +178,23 @@ def s092_update_model(spark, d):
     return spark.createDataFrame([(a, b) for a, b in edges], "parent string, child string")
 
 
+#: Numeric columns of the shipping log: bandwidth and width of a cell.
+SHIPPED = {"quantity": (4.0, 2.0), "price": (4000.0, 2000.0)}
+
+
+def shipped(spark, d):
+    log = shipping(spark, d)
+    numbers = {c: F.col(c).cast("double") for c in SHIPPED}
+    return EventLog(log.df.withColumns(numbers), replace(log.spec, categorical=("activity",), k=1))
+
+
+@query(None)
+def s090_mixed_search(spark, d):
+    """Edges among activities, quantities and prices; numeric nodes are scored by conditional densities (90, 96)."""
+    _, edges = structure.generate_mixed_model(shipped(spark, d), SHIPPED)
+    return spark.createDataFrame(edges, "parent string, child string")
+
+
 # -- numeric densities ---------------------------------------------------------------------------------------------------
 
 H, DELTA = 4.0, 1.0
@@ -327,20 +347,21 @@ def s106_predict_then_relearn(spark, d):
 
     All weeks after the first are predicted; any attribute's history may be a parent.
     """
+    # the weeks before are in the store as counts, so a week costs its own rows, which are read twice
     df = checkpointed(context(spark, d).withColumn("batch", F.weekofyear("time")))
     weeks = [r[0] for r in df.select("batch").distinct().orderBy("batch").collect()]  # calendar weeks
     log = events(spark, d)
     allowed = [(f"{a}_Prev{i}", "activity") for a in log.attributes() for i in range(log.spec.k)]
-
-    def update(edges, w):
-        return structure.learn(df.where(F.col("batch") <= w), allowed, start=edges)
-
-    def test(edges, w):
-        parents = [a for a, _ in edges]
-        accuracy = me.accuracy(pd_.next_event(df.where(F.col("batch") < w), df.where(F.col("batch") == w), "activity", parents, ["tie"]))
-        return checkpointed(accuracy.withColumn("batch", F.lit(w)).withColumn("parents", F.lit(",".join(parents))))
-
-    return rp.replay(weeks[1:], update([], weeks[0]), test, update)[0]
+    store, edges, at = CountStore(spark, {c for e in allowed for c in e}), [], folder(spark, "weeks")
+    for i, w in enumerate(weeks):
+        week, parents = df.where(F.col("batch") == w), [a for a, _ in edges]
+        if i:
+            tables = pd_.backoff_tables(store.counts(["activity", *parents]), "activity", parents, "_rows")
+            found = pd_.results(week, pd_.predict(week, tables, parents, ["tie"]), "activity", ["tie"])
+            me.accuracy(found).select(F.lit(w).alias("batch"), F.lit(",".join(parents)).alias("parents"), "accuracy").write.mode("append").parquet(at)
+        store.add(week)
+        edges = structure.learn_from_counts(store, allowed, start=edges)
+    return spark.read.schema("batch int, parents string, accuracy double").parquet(at)
 
 
 @query(None)

@@ -6,12 +6,13 @@ import random
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions.columns import osa_distance, parse_time
 from caselake.operators import context as cx
-from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, stats, structure
+from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, statistics, stats, structure
 from caselake.plans.log import EventLog, LogSpec, column_kinds
 from caselake.plans.order import with_index, with_running
 from caselake.queries import models
@@ -292,6 +293,119 @@ def test_search_finds_a_true_parent_and_cycles_are_seen(spark):
     assert structure.without_cycles([("a", "b"), ("b", "a"), ("a", "c"), ("b", "c")]) == [("a", "b"), ("a", "c"), ("b", "c")]
 
 
+def brute_score(rows, node, parents):
+    """Log-likelihood less parent tuples of a categorical family, from rows as dictionaries."""
+    pairs = Counter((tuple(r[p] for p in sorted(parents)), r[node]) for r in rows)
+    given = Counter(tuple(r[p] for p in sorted(parents)) for r in rows)
+    return sum(n * math.log(n / given[g]) for (g, _), n in pairs.items()) - len(given)
+
+
+def brute_search(score, allowed, start=()):
+    """Greedy search, one move at a time."""
+    edges, memo = set(start), {}
+
+    def of(node, change=None):
+        parents = frozenset({a for a, b in edges if b == node} ^ ({change} if change else set()))
+        if (node, parents) not in memo:
+            memo[node, parents] = score(node, parents)
+        return memo[node, parents]
+
+    while True:
+        ways = lambda a, b: a == b or any(ways(y, b) for x, y in edges if x == a)
+        moves = [(a, b) for a, b in allowed if (a, b) in edges or not ways(b, a)]
+        gain, *edge = max(((round(of(b, a) - of(b), 6), a, b) for a, b in moves), default=(0.0,))
+        if gain <= 1e-10:
+            return sorted(edges)
+        edges ^= {tuple(edge)}
+
+
+def as_text(df, columns):
+    return [{c: "nan" if r[c] is None else str(r[c]) for c in columns} for r in df.collect()]
+
+
+def test_counts_grow_by_batches_and_roll_up(spark):
+    rng = random.Random(6)
+    data = [(rng.choice("ab"), rng.choice("xyz"), rng.choice([None, "u"]), rng.randint(0, 3), i % 3) for i in range(300)]
+    df = spark.createDataFrame(data, "a string, b string, c string, d int, batch int")
+    store = statistics.CountStore(spark, "abcd")
+    for i in range(3):
+        store.add(df.where(F.col("batch") == i))
+        store.ensure([("a", "b"), ("a",)] if i == 0 else [("a", "b", "c")])
+        so_far = df.where(F.col("batch") <= i)
+        rows = as_text(so_far, "abcd")
+        families = [("a", ("b",)), ("b", ()), ("c", ("a", "b")), ("d", ("a", "b", "c"))][: 2 + i]
+        assert store.scores(families) == pytest.approx({f: brute_score(rows, *f) for f in families})
+    assert table(store.counts(["b", "d"]), "b", "d", "_rows") == sorted((b, d, n) for (b, d), n in Counter((r["b"], r["d"]) for r in as_text(df, "bd")).items())
+
+
+def test_generated_and_updated_models_equal_a_search_in_python(spark):
+    sf = "/root/testdata/sf0.001"
+    log = models.ordering(spark, sf)
+    attributes = log.attributes()
+    rows = as_text(cx.k_context(log.with_df(log.df, k=1), columns=attributes), [*attributes, *(f"{a}_Prev0" for a in attributes)])
+    score = lambda node, parents: brute_score(rows, node, parents)
+    allowed = structure.allowed_edges(attributes, 1)
+    found = models.s086_generate_model(spark, sf).collect()
+    assert not [r for r in found if r["kind"] == "functional"]
+    assert sorted((r["parent"], r["child"]) for r in found) == brute_search(score, allowed)
+    updated = models.s092_update_model(spark, sf).collect()
+    assert sorted((r["parent"], r["child"]) for r in updated) == brute_search(score, allowed, [("activity_Prev0", "activity")])
+
+
+def test_mixed_search_equals_a_search_in_python(spark):
+    """Numeric and categorical nodes; densities by sums over all pairs of rows."""
+    rng = np.random.default_rng(8)
+    n = 160
+    g = rng.choice(["a", "b"], n)
+    x = np.round(np.where(g == "a", 0, 12) + rng.normal(size=n) * 2)
+    y = np.round(x + rng.normal(size=n) * 1.5)
+    z = np.round(rng.normal(size=n) * 3)
+    h = rng.choice(["p", "q"], n)
+    df = spark.createDataFrame([(str(i), str(j), *map(float, v)) for i, j, *v in zip(g, h, x, y, z, strict=True)], "g string, h string, x double, y double, z double")
+    values, labels, width = {"x": x, "y": y, "z": z}, {"g": g, "h": h}, 1.5
+    allowed = [(a, b) for a in "ghxyz" for b in "ghxyz" if a != b]
+    store = statistics.CountStore(spark, "gh", {c: (width, 1.0) for c in "xyz"})
+    store.add(df.limit(50))
+    store.add(df.exceptAll(df.limit(50)))
+    rows = [dict(zip("gh", r, strict=True)) for r in zip(g, h, strict=True)]
+
+    def score(node, parents):
+        if node in labels:
+            return brute_score(rows, node, parents)
+        continuous, discrete = sorted(p for p in parents if p in values), sorted(p for p in parents if p in labels)
+        same = np.ones((n, n), bool)
+        for p in discrete:
+            same &= labels[p][:, None] == labels[p][None]
+        same |= (same.sum(1) <= density.LEAST_ROWS)[:, None]
+
+        def dens(columns):
+            k = np.ones((n, n))
+            for c in columns:
+                d = values[c][:, None] - values[c][None]
+                k *= np.exp(-((d / width) ** 2) / 2) / (width * density.NORMAL) * (np.abs(d) <= math.ceil(8 * width))
+            return (k * same).sum(1) / same.sum(1)
+
+        below = dens(continuous) if continuous else 1.0
+        return float(np.log(np.maximum(dens([*continuous, node]) / below, 1e-10)).sum()) - density.complexity(len(continuous) + 1, len(discrete))
+
+    for f in [("x", ()), ("x", ("g",)), ("y", ("x",)), ("y", ("g", "x")), ("z", ("x", "y"))]:
+        assert store.scores([f])[f] == pytest.approx(score(f[0], f[1]))
+    possible = [(a, b) for a, b in allowed if a in labels or b in values]
+    edges = structure.learn_from_counts(store, allowed)
+    assert edges == brute_search(score, possible) and {("x", "y"), ("y", "x")} & set(edges)
+
+
+def test_mixed_models_score_events(spark):
+    sf = "/root/testdata/sf0.001"
+    log = models.shipped(spark, sf)
+    nodes, edges = structure.generate_mixed_model(log, models.SHIPPED)
+    assert ("quantity", "price") in edges or ("price", "quantity") in edges
+    scored = model.score_events(structure.mixed_context(log, list(models.SHIPPED)), nodes)
+    columns = model.score_columns(scored)
+    assert columns == ["score_activity", "score_quantity", "score_price"]
+    assert scored.count() == log.df.count() and scored.where(" OR ".join(f"{c} IS NULL" for c in columns)).count() == 0
+
+
 def test_injection_is_repeatable_and_labelled(spark):
     log = log_of(spark, [(f"c{i // 4}", "xyzw"[i % 4]) for i in range(80)])
     one, two = (inject.inject(log, 0.5).orderBy("tie").collect() for _ in range(2))
@@ -360,6 +474,37 @@ def test_relearning_replays_all_weeks_with_all_history(spark):
     weeks = [r[0] for r in models.context(spark, sf).select(F.weekofyear("time")).distinct().collect()]
     assert sorted(r["batch"] for r in out) == sorted(weeks)[1:]
     assert any("resource_Prev" in r["parents"] for r in out)
+    columns = ["activity", *(f"{a}_Prev{i}" for a in ("activity", "resource") for i in range(2))]
+    df = models.context(spark, sf).withColumn("batch", F.weekofyear("time"))
+    rows = [(r["batch"], {c: "nan" if r[c] is None else str(r[c]) for c in columns}) for r in df.collect()]
+    edges, parents_of = [], {}
+    for w in sorted(weeks):
+        parents_of[w] = [a for a, _ in edges]
+        past = [r for b, r in rows if b <= w]
+        edges = brute_search(lambda node, parents, past=past: brute_score(past, node, parents), [(c, "activity") for c in columns[1:]], edges)
+    for r in out:
+        parents = parents_of[r["batch"]]
+        assert r["parents"] == ",".join(parents)
+        past, week = ([x for b, x in rows if (b < r["batch"] if before else b == r["batch"])] for before in (True, False))
+        assert r["accuracy"] == pytest.approx(sum(brute_next(past, x, parents) == x["activity"] for x in week) / len(week))
+
+
+def brute_next(past, row, parents):
+    """The likeliest activity: given all parents, or those seen, or the mean over each one left out."""
+
+    def given(used):
+        counts = Counter(x["activity"] for x in past if all(x[p] == row[p] for p in used))
+        return {v: n / sum(counts.values()) for v, n in counts.items()}
+
+    exact = given(parents)
+    if not exact:
+        seen = [p for p in parents if any(x[p] == row[p] for x in past)]
+        parts = [given(seen)] if len(seen) < len(parents) else [given([q for q in parents if q != p]) for p in parents]
+        exact = Counter()
+        for part in parts:
+            for v, p in part.items():
+                exact[v] += p / len(parts)
+    return min(exact, key=lambda v: (-round(exact[v], 12), v), default="0")
 
 
 def test_suffixes_are_rolled_step_by_step(spark):
