@@ -3,7 +3,6 @@
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,55 +41,6 @@ def equal_width_bin(x: str, low: Column, high: Column, bins: int) -> Column:
     return F.when((F.col(x) < low) | (F.col(x) > high), None).when(high == low, F.lit(0).cast("long")).otherwise(F.least(bin_, F.lit(bins - 1).cast("long")))
 
 
-def osa_distance(a: list, b: list, cost=None) -> float:
-    """Edit distance with insertions, deletions, substitutions and swaps of neighbours (each place edited once).
-
-    ``cost(i, j)`` is the price of keeping equal items a[i], b[j], 0 if not given.
-    """
-    before, last = None, list(map(float, range(len(b) + 1)))
-    for i, x in enumerate(a):
-        row = [i + 1.0]
-        for j, y in enumerate(b):
-            same = (cost(i, j) if cost else 0.0) if x == y else 1.0
-            best = min(last[j + 1] + 1, row[j] + 1, last[j] + same)
-            if i and j and x == b[j - 1] and a[i - 1] == y:
-                best = min(best, before[j - 1] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
-
-
-def _similarity(x, y):
-    if x is None or y is None:
-        return None
-    longest = max(len(x), len(y))
-    return 1.0 - osa_distance(list(x), list(y)) / longest if longest else 1.0
-
-
-def _timed_similarity(x, y, s, t):
-    longest, most = max(len(x), len(y)), max([*map(float, s), *map(float, t), 0.0])
-    cost = (lambda i, j: abs(s[i] - t[j]) / most) if most else None
-    return 1.0 - osa_distance(list(x), list(y), cost) / longest if longest else 1.0
-
-
-def edit_similarity(a: str | Column, b: str | Column) -> Column:
-    """1 - distance / longer length of two arrays; 1 for two empty ones, null if one is null."""
-
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return F.pandas_udf(of, "double")(a, b)
-
-
-def timed_edit_similarity(a: str | Column, b: str | Column, ta: str | Column, tb: str | Column) -> Column:
-    """As :func:`edit_similarity`, but keeping equal items costs their difference in time over the largest time of both."""
-
-    def of(a: pd.Series, b: pd.Series, s: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([_timed_similarity(*r) for r in zip(a, b, s, t, strict=True)], dtype="float64")
-
-    return F.pandas_udf(of, "double")(a, b, ta, tb)
-
-
 def kolmogorov_p(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Two-sided p-value of the two-sample statistic by the Kolmogorov series with Stephens' correction."""
     e = F.sqrt(n * m / (n + m))

@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselake.functions.columns import edit_similarity, osa_distance, timed_edit_similarity
-from caselake.operators.context import END
+from caselake.functions.edit import edit_similarity, osa_distances, timed_edit_similarity
 from caselake.operators.model import key_of
 from caselake.plans.log import EventLog, as_category
 from caselake.plans.order import checkpointed, with_index
@@ -120,49 +119,6 @@ def absolute_error(results_: DataFrame, by: list[str] | None = None) -> DataFram
     return results_.groupBy(*(by or [])).agg(F.avg(F.abs(F.col("expected") - F.col("predicted"))).alias("mae"), F.count("*").alias("n"))
 
 
-def step_table(train: DataFrame, activity: str, k: int) -> DataFrame:
-    """(ctx, predicted): the likeliest next activity after the last k ones, for contexts seen in training.
-
-    ``ctx`` is newest first, as the columns of the k-context are.
-    """
-    parents = [f"{activity}_Prev{i}" for i in range(k)]
-    counts = train.groupBy(key_of(parents).alias("ctx"), as_category(activity).alias("value")).agg(F.count("*").alias("n"))
-    best = counts.groupBy("ctx").agg(F.min(F.struct((-F.col("n")).alias("q"), F.col("value"))).alias("b"))
-    return best.select("ctx", F.col("b.value").alias("predicted"))
-
-
-def predict_suffixes(log: EventLog, train: DataFrame, k: int = 2, longest: int = 100, end: str = END) -> DataFrame:
-    """(case, prefix_size, suffix, predicted): for each event what follows and what is predicted to.
-
-    A roll forward depends on the last k activities only, so each different context is rolled once. The table of single steps is
-    put together with itself, so that a join doubles the steps it makes, and ``longest`` steps take as many rounds as that
-    number has binary digits. A roll ends with the end event, with an unknown context, or after ``longest`` steps.
-    """
-    s, w = log.spec, log.window()
-    a = as_category(s.activity)
-    steps = step_table(train, s.activity, k)
-    state = F.array(*(F.coalesce(F.lag(a, i).over(w), F.lit("0")) for i in range(k)))
-    rows = checkpointed(log.df.select(s.case, F.row_number().over(w).cast("long").alias("prefix_size"), state.alias("ctx"), F.collect_list(a).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("suffix")))
-    moved = F.slice(F.concat(F.array("predicted"), F.col("ctx")), 1, k)
-    power = checkpointed(steps.select("ctx", moved.alias("to"), F.array("predicted").alias("path"), (F.col("predicted") == end).alias("over")))
-    rolled = rows.select("ctx").distinct().select("ctx", F.col("ctx").alias("to"), F.array().cast("array<string>").alias("path"), F.lit(False).alias("over"))
-
-    def then(first: DataFrame, second: DataFrame) -> DataFrame:
-        next_ = second.select(F.col("ctx").alias("to"), F.col("to").alias("to2"), F.col("path").alias("path2"), F.col("over").alias("over2"))
-        going = ~F.col("over") & F.col("to2").isNotNull()
-        both = first.join(next_, "to", "left")
-        return checkpointed(both.select("ctx", F.when(going, F.col("to2")).otherwise(F.col("to")).alias("to"), F.when(going, F.concat("path", "path2")).otherwise(F.col("path")).alias("path"), (F.col("over") | F.col("to2").isNull() | F.col("over2")).alias("over")))
-
-    left = longest
-    while left:
-        if left & 1:
-            rolled = then(rolled, power)
-        left >>= 1
-        if left:
-            power = then(power, power)
-    return rows.join(rolled.select("ctx", "path"), "ctx").select(s.case, "prefix_size", "suffix", F.col("path").alias("predicted"))
-
-
 def suffix_similarity(pairs: DataFrame, a: str = "suffix", b: str = "predicted") -> DataFrame:
     """Add ``similarity``; distinct pairs are compared once."""
     distinct = pairs.select(a, b).distinct().withColumn("similarity", edit_similarity(a, b))
@@ -223,7 +179,7 @@ def similarity_of_logs(a: DataFrame, b: DataFrame, column: str = "activity", blo
             best = (2.0, [])
             for o in sorted(others, key=lambda o: abs(len(o) - len(v))):
                 if -(1 - abs(len(o) - len(v)) / max(len(v), len(o), 1)) <= best[0]:
-                    best = min(best, (-(1 - osa_distance(v, o) / max(len(v), len(o), 1)), o))
+                    best = min(best, (-(1 - osa_distances([v], [o])[0] / max(len(v), len(o), 1)), o))
             if others:
                 rows.append((v, n, best[1], -best[0]))
         return pd.DataFrame(rows, columns=["variant", "cases", "nearest", "similarity"])

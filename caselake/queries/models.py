@@ -7,13 +7,14 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from caselake.operators import classify, density, methods, structure
+from caselake.operators import classify, density, methods, structure, suffix
 from caselake.operators import context as cx
 from caselake.operators import metrics as me
 from caselake.operators import model as mo
 from caselake.operators import predict as pd_
 from caselake.operators import prepare as pr
 from caselake.operators import replay as rp
+from caselake.operators import stats as st
 from caselake.operators.statistics import CountStore
 from caselake.plans.log import EventLog
 from caselake.plans.order import checkpointed, with_index
@@ -364,13 +365,25 @@ def s106_predict_then_relearn(spark, d):
     return spark.read.schema("batch int, parents string, accuracy double").parquet(at)
 
 
+def suffixes(log, parents, k):
+    """Cases of odd numbers rolled forward from every prefix by a model of the even ones, with bounded repeats."""
+    train = log.with_df(log.df.where("case_id % 2 = 0"))
+    context_ = cx.k_context(train, k, list(parents))
+    found = suffix.predict_suffixes(log.with_df(log.df.where("case_id % 2 = 1")), context_, parents, st.repeat_lengths(train), k, longest=100)
+    return pd_.suffix_similarity(found).select("case_id", "prefix_size", long_text("predicted").alias("predicted"), r6("similarity").alias("similarity"))
+
+
 @query(None)
 def s108_suffixes(spark, d):
-    """Roll forward from every prefix of the test cases (108, 110)."""
-    log = cx.add_end_events(dialog(spark, d))
-    train = cx.k_context(log.with_df(log.df.where("case_id % 2 = 0")), 2, ["activity"])
-    found = pd_.predict_suffixes(log.with_df(log.df.where("case_id % 2 = 1")), train, longest=100)
-    return pd_.suffix_similarity(found).select("case_id", "prefix_size", long_text("predicted").alias("predicted"), r6("similarity").alias("similarity"))
+    """Roles of a conversation, given the last two (108, 110)."""
+    return suffixes(cx.add_end_events(dialog(spark, d)), {"activity": P2}, 2)
+
+
+@query(None)
+def s108_suffixes_of_all_attributes(spark, d):
+    """Priorities of a customer's orders, given the last one and its status, which is rolled forward too."""
+    log = cx.add_end_events(ordering(spark, d))
+    return suffixes(log, {"activity": ["activity_Prev0", "status_Prev0"], "status": ["activity", "status_Prev0"]}, 1)
 
 
 @query(

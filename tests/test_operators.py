@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caselake.functions.columns import osa_distance, parse_time
+from caselake.functions.columns import parse_time
+from caselake.functions.edit import osa_distances
 from caselake.operators import context as cx
-from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, statistics, stats, structure
+from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, statistics, stats, structure, suffix
 from caselake.plans.log import EventLog, LogSpec, column_kinds
 from caselake.plans.order import with_index, with_running
 from caselake.queries import models
@@ -447,10 +448,6 @@ def test_conditional_density_equals_the_sum_over_all_training_rows(spark, contin
         assert got[row[0]] == pytest.approx(math.log(max(dens(row, columns, widths) / below, 1e-10)) if below else math.log(1e-10), abs=1e-9)
 
 
-def test_edit_distance():
-    assert osa_distance("ab", "ba") == 1 and osa_distance("abc", "abc") == 0 and osa_distance("", "abc") == 3 and osa_distance("ca", "abc") == 3
-
-
 def test_both_time_formats(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05",), ("2024/01/02 03:04:05.678",), ("no",)], "t string")
     assert [r[0] for r in df.select(parse_time("t")).collect()] == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 678000), None]
@@ -489,11 +486,11 @@ def test_relearning_replays_all_weeks_with_all_history(spark):
         assert r["accuracy"] == pytest.approx(sum(brute_next(past, x, parents) == x["activity"] for x in week) / len(week))
 
 
-def brute_next(past, row, parents):
-    """The likeliest activity: given all parents, or those seen, or the mean over each one left out."""
+def brute_distribution(past, row, parents, value="activity"):
+    """Given all parents, or those seen, or the mean over each one left out."""
 
     def given(used):
-        counts = Counter(x["activity"] for x in past if all(x[p] == row[p] for p in used))
+        counts = Counter(x[value] for x in past if all(x[p] == row[p] for p in used))
         return {v: n / sum(counts.values()) for v, n in counts.items()}
 
     exact = given(parents)
@@ -504,34 +501,55 @@ def brute_next(past, row, parents):
         for part in parts:
             for v, p in part.items():
                 exact[v] += p / len(parts)
-    return min(exact, key=lambda v: (-round(exact[v], 12), v), default="0")
+    return sorted(exact, key=lambda v: (-round(exact[v], 12), v))
 
 
-def test_suffixes_are_rolled_step_by_step(spark):
-    """Against a loop over single steps: loops, ends, unknown contexts, and a limit that is no power of two."""
-    cases = {0: "ababc!", 1: "abd!", 2: "abab!", 3: "xaab!", 4: "ccd!", 5: "ababab!"}
-    rows = [(c, i, "end" if x == "!" else x) for c, s in cases.items() for i, x in enumerate(s)]
-    log = EventLog(spark.createDataFrame(rows, "case_id long, time long, activity string"), LogSpec(categorical=("activity",)))
+def brute_next(past, row, parents):
+    return next(iter(brute_distribution(past, row, parents)), "0")
+
+
+@pytest.mark.parametrize("limits", [{}, {"a": 1, "b": 2, "c": 3}, {"a": 3, "b": 1}])
+@pytest.mark.parametrize("parents", [{"activity": ["activity_Prev0", "activity_Prev1"]}, {"activity": ["activity_Prev0", "resource_Prev0"], "resource": ["activity", "resource_Prev1"]}])
+def test_suffixes_are_rolled_step_by_step(spark, limits, parents):
+    """Against a loop over single steps: runs at their limits, ends, unknown values, and a number of steps that is no power of two."""
+    rng = random.Random(9)
+    cases = {c: [(rng.choice("aaabc" if c % 2 == 0 else "abcd"), rng.choice("rs" if c % 2 == 0 else "rst")) for _ in range(rng.randint(1, 7))] for c in range(24)}
+    cases |= {30: [(x, "r") for x in "aaaaaabbbbbcccccc"], 31: [("a", "r")], 33: [("b", "s"), ("b", "s")]}
+    cases = {c: [*events, ("end", "end")] for c, events in cases.items()}
+    rows = [(c, i, a, r) for c, events in cases.items() for i, (a, r) in enumerate(events)]
+    log = EventLog(spark.createDataFrame(rows, "case_id long, time long, activity string, resource string"), LogSpec(categorical=("activity", "resource")))
     train, test = log.with_df(log.df.where("case_id % 2 = 0")), log.with_df(log.df.where("case_id % 2 = 1"))
-    steps, counts = {}, {}
-    for c, s in cases.items():
+    repeats = spark.createDataFrame([*limits.items()], "activity string, length long")
+    got = suffix.predict_suffixes(test, cx.k_context(train, 2, list(parents)), parents, repeats, 2, longest=11).collect()
+    past = []
+    for c, events in cases.items():
         if c % 2 == 0:
-            names = ["end" if x == "!" else x for x in s]
-            for i, x in enumerate(names):
-                ctx = tuple(names[j] if j >= 0 else "0" for j in (i - 1, i - 2))
-                counts.setdefault(ctx, {}).setdefault(x, 0)
-                counts[ctx][x] += 1
-    steps = {ctx: min(of, key=lambda x: (-of[x], x)) for ctx, of in counts.items()}
-    found = predict.predict_suffixes(test, cx.k_context(train, 2, ["activity"]), longest=11, end="end").collect()
-    assert len(found) == sum(len(s) for c, s in cases.items() if c % 2)
-    for r in found:
-        names = ["end" if x == "!" else x for x in cases[r["case_id"]]]
-        i, path = r["prefix_size"] - 1, []
-        ctx = tuple(names[j] if j >= 0 else "0" for j in (i, i - 1))
-        while len(path) < 11 and ctx in steps and (not path or path[-1] != "end"):
-            path.append(steps[ctx])
-            ctx = (path[-1], ctx[0])
-        assert (r["predicted"], r["suffix"]) == (path, names[i + 1 :])
+            for i in range(len(events)):
+                before = [events[i - 1 - j] if i - 1 - j >= 0 else ("0", "0") for j in range(2)]
+                past.append({"activity": events[i][0], "resource": events[i][1]} | {f"{a}_Prev{j}": before[j][n] for j in range(2) for n, a in enumerate(("activity", "resource"))})
+    assert len(got) == sum(len(e) for c, e in cases.items() if c % 2)
+    for r in got:
+        events, i = cases[r["case_id"]], r["prefix_size"] - 1
+        last = [events[i - j] if i - j >= 0 else ("0", "0") for j in range(2)]
+        out, run, steps = [], [None], 0
+        while last[0][0] != "end" and steps < 11:
+            row = {f"{a}_Prev{j}": last[j][n] for j in range(2) for n, a in enumerate(("activity", "resource"))}
+            new = {}
+            for attribute, of in parents.items():
+                ways = brute_distribution(past, row, of, attribute)
+                if not ways:
+                    new["activity"] = "end"
+                    continue
+                if attribute == "activity":
+                    ways = [v for v in ways if v != run[0] or len(run) <= limits.get(v, 1)]
+                new[attribute] = ways[0] if ways else None
+                row[attribute] = new[attribute]
+            act = new["activity"]
+            run = [*run, act] if act == run[0] else [act]
+            last = [(act, new.get("resource", "0")), last[0]]
+            out += [act] if act is not None else []
+            steps += 1
+        assert (r["predicted"], r["suffix"]) == (out, [a for a, _ in events[i + 1 :]])
 
 
 def test_nearest_variants_by_brute_force(spark):
@@ -540,7 +558,7 @@ def test_nearest_variants_by_brute_force(spark):
     frames = (spark.createDataFrame([(x,) for x in side], "activity array<string>") for side in (a, b))
     found = {tuple(r["variant"]): (r["similarity"], r["nearest"]) for r in predict.similarity_of_logs(*frames, block=15).collect()}
     for v in a:
-        want = min((-(1 - osa_distance(v, o) / max(len(v), len(o))), o) for o in b)
+        want = min((-(1 - osa_distances([v], [o])[0] / max(len(v), len(o))), o) for o in b)
         assert found[tuple(v)] == (pytest.approx(-want[0]), want[1])
 
 
