@@ -357,7 +357,7 @@ def s106_predict_then_relearn(spark, d):
     for i, w in enumerate(weeks):
         week, parents = df.where(F.col("batch") == w), [a for a, _ in edges]
         if i:
-            tables = pd_.backoff_tables(store.counts(["activity", *parents]), "activity", parents, "_rows")
+            tables = checkpointed(pd_.backoff_tables(store.counts(["activity", *parents]), "activity", parents, "_rows"))  # used several times
             found = pd_.results(week, pd_.predict(week, tables, parents, ["tie"]), "activity", ["tie"])
             me.accuracy(found).select(F.lit(w).alias("batch"), F.lit(",".join(parents)).alias("parents"), "accuracy").write.mode("append").parquet(at)
         store.add(week)
