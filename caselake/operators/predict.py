@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselake.functions.edit import edit_similarity, osa_distances, timed_edit_similarity
+from caselake.functions.edit import edit_similarity, timed_edit_similarity
 from caselake.operators.model import key_of
 from caselake.plans.log import EventLog, as_category
 from caselake.plans.order import checkpointed, with_index
@@ -155,35 +154,3 @@ def text_similarity(pairs: DataFrame, a: str = "suffix", b: str = "predicted", l
 
 def timed_similarity(pairs: DataFrame, a: str, b: str, ta: str, tb: str) -> DataFrame:
     return pairs.withColumn("similarity", timed_edit_similarity(a, b, ta, tb))
-
-
-def similarity_of_logs(a: DataFrame, b: DataFrame, column: str = "activity", block: int = 1000) -> DataFrame:
-    """(variant, cases, nearest, similarity): the most similar variant of b for each variant of a, with replacement.
-
-    Variants are few next to cases. Both sides are dealt into blocks of about ``block`` variants; each block of a meets each of b
-    in a task of its own. A pair is compared only if the difference of their lengths alone leaves it a chance.
-    """
-    va = checkpointed(a.groupBy(F.col(column).alias("variant")).agg(F.count("*").alias("cases")))
-    vb = checkpointed(b.select(F.col(column).alias("other")).distinct())
-    na, nb = (max(1, -(-x.count() // block)) for x in (va, vb))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    vb = vb.withColumn("block", deal("other", nb)).withColumn("of", every(na))
-    asked = va.withColumn("of", deal("variant", na)).withColumn("block", every(nb))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        others = sorted(map(list, right["other"]))
-        for v, n in zip(left["variant"], left["cases"], strict=True):
-            v = list(v)
-            best = (2.0, [])
-            for o in sorted(others, key=lambda o: abs(len(o) - len(v))):
-                if -(1 - abs(len(o) - len(v)) / max(len(v), len(o), 1)) <= best[0]:
-                    best = min(best, (-(1 - osa_distances([v], [o])[0] / max(len(v), len(o), 1)), o))
-            if others:
-                rows.append((v, n, best[1], -best[0]))
-        return pd.DataFrame(rows, columns=["variant", "cases", "nearest", "similarity"])
-
-    found = asked.groupBy("block", "of").cogroup(vb.groupBy("block", "of")).applyInPandas(nearest, "variant array<string>, cases long, nearest array<string>, similarity double")
-    best = found.groupBy("variant").agg(F.first("cases").alias("cases"), F.min(F.struct((-F.col("similarity")).alias("q"), "nearest")).alias("b"))
-    return best.select("variant", "cases", F.col("b.nearest").alias("nearest"), (-F.col("b.q")).alias("similarity"))

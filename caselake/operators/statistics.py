@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caselake.operators import density
 from caselake.operators.stats import counts_by_sets
 from caselake.plans.log import as_category
-from caselake.plans.order import checkpointed, folder
+from caselake.plans.order import folder, written
 
 #: A node and its parents, sorted.
 Family = tuple[str, tuple[str, ...]]
@@ -74,7 +74,7 @@ class CountStore:
             self._merge(self.table.unionByName(named_counts(new, sorted(self.sets), "_rows")))
 
     def _merge(self, rows: DataFrame) -> None:
-        self.table = checkpointed(rows.groupBy("of", "cells").agg(F.sum("n").alias("n")))
+        self.table = written(rows.groupBy("of", "cells").agg(F.sum("n").alias("n")))
 
     def ensure(self, sets: Iterable[tuple[str, ...]]) -> None:
         """Compute the sets that are not there yet."""

@@ -9,23 +9,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a local session that names none gets a temporary one."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> None:
+    """Set the folder that the session names; a local session that names none gets a temporary one."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the place that driver and executors share."""
-    checkpointed(spark.range(1))
+    _shared(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    As ``checkpointed``, but without the statistics and constraints of the plan before, which grow where tables are joined to
+    what came from them round after round.
+    """
+    at = folder(df.sparkSession, "rounds")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def with_running(df: DataFrame, order: list[str | Column], sums: dict[str, Column | str], index: str | None = "idx") -> DataFrame:
     """Add running sums (and the position from 0 as ``index``) in the ascending order given, which should be total.
 

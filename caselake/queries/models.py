@@ -7,7 +7,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from caselake.operators import classify, density, methods, structure, suffix
+from caselake.functions.edit import edit_distance
+from caselake.operators import classify, density, methods, similarity, structure, suffix
 from caselake.operators import context as cx
 from caselake.operators import metrics as me
 from caselake.operators import model as mo
@@ -411,12 +412,43 @@ def s112_timed_similarity(spark, d):
     return pd_.timed_similarity(both, "activity", "a2", "gap", "g2").select("case_id", r6("similarity").alias("similarity"))
 
 
+#: Conversations as text, a letter for a role, so that distances can be said in SQL.
+LETTERS = """WITH t AS (SELECT case_id, string_agg(CASE activity WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 's' END, '' ORDER BY turn) AS t, string_agg(activity, ',' ORDER BY turn) AS names FROM di GROUP BY case_id)"""
+
+
+@query(
+    LETTERS + """, v AS (SELECT names, any_value(t) AS t, count(*) AS cases FROM t WHERE case_id % 2 = 0 GROUP BY names), o AS (SELECT DISTINCT names, t FROM t WHERE case_id % 2 = 1),
+    p AS (SELECT v.names AS variant, v.cases, o.names AS nearest, damerau_levenshtein(v.t, o.t) AS distance, greatest(length(v.t), length(o.t)) AS size, string_split(o.names, ',') AS items FROM v CROSS JOIN o),
+    r AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY distance, items) AS i FROM p)
+    SELECT variant, cases, nearest, CAST(distance AS DOUBLE) AS distance, round(1 - distance / size, 6) + 0.0 AS similarity FROM r WHERE i = 1""",
+    "di",
+)
+def s046_nearest_variants(spark, d):
+    """Nearest variant among the other half of the cases."""
+    t = cx.traces(dialog(spark, d))
+    out = similarity.nearest_variants(t.where("case_id % 2 = 0"), t.where("case_id % 2 = 1"))
+    return out.select(long_text("variant").alias("variant"), "cases", long_text("nearest").alias("nearest"), "distance", r6("similarity").alias("similarity"))
+
+
 @query(None)
 def s113_similarity_of_logs(spark, d):
-    """Nearest variant among the other half of the cases (113, 46)."""
+    """Customers' orders of one half matched with those of the other, each used once; times are days between orders."""
+    log = ordering(spark, d)
+    day = F.datediff(F.col("time").cast("date"), F.lag(F.col("time").cast("date")).over(log.window()))
+    t = cx.traces(log.with_df(log.df.withColumn("gap", F.coalesce(day, F.lit(0)).cast("double"))), ["activity", "gap", "time"]).withColumn("start", F.col("time")[0])
+    out = similarity.match_logs(t.where("case_id % 2 = 0"), t.where("case_id % 2 = 1"))
+    return out.select("case_id", "other_case", "distance", r6("similarity").alias("similarity"), r6("timed_similarity").alias("timed_similarity"), "time_error")
+
+
+@query(
+    LETTERS + " SELECT t.case_id, CAST(damerau_levenshtein(t.t, o.t) AS DOUBLE) AS distance FROM t JOIN t o ON o.case_id = t.case_id + 1",
+    "di",
+)
+def s197_edit_distance(spark, d):
+    """Each conversation against the next one."""
     t = cx.traces(dialog(spark, d))
-    out = pd_.similarity_of_logs(t.where("case_id % 2 = 0"), t.where("case_id % 2 = 1"))
-    return out.select(long_text("variant").alias("variant"), "cases", long_text("nearest").alias("nearest"), r6("similarity").alias("similarity"))
+    both = t.join(t.select((F.col("case_id") - 1).alias("case_id"), F.col("activity").alias("other")), "case_id")
+    return both.select("case_id", edit_distance("activity", "other", free=True).alias("distance"))
 
 
 @query(None)

@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions.columns import parse_time
-from caselake.functions.edit import osa_distances
+from caselake.functions.edit import damerau_distances, timed_distances
 from caselake.operators import context as cx
-from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, statistics, stats, structure, suffix
+from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, similarity, statistics, stats, structure, suffix
 from caselake.plans.log import EventLog, LogSpec, column_kinds
 from caselake.plans.order import with_index, with_running
 from caselake.queries import models
@@ -552,14 +552,71 @@ def test_suffixes_are_rolled_step_by_step(spark, limits, parents):
         assert (r["predicted"], r["suffix"]) == (out, [a for a, _ in events[i + 1 :]])
 
 
+def traces_of(n, seed, hot):
+    """(case, activities, gaps, start): many cases of one trace, some long ones."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        t = list("abcab") if rng.random() < hot else [rng.choice("abcd") for _ in range(rng.randint(1, 9 if i % 10 else 25))]
+        out.append((i, t, [float(rng.choice([0, 1, 30])) for _ in t], rng.randint(0, 50)))
+    return out
+
+
+TRACES = "case_id long, activity array<string>, gap array<double>, start long"
+
+
 def test_nearest_variants_by_brute_force(spark):
-    rng = random.Random(3)
-    a, b = ([[rng.choice("abcd") for _ in range(rng.randint(1, 8))] for _ in range(40)] for _ in range(2))
-    frames = (spark.createDataFrame([(x,) for x in side], "activity array<string>") for side in (a, b))
-    found = {tuple(r["variant"]): (r["similarity"], r["nearest"]) for r in predict.similarity_of_logs(*frames, block=15).collect()}
-    for v in a:
-        want = min((-(1 - osa_distances([v], [o])[0] / max(len(v), len(o))), o) for o in b)
-        assert found[tuple(v)] == (pytest.approx(-want[0]), want[1])
+    a, b = traces_of(80, 3, 0.2), traces_of(60, 4, 0.2)
+    found = {tuple(r["variant"]): (r["distance"], r["nearest"], r["cases"], r["similarity"]) for r in similarity.nearest_variants(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES)).collect()}
+    count = Counter(tuple(t) for _, t, _, _ in a)
+    assert found.keys() == count.keys()
+    for v, n in count.items():
+        d, o = min((damerau_distances([v], [t])[0], t) for _, t, _, _ in b)
+        assert found[v] == (d, o, n, pytest.approx(1 - d / max(len(v), len(o))))
+    assert similarity.nearest_variants(spark.createDataFrame([], TRACES), spark.createDataFrame(b, TRACES)).count() == 0
+    assert similarity.nearest_variants(spark.createDataFrame(a, TRACES), spark.createDataFrame([], TRACES)).count() == 0
+
+
+def test_bounds_lose_no_pair_and_discard_most(spark):
+    a, b = traces_of(70, 5, 0.0), traces_of(70, 6, 0.0)
+    va, vb, pivots, _ = similarity._both_sides(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES), "activity")
+    for low, radius in ((-1, 0), (0, 1), (1, 2), (2, 4)):
+        got = {(tuple(r["variant"]), tuple(r["other"])) for r in similarity.near_pairs(va, vb, low, radius, pivots).collect()}
+        pairs = {(tuple(x[1]), tuple(y[1])) for x in a for y in b}
+        assert got == {(x, y) for x, y in pairs if low < damerau_distances([x], [y])[0] <= radius}
+    assert similarity.candidates(va, vb, 1, pivots).count() < 0.1 * len(pairs)
+
+
+def test_matching_without_replacement_equals_a_loop(spark):
+    """Pairs in order of distance and traces, cases in order of starts; one trace is a third of all; runs longer than a chunk."""
+    a, b = traces_of(150, 7, 0.35), traces_of(130, 8, 0.35)
+    out = similarity.match_logs(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES), seed=5)
+    before, similarity.CHUNK = similarity.CHUNK, 7
+    try:
+        again = similarity.match_logs(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES), seed=5).collect()
+    finally:
+        similarity.CHUNK = before
+    rows = out.collect()
+    assert sorted(rows) == sorted(again)
+    cut = round(len(a) * 0.2)
+    kept = sorted(a, key=lambda r: (r[3], r[0]))[cut:-cut]
+    hashes = {r[0]: r[1] for r in spark.createDataFrame(b, TRACES).select("case_id", F.xxhash64("case_id", F.lit(5))).collect()}
+    drawn = sorted(b, key=lambda r: (hashes[r[0]], r[0]))[: len(kept)]
+    groups = [{}, {}]
+    for side, of in zip((kept, drawn), groups, strict=True):
+        for r in sorted(side, key=lambda r: (r[3], r[0])):
+            of.setdefault(tuple(r[1]), []).append(r)
+    pairs = [(x, y) for x in groups[0] for y in groups[1]]
+    distances = damerau_distances(*map(list, zip(*pairs, strict=True)))
+    want = {}
+    for d, x, y in sorted(zip(distances.tolist(), *zip(*pairs, strict=True), strict=True)):
+        while groups[0][x] and groups[1][y]:
+            p, q = groups[0][x].pop(0), groups[1][y].pop(0)
+            longest = max(len(x), len(y))
+            want[p[0]] = (q[0], d, 1 - d / longest, 1 - timed_distances([x], [y], [p[2]], [q[2]])[0] / longest, abs(sum(p[2]) - sum(q[2])))
+    assert len(rows) == len(want) == len(kept)
+    for case, *values in rows:
+        assert values == pytest.approx(list(want[case]))
 
 
 def test_updated_classifier_on_all_equals_one_fit(spark):
