@@ -216,7 +216,8 @@ def blocks_of(page: str) -> list[Block]:
 def first_pass(b: Block, limits: Thresholds) -> str:
     """``good``, ``bad``, or open: ``near`` (middling), ``short``, ``linked`` (links in an article).
 
-    Inside an article no density makes a block bad, since an article may hold a list or a table; outside it does.
+    Inside an article low densities leave a block open, as an article may hold lists, tables and references; outside they make
+    it bad.
     """
     n, words = len(b.text), WORD.findall(b.text.lower())
     links = b.link_chars / max(1, len(b.text.replace(" ", "")))
@@ -242,14 +243,28 @@ def _nearest(labels: list[str], counts: list[bool]) -> list[str]:
     return found
 
 
+def _closest(labels: list[str], counts: list[bool]) -> list[str]:
+    """For each block, the label of the closest other one that counts and is decided (the earlier of two); nothing if none is."""
+    places = [i for i, (label, count) in enumerate(zip(labels, counts, strict=True)) if count and label in ("good", "bad")]
+    found, at = [], 0
+    for i in range(len(labels)):
+        while at < len(places) and places[at] <= i:
+            at += 1
+        before = next((p for p in places[max(0, at - 2) : at][::-1] if p != i), None)
+        after = places[at] if at < len(places) else None
+        near = before if after is None or before is not None and i - before <= after - i else after
+        found.append("" if near is None else labels[near])
+    return found
+
+
 def second_pass(blocks: list[Block]) -> None:
     """Open blocks take the label of their decided neighbours; blocks that are shut out are nobody's neighbours.
 
     If an article has a good block, or nothing outside of articles is good, the articles are the text and what is around
-    them is bad. Their open blocks are then good, but for links that don't stand between good blocks (or between other open
-    ones, where none is decided): those are menus at an end. Else (an article is a mere teaser beside the text) and on pages
-    without articles, a middling block is good if a neighbour is, a short or linked one if all are that it has. A page without
-    any good block has nothing but short or middling ones: they are the text.
+    them is bad. Their open blocks, linked ones too, take the label of the closest decided block in articles; where none is
+    decided, they are the text. Else (an article is a mere teaser beside the text) and on pages without articles, a middling
+    block is good if a neighbour is, a short or linked one if all are that it has. A page without any good block has nothing but
+    short or middling ones: they are the text.
     """
     inside = any(b.container and not b.shut_out for b in blocks)
     bounded = inside and (any(b.container and b.label == "good" for b in blocks) or all(b.container for b in blocks if b.label == "good"))
@@ -259,14 +274,14 @@ def second_pass(blocks: list[Block]) -> None:
                 b.label = "bad"
     counts = [not b.shut_out and (b.container > 0 or not bounded) for b in blocks]
     labels = [b.label for b in blocks]
-    anchors = labels if "good" in labels else ["good" if x in ("near", "short") else x for x in labels]
-    before, after = _nearest(anchors, counts), _nearest(anchors[::-1], counts[::-1])[::-1]
-    for b, sides in zip(blocks, zip(before, after, strict=True), strict=True):
+    closest = _closest(labels, counts)
+    before, after = _nearest(labels, counts), _nearest(labels[::-1], counts[::-1])[::-1]
+    for i, b in enumerate(blocks):
         if b.label in ("good", "bad"):
             continue
-        found = [s for s in sides if s]
+        found = [s for s in (before[i], after[i]) if s]
         if bounded:
-            good = b.label != "linked" or sides == ("good", "good") or "good" not in anchors
+            good = closest[i] != "bad"
         elif "good" not in labels:
             good = b.label != "linked"
         elif b.label == "near":

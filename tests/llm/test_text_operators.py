@@ -693,6 +693,52 @@ def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(empty(spark)).collect() == [] and line_dedup.keep_bitmaps(empty(spark)).collect() == []
 
 
+# -- pages whose text is known, as they are put together from parts ------------------------------------------------------------
+
+SAID = "It was in the house that they said this to all of us, and we had no word for it but the one that was his. " * 3
+KEPT = [
+    lambda r: (f"<h2>Heading {r}</h2>", f"Heading {r}"), lambda r: (f"<p>{SAID}{r}</p>", f"{' '.join(SAID.split())} {r}"), lambda r: (f"<p>Short {r}.</p>", f"Short {r}."),
+    lambda r: (f"<p><a href='/{r}'>Tokyo Osaka {r}</a> <a href='/x'>Kyoto</a></p>", f"Tokyo Osaka {r} Kyoto"),
+    lambda r: (f"<ul><li>Item <b>one</b> {r}<li>two &amp; three</ul>", f"Item one {r}\n\ntwo & three"), lambda r: (f"<table><tr><td>{r}</td><td>42</td></tr></table>", f"{r}\n\n42"),
+    lambda r: (f"<blockquote>Quoted, {r}</blockquote>", f"Quoted, {r}"),
+]
+LOST = [
+    lambda r: f"<nav><ul><li><a href='/'>Home {r}</a></ul></nav>", lambda r: f"<aside><p>{SAID}{r}</p></aside>", lambda r: f"<div class='ad'><p>{SAID}</p></div>",
+    lambda r: f"<form><p>{SAID}</p><button>Send {r}</button></form>", lambda r: f"<script>var a = '<p>{SAID}</p>';</script>", lambda r: f"<section class='comments'><p>{SAID}</p></section>",
+    lambda r: f"<!-- <p>{SAID}</p> -->", lambda r: f"<div class='cookie-notice'>{SAID}</div>", lambda r: "<style>p { color: red }</style>",
+]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_text_of_pages_put_together_from_parts(seed):
+    """An article of any parts, linked paragraphs at its ends too, among others that are not text."""
+    rng = random.Random(seed)
+    body, text = [], []
+    for i in range(rng.randint(1, 8)):
+        source, want = rng.choice(KEPT)(f"n{i}")
+        body.append(source)
+        text.append(want)
+        if rng.random() < 0.5:
+            body.append(rng.choice(LOST)(f"x{i}"))
+    around = [f"<header><p>{SAID}</p></header>", *(rng.choice(LOST)("y") for _ in range(3)), f"<footer><p>{SAID}</p></footer>"]
+    page = f"<html><body>{around[0]}{around[1]}<article>{''.join(body)}</article>{''.join(around[2:])}</body></html>"
+    assert html_text.main_text(page) == "\n\n".join(text)
+
+
+def test_both_passes_decide():
+    """Without stop words, or without neighbours, pages come out differently."""
+    page = f"<body><div><p>Short.</p><p>{SAID}</p><p>Also short.</p><p>{SAID}</p></div><div><p>Tokyo Osaka Kyoto Nagoya Sapporo Fukuoka Kobe Kawasaki Saitama Hiroshima Sendai Chiba 12 34</p></div></body>"
+    body = " ".join(SAID.split())
+    assert html_text.main_text(page) == "\n\n".join(["Short.", body, "Also short.", body])
+    blocks = html_text.blocks_of(page)
+    assert [html_text.first_pass(b, html_text.Thresholds()) for b in blocks] == ["short", "good", "short", "good", "bad"]
+    article = [html_text.Block(1, False, text=t, link_chars=n) for t, n in (("a b", 3), (body, 0), ("x", 0), (body, 0), ("c d", 3))]
+    for b, label in zip(article, ["linked", "good", "short", "bad", "near"], strict=True):
+        b.label = label
+    html_text.second_pass(article)
+    assert [b.label for b in article] == ["good", "good", "good", "bad", "bad"]  # the closest decided block, the earlier of two
+
+
 # -- rules found wanting in earlier rounds -----------------------------------------------------------------------------------
 
 
