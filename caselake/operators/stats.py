@@ -111,12 +111,20 @@ def running_new_value_rate(log: EventLog, column: str) -> DataFrame:
 
 
 def follows(log: EventLog, window: int | None = None, per_case: bool = False) -> DataFrame:
-    """(a, b, n): occurrences of a that b follows in the case, within the next ``window`` events; b counts once for each."""
-    w = log.window().rowsBetween(1, window or Window.unboundedFollowing)
-    a = as_category(log.spec.activity)
-    rows = log.df.select(log.spec.case, a.alias("a"), F.collect_list(a).over(w).alias("after"))
-    rows = rows.select(log.spec.case, "a", F.explode(F.array_distinct("after")).alias("b"))
-    return rows.groupBy(*([log.spec.case] if per_case else []), "a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n): occurrences of a that b follows in the case, within the next ``window`` events; b counts once for each.
+
+    Without a window, b follows an occurrence if b's last place in the case is later; so events meet the last places of the
+    case's activities, and long cases cost their length times their different activities. With one, an event meets its window.
+    """
+    s, a = log.spec, as_category(log.spec.activity)
+    if window is None:
+        rows = log.df.select(s.case, a.alias("a"), F.row_number().over(log.window()).alias("_at"))
+        last = rows.groupBy(s.case, F.col("a").alias("b")).agg(F.max("_at").alias("_last"))
+        rows = rows.join(last, s.case).where(F.col("_at") < F.col("_last"))
+    else:
+        rows = log.df.select(s.case, a.alias("a"), F.collect_list(a).over(log.window().rowsBetween(1, window)).alias("after"))
+        rows = rows.select(s.case, "a", F.explode(F.array_distinct("after")).alias("b"))
+    return rows.groupBy(*([s.case] if per_case else []), "a", "b").agg(F.count("*").alias("n"))
 
 
 def relations(log: EventLog, window: int | None = None) -> DataFrame:

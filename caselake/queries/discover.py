@@ -119,6 +119,11 @@ def s064_follows(spark, d):
     return st.follows(events(spark, d), 3)
 
 
+@query(FOLLOWS.format(w=1_000_000) + " SELECT a, b, count(*) AS n FROM f GROUP BY a, b", "ev")
+def s064_eventually_follows(spark, d):
+    return st.follows(events(spark, d))
+
+
 @query(FOLLOWS.format(w=1) + " SELECT a, b, count(*) AS n FROM f GROUP BY a, b", "ev")
 def s044_directly_follows(spark, d):
     """Next events of a case (44)."""

@@ -124,6 +124,14 @@ def test_backoff_without_training_rows(spark):
     assert table(p, "id", "value", "p") == [(1, "0", 0.0)]
 
 
+def test_follows_in_a_case_of_many_events(spark):
+    """Not in time square in the length of a case: every activity is followed by each other one but at the end."""
+    n = 60_000
+    df = spark.range(n).select(F.lit(1).alias("case_id"), F.concat(F.lit("a"), F.col("id") % 30).alias("activity"), F.col("id").alias("time"))
+    got = {(r["a"], r["b"]): r["n"] for r in stats.follows(EventLog(df, LogSpec(order=("time",)))).collect()}
+    assert got == {(f"a{x}", f"a{y}"): n // 30 - (y <= x) for x in range(30) for y in range(30)}
+
+
 def test_follows_counts_each_follower_once(spark):
     log = log_of(spark, [("a", x) for x in "xyyx"])
     assert table(stats.follows(log), "a", "b", "n") == [("x", "x", 1), ("x", "y", 1), ("y", "x", 2), ("y", "y", 1)]
