@@ -41,6 +41,15 @@ def equal_width_bin(x: str, low: Column, high: Column, bins: int) -> Column:
     return F.when((F.col(x) < low) | (F.col(x) > high), None).when(high == low, F.lit(0).cast("long")).otherwise(F.least(bin_, F.lit(bins - 1).cast("long")))
 
 
+def draw(most: int, *parts: str | int | Column) -> Column:
+    """A number from 0 to ``most`` - 1 by the MD5 of parts joined by ``|`` (texts and numbers as they are, nulls as nothing).
+
+    The first 32 bits count, so other engines can draw the same.
+    """
+    text = F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(most))
+
+
 def kolmogorov_p(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Two-sided p-value of the two-sample statistic by the Kolmogorov series with Stephens' correction."""
     e = F.sqrt(n * m / (n + m))

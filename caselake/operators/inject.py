@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselake.functions.columns import draw
 from caselake.plans.log import EventLog
 
 KINDS = ("swap", "activity", "weekday", "resource")
@@ -18,7 +19,7 @@ def inject(log: EventLog, density: float = 0.1, seed: int = 42, combined: bool =
     event isn't swapped.
     """
     s, w = log.spec, log.window()
-    h = lambda *salt: F.pmod(F.xxhash64(F.col(s.case), *(F.lit(x) for x in (seed, *salt))), F.lit(1_000_000))
+    h = lambda salt: draw(1_000_000, seed, salt, F.col(s.case))
     n = F.count("*").over(Window.partitionBy(s.case))
     rows = log.df.withColumns({"_pos": F.row_number().over(w), "_n": n, "_hit": h("case") < density * 1_000_000, "_kind": F.pmod(h("kind"), F.lit(len(KINDS)))})
     rows = rows.withColumn("_at", F.pmod(h("place"), F.greatest(F.col("_n") - F.when(F.lit(combined) | (F.col("_kind") == 0), 1).otherwise(0), F.lit(1))) + 1)
@@ -42,7 +43,7 @@ def inject(log: EventLog, density: float = 0.1, seed: int = 42, combined: bool =
 def injected_split(log: EventLog, percentage: float = 50.0, density: float = 0.1, seed: int = 42) -> DataFrame:
     """Add ``split`` by a hash of the case; anomalies are put into test cases only."""
     s = log.spec
-    test = F.pmod(F.xxhash64(F.col(s.case), F.lit(seed), F.lit("split")), F.lit(1_000_000)) >= percentage * 10_000
+    test = draw(1_000_000, seed, "split", F.col(s.case)) >= percentage * 10_000
     changed = inject(log, density, seed)
     plain = log.df.withColumn(s.activity, F.col(s.activity).cast("string"))
     if s.resource:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselake.functions.columns import calendar_batch, equal_width_bin
+from caselake.functions.columns import calendar_batch, draw, equal_width_bin
 from caselake.operators.context import add_end_events, k_context
 from caselake.plans.log import EventLog, Setting, as_category
 from caselake.plans.order import with_index
@@ -153,7 +153,7 @@ def split_cases(log: EventLog, percentage: float, test_first: bool = False) -> D
 
 def split_three(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     """Add ``split`` train (80 %), valid (6 %) and test (14 %), disjoint, by a hash of the keys."""
-    share = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1000))
+    share = draw(1000, seed, *map(F.col, keys))
     return df.withColumn("split", F.when(share < 800, "train").when(share < 860, "valid").otherwise("test"))
 
 

@@ -230,16 +230,67 @@ def s036_reduce_loops(spark, d):
     return cx.reduce_loops(events(spark, d), ["activity"])
 
 
-@query(None)
+def _draw(most: int, *parts: str) -> str:
+    """``functions.columns.draw`` in SQL."""
+    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST(CAST('0x' || substr(md5({text}), 1, 8) AS UBIGINT) % {most} AS BIGINT)"
+
+
+def _injected(where: str = "true") -> str:
+    h = lambda salt: _draw(1_000_000, "42", f"'{salt}'", "case_id")
+    return f"""x AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY case_id) AS n, {h("case")} < 100000 AS hit, {h("kind")} % 4 AS kind FROM ev WHERE {where} WINDOW w AS (PARTITION BY case_id ORDER BY time, tie)),
+    y AS (SELECT *, {h("place")} % greatest(n - CASE WHEN kind = 0 THEN 1 ELSE 0 END, 1) + 1 AS place FROM x),
+    z AS (SELECT case_id, tie, CASE WHEN hit AND kind = 0 AND pos = place AND n > 1 THEN lead(activity) OVER w WHEN hit AND kind = 0 AND pos = place + 1 THEN lag(activity) OVER w WHEN hit AND kind = 1 AND pos = place THEN 'new_' || activity ELSE activity END AS activity,
+        CASE WHEN hit AND kind = 2 AND pos = place THEN time + to_days(CAST({h("days")} % 6 + 1 AS INTEGER)) ELSE time END AS time, CASE WHEN hit AND kind = 3 AND pos = place THEN 'new_' || resource ELSE resource END AS resource,
+        CAST(hit AS INTEGER) AS anomaly, CASE WHEN NOT hit THEN 'none' ELSE ['swap', 'activity', 'weekday', 'resource'][kind + 1] END AS anomaly_kind FROM y WINDOW w AS (PARTITION BY case_id ORDER BY pos))"""
+
+
+@query("WITH " + _injected() + " SELECT * FROM z", "ev")
 def s038_inject_anomalies(spark, d):
     return ij.inject(events(spark, d)).select("case_id", "tie", "activity", "time", "resource", "anomaly", "anomaly_kind")
 
 
-@query(None)
+TEST_CASE = _draw(1_000_000, "42", "'split'", "case_id") + " >= 500000"
+
+
+@query("WITH " + _injected(TEST_CASE) + f" SELECT *, 'test' AS split FROM z UNION ALL SELECT case_id, tie, activity, time, resource, 0, 'none', 'train' FROM ev WHERE NOT {TEST_CASE}", "ev")
 def s039_injected_split(spark, d):
     return ij.injected_split(events(spark, d)).select("case_id", "tie", "activity", "time", "resource", "split", "anomaly", "anomaly_kind")
 
 
+@query("SELECT CAST(case_id AS VARCHAR) AS case_id, activity, time, resource FROM ev", "ev")
+def s012_write_xes(spark, d):
+    """Times and resources as they were written; the order of events is that of their places in the trace."""
+    at = folder(spark, "xes")
+    src.write_xes(events(spark, d), at)
+    return src.read_xes(spark, at).select("case_id", "activity", F.col("time").cast("timestamp_ntz").alias("time"), "resource")
+
+
+@query("SELECT label, count(*) AS cases, round(min(score), 6) + 0.0 AS lowest, round(max(score), 6) + 0.0 AS highest FROM (SELECT round(sum(quantity), 6) AS score, CAST(count(*) > 4 AS INTEGER) AS label FROM sh GROUP BY case_id) GROUP BY label", "sh")
+def s016_read_scores(spark, d):
+    """Scores of another log, read under their schema and summed up by label."""
+    at = folder(spark, "scores")
+    scores = shipping(spark, d).df.groupBy("case_id").agg(r6(F.sum("quantity").cast("double")).alias("score"), (F.count("*") > 4).cast("int").alias("label"))
+    rs.write_scores(scores, at)
+    return rs.read_scores(spark, at).groupBy("label").agg(F.count("*").alias("cases"), r6(F.min("score")).alias("lowest"), r6(F.max("score")).alias("highest"))
+
+
+@query("SELECT 'kept' AS log, count(*) AS n FROM ev WHERE resource IS NOT NULL AND CAST(resource AS INTEGER) < 50 UNION ALL SELECT 'all', count(*) FROM ev", "ev")
+def s022_filter_to_copy(spark, d):
+    """A filtered copy beside the log, which stays as it was."""
+    log = events(spark, d)
+    kept = pr.filter_rows(log, "resource IS NOT NULL AND CAST(resource AS INTEGER) < 50")
+    count = lambda df, name: df.agg(F.lit(name).alias("log"), F.count("*").alias("n"))
+    return count(kept.df, "kept").unionByName(count(log.df, "all"))
+
+
+@query("SELECT case_id, part, line, CAST(resource AS BIGINT) AS supplier, s_nationkey AS role FROM sh LEFT JOIN supplier ON resource = s_suppkey", "sh")
+def s041_events_with_roles(spark, d):
+    """Lines of orders with the nation of their supplier, as the role of a resource (left equi-join)."""
+    roles = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("resource"), F.col("s_nationkey").alias("role"))
+    return shipping(spark, d).df.join(roles, "resource", "left").select("case_id", "part", "line", F.col("resource").cast("long").alias("supplier"), "role")
+
+
 @query(f"SELECT tie, coalesce(lag(activity, 1) OVER w, '0') AS activity_Prev0, coalesce(lag(activity, 2) OVER w, '0') AS activity_Prev1, round(coalesce(lag(value, 1) OVER w, 0), 6) + 0.0 AS value_Prev0, case_id AS case_id_Prev1 FROM ev {EV}", "ev")
 def s120_k_context(spark, d):
     df = cx.k_context(events(spark, d), 2)
@@ -353,7 +404,7 @@ def s138_split_cases_test_first(spark, d):
     return pr.split_cases(events(spark, d), 30, test_first=True).select("tie", "split")
 
 
-@query(None)
+@query(f"SELECT tie, CASE WHEN share < 800 THEN 'train' WHEN share < 860 THEN 'valid' ELSE 'test' END AS split FROM (SELECT tie, {_draw(1000, '42', 'tie')} AS share FROM ev)", "ev")
 def s139_split_three(spark, d):
     return pr.split_three(events(spark, d).df, ["tie"]).select("tie", "split")
 

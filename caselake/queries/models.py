@@ -101,6 +101,60 @@ def s093_event_scores(spark, d):
     return scored(spark, d).select("tie", r6("score_activity").alias("score_activity"), r6("score_resource").alias("score_resource"))
 
 
+@query(
+    CTX + """, n AS (SELECT p0 || ',' || p1 AS parents, activity AS value, count(*)::DOUBLE AS n FROM c WHERE tie % 2 = 0 GROUP BY 1, 2), m AS (SELECT parents, sum(n) AS m FROM n GROUP BY 1)
+    SELECT tie, CASE WHEN m IS NULL THEN 'no row' WHEN n IS NULL THEN 'no value' ELSE 'known' END AS found, round(coalesce(n / m, 0), 6) + 0.0 AS p FROM c LEFT JOIN m ON m.parents = p0 || ',' || p1 LEFT JOIN n ON n.parents = p0 || ',' || p1 AND n.value = activity""",
+    "ev",
+)
+def s042_conditional_lookup(spark, d):
+    """Each event looked up in a conditional table: by the tuple of its parents, then by its value."""
+    df = context(spark, d)
+    table = mo.conditional_table(df.where("tie % 2 = 0"), "activity", P2)
+    rows = df.select("tie", mo.key_of(P2).alias("parents"), F.col("activity").alias("value"))
+    found = rows.join(table.select("parents").distinct().withColumn("row", F.lit(True)), "parents", "left").join(table.select("parents", "value", "p"), ["parents", "value"], "left")
+    return found.select("tie", F.when(F.col("row").isNull(), "no row").when(F.col("p").isNull(), "no value").otherwise("known").alias("found"), r6(F.coalesce("p", F.lit(0.0))).alias("p"))
+
+
+@query(
+    """WITH k AS (SELECT l_partkey AS part, l_suppkey AS supplier, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2), b AS (SELECT part, supplier, row_number() OVER (PARTITION BY part ORDER BY n DESC, CAST(supplier AS VARCHAR)) AS i FROM k),
+    f AS (SELECT part, supplier FROM b WHERE i = 1), q AS (SELECT CASE WHEN f.part IS NULL THEN 'unknown' WHEN f.supplier = l_suppkey THEN 'as expected' ELSE 'violated' END AS found FROM lineitem LEFT JOIN f ON f.part = l_partkey WHERE l_linenumber = 1)
+    SELECT found, count(*) AS n FROM q GROUP BY found"""
+)
+def s043_dependency_lookup(spark, d):
+    """First lines of orders looked up in the table of a dependency, part to supplier, that is learned from the others."""
+    df = shipping(spark, d).df
+    table = mo.dependency_table(df.where("line > 1"), "part", "resource").select(F.col("parent_value").alias("_p"), F.col("value").alias("_v"))
+    rows = df.where("line = 1").join(table, F.col("part").cast("string") == F.col("_p"), "left")
+    found = F.when(F.col("_v").isNull(), "unknown").when(F.col("_v") == F.col("resource").cast("string"), "as expected").otherwise("violated")
+    return rows.groupBy(found.alias("found")).agg(F.count("*").alias("n"))
+
+
+@query(SCORES + ", r AS (SELECT case_id, round(avg(score_activity) + avg(score_resource), 6) AS score FROM z GROUP BY case_id) SELECT case_id, CAST(row_number() OVER (ORDER BY score, case_id) AS BIGINT) AS rank FROM r", "ev")
+def s156_rank_of_cases(spark, d):
+    """The rank of every case by its score, most anomalous first: a global order by ranges, no window over all cases."""
+    scores = mo.case_scores(scored(spark, d), "case_id").select("case_id", F.round("score", 6).alias("score"))
+    return with_index(scores, "score", "case_id").select("case_id", (F.col("idx") + 1).alias("rank"))
+
+
+@query(CTX + ", n AS (SELECT p0 AS given, resource AS value, count(*) AS n FROM c GROUP BY 1, 2) SELECT given, arg_min(value, (-n, value)) AS likeliest, max(n) AS n FROM n GROUP BY given", "ev")
+def s157_likeliest_resource(spark, d):
+    """The likeliest resource after each activity; ties: the smallest."""
+    table = mo.conditional_table(context(spark, d), "resource", ["activity_Prev0"]).select(F.col("parents")[0].alias("given"), "value", "p", "n")
+    top = pd_.most_likely(table, ["given"])
+    return top.join(table.select("given", F.col("value").alias("predicted"), "n"), ["given", "predicted"]).select("given", F.col("predicted").alias("likeliest"), "n")
+
+
+@query(
+    SCORES + """, m AS (SELECT case_id, avg(score_activity) AS a, avg(score_resource) AS r FROM z GROUP BY case_id), l AS (SELECT case_id, unnest(['activity', 'resource']) AS attribute, unnest([a, r]) AS score FROM m)
+    SELECT attribute, round(min(score), 6) + 0.0 AS lowest, round(avg(score), 6) + 0.0 AS mean, round(max(score), 6) + 0.0 AS highest, count(*) AS cases FROM l GROUP BY attribute""",
+    "ev",
+)
+def s163_detailed_scores(spark, d):
+    """Range of the cases' scores, attribute by attribute."""
+    long = mo.scores_by_attribute(mo.case_scores(scored(spark, d), "case_id"), "case_id")
+    return long.groupBy("attribute").agg(r6(F.min("score")).alias("lowest"), r6(F.avg("score")).alias("mean"), r6(F.max("score")).alias("highest"), F.count("*").alias("cases"))
+
+
 @query(SCORES + " SELECT case_id, count(*) AS events, round(avg(score_activity), 6) + 0.0 AS score_activity, round(avg(score_resource), 6) + 0.0 AS score_resource, round(avg(score_activity) + avg(score_resource), 6) + 0.0 AS score FROM z GROUP BY case_id", "ev")
 def s098_case_scores(spark, d):
     out = mo.case_scores(scored(spark, d), "case_id")
@@ -505,6 +559,32 @@ FOLDS = CTX + """, g AS (SELECT *, ntile(3) OVER (ORDER BY time, tie, case_id) -
     m AS (SELECT fold, arg_min(value, (-n, value)) AS predicted FROM (SELECT fold, value, sum(n) AS n FROM t GROUP BY 1, 2) GROUP BY 1)"""
 
 
+@query(
+    BACKOFF + """, m AS (SELECT expected AS c, count(*)::DOUBLE AS n FROM r GROUP BY 1), q AS (SELECT predicted AS c, count(*)::DOUBLE AS n, count_if(expected = predicted)::DOUBLE AS hit FROM r GROUP BY 1)
+    SELECT 'accuracy' AS metric, round(avg(CAST(expected = predicted AS INTEGER)), 6) + 0.0 AS value FROM r UNION ALL SELECT 'brier', round(avg(1 - p_expected), 6) + 0.0 FROM r
+    UNION ALL SELECT 'precision', round(sum(m.n * hit / q.n) / (SELECT count(*) FROM r), 6) + 0.0 FROM q JOIN m USING (c) UNION ALL SELECT 'recall', round(sum(m.n * coalesce(hit, 0) / m.n) / (SELECT count(*) FROM r), 6) + 0.0 FROM m LEFT JOIN q USING (c)""",
+    "ev",
+)
+def s195_registered_metrics(spark, d):
+    """Every metric of the registry on one set of predictions, as a user adds them by name."""
+    found = checkpointed(predicted(spark, d))
+    out = None
+    for name, metric in methods.METRICS.items():
+        value = metric(found)
+        row = value.select(F.lit(name).alias("metric"), r6(F.col(value.columns[-1])).alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(BACKOFF + " SELECT 'counts' AS method, count(*) AS predictions, round(avg(CAST(expected = predicted AS INTEGER)), 6) + 0.0 AS accuracy FROM r", "ev")
+def s194_registered_method(spark, d):
+    """A method of the registry by its name: train on some events, test on the others."""
+    train, test = halves(spark, d)
+    method = methods.METHODS["counts"]
+    found = method.test(method.train(train), test, ["tie"])
+    return found.agg(F.lit("counts").alias("method"), F.count("*").alias("predictions"), r6(F.avg((F.col("expected") == F.col("predicted")).cast("int"))).alias("accuracy"))
+
+
 @query(FOLDS + " SELECT g.fold, round(avg(CAST(g.activity = coalesce(b.predicted, m.predicted) AS INTEGER)), 6) + 0.0 AS accuracy FROM g LEFT JOIN b ON g.fold = b.fold AND g.p0 = b.p0 LEFT JOIN m ON m.fold = g.fold GROUP BY g.fold", "ev")
 def s142_cross_validation(spark, d):
     """Three folds of the registered method of counts, context 1 (142, 194, 195)."""
