@@ -289,6 +289,21 @@ def test_iso_weeks_around_new_year(spark):
     assert table(prepare.split_week(log, 2025, 1), "tie", "split") == [(0, "train"), (1, "test"), (2, "test")]
 
 
+@pytest.mark.parametrize(("window", "stride"), [(5, 1), (7, 3), (4, 11), (30, 2)])
+def test_sliding_drift_equals_a_test_for_each_start(spark, window, stride):
+    """Ties, missing values, strides longer than a window, starts at the edges of runs."""
+    rng = random.Random(window)
+    values = [rng.choice([None, 0.5, 1.0, 2.0, rng.random()]) for _ in range(97)]
+    series = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "idx long, value double").repartition(3)
+    got = {r["start"]: r["d"] for r in drift.sliding_drift(series, window, stride).collect()}
+    want = {}
+    for start in range(0, 97 - 2 * window, stride):
+        a, b = ([v for v in values[start + k : start + k + window] if v is not None] for k in (0, window))
+        if a and b:
+            want[start] = max(abs(sum(v <= x for v in a) / len(a) - sum(v <= x for v in b) / len(b)) for x in a + b)
+    assert got == pytest.approx(want)
+
+
 def test_folds_partition_the_log(spark):
     out = prepare.folds(log_of(spark, [("a", "x")] * 8), 3)
     assert table(out.groupBy("fold").count(), "fold", "count") == [(0, 3), (1, 3), (2, 2)]
