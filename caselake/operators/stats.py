@@ -218,13 +218,50 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def similar_profiles(profile: DataFrame, threshold: float, tasks: DataFrame | None = None) -> DataFrame:
+    """(x, y, r), x < y: pairs whose correlation is above ``threshold`` (0 or more), by a join on few of their tasks.
+
+    With u the counts over the root of their variation and m their mean part, r = u.v - m_u m_v, and v is as long as the root of
+    1 + m_v^2. Tasks are taken in one order, rare ones first; once the rest of u is so short that no v can bring the product
+    above the threshold, it is left out. A pair above the threshold has its first common task among those kept of both sides,
+    so only these are joined; what meets is verified by the whole counts. ``tasks`` is one row with their number t, if there
+    are more than in ``profile``.
+    """
+    t = F.col("t").cast("double")
+    order = with_index(profile.groupBy("task").agg(F.count("*").alias("users")), "users", "task", name="place").select("task", "place")
+    sums = profile.groupBy("resource").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).join(F.broadcast(profile.agg(F.count_distinct("task").alias("t")) if tasks is None else tasks))
+    sums = sums.withColumn("var", F.col("q") - F.col("s") * F.col("s") / t).where("var > 1e-9").withColumn("m", F.col("s") / F.sqrt(t * F.col("var")))
+    sums = checkpointed(sums)
+    ends = sums.agg(F.min("m").alias("low"), F.max("m").alias("high"))
+    rows = profile.join(sums, "resource").join(order, "task").join(F.broadcast(ends))  # one row
+    rest = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("resource").orderBy(F.desc("place"))) / F.col("var"))
+    enough = lambda c: F.lit(threshold) + F.col("m") * F.col(c) - rest * F.sqrt(1 + F.col(c) * F.col(c)) >= 1e-9
+    kept = rows.withColumn("out", enough("low") & enough("high")).where("NOT out").select("resource", "place")
+    met = kept.withColumnRenamed("resource", "x").join(kept.withColumnRenamed("resource", "y"), "place").where("x < y").select("x", "y").distinct()
+    whole = rows.groupBy("resource").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("counts"), F.first("s").alias("s"), F.first("var").alias("var"), F.first("t").alias("t"))
+    side = lambda name: whole.select(F.col("resource").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("counts", "s", "var", "t")))
+    both = met.join(side("x"), "x").join(side("y"), "y")
+    dot = F.aggregate(F.map_entries("counts_x"), F.lit(0).cast("long"), lambda sum_, e: sum_ + e["value"] * F.coalesce(F.try_element_at("counts_y", e["key"]), F.lit(0)))
+    r = (dot - F.col("s_x") * F.col("s_y") / F.col("t_x")) / F.sqrt(F.col("var_x") * F.col("var_y"))
+    return both.select("x", "y", r.alias("r")).where(F.col("r") > threshold)
+
+
 def discover_roles(log: EventLog, similarity: float = 0.7) -> DataFrame:
     """(resource, role): roles are components of resources whose profiles correlate above ``similarity``.
 
-    Roles are numbered by size, largest first, equal ones by their smallest member.
+    Roles are numbered by size, largest first, equal ones by their smallest member. Resources with equal shares of tasks stand
+    for each other, as all who do one task only, so they make no pairs; different profiles meet by ``similar_profiles``.
     """
     profile = checkpointed(resource_profile(log))
-    edges = resource_correlation(profile).where(F.col("r") > similarity)
+    shares = profile.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("resource")))
+    shares = shares.groupBy("resource").agg(F.array_sort(F.collect_list(F.struct("task", "share"))).alias("shares"))
+    tasks = profile.agg(F.count_distinct("task").alias("t"))
+    even = (F.size("shares") == F.col("t")) & (F.array_min("shares.share") == F.array_max("shares.share"))  # correlates with nobody
+    stands = shares.join(F.broadcast(tasks)).where(~even)
+    first = stands.groupBy("shares").agg(F.min("resource").alias("x"))
+    alike = checkpointed(stands.join(first, "shares").select("x", F.col("resource").alias("y")))
+    some = profile.join(alike.select(F.col("x").alias("resource")).distinct(), "resource")
+    edges = alike.where("x <> y").unionByName(similar_profiles(some, similarity, tasks).select("x", "y"))
     found = components(profile.select(F.col("resource").alias("vertex")).distinct(), edges)
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
     ranked = with_index(sizes.withColumn("less", -F.col("size")), "less", "root", name="place").select("root", (F.col("place") + 1).alias("role"))

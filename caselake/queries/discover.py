@@ -186,6 +186,20 @@ def s077_resource_correlation(spark, d):
     return st.resource_correlation(st.resource_profile(events(spark, d))).select("x", "y", r6("r").alias("r"))
 
 
+@query(
+    """WITH p AS (SELECT resource, part % 20 AS task, count(*)::DOUBLE AS n FROM sh GROUP BY 1, 2), t AS (SELECT count(DISTINCT task)::DOUBLE AS t FROM p), s AS (SELECT resource, sum(n) AS s, sum(n * n) AS q FROM p GROUP BY 1),
+    d AS (SELECT a.resource AS x, b.resource AS y, sum(a.n * b.n) AS xy FROM p a JOIN p b USING (task) GROUP BY 1, 2),
+    r AS (SELECT CAST(x AS VARCHAR) AS x, CAST(y AS VARCHAR) AS y, (xy - u.s * v.s / t) / sqrt((u.q - u.s * u.s / t) * (v.q - v.s * v.s / t)) AS r FROM d JOIN s u ON u.resource = x JOIN s v ON v.resource = y, t WHERE (u.q - u.s * u.s / t) > 1e-9 AND (v.q - v.s * v.s / t) > 1e-9)
+    SELECT x, y, round(r, 6) + 0.0 AS r FROM r WHERE x < y AND r > 0.5""",
+    "sh",
+)
+def s045_similar_resources(spark, d):
+    """Pairs of suppliers whose parts' groups correlate above one half: only pairs that share a rare enough group are compared (45, 77)."""
+    log = shipping(spark, d)
+    profile = st.resource_profile(log.with_df(log.df.withColumn("activity", F.col("part") % 20)))
+    return st.similar_profiles(profile, 0.5).select("x", "y", r6("r").alias("r"))
+
+
 @query(
     """WITH RECURSIVE p AS (SELECT resource, activity AS task, count(*)::DOUBLE AS n FROM ev GROUP BY 1, 2), t AS (SELECT count(DISTINCT task)::DOUBLE AS t FROM p), s AS (SELECT resource, sum(n) AS s, sum(n * n) AS q FROM p GROUP BY 1),
     c AS (SELECT a.resource AS x, b.resource AS y, sum(a.n * b.n) AS xy FROM p a JOIN p b USING (task) WHERE a.resource <> b.resource GROUP BY 1, 2),

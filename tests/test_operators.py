@@ -150,6 +150,33 @@ def test_roles_are_components_by_size(spark):
     assert table(stats.components(vertices, edges), "vertex", "root") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "e"), ("g", "g")]
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.4, 0.7, 0.95])
+def test_similar_profiles_lose_no_pair(spark, threshold):
+    """Resources of one task, of a common one and few rare ones, of equal shares, and of the same count of everything."""
+    rng = random.Random(int(threshold * 100))
+    counts = {f"u{i}": {t: rng.randint(1, 9) for t in rng.sample("abcdefghij", rng.randint(1, 5))} | ({"z": rng.randint(1, 20)} if i % 2 else {}) for i in range(40)}
+    counts |= {f"v{i}": {"z": i + 1} for i in range(8)} | {f"w{i}": {"a": 2 * i + 2, "z": 3 * i + 3} for i in range(4)} | {f"e{i}": dict.fromkeys("abcdefghijz", 3) for i in range(2)}
+    rows = [(r, t) for r, c in counts.items() for t, n in c.items() for _ in range(n)]
+    df = spark.createDataFrame([(r, t, i) for i, (r, t) in enumerate(rows)], "resource string, activity string, time long")
+    log = EventLog(df, LogSpec(order=("time",), resource="resource"))
+    vectors = {r: np.array([c.get(t, 0) for t in "abcdefghijz"], float) for r, c in counts.items()}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.corrcoef(list(vectors.values()))
+    names = list(vectors)
+    want = {(x, y): r[i, j] for i, x in enumerate(names) for j, y in enumerate(names) if x < y and r[i, j] > threshold}
+    got = {(e["x"], e["y"]): e["r"] for e in stats.similar_profiles(stats.resource_profile(log), threshold).collect()}
+    assert got.keys() == want.keys() and all(got[e] == pytest.approx(want[e]) for e in want)
+    root = {x: x for x in names}
+    for _ in names:
+        for x, y in want:
+            root[x] = root[y] = min(root[x], root[y])
+    groups = {}
+    for x in names:
+        groups.setdefault(root[x], []).append(x)
+    roles = {x: i for i, g in enumerate(sorted(groups.values(), key=lambda g: (-len(g), min(g))), 1) for x in g}
+    assert {e["resource"]: e["role"] for e in stats.discover_roles(log, threshold).collect()} == roles
+
+
 def test_graph_edges_and_penalties(spark):
     log = log_of(spark, [("c1", "a", "r1"), ("c1", "b", "r1"), ("c2", "a", "r2"), ("c2", "b", "r1")])
     g = graph.edges(log)
