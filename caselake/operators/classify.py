@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselake.plans.log import as_category
+from caselake.plans.order import written
 
 
 def train_linear(df: DataFrame, label: str, columns: list[str], iterations: int = 30, regularisation: float = 1e-3) -> PipelineModel:
@@ -48,7 +49,7 @@ def test_and_update(df: DataFrame, batch: str, label: str, columns: list[str], k
     for i in range(1, len(batches)):
         learned = batches[max(0, i - kept) : i] if kept else batches[:i]
         model = train_linear(df.where(F.col(batch).between(learned[0], learned[-1])), label, columns)
-        part = test_linear(model, df.where(F.col(batch) == batches[i]), label, columns, keys)
+        part = written(test_linear(model, df.where(F.col(batch) == batches[i]), label, columns, keys))  # labels and weights leave the plan
         out = part if out is None else out.unionByName(part)
     return df.select(*keys, *(F.lit("").alias(c) for c in ("expected", "predicted")), *(F.lit(0.0).alias(c) for c in ("p_predicted", "p_expected"))).limit(0) if out is None else out
 

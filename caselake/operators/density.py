@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselake.functions.columns import log_space
+from caselake.functions.columns import draw, log_space
 from caselake.operators.model import FLOOR, key_of
 from caselake.plans.order import checkpointed
 
@@ -135,13 +135,13 @@ def numeric_node(train: DataFrame, name: str, continuous: list[str], discrete: l
     return NumericNode(name, continuous, discrete, joint, marginal, _each(bandwidth, columns), _each(delta, columns))
 
 
-def choose_bandwidth(train: DataFrame, column: str, delta: float, low: float = -1.0, high: float = 1.5, n: int = 20, folds: int = 2) -> DataFrame:
-    """(bandwidth, loglik) of ``n`` log-spaced bandwidths by likelihood over folds (of the value's hash), best first.
+def choose_bandwidth(train: DataFrame, column: str, delta: float, low: float = -1.0, high: float = 1.5, n: int = 20, folds: int = 2, keys: list[str] | None = None) -> DataFrame:
+    """(bandwidth, loglik) of ``n`` log-spaced bandwidths by likelihood over folds (drawn by ``keys``, or all columns), best first.
 
     Folds and bandwidths share one grid of counts; a pair of bins meets once, and all bandwidths are summed together.
     """
     values = log_space(low, high, n)
-    rows = train.where(F.col(column).isNotNull()).select(F.round(F.col(column) / delta).cast("long").alias("bin"), F.pmod(F.xxhash64(*train.columns), F.lit(folds)).alias("fold"))
+    rows = train.where(F.col(column).isNotNull()).select(F.round(F.col(column) / delta).cast("long").alias("bin"), draw(folds, *map(F.col, keys or train.columns)).alias("fold"))
     bins = rows.groupBy("fold", "bin").agg(F.count("*").alias("n"))
     reach = math.ceil(8 * max(values) / delta)
     test = bins.select(F.col("fold").alias("f"), F.col("bin").alias("b"), F.col("n").alias("m"), F.explode(F.sequence(F.col("bin") - reach, F.col("bin") + reach)).alias("bin"))

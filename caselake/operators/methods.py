@@ -14,7 +14,7 @@ from caselake.operators import classify, metrics
 from caselake.operators.predict import backoff_tables, predict, results
 from caselake.operators.prepare import prepare
 from caselake.plans.log import EventLog, Setting
-from caselake.plans.order import checkpointed
+from caselake.plans.order import checkpointed, written
 
 Metric = Callable[[DataFrame], DataFrame]
 METRICS: dict[str, Metric] = {"accuracy": metrics.accuracy, "precision": metrics.weighted_precision, "recall": metrics.weighted_recall, "brier": metrics.brier}
@@ -61,6 +61,7 @@ def cross_validate(method: Method, folded: DataFrame, k: int, keys: list[str], m
     for i in range(k):
         model = method.train(folded.where(F.col("fold") != i), **method.parameters)
         one = METRICS[metric](method.test(model, folded.where(F.col("fold") == i), keys)).withColumn("fold", F.lit(i).cast("long"))
+        one = written(one)
         out = one if out is None else out.unionByName(one)
     return out
 

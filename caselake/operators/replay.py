@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from caselake.operators.model import key_of
 from caselake.plans.log import as_category
+from caselake.plans.order import written
 
 
 def batch_counts(df: DataFrame, value: str, parents: list[str], batch: str = "batch") -> DataFrame:
@@ -74,7 +75,7 @@ def replay(batches: list[DataFrame], start, test: Callable, update: Callable) ->
     model, out, seconds = start, None, []
     for b in batches:
         began = time.time()
-        result = test(model, b)
+        result = written(test(model, b))
         out = result if out is None else out.unionByName(result)
         model = update(model, b)
         seconds.append(time.time() - began)

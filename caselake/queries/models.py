@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from caselake.functions.columns import log_space
 from caselake.functions.edit import edit_distance
 from caselake.operators import classify, density, methods, similarity, structure, suffix
 from caselake.operators import context as cx
@@ -316,9 +317,19 @@ def s094_one_continuous_parent(spark, d):
     return mo.score_events(test, nodes).select("tie", r6("score_price").alias("log_density"))
 
 
-@query(None)
+BANDWIDTHS = ", ".join(f"{h!r}::DOUBLE" for h in log_space(-1.0, 1.5, 20))
+
+
+@query(
+    f"""WITH t AS (SELECT CAST(round(value / 2.0) AS BIGINT) AS bin, CAST(CAST('0x' || substr(md5(CAST(tie AS VARCHAR)), 1, 8) AS UBIGINT) % 2 AS BIGINT) AS fold, count(*) AS n FROM ev WHERE value IS NOT NULL GROUP BY 1, 2),
+    h AS (SELECT unnest([{BANDWIDTHS}]) AS h), o AS (SELECT fold, (SELECT sum(n) FROM t) - sum(n) AS others FROM t GROUP BY fold),
+    k AS (SELECT h, a.fold, a.bin, a.n AS m, coalesce(sum(b.n * exp(-pow((a.bin - b.bin) * 2.0, 2) / (2 * h * h))), 0) AS k FROM h CROSS JOIN t a LEFT JOIN t b ON b.fold <> a.fold AND abs(a.bin - b.bin) <= {math.ceil(8 * 10**1.5 / 2)} GROUP BY ALL)
+    SELECT round(h, 6) + 0.0 AS bandwidth, round(sum(m * ln(greatest(k / others / (h * sqrt(2 * pi())), 1e-10))), 3) + 0.0 AS loglik FROM k JOIN o USING (fold) GROUP BY h""",
+    "ev",
+)
 def s095_choose_bandwidth(spark, d):
-    return density.choose_bandwidth(events(spark, d).df.select("tie", "value"), "value", 2.0)
+    found = density.choose_bandwidth(events(spark, d).df.select("tie", "value"), "value", 2.0, keys=["tie"])
+    return found.select(r6("bandwidth").alias("bandwidth"), (F.round("loglik", 3) + 0.0).alias("loglik"))
 
 
 @query(

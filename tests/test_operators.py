@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caselake.functions.columns import parse_time
+from caselake.functions.columns import draw, parse_time
 from caselake.functions.edit import damerau_distances, timed_distances
 from caselake.operators import context as cx
 from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, similarity, statistics, stats, structure, suffix
@@ -706,8 +706,8 @@ def test_search_beyond_sixty_four_columns(spark):
 def test_bandwidth_by_brute_force(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, round(rng.gauss(0, 5), 2)) for i in range(60)], "tie long, x double")
-    folds = [(round_half_away(r["x"] / 0.5), r["fold"]) for r in df.withColumn("fold", F.pmod(F.xxhash64("tie", "x"), F.lit(2))).collect()]
-    for r in density.choose_bandwidth(df, "x", 0.5).collect():
+    folds = [(round_half_away(r["x"] / 0.5), r["fold"]) for r in df.withColumn("fold", draw(2, F.col("tie"))).collect()]
+    for r in density.choose_bandwidth(df, "x", 0.5, keys=["tie"]).collect():
         h, total = r["bandwidth"], 0.0
         for b, f in folds:
             others = [o for o, g in folds if g != f]
@@ -755,3 +755,29 @@ def test_experiments_of_all_splits(spark):
     out = methods.run_experiments(log, settings, ["counts", "linear"], ["tie"]).collect()
     assert len(out) == 8 and {(r["split"], r["k"], r["method"]) for r in out} == {(s, k, m) for s in ("train-test", "k-fold") for k in (1, 2) for m in ("counts", "linear")}
     assert all(r["accuracy"] == 1.0 for r in out)
+
+
+def test_a_fitted_classifier_meets_its_score_equations(spark):
+    """At the best weights, what is predicted for the rows of a value adds up to what was seen there, label by label."""
+    rng = random.Random(11)
+    rows = [(a, b, rng.choice("xy" if a == "p" else "yyz") if b != "s" else "z") for a, b in ((rng.choice("pq"), rng.choice("rst")) for _ in range(600))]
+    df = spark.createDataFrame(rows, "a string, b string, label string")
+    fitted = classify.train_linear(df, "label", ["a", "b"], iterations=200, regularisation=0.0)
+    labels = fitted.stages[0].labels
+    got = fitted.transform(df).select("a", "b", "label", "probability").collect()
+    for column in ("a", "b"):
+        for value in {r[column] for r in got}:
+            here = [r for r in got if r[column] == value]
+            for i, x in enumerate(labels):
+                assert sum(r["probability"][i] for r in here) == pytest.approx(sum(r["label"] == x for r in here), abs=0.5)
+
+
+def test_embeddings_are_close_where_values_meet(spark):
+    """Two blocks of activities and resources that meet inside only."""
+    rows = [(f"a{i}", f"r{j}") for i in range(6) for j in range(8) if i % 2 == j % 2 for _ in range(20)]
+    found = classify.co_occurrence_embedding(spark.createDataFrame(rows, "activity string, resource string"), "activity", "resource").collect()
+    vectors = {r["value"]: np.array(r["embedding"]) for r in found}
+    assert {r["kind"] for r in found} == {"activity", "resource"} and len(vectors) == 14 and all(len(v) == math.ceil(48**0.25) for v in vectors.values())
+    inside = [vectors[f"a{i}"] @ vectors[f"r{j}"] for i in range(6) for j in range(8) if i % 2 == j % 2]
+    across = [vectors[f"a{i}"] @ vectors[f"r{j}"] for i in range(6) for j in range(8) if i % 2 != j % 2]
+    assert min(inside) > 0.8 and max(across) < 0.2
