@@ -465,7 +465,21 @@ def s111_text_similarity(spark, d):
     return out.select("case_id", "prefix_size", r6("levenshtein").alias("levenshtein"), r6("jaccard").alias("jaccard"))
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE x AS (SELECT case_id, time, tie, activity, coalesce((epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6, 0) AS gap FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY time, tie)),
+    t AS (SELECT case_id, list(activity ORDER BY time, tie) AS a, list(gap ORDER BY time, tie) AS g, row_number() OVER (ORDER BY case_id) AS i FROM x GROUP BY case_id),
+    p AS (SELECT u.case_id, u.a, u.g, v.a AS b, v.g AS h, nullif(greatest(list_max(u.g), list_max(v.g)), 0) AS most FROM t u JOIN t v ON v.i = u.i + 1),
+    d AS (SELECT case_id, 1 AS i, list_transform(range(0, len(b) + 1), lambda j: CAST(j AS DOUBLE)) AS last, CAST(NULL AS DOUBLE[]) AS before FROM p
+        UNION ALL
+        SELECT case_id, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CAST(j AS DOUBLE)]), lambda r, x: list_append(r, least(
+            last[CAST(x[1] AS INTEGER) + 1] + 1, r[len(r)] + 1,
+            last[CAST(x[1] AS INTEGER)] + CASE WHEN a[i] = b[CAST(x[1] AS INTEGER)] THEN coalesce(abs(g[i] - h[CAST(x[1] AS INTEGER)]) / most, 0) ELSE 1 END,
+            CASE WHEN i > 1 AND x[1] > 1 AND a[i] = b[CAST(x[1] AS INTEGER) - 1] AND a[i - 1] = b[CAST(x[1] AS INTEGER)]
+                THEN before[CAST(x[1] AS INTEGER) - 1] + CASE WHEN a[i] = b[CAST(x[1] AS INTEGER)] THEN coalesce(abs(g[i] - h[CAST(x[1] AS INTEGER)]) / most, 0) ELSE 1 END END)), [CAST(i AS DOUBLE)]), last
+        FROM d JOIN p USING (case_id) WHERE i <= len(a))
+    SELECT case_id, round(1 - last[len(last)] / greatest(len(a), len(b)), 6) + 0.0 AS similarity FROM d JOIN p USING (case_id) WHERE i = len(a) + 1""",
+    "ev",
+)
 def s112_timed_similarity(spark, d):
     """Each case against the next one in order of their ids (112)."""
     log = events(spark, d)
