@@ -42,6 +42,13 @@ def s068_conditional_table(spark, d):
     return t.select(long_text("parents").alias("parents"), "value", "n", "n_parents", r6("p").alias("p"), r6("p_parents").alias("p_parents"))
 
 
+@query("WITH n AS (SELECT activity || ',' || status AS parents, count(*) AS n FROM od WHERE price IS NOT NULL GROUP BY 1) SELECT parents, n AS n_parents, round(n / sum(n) OVER (), 6) + 0.0 AS p_parents FROM n", "od")
+def s069_parent_probabilities(spark, d):
+    """How likely each tuple of parents is: priorities with the status of an order."""
+    t = mo.conditional_table(ordering(spark, d).df.where("price IS NOT NULL"), "case_id", ["activity", "status"])
+    return t.select(long_text("parents").alias("parents"), "n_parents", r6("p_parents").alias("p_parents")).distinct()
+
+
 @query(CTX + " SELECT round(count(DISTINCT p0 || ',' || p1) / count(*), 6) + 0.0 AS rate FROM c", "ev")
 def s070_new_relation_rate(spark, d):
     return mo.new_relation_rate(context(spark, d), P2).select(r6("rate").alias("rate"))
@@ -156,6 +163,14 @@ def s163_detailed_scores(spark, d):
     return long.groupBy("attribute").agg(r6(F.min("score")).alias("lowest"), r6(F.avg("score")).alias("mean"), r6(F.max("score")).alias("highest"), F.count("*").alias("cases"))
 
 
+@query(SCORES + " SELECT 'activity' AS attribute, count(*) AS events, round(avg(score_activity), 6) + 0.0 AS score FROM z UNION ALL SELECT 'resource', count(*), round(avg(score_resource), 6) + 0.0 FROM z", "ev")
+def s097_score_log(spark, d):
+    """All events of a log scored, without regard to cases: the mean of each attribute."""
+    rows = scored(spark, d)
+    long = rows.select("tie", *mo.score_columns(rows)).unpivot("tie", mo.score_columns(rows), "attribute", "score")
+    return long.groupBy(F.regexp_replace("attribute", "^score_", "").alias("attribute")).agg(F.count("*").alias("events"), r6(F.avg("score")).alias("score"))
+
+
 @query(SCORES + " SELECT case_id, count(*) AS events, round(avg(score_activity), 6) + 0.0 AS score_activity, round(avg(score_resource), 6) + 0.0 AS score_resource, round(avg(score_activity) + avg(score_resource), 6) + 0.0 AS score FROM z GROUP BY case_id", "ev")
 def s098_case_scores(spark, d):
     out = mo.case_scores(scored(spark, d), "case_id")
@@ -465,19 +480,40 @@ def s111_text_similarity(spark, d):
     return out.select("case_id", "prefix_size", r6("levenshtein").alias("levenshtein"), r6("jaccard").alias("jaccard"))
 
 
+def _rows_of_distances(cost: str) -> str:
+    """The table of distances of pairs p (case_id, a, b), row by row: d holds row i of it, from 1, and the row before.
+
+    ``cost`` is what keeping or replacing a[i] by b[j] costs; {j} stands for the place in b.
+    """
+    j = "CAST(x[1] AS INTEGER)"
+    keep = cost.format(j=j)
+    return f"""d AS (SELECT case_id, 1 AS i, list_transform(range(0, len(b) + 1), lambda j: CAST(j AS DOUBLE)) AS last, CAST(NULL AS DOUBLE[]) AS before FROM p
+        UNION ALL
+        SELECT case_id, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CAST(j AS DOUBLE)]), lambda r, x: list_append(r, least(
+            last[{j} + 1] + 1, r[len(r)] + 1, last[{j}] + {keep},
+            CASE WHEN i > 1 AND x[1] > 1 AND a[i] = b[{j} - 1] AND a[i - 1] = b[{j}] THEN before[{j} - 1] + {keep} END)), [CAST(i AS DOUBLE)]), last
+        FROM d JOIN p USING (case_id) WHERE i <= len(a)),
+    r AS (SELECT case_id, 1 - last[len(last)] / greatest(len(a), len(b)) AS similarity FROM d JOIN p USING (case_id) WHERE i = len(a) + 1)"""
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT case_id, list(activity ORDER BY turn)[2:] AS s FROM di GROUP BY case_id HAVING count(*) > 1),
+    p AS (SELECT t.case_id, t.s AS a, o.s AS b FROM t JOIN t o ON o.case_id = t.case_id + 1), """
+    + _rows_of_distances("CASE WHEN a[i] = b[{j}] THEN 0 ELSE 1 END") + " SELECT case_id, round(similarity, 6) + 0.0 AS similarity FROM r",
+    "di",
+)
+def s110_suffix_similarity(spark, d):
+    """What follows the first turn of a conversation against what follows that of the next one, as if that were predicted."""
+    t = cx.traces(dialog(spark, d)).where(F.size("activity") > 1).select("case_id", F.slice("activity", 2, F.size("activity") - 1).alias("suffix"))
+    both = t.join(t.select((F.col("case_id") - 1).alias("case_id"), F.col("suffix").alias("predicted")), "case_id")
+    return pd_.suffix_similarity(both).select("case_id", r6("similarity").alias("similarity"))
+
+
 @query(
     """WITH RECURSIVE x AS (SELECT case_id, time, tie, activity, coalesce((epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6, 0) AS gap FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY time, tie)),
     t AS (SELECT case_id, list(activity ORDER BY time, tie) AS a, list(gap ORDER BY time, tie) AS g, row_number() OVER (ORDER BY case_id) AS i FROM x GROUP BY case_id),
-    p AS (SELECT u.case_id, u.a, u.g, v.a AS b, v.g AS h, nullif(greatest(list_max(u.g), list_max(v.g)), 0) AS most FROM t u JOIN t v ON v.i = u.i + 1),
-    d AS (SELECT case_id, 1 AS i, list_transform(range(0, len(b) + 1), lambda j: CAST(j AS DOUBLE)) AS last, CAST(NULL AS DOUBLE[]) AS before FROM p
-        UNION ALL
-        SELECT case_id, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CAST(j AS DOUBLE)]), lambda r, x: list_append(r, least(
-            last[CAST(x[1] AS INTEGER) + 1] + 1, r[len(r)] + 1,
-            last[CAST(x[1] AS INTEGER)] + CASE WHEN a[i] = b[CAST(x[1] AS INTEGER)] THEN coalesce(abs(g[i] - h[CAST(x[1] AS INTEGER)]) / most, 0) ELSE 1 END,
-            CASE WHEN i > 1 AND x[1] > 1 AND a[i] = b[CAST(x[1] AS INTEGER) - 1] AND a[i - 1] = b[CAST(x[1] AS INTEGER)]
-                THEN before[CAST(x[1] AS INTEGER) - 1] + CASE WHEN a[i] = b[CAST(x[1] AS INTEGER)] THEN coalesce(abs(g[i] - h[CAST(x[1] AS INTEGER)]) / most, 0) ELSE 1 END END)), [CAST(i AS DOUBLE)]), last
-        FROM d JOIN p USING (case_id) WHERE i <= len(a))
-    SELECT case_id, round(1 - last[len(last)] / greatest(len(a), len(b)), 6) + 0.0 AS similarity FROM d JOIN p USING (case_id) WHERE i = len(a) + 1""",
+    p AS (SELECT u.case_id, u.a, u.g, v.a AS b, v.g AS h, nullif(greatest(list_max(u.g), list_max(v.g)), 0) AS most FROM t u JOIN t v ON v.i = u.i + 1), """
+    + _rows_of_distances("CASE WHEN a[i] = b[{j}] THEN coalesce(abs(g[i] - h[{j}]) / most, 0) ELSE 1 END") + " SELECT case_id, round(similarity, 6) + 0.0 AS similarity FROM r",
     "ev",
 )
 def s112_timed_similarity(spark, d):
