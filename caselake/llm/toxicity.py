@@ -166,12 +166,16 @@ class Odds(dict):
         return max([self.get("=" + core, 0.0), *[self.get("^" + core[:p], 0.0) for p in PREFIXES if n > p]])
 
 
+#: Tokens that a worker remembers; it keeps them while later stages of a pipeline run in it.
+REMEMBERED = 100_000
+
+
 class Evidence:
     """What the words of a text tell, once they are restored."""
 
     def __init__(self, restorer: Restorer, odds: Odds):
         self.restorer = restorer
-        self.memo = Memo(lambda token: odds.of_word(core_of(restorer._token(token))))
+        self.memo = Memo(lambda token: odds.of_word(core_of(restorer._token(token))), REMEMBERED)
 
     def of(self, text: str) -> tuple[float, float]:
         return strength(map(self.memo.__getitem__, set(self.restorer.words(text))))
