@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from caselake.operators.context import traces
 from caselake.plans.log import EventLog, as_category
 from caselake.plans.order import checkpointed, with_index, with_running
 
+#: Resources of a block, whose pairs with another block are compared at once, and tasks of one product.
+BLOCK, WIDE = 1024, 4096
+
 
 def characteristics(log: EventLog) -> DataFrame:
     """One row: events, cases, activities, mean, largest and smallest case."""
@@ -218,32 +223,70 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _block_pairs(threshold: float):
+    """Function of (key, rows of one block, rows of another) to (a, b, r): pairs above the threshold, by products of matrices of counts."""
+
+    def pairs(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        known = np.unique(np.concatenate([*one["places"], *two["places"]]))
+        dot = np.zeros((len(one), len(two)))
+        sides = []
+        for side in (one, two):
+            at = np.repeat(np.arange(len(side)), [len(x) for x in side["places"]])
+            sides.append((at, np.searchsorted(known, np.concatenate(side["places"].to_numpy())), np.concatenate(side["counts"].to_numpy()).astype("float64")))
+        for low in range(0, len(known), WIDE):  # sums of whole numbers are exact
+            dense = []
+            for side, (at, place, n) in zip((one, two), sides, strict=True):
+                m = np.zeros((len(side), min(WIDE, len(known) - low)))
+                here = (place >= low) & (place < low + WIDE)
+                m[at[here], place[here] - low] = n[here]
+                dense.append(m)
+            dot += dense[0] @ dense[1].T
+        s, var = ([x[c].to_numpy() for x in (one, two)] for c in ("s", "var"))
+        r = (dot - np.multiply.outer(s[0], s[1]) / one["t"].iloc[0]) / np.sqrt(np.multiply.outer(var[0], var[1]))
+        i, j = np.nonzero(np.triu(r > threshold, 1) if key[0] == key[1] else r > threshold)
+        return pd.DataFrame({"a": one["resource"].to_numpy()[i], "b": two["resource"].to_numpy()[j], "r": r[i, j]})
+
+    return pairs
+
+
 def similar_profiles(profile: DataFrame, threshold: float, tasks: DataFrame | None = None) -> DataFrame:
-    """(x, y, r), x < y: pairs whose correlation is above ``threshold`` (0 or more), by a join on few of their tasks.
+    """(x, y, r), x < y: pairs whose correlation is above ``threshold`` (0 or more), by products of blocks that share one of few tasks.
 
     With u the counts over the root of their variation and m their mean part, r = u.v - m_u m_v, and v is as long as the root of
     1 + m_v^2. Tasks are taken in one order, rare ones first; once the rest of u is so short that no v can bring the product
     above the threshold, it is left out. A pair above the threshold has its first common task among those kept of both sides,
-    so only these are joined; what meets is verified by the whole counts. ``tasks`` is one row with their number t, if there
-    are more than in ``profile``.
+    so only blocks of resources that share one meet; there all are compared by the whole counts. Resources of equal counts
+    stand for each other and are put back at the end. ``tasks`` is one row with their number t, if there are more than in ``profile``.
     """
     t = F.col("t").cast("double")
     order = with_index(profile.groupBy("task").agg(F.count("*").alias("users")), "users", "task", name="place").select("task", "place")
-    sums = profile.groupBy("resource").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).join(F.broadcast(profile.agg(F.count_distinct("task").alias("t")) if tasks is None else tasks))
+    cells = profile.join(order, "task").groupBy("resource").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("cells"))
+    cells = checkpointed(cells)
+    groups = checkpointed(cells.groupBy("cells").agg(F.min("resource").alias("first")))
+    members = checkpointed(cells.join(groups, "cells").select("first", "resource"))
+    profile = groups.select(F.col("first").alias("resource"), F.explode("cells").alias("c")).select("resource", "c.place", "c.n")
+    number = order.agg(F.count("*").alias("t")) if tasks is None else tasks
+    sums = profile.groupBy("resource").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).join(F.broadcast(number))
     sums = sums.withColumn("var", F.col("q") - F.col("s") * F.col("s") / t).where("var > 1e-9").withColumn("m", F.col("s") / F.sqrt(t * F.col("var")))
     sums = checkpointed(sums)
     ends = sums.agg(F.min("m").alias("low"), F.max("m").alias("high"))
-    rows = profile.join(sums, "resource").join(order, "task").join(F.broadcast(ends))  # one row
+    rows = profile.join(sums, "resource").join(F.broadcast(ends))  # one row
     rest = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("resource").orderBy(F.desc("place"))) / F.col("var"))
     enough = lambda c: F.lit(threshold) + F.col("m") * F.col(c) - rest * F.sqrt(1 + F.col(c) * F.col(c)) >= 1e-9
-    kept = rows.withColumn("out", enough("low") & enough("high")).where("NOT out").select("resource", "place")
-    met = kept.withColumnRenamed("resource", "x").join(kept.withColumnRenamed("resource", "y"), "place").where("x < y").select("x", "y").distinct()
-    whole = rows.groupBy("resource").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("counts"), F.first("s").alias("s"), F.first("var").alias("var"), F.first("t").alias("t"))
-    side = lambda name: whole.select(F.col("resource").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("counts", "s", "var", "t")))
-    both = met.join(side("x"), "x").join(side("y"), "y")
-    dot = F.aggregate(F.map_entries("counts_x"), F.lit(0).cast("long"), lambda sum_, e: sum_ + e["value"] * F.coalesce(F.try_element_at("counts_y", e["key"]), F.lit(0)))
-    r = (dot - F.col("s_x") * F.col("s_y") / F.col("t_x")) / F.sqrt(F.col("var_x") * F.col("var_y"))
-    return both.select("x", "y", r.alias("r")).where(F.col("r") > threshold)
+    kept = rows.withColumn("out", enough("low") & enough("high")).where("NOT out").groupBy("resource").agg(F.array_sort(F.collect_list("place")).alias("kept"))
+    blocks = with_index(kept.withColumn("rarest", F.col("kept")[0]), "rarest", "resource").withColumn("block", F.floor(F.col("idx") / BLOCK))
+    whole = blocks.join(groups.withColumnRenamed("first", "resource"), "resource").join(sums, "resource")
+    whole = checkpointed(whole.select("block", "kept", "resource", F.col("cells.place").alias("places"), F.col("cells.n").alias("counts"), F.col("s").cast("double").alias("s"), "var", t.alias("t")))
+    shared = whole.select("block", F.explode("kept").alias("place")).distinct()
+    met = shared.withColumnRenamed("block", "i").join(shared.withColumnRenamed("block", "j"), "place").where("i <= j").select("i", "j").distinct()
+    met, whole = checkpointed(met), whole.drop("kept")
+    side = lambda c: met.join(whole.withColumnRenamed("block", c), c).select("i", "j", *whole.columns[1:]).toDF("i", "j", *whole.columns[1:])
+    found = side("i").groupBy("i", "j").cogroup(side("j").groupBy("i", "j")).applyInPandas(_block_pairs(threshold), "a string, b string, r double")
+    one, two = members.toDF("a", "x1"), members.toDF("b", "y1")
+    apart = found.join(one, "a").join(two, "b").select(F.least("x1", "y1").alias("x"), F.greatest("x1", "y1").alias("y"), "r")
+    equal = sums.select(F.col("resource").alias("first"), ((F.col("q") - F.col("s") * F.col("s") / t) / F.sqrt(F.col("var") * F.col("var"))).alias("r")).where(F.col("r") > threshold)
+    alike = members.toDF("first", "x").join(members.toDF("first", "y"), "first").where("x < y").join(equal, "first").select("x", "y", "r")
+    return apart.unionByName(alike)
 
 
 def discover_roles(log: EventLog, similarity: float = 0.7) -> DataFrame:

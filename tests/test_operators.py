@@ -177,6 +177,22 @@ def test_similar_profiles_lose_no_pair(spark, threshold):
     assert {e["resource"]: e["role"] for e in stats.discover_roles(log, threshold).collect()} == roles
 
 
+def test_similar_profiles_meet_in_blocks(spark, monkeypatch):
+    """Several blocks and several products a block, with copies of profiles; no plan joins pairs of resources by a task."""
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    monkeypatch.setattr(stats, "WIDE", 3)
+    rng = random.Random(3)
+    counts = {f"u{i:02}": [rng.randint(0, 6) for _ in range(8)] for i in range(30)}
+    counts |= {f"v{i:02}": counts[f"u{i % 10:02}"] for i in range(25)}
+    profile = spark.createDataFrame([(r, str(t), n) for r, c in counts.items() for t, n in enumerate(c) if n], "resource string, task string, n long")
+    r = np.corrcoef(np.array(list(counts.values()), float))
+    want = {(x, y): r[i, j] for i, x in enumerate(counts) for j, y in enumerate(counts) if x < y and r[i, j] > 0.5}
+    found = stats.similar_profiles(profile, 0.5)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().analyzed().toString()
+    rows = found.collect()
+    assert len(rows) == len(want) and all(e["r"] == pytest.approx(want[e["x"], e["y"]]) for e in rows)
+
+
 def test_graph_edges_and_penalties(spark):
     log = log_of(spark, [("c1", "a", "r1"), ("c1", "b", "r1"), ("c2", "a", "r2"), ("c2", "b", "r1")])
     g = graph.edges(log)
