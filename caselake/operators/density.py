@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from caselake.plans.order import checkpointed
 #: A group with that many training rows or fewer uses the density of all rows.
 LEAST_ROWS = 20
 NORMAL = math.sqrt(2 * math.pi)
+#: Rows that ask for densities in one piece of a block, and entries of a table of partial sums.
+PIECE, ENTRIES = 1 << 15, 1 << 22
 #: Cost of a categorical parent by the number of numeric columns.
 COMPLEXITY = (4, 19, 67, 223, 768, 2790, 10700, 43700, 187000, 842000)
 
@@ -58,34 +62,107 @@ def with_totals(bins: DataFrame) -> DataFrame:
     return bins.join(bins.groupBy("key").agg(F.sum("n").alias("total")).withColumnRenamed("key", "k2"), F.col("key").eqNullSafe(F.col("k2"))).drop("k2")
 
 
+def _sums(values: np.ndarray, at: np.ndarray, cells: np.ndarray, n: np.ndarray, widths: list[float], deltas: list[float], reach: list[int]) -> np.ndarray:
+    """Sum of n times the kernels of all dimensions, for each row of values (which lie in the cells ``at``), over all cells in reach.
+
+    A kernel is a product over dimensions, so one dimension after another is summed out: the counts are a matrix of this
+    dimension's cells by what cells there are of the later ones, and rows that agree so far share its product.
+    """
+    d = values.shape[1]
+    later, tail, tails = [], np.zeros(len(cells), int), 1
+    for i in reversed(range(d)):  # cells from dimension i on are (this one's place, the tail's place)
+        axis, place = np.unique(cells[:, i], return_inverse=True)
+        code = place * tails + tail
+        places, tail = np.unique(code, return_inverse=True)
+        later.insert(0, (axis, tails, places))
+        tails = len(places)
+    counts = np.bincount(code, n, len(later[0][0]) * later[0][1])
+
+    def kernels(i: int, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        b = later[i][0]
+        return np.where(np.abs(c[:, None] - b) <= reach[i], np.exp(-(((x[:, None] - b * deltas[i]) / widths[i]) ** 2) / 2), 0.0)
+
+    order = np.lexsort(values.T[::-1])
+    values, at, out = values[order], at[order], np.zeros(len(values))
+
+    def run(low: int, high: int) -> None:
+        x = values[low:high]
+        new = np.ones((d, len(x)), bool)  # whether a row starts a new run of equal values up to dimension i
+        for i in range(d):
+            new[i, 1:] = (x[1:, i] != x[:-1, i]) | (new[i - 1, 1:] if i else False)
+        if len(x) > 1 and max(new[i].sum() * later[i][1] for i in range(d)) > ENTRIES:
+            run(low, (low + high) // 2)
+            run((low + high) // 2, high)
+            return
+        table, of = counts[None, :], np.zeros(len(x), int)
+        for i in range(d):
+            first = np.flatnonzero(new[i])
+            wide, tail = len(later[i][0]), later[i][1]
+            k = kernels(i, x[first, i], at[low + first, i])
+            if i:
+                full = np.zeros((len(table), wide * tail))
+                full[:, later[i][2]] = table
+            else:
+                full = table
+            full = full.reshape(-1, wide, tail)
+            if len(full) == 1:
+                table = k @ full[0]
+            else:
+                step, table = max(1, ENTRIES // (wide * tail)), np.empty((len(first), tail))
+                for j in range(0, len(first), step):
+                    table[j : j + step] = np.matmul(k[j : j + step, None, :], full[of[first[j : j + step]]])[:, 0]
+            of = np.cumsum(new[i]) - 1
+        out[order[low:high]] = table[of, 0]
+
+    run(0, len(values))
+    return out
+
+
+def _met(names: list[str], widths: list[float], deltas: list[float], reach: list[int]):
+    """Function of (rows that ask, cells around them) to the rows with their density; without cells in reach it is null."""
+    d = range(len(names))
+
+    def met(ask: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        out = ask[["_g", *names]].copy()
+        if not len(ask) or not len(cells):
+            return out.assign(_density=np.nan).iloc[:0]
+        of = lambda df, c: df[[f"{c}{i}" for i in d]].to_numpy()
+        sums = _sums(ask[names].to_numpy(), of(ask, "_c"), of(cells, "_b"), cells["n"].to_numpy(dtype="float64"), widths, deltas, reach)
+        out["_density"] = sums / cells["total"].iloc[0] / math.prod(h * NORMAL for h in widths)
+        return out[sums > 0]
+
+    return met
+
+
 def add_density(df: DataFrame, bins: DataFrame, column: str | list[str], parents: list[str], bandwidth: Numbers, delta: Numbers, output: str) -> DataFrame:
     """``df`` with the kernel density of each row's values, in its parents' group if that is large enough, else of all rows.
 
-    Kernels reach 8 bandwidths in each dimension; further off the density is null, as it is where a value is missing. Cells are
-    gathered in blocks as wide as that reach, so a row meets the cells of 3 blocks a dimension by an equi-join on blocks, and
-    those out of reach are discarded before kernels are summed. Rows of equal values are computed once.
+    Kernels reach 8 bandwidths in each dimension; further off the density is null, as it is where a value is missing. Rows are
+    gathered in blocks twice as wide as that reach, and cells go to the blocks that they reach; a block of many rows is
+    dealt to pieces. Inside one no row meets a cell: dimensions are summed out one after another. Rows of equal values are
+    computed once.
     """
     columns = _list(column)
     deltas, widths = _each(delta, columns), _each(bandwidth, columns)
     reach = [max(1, math.ceil(8 * h / d)) for h, d in zip(widths, deltas, strict=True)]
     text = lambda c: F.coalesce(F.to_json(c), F.lit(""))
-    names = [f"_x{i}" for i in range(len(columns))]
-    rows = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, columns, strict=True)} | {"_key": key_of(parents)})
+    names, blocks = [f"_x{i}" for i in range(len(columns))], ["_g", *(f"_block{i}" for i in range(len(columns)))]
     large = bins.where(F.col("key").isNotNull() & (F.col("total") > LEAST_ROWS)).select(F.col("key").alias("_key")).distinct().withColumn("_large", F.lit(True))
-    ask = rows.where(_present(names)).select(*names, "_key").distinct().join(large, "_key", "left").withColumn("_g", text(F.when(F.col("_large"), F.col("_key"))))
+    rows = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, columns, strict=True)} | {"_key": key_of(parents)})
+    rows = rows.join(large, "_key", "left").withColumn("_g", text(F.when(F.col("_large"), F.col("_key")))).drop("_large", "_key")
+    ask = rows.where(_present(names)).select("_g", *names).distinct()
     cells = bins.select(text("key").alias("_g"), *((F.col("bin")[i] if len(columns) > 1 else F.col("bin")).alias(f"_b{i}") for i in range(len(columns))), "n", "total")
-    near = ask
     for i, (r, d) in enumerate(zip(reach, deltas, strict=True)):
-        cells = cells.withColumn(f"_block{i}", F.floor(F.col(f"_b{i}") / r))
-        near = near.withColumn(f"_c{i}", F.round(F.col(names[i]) / d).cast("long"))
-        near = near.withColumn(f"_block{i}", F.explode(F.sequence(F.floor((F.col(f"_c{i}") - r) / r), F.floor((F.col(f"_c{i}") + r) / r))))
-    met = near.join(cells, ["_g", *(f"_block{i}" for i in range(len(columns)))])
-    for i, r in enumerate(reach):
-        met = met.where(F.abs(F.col(f"_c{i}") - F.col(f"_b{i}")) <= r)
-    squares = sum((F.pow((F.col(n) - F.col(f"_b{i}") * d) / h, F.lit(2.0)) for i, (n, d, h) in enumerate(zip(names, deltas, widths, strict=True))), F.lit(0.0))
-    area = math.prod(h * NORMAL for h in widths)
-    found = met.groupBy(*names, "_key").agg((F.sum(F.col("n") * F.exp(-squares / 2)) / F.first("total") / area).alias(output))
-    return rows.join(found, [*names, "_key"], "left").drop(*names, "_key")
+        ask = ask.withColumn(f"_c{i}", F.round(F.col(names[i]) / d).cast("long")).withColumn(f"_block{i}", F.floor(F.col(f"_c{i}") / (2 * r)))
+        cells = cells.withColumn(f"_block{i}", F.explode(F.sequence(F.floor((F.col(f"_b{i}") - r) / (2 * r)), F.floor((F.col(f"_b{i}") + r) / (2 * r)))))
+    pieces = ask.groupBy(*blocks).agg(F.ceil(F.count("*") / PIECE).alias("_pieces"))
+    ask = ask.join(pieces, blocks).withColumn("_piece", F.pmod(F.xxhash64(*names), F.col("_pieces"))).drop("_pieces")
+    cells = cells.join(pieces, blocks).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1))).drop("_pieces")
+    cells = cells.toDF(*cells.columns)  # columns of its own
+    schema = ", ".join(["_g string", *(f"{n} double" for n in names), "_density double"])
+    found = ask.groupBy(*blocks, "_piece").cogroup(cells.groupBy(*blocks, "_piece")).applyInPandas(_met(names, widths, deltas, reach), schema)
+    found = found.withColumnRenamed("_density", output)
+    return rows.join(found, ["_g", *names], "left").drop(*names, "_g")
 
 
 def ln_floor(density: Column) -> Column:

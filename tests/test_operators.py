@@ -514,6 +514,31 @@ def test_conditional_density_equals_the_sum_over_all_training_rows(spark, contin
         assert got[row[0]] == pytest.approx(math.log(max(dens(row, columns, widths) / below, 1e-10)) if below else math.log(1e-10), abs=1e-9)
 
 
+@pytest.mark.parametrize("dimensions", [1, 2, 4])
+def test_densities_sum_dimensions_out(spark, monkeypatch, dimensions):
+    """Values off the grid, several blocks and pieces and small tables of partial sums, against all pairs; no row meets a cell in the plan."""
+    monkeypatch.setattr(density, "PIECE", 5)
+    monkeypatch.setattr(density, "ENTRIES", 40)
+    rng = random.Random(dimensions)
+    names = list("wxyz")[:dimensions]
+    draw_ = lambda n: [(i, *(round(rng.gauss(0, 12) + rng.choice([0, 0, 90]), rng.choice([0, 2])) for _ in names)) for i in range(n)]
+    schema = ", ".join(["id int", *(f"{c} double" for c in names)])
+    train, test = draw_(80), draw_(60)
+    widths, deltas = [1.5, 2.0, 3.0, 2.5][:dimensions], [0.5, 1.0, 2.0, 1.0][:dimensions]
+    bins = density.grid(spark.createDataFrame(train, schema), names, [], deltas)
+    found = density.add_density(spark.createDataFrame(test, schema), bins, names, [], widths, deltas, "d")
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().analyzed().toString()
+    cell = lambda v, d: math.floor(abs(v) / d + 0.5) * (1 if v > 0 else -1)
+    got = {r["id"]: r["d"] for r in found.collect()}
+    assert len(got) == len(test)
+    for i, *x in test:
+        want = 0.0
+        for _, *y in train:
+            if all(abs(cell(u, d) - cell(v, d)) <= math.ceil(8 * h / d) for u, v, d, h in zip(x, y, deltas, widths, strict=True)):
+                want += math.prod(math.exp(-(((u - cell(v, d) * d) / h) ** 2) / 2) / (h * density.NORMAL) for u, v, d, h in zip(x, y, deltas, widths, strict=True))
+        assert got[i] == pytest.approx(want / len(train), rel=1e-9) if want else got[i] is None
+
+
 def test_both_time_formats(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05",), ("2024/01/02 03:04:05.678",), ("no",)], "t string")
     assert [r[0] for r in df.select(parse_time("t")).collect()] == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 678000), None]
