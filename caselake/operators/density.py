@@ -253,11 +253,11 @@ def family_score(df: DataFrame, name: str, continuous: list[str], discrete: list
     columns, rows = [*continuous, name], df.where(_present([*continuous, name]))
     places = _places(columns, delta)
     counts = rows.select(key_of(discrete).alias("key"), (F.array(*places) if len(columns) > 1 else places[0]).alias("bin"), n.alias("n")).groupBy("key", "bin").agg(F.sum("n").alias("n"))
-    joint = with_totals(counts)
+    joint = checkpointed(with_totals(checkpointed(counts)))  # both are used several times
     marginal = None
     if continuous:
         head = F.slice("bin", 1, len(continuous)) if len(continuous) > 1 else F.col("bin")[0]
-        marginal = with_totals(joint.where("key IS NOT NULL").groupBy("key", head.alias("bin")).agg(F.sum("n").alias("n")))
+        marginal = checkpointed(with_totals(joint.where("key IS NOT NULL").groupBy("key", head.alias("bin")).agg(F.sum("n").alias("n"))))
     node = NumericNode(name, continuous, discrete, joint, marginal, _each(bandwidth, columns), _each(delta, columns))
     scored = node.add_score(rows.groupBy(*dict.fromkeys([*columns, *discrete])).agg(F.sum(n).alias("_n")), "_score")
     total = scored.agg(F.sum(F.col("_n") * F.col("_score"))).first()[0] or 0.0
