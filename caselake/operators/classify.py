@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.recommendation import ALS
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselake.plans.log import as_category
-from caselake.plans.order import written
+from caselake.plans.order import checkpointed, written
 
 
 def train_linear(df: DataFrame, label: str, columns: list[str], iterations: int = 30, regularisation: float = 1e-3) -> PipelineModel:
-    """A softmax over one weight for each (column, value, label): a dense layer over one embedding for each column."""
-    typed = df.select(as_category(label).alias("label"), *(as_category(c).alias(c) for c in columns))
-    return Pipeline(stages=[
+    """A softmax over one weight for each (column, value, label): a dense layer over one embedding for each column.
+
+    Equal rows are one with their number as weight, so after one count of the rows a fit costs their different values only.
+    Features are divided by their deviation over all rows before the fit, as the learner's own scaling takes weights for shares.
+    """
+    counts = checkpointed(df.groupBy(as_category(label).alias("label"), *(as_category(c).alias(c) for c in columns)).agg(F.count("*").cast("double").alias("weight")))
+    coded = Pipeline(stages=[
         StringIndexer(inputCol="label", outputCol="label_id", handleInvalid="keep", stringOrderType="alphabetAsc"),
         StringIndexer(inputCols=columns, outputCols=[f"{c}_id" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=[f"{c}_id" for c in columns], outputCols=[f"{c}_hot" for c in columns], handleInvalid="keep"),
-        VectorAssembler(inputCols=[f"{c}_hot" for c in columns], outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="label_id", predictionCol="y", family="multinomial", maxIter=iterations, regParam=regularisation),
-    ]).fit(typed)
+        VectorAssembler(inputCols=[f"{c}_hot" for c in columns], outputCol="hot"),
+    ]).fit(counts)
+    rows = coded.transform(counts)
+    means, n = rows.agg(Summarizer.mean(F.col("hot"), F.col("weight")), F.sum("weight")).first()  # a number for each value
+    scale = [1 / math.sqrt(p * (1 - p) * n / (n - 1)) if 0 < p < 1 else 0.0 for p in means]
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="hot", outputCol="x")
+    fitted = LogisticRegression(featuresCol="x", labelCol="label_id", weightCol="weight", predictionCol="y", family="multinomial", maxIter=iterations, regParam=regularisation, standardization=False).fit(scaled.transform(rows))
+    return PipelineModel([*coded.stages, scaled, fitted])
 
 
 def test_linear(model: PipelineModel, df: DataFrame, label: str, columns: list[str], keys: list[str]) -> DataFrame:

@@ -813,6 +813,29 @@ def test_a_fitted_classifier_meets_its_score_equations(spark):
                 assert sum(r["probability"][i] for r in here) == pytest.approx(sum(r["label"] == x for r in here), abs=0.5)
 
 
+def test_a_fit_on_counts_equals_one_on_rows(spark, monkeypatch):
+    """The learner gets a row for each combination of values, and the weights are those of a fit on all rows, regularised alike."""
+    rng = random.Random(12)
+    rows = [(a, b, rng.choice("xxy" if a == "p" else "yyz")) for a, b in ((rng.choice("pppq"), rng.choice("rrrrst")) for _ in range(500))]
+    df = spark.createDataFrame(rows, "a string, b string, label string")
+    learner, seen = classify.LogisticRegression, []
+
+    class Counting(learner):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(classify, "LogisticRegression", Counting)
+    fitted = classify.train_linear(df, "label", ["a", "b"], iterations=100, regularisation=0.05)
+    assert seen == [len(set(rows))]
+    typed = df
+    for stage in fitted.stages[:-2]:
+        typed = stage.transform(typed)
+    want = learner(featuresCol="hot", labelCol="label_id", family="multinomial", maxIter=100, regParam=0.05).fit(typed)
+    p = lambda m, d: np.array([r[0].toArray() for r in m.transform(d).select("probability").collect()])
+    assert np.allclose(p(fitted, df), p(want, typed), atol=1e-4)
+
+
 def test_embeddings_are_close_where_values_meet(spark):
     """Two blocks of activities and resources that meet inside only."""
     rows = [(f"a{i}", f"r{j}") for i in range(6) for j in range(8) if i % 2 == j % 2 for _ in range(20)]
