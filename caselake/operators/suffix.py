@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caselake.operators.context import END
 from caselake.operators.predict import UNKNOWN, backoff_tables, predict
 from caselake.plans.log import EventLog, as_category
-from caselake.plans.order import checkpointed
+from caselake.plans.order import checkpointed, written
 
 #: Stands for an activity where every value is barred by its repeats. It is left out of what is predicted.
 BARRED = "\x00"
@@ -109,4 +109,5 @@ def predict_suffixes(
         if left:
             power = then(power, power)
     path = F.filter("path", lambda x: x != BARRED)
-    return rows.join(rolled.select("ctx", path.alias("predicted")), "ctx").select(s.case, "prefix_size", "suffix", "predicted")
+    rolled = written(rolled.select("ctx", path.alias("predicted")))  # of known size: a few contexts go to the rows, and not all rows of a context to one task
+    return rows.join(rolled, "ctx").select(s.case, "prefix_size", "suffix", "predicted")

@@ -656,6 +656,14 @@ def traces_of(n, seed, hot):
 TRACES = "case_id long, activity array<string>, gap array<double>, start long"
 
 
+def test_rows_of_one_context_are_not_gathered(spark):
+    """Few contexts are sent to the rows; the rows with their suffixes are not shuffled by context."""
+    log = cx.add_end_events(log_of(spark, [(f"c{i // 4}", "ab"[i % 2]) for i in range(40)], k=1))
+    found = suffix.predict_suffixes(log, cx.k_context(log, 1, ["activity"]), k=1)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_nearest_variants_by_brute_force(spark):
     a, b = traces_of(80, 3, 0.2), traces_of(60, 4, 0.2)
     found = {tuple(r["variant"]): (r["distance"], r["nearest"], r["cases"], r["similarity"]) for r in similarity.nearest_variants(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES)).collect()}
