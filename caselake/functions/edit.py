@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,6 +149,50 @@ def damerau_distances(a: Sequence, b: Sequence) -> np.ndarray:
     return _by_rows(a, b, free=True)
 
 
+def _damerau_cells(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """``_rows_block`` with free swaps for very many pairs of short rows: a cell of the table a step, all pairs at once."""
+    (pairs, m), n = a.shape, b.shape[1]
+    a, b, each = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.arange(pairs)
+    table = np.empty((m + 1, n + 1, pairs), np.int16)
+    table[:, 0], table[0] = np.arange(m + 1, dtype=np.int16)[:, None], np.arange(n + 1, dtype=np.int16)[:, None]
+    seen = np.zeros((n, pairs), np.int16)
+    for i in range(1, m + 1):
+        left = np.zeros(pairs, np.int16)
+        for j in range(1, n + 1):
+            equal, k = a[i - 1] == b[j - 1], seen[j - 1]
+            best = np.minimum(np.minimum(table[i - 1, j], table[i, j - 1]) + np.int16(1), table[i - 1, j - 1] + ~equal)
+            if i > 1 and j > 1:
+                least = np.abs(k - left) + (np.int16(i + j - 1) - k - left)  # no swap costs less
+                p = np.flatnonzero((k > 0) & (left > 0) & (least < best))
+                swap = table[k[p] - 1, left[p] - 1, each[p]] + (np.int16(i + j - 1) - k[p] - left[p])
+                best[p] = np.minimum(best[p], swap)
+            table[i, j] = best
+            left[equal], k[equal] = j, i
+    return table[la, lb, each].astype(float)
+
+
+def damerau_between(a: pa.ListArray, b: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``damerau_distances`` of the rows ``i`` of a and ``j`` of b; each row is coded once, however many pairs it is in."""
+    items = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    m, n = (c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in (a, b))
+    rows = lambda flat, length, fill: _padded(np.split(flat, np.cumsum(length)[:-1]), fill)
+    x, y = rows(items[: m.sum()], m, -1), rows(items[m.sum() :], n, -2)
+    out, order, at = np.zeros(len(i)), np.lexsort((n[j], m[i])), 0
+    while at < len(order):
+        longest = m[i[order[at]]]
+        end = at + np.searchsorted(m[i[order[at:]]], longest, "right")  # one length of a at a time
+        width = n[j[order[end - 1]]]
+        k = order[at : min(end, at + max(1, CELLS // ((longest + 1) * (width + 1))))]
+        p, q = i[k], j[k]
+        width = n[q].max()
+        if len(k) > width and longest + width < np.iinfo(np.int16).max // 2:
+            out[k] = _damerau_cells(x[p, :longest], m[p], y[q, :width], n[q])
+        else:
+            out[k] = _rows_block(x[p, :longest], m[p], y[q, :width], n[q], None, None, True)
+        at += len(k)
+    return out
+
+
 def timed_distances(a: Sequence, b: Sequence, ta: Sequence, tb: Sequence) -> np.ndarray:
     """As ``osa_distances``, but keeping equal items costs their difference in time over the largest time of both sequences."""
     most = [max([*map(float, s), *map(float, t)], default=0.0) or 1.0 for s, t in zip(ta, tb, strict=True)]

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselake.functions.edit import edit_distance, timed_edit_similarity
+from caselake.functions.edit import damerau_between, edit_distance, timed_edit_similarity
 from caselake.plans.order import with_index, written
 
-#: Traces whose distances to all others place them; the first ``CELLS`` of them deal variants into cells.
-PIVOTS, CELLS = 6, 2
+#: Traces whose distances to all others place them.
+PIVOTS = 6
 #: Items are counted by this many hashes.
 BUCKETS = 16
+#: Variants of a block; blocks of both sides meet as wholes.
+BLOCK = 512
+#: Pairs that a task of the matching goes through, and pairs of variants that are compared at once when no more are left.
+TILE, LAST = 1 << 21, 1 << 20
 #: Matched runs of cases are cut at multiples of this, so that a run of any length is dealt out.
 CHUNK = 1000
+MATCHED = "id long, o_id long, distance double, n long, from_a long, from_b long"
 
 
 def _bag(trace: str | Column) -> Column:
@@ -30,37 +38,80 @@ def placed(variants: DataFrame, pivots: list[list[str]], column: str = "variant"
     return variants.withColumns(to | {"size": F.size(column), "bag": _bag(column)})
 
 
-def candidates(left: DataFrame, right: DataFrame, radius: float, pivots: int) -> DataFrame:
-    """(variant, other): pairs that no bound keeps apart by more than ``radius``.
+def _blocks(side: DataFrame, pivots: int, prefix: str) -> DataFrame:
+    """A row for each block of variants: its rows, and the ranges of their sizes and distances to pivots."""
+    places = ["size", *(f"to_{i}" for i in range(pivots))]
+    row = F.struct("id", "variant", "size", "bag", F.array(*(F.col(c).cast("double") for c in places[1:])).cast("array<double>").alias("to"))
+    ends = [f(c).alias(f"{prefix}{n}_{i}") for i, c in enumerate(places) for f, n in ((F.min, "low"), (F.max, "high"))]
+    return side.groupBy(F.floor(F.col("place") / BLOCK).alias(f"{prefix}block")).agg(F.collect_list(row).alias(f"{prefix}rows"), *ends)
+
+
+def _block_pairs(low: float, radius: float, compare: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, o_id, distance) of the pairs of two blocks that no bound keeps apart; if asked, of those whose distance is in the range."""
+
+    def within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.abs(x[:, None] - y[None, :]) <= radius
+
+    def pairs_of(x: pa.StructArray, y: pa.StructArray) -> tuple:
+        number = lambda c: c.to_numpy(zero_copy_only=False)
+        matrix = lambda r, c: number(r.field(c).flatten()).reshape(len(r), -1)
+        near = within(number(x.field("size")), number(y.field("size")))
+        for p, q in zip(matrix(x, "to").T, matrix(y, "to").T, strict=True):
+            near &= within(p, q)
+        more, less = np.zeros(near.shape, np.int32), np.zeros(near.shape, np.int32)
+        for p, q in zip(matrix(x, "bag").T, matrix(y, "bag").T, strict=True):
+            if p.any() or q.any():
+                d = p[:, None].astype(np.int32) - q[None, :].astype(np.int32)
+                more += np.maximum(d, 0)
+                less += np.maximum(-d, 0)
+        i, j = np.nonzero(near & (np.maximum(more, less) <= radius))
+        distance = np.zeros(len(i))
+        if compare and len(i):
+            distance = damerau_between(x.field("variant"), y.field("variant"), i, j)
+            kept = (distance > low) & (distance <= radius)
+            i, j, distance = i[kept], j[kept], distance[kept]
+        return number(x.field("id"))[i], number(y.field("id"))[j], distance
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs_of(*(c.slice(r, 1).flatten() for c in batch.columns))], ["id", "o_id", "distance"])
+
+    return met
+
+
+def near_ids(left: DataFrame, right: DataFrame, low: float, radius: float, pivots: int, compare: bool = True) -> DataFrame:
+    """(id, o_id, distance) of all pairs with ``low`` < distance <= ``radius``.
 
     The distance is a metric, so distances to a pivot differ by no more than it; nor do lengths, nor the counts of items that
-    only one side has. The first pivots' distances make cells as wide as the radius: a variant meets the cells around its own
-    by an equi-join, and the other bounds discard before anything is compared.
+    only one side has. Variants next to each other in the order of these make a block; a block meets those whose ranges come
+    within the radius, and inside two blocks the bounds of each pair discard before anything is compared.
     """
-    width = max(1.0, radius)
-    own = lambda side, i: F.floor(F.col(f"{side}.to_{i}") / width)
-    cells = range(min(CELLS, pivots))
-    a, b = left.alias("a"), right.alias("b")
-    a = a.select("a.*", *(own("a", i).alias(f"c{i}") for i in cells)).alias("a")
-    b = b.select("b.*", *(own("b", i).alias(f"k{i}") for i in cells)).alias("b")
-    for i in cells:
-        a = a.withColumn(f"k{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
-    renamed = b.withColumnsRenamed({c: f"o_{c}" for c in b.columns if not c.startswith("k")})
-    met = a.join(renamed, [f"k{i}" for i in cells])
-    near = F.abs(F.col("size") - F.col("o_size")) <= radius
-    for i in range(pivots):
-        near &= F.abs(F.col(f"to_{i}") - F.col(f"o_to_{i}")) <= radius
-    surplus = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda s, v: s + v)
-    near &= F.greatest(surplus("bag", "o_bag"), surplus("o_bag", "bag")) <= radius
-    return met.where(near).select("variant", F.col("o_variant").alias("other"))
+    if radius == 0 and compare:
+        return left.select("id", "variant").join(right.select(F.col("id").alias("o_id"), "variant"), "variant").select("id", "o_id", F.lit(0.0).alias("distance"))
+    a, b = _blocks(left, pivots, "a"), _blocks(right, pivots, "b")
+    near = F.lit(True)
+    for i in range(pivots + 1):
+        near &= (F.col(f"alow_{i}") - F.col(f"bhigh_{i}") <= radius) & (F.col(f"blow_{i}") - F.col(f"ahigh_{i}") <= radius)
+    ranges = lambda x, p: x.drop(f"{p}rows")
+    met = ranges(a, "a").crossJoin(ranges(b, "b")).where(near).select("ablock", "bblock")
+    parts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = met.join(a.select("ablock", "arows"), "ablock").join(b.select("bblock", "brows"), "bblock").repartition(parts, "ablock", "bblock")
+    return both.select("arows", "brows").mapInArrow(_block_pairs(low, radius, compare), "id long, o_id long, distance double")
+
+
+def _named(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    return pairs.join(left.select("id", "variant"), "id").join(right.select(F.col("id").alias("o_id"), F.col("variant").alias("other")), "o_id")
+
+
+def candidates(left: DataFrame, right: DataFrame, radius: float, pivots: int) -> DataFrame:
+    """(variant, other): pairs that no bound keeps apart by more than ``radius``."""
+    return _named(near_ids(left, right, -1, radius, pivots, compare=False), left, right).select("variant", "other")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, low: float, radius: float, pivots: int) -> DataFrame:
     """(variant, other, distance) of all pairs with ``low`` < distance <= ``radius``; what bounds leave is compared."""
-    if radius == 0:
-        return left.select("variant").join(right.select(F.col("variant").alias("other")), F.col("variant") == F.col("other")).withColumn("distance", F.lit(0.0))
-    found = candidates(left, right, radius, pivots).withColumn("distance", edit_distance("variant", "other", free=True))
-    return found.where((F.col("distance") > low) & (F.col("distance") <= radius))
+    return _named(near_ids(left, right, low, radius, pivots), left, right).select("variant", "other", "distance")
 
 
 def _radii(longest: int) -> Iterator[tuple[float, float]]:
@@ -76,7 +127,8 @@ def _both_sides(a: DataFrame, b: DataFrame, column: str) -> tuple[DataFrame, Dat
     ``a`` by their hash: they are all that goes through the driver."""
     counted = [x.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("variant")).agg(F.count("*").alias("cases")) for x in (a, b)]
     pivots = [r[0] for r in counted[0].orderBy(F.xxhash64("variant"), "variant").limit(PIVOTS).select("variant").collect()]
-    va, vb = (written(placed(c, pivots)) for c in counted)
+    near = [*(f"to_{i}" for i in range(len(pivots))), "size"]
+    va, vb = (written(with_index(with_index(placed(c, pivots), "variant", name="id"), *near, "id", name="place")) for c in counted)
     longest = max(x.agg(F.max("size")).first()[0] or 0 for x in (va, vb))
     return va, vb, len(pivots), longest
 
@@ -102,42 +154,69 @@ def nearest_variants(a: DataFrame, b: DataFrame, column: str = "activity") -> Da
     return out.join(va.select("variant", "cases"), "variant").select("variant", "cases", "nearest", "distance", F.when(size > 0, 1 - F.col("distance") / size).otherwise(1.0).alias("similarity"))
 
 
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in their order: each takes what is left of both of its variants. Only the variants met so far are remembered."""
+    left: dict[int, int] = {}
+    right: dict[int, int] = {}
+    for batch in batches:
+        out = []
+        for distance, v, o, ca, cb, ua, ub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = left.get(v, ca), right.get(o, cb)
+            if x and y:
+                n = min(x, y)
+                out.append((v, o, distance, n, ua + ca - x, ub + cb - y))
+                left[v], right[o] = x - n, y - n
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["id", "o_id", "distance", "n", "from_a", "from_b"])
+
+
 def matched_variants(va: DataFrame, vb: DataFrame, pivots: int, longest: int) -> DataFrame:
     """(variant, other, distance, n, from_a, from_b): n cases of each pair matched, those from the given places on.
 
     The result of going through all pairs in order of (distance, variant, other) and matching what is left of both. Pairs come
-    by growing radius; inside one, each variant names its first pair, and pairs that are first for both sides are matched at
-    once. Each round uses up a side of every such pair, so rounds are few.
+    by growing radius, one more each time while there are many, so that those of far variants are only made for what nearer ones
+    have left. Pairs of one distance make a square, variants by others, cut into ``sides`` x ``sides`` tiles: what a tile gets
+    depends on the tiles left of it and above it alone, so the tiles of a diagonal go at once, each sorted and read in order.
     """
-    left = va.select("variant", *(c for c in va.columns if c.startswith("to_")), "size", "bag", "cases", F.lit(0).cast("long").alias("used"))
-    right = vb.select("variant", *(c for c in vb.columns if c.startswith("to_")), "size", "bag", "cases", F.lit(0).cast("long").alias("used"))
-    parts = []
+    spark = va.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.withColumn("used", F.lit(0).cast("long")) for x in (va, vb))
+    counts = [left.count(), right.count()]
+    all_of = list(counts)
+    found_in = []
 
     def spent(side: DataFrame, by: DataFrame, key: str) -> DataFrame:
         """What is left of a side; variants without cases leave."""
-        n = by.select(F.col(key).alias("_v"), "n")
-        rest = side.join(n, F.col("variant") == F.col("_v"), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-        return written(rest.withColumns({"cases": F.col("cases") - F.col("n"), "used": F.col("used") + F.col("n")}).where("cases > 0").drop("_v", "n"))
-
-    for low, high in _radii(longest):
-        if left.isEmpty() or right.isEmpty():
-            break
-        pairs = written(near_pairs(left, right, low, high, pivots))
-        while True:
-            live = pairs.join(left.select("variant", F.col("cases").alias("ca"), F.col("used").alias("ua")), "variant")
-            live = live.join(right.select(F.col("variant").alias("other"), F.col("cases").alias("cb"), F.col("used").alias("ub")), "other")
-            first = lambda of: F.min(F.struct("distance", "variant", "other")).alias("best")  # noqa: E731, ARG005
-            firsts = [live.groupBy(c).agg(first(c)).select("best.variant", "best.other") for c in ("variant", "other")]
-            mutual = firsts[0].join(firsts[1], ["variant", "other"])
-            found = written(live.join(mutual, ["variant", "other"]).select("variant", "other", "distance", F.least("ca", "cb").alias("n"), F.col("ua").alias("from_a"), F.col("ub").alias("from_b")))
-            if found.isEmpty():
-                break
-            parts.append(found)
-            left, right = spent(left, found, "variant"), spent(right, found, "other")
-    out = va.sparkSession.createDataFrame([], "variant array<string>, other array<string>, distance double, n long, from_a long, from_b long")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        n = by.groupBy(F.col(key).alias("id")).agg(F.sum("n").alias("n"))
+        rest = side.join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+        return written(rest.withColumns({"cases": F.col("cases") - F.col("n"), "used": F.col("used") + F.col("n")}).where("cases > 0").drop("n"))
+
+    low, step = -1, 1
+    while low < longest and all(counts):
+        high = longest if counts[0] * counts[1] <= LAST else min(longest, low + step)
+        pairs = written(near_ids(left, right, low, high, pivots))
+        n = pairs.count()
+        low, step = high, max(1, step // 2) if n > sum(counts) else 2 * step
+        if not n:
+            continue
+        sides = math.ceil(math.sqrt(n / TILE))
+        at = [F.floor(F.col(c) * sides / F.lit(of)) for c, of in (("id", all_of[0]), ("o_id", all_of[1]))]
+        turns = [F.lit(True)]
+        if sides > 1:
+            distances = sorted(r[0] for r in pairs.select("distance").distinct().collect())
+            turns = [(F.col("distance") == d) & (at[0] + at[1] == k) for d in distances for k in range(2 * sides - 1)]
+        for turn in turns:
+            live = pairs.where(turn).join(left.select("id", F.col("cases").alias("ca"), F.col("used").alias("ua")), "id")
+            live = live.join(right.select(F.col("id").alias("o_id"), F.col("cases").alias("cb"), F.col("used").alias("ub")), "o_id")
+            dealt = live.select("distance", "id", "o_id", "ca", "cb", "ua", "ub", at[0].alias("tile")).repartition(min(parts, sides), "tile").drop("tile")
+            taken = dealt.sortWithinPartitions("distance", "id", "o_id").mapInArrow(_in_turn, MATCHED)
+            found_in.append(written(taken))
+            left, right = spent(left, found_in[-1], "id"), spent(right, found_in[-1], "o_id")
+        counts = [left.count(), right.count()]
+    out = spark.createDataFrame([], MATCHED)
+    for f in found_in:
+        out = out.unionByName(f)
+    return _named(out, va, vb).select("variant", "other", "distance", "n", "from_a", "from_b")
 
 
 def match_logs(a: DataFrame, b: DataFrame, trim: float = 0.2, seed: int = 1, case: str = "case_id", activity: str = "activity", gaps: str = "gap", start: str = "start") -> DataFrame:

@@ -7,11 +7,12 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions.columns import draw, parse_time
-from caselake.functions.edit import damerau_distances, timed_distances
+from caselake.functions.edit import damerau_between, damerau_distances, timed_distances
 from caselake.operators import context as cx
 from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, similarity, statistics, stats, structure, suffix
 from caselake.plans.log import EventLog, LogSpec, column_kinds
@@ -686,6 +687,28 @@ def test_bounds_lose_no_pair_and_discard_most(spark):
     assert similarity.candidates(va, vb, 1, pivots).count() < 0.1 * len(pairs)
 
 
+@pytest.mark.parametrize("tile", [1 << 21, 150])
+def test_pairs_of_one_distance_need_no_round_each(spark, monkeypatch, tile):
+    """All pairs are one apart, so that few are first for both sides; tiles of few pairs give the same."""
+    a, b = ([(i, [f"{side}{i:02}"], [0.0], i) for i in range(40)] for side in "xy")
+    va, vb, pivots, longest = similarity._both_sides(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES), "activity")
+    tables, write = [], similarity.written
+    monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "written", lambda df: tables.append(1) or write(df))
+    found = similarity.matched_variants(va, vb, pivots, longest).collect()
+    assert sorted((r["variant"], r["other"], r["distance"], r["n"]) for r in found) == [([f"x{i:02}"], [f"y{i:02}"], 1.0, 1) for i in range(40)]
+    assert len(tables) < 40
+
+
+def test_damerau_between_rows():
+    rng = random.Random(2)
+    a, b = ([[rng.choice(["a", "b", "c", None]) for _ in range(rng.randint(0, 9))] for _ in range(30)] for _ in range(2))
+    i, j = (x.ravel() for x in np.indices((30, 30)))
+    want = damerau_distances([a[x] for x in i], [b[x] for x in j])
+    assert damerau_between(pa.array(a), pa.array(b), i, j).tolist() == want.tolist()
+    assert damerau_between(pa.array(a), pa.array(b), i[:3], j[:3]).tolist() == want[:3].tolist()
+
+
 def test_matching_without_replacement_equals_a_loop(spark):
     """Pairs in order of distance and traces, cases in order of starts; one trace is a third of all; runs longer than a chunk."""
     a, b = traces_of(150, 7, 0.35), traces_of(130, 8, 0.35)
