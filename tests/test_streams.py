@@ -2,7 +2,9 @@
 
 import datetime
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from caselake.operators.context import k_context
@@ -94,3 +96,72 @@ def test_scores_and_one_alert_a_case(spark, tmp_path):
         want.append((case, tie, n, round(total / n, 9), alert))
     assert sorted((r["case_id"], r["tie"], r["events"], round(r["score"], 9), r["alert"]) for r in got) == want
     assert 0 < sum(r["alert"] for r in got) <= 4
+
+
+class Store:
+    """A state of one key that counts the messages to it: it stands for the handle, the list and the value."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):
+        return State(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class State:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _of(self, value=None, clear=False, default=None):
+        self.store.calls += 1
+        if clear:
+            self.store.kept.pop(self.name, None)
+        elif value is not None:
+            self.store.kept[self.name] = value
+        return self.store.kept.get(self.name, default)
+
+    def exists(self):
+        return self._of() is not None
+
+    def get(self):
+        return self._of()
+
+    def update(self, value):
+        self._of(value)
+
+    put = update
+
+    def clear(self):
+        self._of(clear=True)
+
+    def appendList(self, rows):
+        self.store.kept[self.name] = [*self._of(default=[]), *rows]
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+
+def test_a_key_sends_few_messages_and_keeps_rows_that_came_together_as_one():
+    store, idle = Store(), 10**9
+    machine = sl.ContextProcessor(2, idle)
+    machine.init(store)
+    frame = pd.DataFrame({"micros": [i * 1000 for i in range(500)], "tie": range(500), "value": ["a", "b"] * 250})
+    assert not list(machine.handleInputRows(("7",), iter([frame.iloc[::-1]]), None))
+    assert store.calls <= 5 and len(store.kept["waiting"]) == 1
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 399)
+    out = pd.concat(machine.handleExpiredTimer(("7",), passed, None))
+    assert len(out) == 400 and out["prev"].tolist()[:3] == [["0", "0"], ["a", "0"], ["b", "a"]] and store.timers >= {400}
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**7)
+    out = pd.concat(machine.handleExpiredTimer(("7",), passed, None))
+    assert len(out) == 100 and out["prev"].tolist()[0] == ["b", "a"] and not store.kept
+    assert store.calls <= 16
