@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselake.operators import classify, metrics
-from caselake.operators.predict import backoff_tables, predict, results
-from caselake.operators.prepare import prepare
+from caselake.operators.predict import backoff_tables, predicted_results
+from caselake.operators.prepare import by_position, prepare_context, prepare_split
 from caselake.plans.log import EventLog, Setting
-from caselake.plans.order import checkpointed, written
+from caselake.plans.order import checkpointed, with_index, written
 
 Metric = Callable[[DataFrame], DataFrame]
 METRICS: dict[str, Metric] = {"accuracy": metrics.accuracy, "precision": metrics.weighted_precision, "recall": metrics.weighted_recall, "brier": metrics.brier}
@@ -46,7 +46,7 @@ def _parents(df: DataFrame, k: int = 2) -> list[str]:
 register(Method(
     "counts",
     lambda df, **p: (backoff_tables(df, "activity", _parents(df, **p)), p),
-    lambda model, df, keys: results(df, predict(df, model[0], _parents(df, **model[1]), keys), "activity", keys),
+    lambda model, df, keys: predicted_results(df, model[0], "activity", _parents(df, **model[1]), keys),
 ))
 register(Method(
     "linear",
@@ -74,12 +74,18 @@ def experiments(**axes: list) -> list[Setting]:
 def run_experiments(log: EventLog, settings: list[Setting], names: list[str], keys: list[str], metric: str = "accuracy") -> DataFrame:
     """(fields of the setting, method, metric): each method under each setting; ``k-fold`` gives the mean of its folds.
 
-    A setting is prepared once for all its methods. The loop is over experiments; the driver holds one number for each.
+    A setting is prepared once for all its methods, and contexts once for all settings that share them, with the positions of
+    their rows, so that a split by position is a comparison. The loop is over experiments; the driver holds one number for each.
     """
-    rows = []
+    rows, contexts = [], {}
     for setting in settings:
-        ready = prepare(log, setting)
-        df = checkpointed(ready.df)
+        shared = (setting.k, setting.add_end, setting.longer_than, by_position(setting))
+        if shared not in contexts:
+            ready = prepare_context(log, setting)
+            df = with_index(ready.df, *ready.spec.order, ready.spec.case, name="_place") if by_position(setting) else ready.df
+            contexts[shared] = ready.with_df(checkpointed(df))
+        ready = prepare_split(contexts[shared], setting, "_place" if by_position(setting) else None)
+        df = ready.df.drop("_place") if by_position(setting) else checkpointed(ready.df)
         for name in names:
             method, k = METHODS[name], {"k": ready.spec.k}
             if setting.split == "k-fold":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselake.functions.edit import edit_similarity, timed_edit_similarity
@@ -32,16 +32,16 @@ def backoff_tables(df: DataFrame, value: str, parents: list[str], weight: str |
     return rows.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("mask", "key")))
 
 
-def predict(df: DataFrame, tables: DataFrame, parents: list[str], keys: list[str]) -> DataFrame:
-    """(keys, value, p): the distribution of the next value for each row of ``df``.
+def of_contexts(df: DataFrame, tables: DataFrame, parents: list[str]) -> DataFrame:
+    """(ctx, value, p): the distribution of the next value for each different context of ``df``, if there is one.
 
     All parents seen together: given all. Some parent's value never seen: given those seen (none: the marginal). All seen, but
     not together: the mean, over each parent left out, of the distribution given the rest; a rest that was never seen adds
-    nothing but counts. Contexts are few next to rows, so each different one is resolved once and joined back.
+    nothing but counts. Contexts are few next to rows, so each different one is resolved once.
     """
     n = len(parents)
     full = (1 << n) - 1
-    contexts = df.select(key_of(parents).alias("ctx") if n else F.array().cast("array<string>").alias("ctx")).distinct()
+    contexts = df.select(_context(parents)).distinct()
     one = tables.where(F.col("mask").isin([1 << i for i in range(n)] or [-1])).select("mask", "key").distinct()
     single = one.select("mask", F.explode("key").alias("v")).where("v is not null").distinct()
     wide = contexts
@@ -58,8 +58,16 @@ def predict(df: DataFrame, tables: DataFrame, parents: list[str], keys: list[str
     asked = wide.withColumn("mask", F.explode(masks)).withColumn("parts", F.size(masks))
     used = F.transform("ctx", lambda v, i: F.when(F.getbit(F.col("mask"), i) == 1, v)) if n else F.col("ctx")
     found = _joined(asked.withColumn("key", used), tables)
-    spread = found.groupBy("ctx", "value").agg((F.sum("p") / F.first("parts")).alias("p"))
-    rows = df.select(*keys, (key_of(parents) if n else F.array().cast("array<string>")).alias("ctx"))
+    return found.groupBy("ctx", "value").agg((F.sum("p") / F.first("parts")).alias("p"))
+
+
+def _context(parents: list[str]) -> Column:
+    return (key_of(parents) if parents else F.array().cast("array<string>")).alias("ctx")
+
+
+def predict(df: DataFrame, tables: DataFrame, parents: list[str], keys: list[str]) -> DataFrame:
+    """(keys, value, p): the distribution of the next value for each row of ``df``, that of its context (see ``of_contexts``)."""
+    rows, spread = df.select(*keys, _context(parents)), of_contexts(df, tables, parents)
     return rows.join(spread, "ctx", "left").select(*keys, F.coalesce("value", F.lit(UNKNOWN)).alias("value"), F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
@@ -83,6 +91,16 @@ def results(df: DataFrame, distribution: DataFrame, value: str, keys: list[str])
     return of_true.join(top, keys).select(*keys, "expected", "predicted", "p_predicted", F.coalesce("p", F.lit(0.0)).alias("p_expected"))
 
 
+def predicted_results(df: DataFrame, tables: DataFrame, value: str, parents: list[str], keys: list[str]) -> DataFrame:
+    """``results`` of ``predict`` for keys that are different in all rows, without a row for each value of each row's distribution:
+    the likeliest value and the probability of the true one are looked up by context."""
+    spread = checkpointed(of_contexts(df, tables, parents))  # as many rows as contexts have values
+    rows = df.select(*keys, as_category(value).alias("expected"), _context(parents))
+    found = rows.join(most_likely(spread, ["ctx"]), "ctx", "left").join(spread.withColumnRenamed("value", "expected"), ["ctx", "expected"], "left")
+    known = lambda c, of: F.coalesce(c, F.lit(of)).alias(c)
+    return found.select(*keys, "expected", known("predicted", UNKNOWN), known("p_predicted", 0.0), F.coalesce("p", F.lit(0.0)).alias("p_expected"))
+
+
 def next_event(train: DataFrame, test: DataFrame, value: str, parents: list[str], keys: list[str]) -> DataFrame:
     """Learn from ``train``, predict each row of ``test``: (keys, expected, predicted, p_predicted, p_expected)."""
     return results(test, predict(test, backoff_tables(train, value, parents), parents, keys), value, keys)

@@ -119,15 +119,15 @@ def keep_cases(log: EventLog, cases: DataFrame, keep: bool = True) -> EventLog:
 # -- splits ---------------------------------------------------------------------------------------------------------
 
 
-def split_events(log: EventLog, percentage: float, method: str = "train-test", seed: int = 42) -> DataFrame:
-    """Add ``split`` by position: ``train-test`` has the first p % as train, ``test-train`` the first 100 - p % as test.
+def split_events(log: EventLog, percentage: float, method: str = "train-test", seed: int = 42, placed: str | None = None) -> DataFrame:
+    """Add ``split`` by position (in the column ``placed``, if the rows have it): ``train-test`` has the first p % as train, ``test-train`` the first 100 - p % as test.
 
     ``random`` takes about p % by a hash of the order columns, so runs agree.
     """
     p, order = percentage / 100, [log.spec.case, *log.spec.order]
     if method == "random":
         return log.df.withColumn("split", F.when(F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(1_000_000)) < p * 1_000_000, "train").otherwise("test"))
-    rows = with_index(log.df, *log.spec.order, log.spec.case)
+    rows = log.df.withColumn("idx", F.col(placed)) if placed else with_index(log.df, *log.spec.order, log.spec.case)
     n = rows.count()
     if method == "train-test":
         cut, first, rest = -int(-n * p // 1), "train", "test"
@@ -197,8 +197,8 @@ def first_rows_train(df: DataFrame, order: list[str], n: int, normal: str | Colu
     return rows.where((F.col("split") == "test") | (F.expr(normal) if isinstance(normal, str) else normal))
 
 
-def prepare(log: EventLog, setting: Setting, longest: int = 40) -> EventLog:
-    """Filter, end events, dictionary-encoded context and split (or folds) of an experiment, in this order."""
+def prepare_context(log: EventLog, setting: Setting, longest: int = 40) -> EventLog:
+    """Filter, end events and dictionary-encoded context of an experiment, in this order."""
     if setting.longer_than is not None:
         log = filter_case_length(log, setting.longer_than)
     k = setting.k
@@ -206,10 +206,23 @@ def prepare(log: EventLog, setting: Setting, longest: int = 40) -> EventLog:
         k = min(longest, log.df.groupBy(log.spec.case).count().agg(F.max("count")).first()[0] or 0)
     if setting.add_end:
         log = add_end_events(log)
-    log = log.with_df(k_context(log, k, log.attributes()), k=k)
+    return log.with_df(k_context(log, k, log.attributes()), k=k)
+
+
+def by_position(setting: Setting) -> bool:
+    return not setting.by_case and setting.split in ("train-test", "test-train")
+
+
+def prepare_split(log: EventLog, setting: Setting, placed: str | None = None) -> EventLog:
+    """Split (or folds) of an experiment; positions may be there already (see ``split_events``)."""
     if setting.split == "k-fold":
         return log.with_df(folds(log, setting.folds))
-    return log.with_df(split_cases(log, setting.percentage, setting.split == "test-train") if setting.by_case else split_events(log, setting.percentage, setting.split))
+    return log.with_df(split_cases(log, setting.percentage, setting.split == "test-train") if setting.by_case else split_events(log, setting.percentage, setting.split, placed=placed))
+
+
+def prepare(log: EventLog, setting: Setting, longest: int = 40) -> EventLog:
+    """Context and then split (or folds) of an experiment."""
+    return prepare_split(prepare_context(log, setting, longest), setting)
 
 
 # -- sets of rows ---------------------------------------------------------------------------------------------------

@@ -876,3 +876,20 @@ def test_embeddings_are_close_where_values_meet(spark):
     inside = [vectors[f"a{i}"] @ vectors[f"r{j}"] for i in range(6) for j in range(8) if i % 2 == j % 2]
     across = [vectors[f"a{i}"] @ vectors[f"r{j}"] for i in range(6) for j in range(8) if i % 2 != j % 2]
     assert min(inside) > 0.8 and max(across) < 0.2
+
+
+def test_experiments_share_contexts_and_look_results_up_by_context(spark, monkeypatch):
+    """Four splits of one log are one context; results equal those from a row for each value of each event."""
+    rng = random.Random(9)
+    log = log_of(spark, [(f"c{i // 6}", rng.choice("abc")) for i in range(60)], k=1)
+    made, k_context = [], prepare.k_context
+    monkeypatch.setattr(prepare, "k_context", lambda *a: made.append(1) or k_context(*a))
+    settings = methods.experiments(split=["train-test", "test-train"], percentage=[50.0, 80.0], k=[1])
+    out = methods.run_experiments(log, settings, ["counts"], ["tie"]).collect()
+    assert len(out) == 4 and len(made) == 1
+    df = cx.k_context(log, 1, ["activity"])
+    train, test = df.where("tie % 3 = 0").where("activity <> 'c'"), df.where("tie % 3 > 0")
+    tables, parents = predict.backoff_tables(train, "activity", ["activity_Prev0"]), ["activity_Prev0"]
+    want = predict.results(test, predict.predict(test, tables, parents, ["tie"]), "activity", ["tie"])
+    got = predict.predicted_results(test, tables, "activity", parents, ["tie"])
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
