@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Cells of a table of comparisons that are worked on at once.
 CELLS = 1 << 22
+#: Items of sequences that are held as objects at once.
+ITEMS = 1 << 16
 WORD = 64
 
 
@@ -214,28 +216,39 @@ def _where_present(f: Callable[..., np.ndarray], *columns: pd.Series) -> pd.Seri
     return pd.Series([None if not t else v for t, v in zip(there, out, strict=True)], dtype=object).astype("float64")
 
 
+def _over_slices(f: Callable[..., np.ndarray], *columns: pa.Array) -> pa.Array:
+    """``f`` of rows of arrays, null where one is null, for ``ITEMS`` items at a time: only these become objects of Python."""
+    items = np.cumsum(sum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    out, at = [np.zeros(0)], 0
+    while at < len(items):
+        end = max(at + 1, int(np.searchsorted(items, (items[at - 1] if at else 0) + ITEMS, "right")))
+        out.append(_where_present(f, *(c.slice(at, end - at).to_pandas() for c in columns)).to_numpy())
+        at = end
+    return pa.array(np.concatenate(out), "float64", from_pandas=True)
+
+
 def edit_distance(a: str | Column, b: str | Column, free: bool = False) -> Column:
     """Distance of two arrays, null if one is null; see ``osa_distances`` and, if ``free``, ``damerau_distances``."""
 
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _where_present(damerau_distances if free else osa_distances, a, b)
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _over_slices(damerau_distances if free else osa_distances, a, b)
 
-    return F.pandas_udf(of, "double")(a, b)
+    return F.arrow_udf(of, "double")(a, b)
 
 
 def edit_similarity(a: str | Column, b: str | Column, free: bool = False) -> Column:
     """1 - distance / longer length of two arrays; 1 for two empty ones, null if one is null."""
 
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _where_present(lambda x, y: _similarities((damerau_distances if free else osa_distances)(x, y), x, y), a, b)
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _over_slices(lambda x, y: _similarities((damerau_distances if free else osa_distances)(x, y), x, y), a, b)
 
-    return F.pandas_udf(of, "double")(a, b)
+    return F.arrow_udf(of, "double")(a, b)
 
 
 def timed_edit_similarity(a: str | Column, b: str | Column, ta: str | Column, tb: str | Column) -> Column:
     """As :func:`edit_similarity` by ``timed_distances``."""
 
-    def of(a: pd.Series, b: pd.Series, s: pd.Series, t: pd.Series) -> pd.Series:
-        return _where_present(lambda x, y, u, v: _similarities(timed_distances(x, y, u, v), x, y), a, b, s, t)
+    def of(a: pa.Array, b: pa.Array, s: pa.Array, t: pa.Array) -> pa.Array:
+        return _over_slices(lambda x, y, u, v: _similarities(timed_distances(x, y, u, v), x, y), a, b, s, t)
 
-    return F.pandas_udf(of, "double")(a, b, ta, tb)
+    return F.arrow_udf(of, "double")(a, b, ta, tb)

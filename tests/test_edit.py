@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caselake.functions import edit
@@ -76,3 +78,23 @@ def test_columns_keep_nulls(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "a"]), (None, ["a"]), ([], []), (["a"], [])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(edit.edit_similarity("a", "b")).collect()] == [0.5, None, 1.0, 0.0]
     assert [r[0] for r in df.select(edit.edit_distance("a", "b", free=True)).collect()] == [1.0, None, 0.0, 1.0]
+
+
+def test_a_batch_of_many_rows_takes_no_more_memory_than_one_of_few():
+    """Rows of a batch become objects a slice at a time; values, nulls and empty arrays are those of single rows."""
+    rng = random.Random(3)
+    rows = [None if i % 50 == 0 else [rng.choice("abcd") * 9 for _ in range(i % 60)] for i in range(2500)]
+
+    def peak(times):
+        a, b = pa.array(rows * times, pa.list_(pa.string())), pa.array(rows[::-1] * times, pa.list_(pa.string()))
+        tracemalloc.start()
+        out = edit._over_slices(edit.osa_distances, a, b)
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, out
+
+    (few, out), (many, _) = peak(1), peak(4)
+    assert many < 1.5 * few
+    there = [i for i, (x, y) in enumerate(zip(rows, rows[::-1], strict=True)) if x is not None and y is not None]
+    assert [i for i, v in enumerate(out.to_pylist()) if v is not None] == there
+    assert [out[i].as_py() for i in there] == edit.osa_distances([rows[i] for i in there], [rows[::-1][i] for i in there]).tolist()
