@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 CELLS = 1 << 22
 #: Items of sequences that are held as objects at once.
 ITEMS = 1 << 16
+#: Columns of tables of short rows that are worked on at once, so that they stay in a core's cache; pairs of which bounds are asked at once.
+TABLES, PAIRS = 1 << 19, 1 << 18
+#: Items are counted by this many codes.
+BUCKETS = 16
 WORD = 64
 
 
@@ -151,50 +155,148 @@ def damerau_distances(a: Sequence, b: Sequence) -> np.ndarray:
     return _by_rows(a, b, free=True)
 
 
-def _damerau_cells(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """``_rows_block`` with free swaps for very many pairs of short rows: a cell of the table a step, all pairs at once."""
-    (pairs, m), n = a.shape, b.shape[1]
-    a, b, each = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.arange(pairs)
-    table = np.empty((m + 1, n + 1, pairs), np.int16)
-    table[:, 0], table[0] = np.arange(m + 1, dtype=np.int16)[:, None], np.arange(n + 1, dtype=np.int16)[:, None]
-    seen = np.zeros((n, pairs), np.int16)
+def _damerau_cells(a: np.ndarray, b: np.ndarray, lb: np.ndarray, radius: int) -> np.ndarray:
+    """``_rows_block`` with free swaps for very many pairs of short rows, (place, pair): a cell of the table a step, all pairs at once.
+
+    All rows of a are of one length, those of b of rising ones. Of swaps only those with neighbours on one side are asked for, as
+    others cost no less than to replace: these start at the last row whose item is that of the column, or at the last column whose
+    item is that of the row, and to start at earlier ones costs no less. So their costs go on from cell to cell, by one a step.
+    Distances over ``radius`` are not exact, but over it; cells further than this from the diagonal are left out.
+    """
+    (m, pairs), n = a.shape, len(b)
+    kind = np.uint8 if m + n <= 100 else np.uint16
+    far, one = kind(1 << (7 if kind == np.uint8 else 15)), kind(1)
+    start = np.searchsorted(lb, np.arange(n + 2))  # rows of b before it are shorter
+    table, down = np.empty((3, n + 2, pairs), kind), np.full((n + 1, pairs), far)
+    unlike = np.full((n + 1, pairs), np.iinfo(kind).max, kind)  # all bits where the items of the last row and of a column differ
+    across, differ, other, out = np.empty(pairs, kind), np.empty(pairs, kind), np.empty(pairs, kind), np.full(pairs, far)
+    for j in range(n + 2):
+        table[0, j] = j if j <= radius else far
     for i in range(1, m + 1):
-        left = np.zeros(pairs, np.int16)
-        for j in range(1, n + 1):
-            equal, k = a[i - 1] == b[j - 1], seen[j - 1]
-            best = np.minimum(np.minimum(table[i - 1, j], table[i, j - 1]) + np.int16(1), table[i - 1, j - 1] + ~equal)
-            if i > 1 and j > 1:
-                least = np.abs(k - left) + (np.int16(i + j - 1) - k - left)  # no swap costs less
-                p = np.flatnonzero((k > 0) & (left > 0) & (least < best))
-                swap = table[k[p] - 1, left[p] - 1, each[p]] + (np.int16(i + j - 1) - k[p] - left[p])
-                best[p] = np.minimum(best[p], swap)
-            table[i, j] = best
-            left[equal], k[equal] = j, i
-    return table[la, lb, each].astype(float)
-
-
-def damerau_between(a: pa.ListArray, b: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``damerau_distances`` of the rows ``i`` of a and ``j`` of b; each row is coded once, however many pairs it is in."""
-    items = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    m, n = (c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in (a, b))
-    rows = lambda flat, length, fill: _padded(np.split(flat, np.cumsum(length)[:-1]), fill)
-    x, y = rows(items[: m.sum()], m, -1), rows(items[m.sum() :], n, -2)
-    out, order, at = np.zeros(len(i)), np.lexsort((n[j], m[i])), 0
+        low, high = max(1, i - radius), min(n, i + radius)
+        now, up, upper = table[i % 3], table[(i - 1) % 3], table[(i - 2) % 3]
+        now[low - 1] = i if low == 1 and i <= radius else far
+        now[high + 1] = far
+        across.fill(far)
+        for j in range(low, high + 1):
+            s = slice(start[j], None)
+            x, d, best = other[s], differ[s], now[j, s]
+            np.not_equal(a[i - 1, s], b[j - 1, s], out=d.view(bool) if kind == np.uint8 else d, casting="unsafe")
+            np.minimum(up[j, s], now[j - 1, s], out=x)
+            x += one
+            np.add(up[j - 1, s], d, out=best)
+            np.minimum(best, x, out=best)
+            np.negative(d, out=d)
+            if i > 1:
+                swap = across[s]
+                np.bitwise_or(swap, unlike[j, s], out=x)
+                np.minimum(best, x, out=best)
+                np.bitwise_or(upper[j - 1, s], d, out=x)
+                np.minimum(swap, x, out=swap)
+                swap += one
+            if j > 1:
+                swap = down[j, s]
+                if j > low:
+                    np.bitwise_or(swap, unlike[j - 1, s], out=x)
+                    np.minimum(best, x, out=best)
+                np.bitwise_or(up[j - 2, s], d, out=x)
+                np.minimum(swap, x, out=swap)
+                swap += one
+            unlike[j, s] = d
+    for j in range(max(0, m - radius), min(n, m + radius) + 1):
+        s = slice(start[j], start[j + 1])
+        out[s] = table[m % 3, j, s]
+    return out
+
+
+def _rows(a: pa.ListArray, b: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Lengths and padded codes of the rows of both, codes being the same for equal items."""
+    items = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode(null_encoding="encode")
+    kind = np.uint8 if len(items.dictionary) < 255 else np.int32
+    codes, at = items.indices.to_numpy(zero_copy_only=False).astype(kind), 0
+    for side in (a, b):
+        length = side.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.zeros((len(side), length.max(initial=0)), kind)
+        out[np.arange(out.shape[1]) < length[:, None]] = codes[at : at + length.sum()]
+        at += length.sum()
+        yield length, out
+
+
+def _cells_of(width: int) -> int:
+    """Pairs whose tables of so many columns are held at once."""
+    return max(1 << 12, TABLES // (width + 1))
+
+
+def damerau_between(a: pa.ListArray, b: pa.ListArray, i: np.ndarray, j: np.ndarray, radius: float = np.inf) -> np.ndarray:
+    """``damerau_distances`` of the rows ``i`` of a and ``j`` of b; each row is coded once, however many pairs it is in.
+    Distances over ``radius`` are not exact, but over it."""
+    (m, x), (n, y) = _rows(a, b)
+    order = np.lexsort((n[j], m[i]))
+    out, at = np.zeros(len(i)), 0
     while at < len(order):
         longest = m[i[order[at]]]
         end = at + np.searchsorted(m[i[order[at:]]], longest, "right")  # one length of a at a time
         width = n[j[order[end - 1]]]
-        k = order[at : min(end, at + max(1, CELLS // ((longest + 1) * (width + 1))))]
-        p, q = i[k], j[k]
-        width = n[q].max()
-        if len(k) > width and longest + width < np.iinfo(np.int16).max // 2:
-            out[k] = _damerau_cells(x[p, :longest], m[p], y[q, :width], n[q])
-        else:
-            out[k] = _rows_block(x[p, :longest], m[p], y[q, :width], n[q], None, None, True)
+        k = order[at : min(end, at + _cells_of(width))]
+        out[k] = _one_length(x[i[k], :longest], y[j[k], :width], n[j[k]], radius)
         at += len(k)
     return out
 
 
+def _one_length(x: np.ndarray, y: np.ndarray, n: np.ndarray, radius: float) -> np.ndarray:
+    """Distances of pairs of rows; those of x are of one length, those of y of the rising lengths ``n``."""
+    (pairs, m), width = x.shape, y.shape[1]
+    if m + width > np.iinfo(np.int16).max - 2:
+        ends = np.where(np.arange(width) < n[:, None], y.astype(np.int32), -1)
+        return _rows_block(x.astype(np.int32), np.full(pairs, m), ends, n, None, None, True)
+    return _damerau_cells(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), n, int(min(radius, m + width)))
+
+
+def _bags(codes: np.ndarray, length: np.ndarray, buckets: int, kind: type) -> np.ndarray:
+    """(bucket, row): how many items of a row have codes of a bucket."""
+    there = np.arange(codes.shape[1]) < length[:, None]
+    return np.array([((codes % buckets == k) & there).sum(axis=1) for k in range(buckets)], kind)
+
+
+def damerau_near(a: pa.ListArray, b: pa.ListArray, radius: float, to_a: np.ndarray, to_b: np.ndarray, compare: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, distance) of all pairs that no bound keeps further apart than ``radius``: lengths, counts of items, and
+    distances of both to others, (row, other). Distances over the radius are not exact, but over it; 0 if not asked to compare.
+
+    Rows of a should be in order of their lengths, as those of one length are compared together.
+    """
+    (m, x), (n, y) = _rows(a, b)
+    order = np.argsort(n, kind="stable")
+    n, y, to_b = n[order], y[order], to_b[order]
+    longest = max(m.max(initial=0), n.max(initial=0))
+    kind = np.uint8 if longest < 1 << 7 else np.uint16 if longest < 1 << 15 else np.int64
+    buckets = min(BUCKETS, max(int(x.max(initial=0)), int(y.max(initial=0))) + 1)
+    bags = list(zip(_bags(x, m, buckets, kind), _bags(y, n, buckets, kind), strict=True)) if radius < longest else []
+    ends = np.flatnonzero(np.diff(m, append=-1)) + 1
+    for at, end in zip([0, *ends[:-1]], ends, strict=True):
+        first, last = np.searchsorted(n, m[at] - radius), np.searchsorted(n, m[at] + radius, "right")
+        most = np.minimum(radius, radius + m[at] - n[first:last])  # items that only a row of a has, so that those only b has are within the radius
+        some = max(1, PAIRS // max(1, last - first))
+        for k in range(at, end, some):
+            stop = min(end, k + some)
+            more, less = np.zeros((last - first, stop - k), kind), np.empty((last - first, stop - k), kind)
+            for p, q in bags:
+                np.maximum(p[None, k:stop], q[first:last, None], out=less)
+                less -= q[first:last, None]
+                more += less
+            q, p = np.nonzero(more <= most[:, None])
+            p, q = p + k, q + first
+            if radius < longest:
+                for c, d in zip(to_a.T, to_b.T, strict=True):
+                    there = np.abs(c[p] - d[q]) <= radius
+                    p, q = p[there], q[there]
+            found = np.zeros(len(p))
+            step = _cells_of(n[last - 1]) if len(p) else 1
+            for f in range(0, len(p) if compare else 0, step):
+                c, d = p[f : f + step], q[f : f + step]
+                found[f : f + step] = _one_length(x[c, : m[at]], y[d, : n[d[-1]]], n[d], radius)
+            yield p, order[q], found
+
+
 def timed_distances(a: Sequence, b: Sequence, ta: Sequence, tb: Sequence) -> np.ndarray:
     """As ``osa_distances``, but keeping equal items costs their difference in time over the largest time of both sequences."""
     most = [max([*map(float, s), *map(float, t)], default=0.0) or 1.0 for s, t in zip(ta, tb, strict=True)]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions.columns import draw, parse_time
-from caselake.functions.edit import damerau_between, damerau_distances, timed_distances
+from caselake.functions.edit import damerau_between, damerau_distances, damerau_near, timed_distances
 from caselake.operators import context as cx
 from caselake.operators import classify, density, drift, graph, inject, methods, metrics, model, predict, prepare, similarity, statistics, stats, structure, suffix
 from caselake.plans.log import EventLog, LogSpec, column_kinds
@@ -741,6 +741,56 @@ def test_matching_without_replacement_equals_a_loop(spark):
         assert values == pytest.approx(list(want[case]))
 
 
+def loop_of(a, b):
+    """Pairs of variants in order of (distance, variant, other), each matching what is left of both."""
+    left, right = (dict(Counter(tuple(t) for _, t, _, _ in x)) for x in (a, b))
+    pairs = [(x, y) for x in left for y in right]
+    want = []
+    for d, x, y in sorted(zip(damerau_distances(*map(list, zip(*pairs, strict=True))).tolist(), *zip(*pairs, strict=True), strict=True)):
+        n = min(left[x], right[y])
+        if n:
+            want.append((x, y, d, n))
+            left[x], right[y] = left[x] - n, right[y] - n
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("last", "tile", "group"), [(0, 1 << 24, 1 << 12), (0, 60, 7), (300, 1 << 24, 7), (1 << 26, 1 << 24, 7)])
+def test_matching_by_lists_and_by_tables_equals_a_loop(spark, monkeypatch, last, tile, group):
+    """Lists of growing radius alone, in tiles and small groups; lists until a table takes the rest; a table of several groups."""
+    for name, value in (("LAST", last), ("TILE", tile), ("GROUP", group), ("SMALL", 4)):
+        monkeypatch.setattr(similarity, name, value)
+    a, b = traces_of(45, 11, 0.35), traces_of(35, 12, 0.35)
+    sides = similarity._both_sides(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES), "activity")
+    found = similarity.matched_variants(*sides).collect()
+    assert sorted((tuple(r["variant"]), tuple(r["other"]), r["distance"], r["n"]) for r in found) == loop_of(a, b)
+
+
+def test_a_table_of_distances_needs_no_round_each(spark, monkeypatch):
+    """More than a million pairs of many distances are matched in one go."""
+    rng = random.Random(13)
+    a, b = ([(i, [rng.choice("abcde") for _ in range(rng.randint(3, 12))], [0.0], i) for i in range(1200)] for _ in range(2))
+    sides = similarity._both_sides(spark.createDataFrame(a, TRACES), spark.createDataFrame(b, TRACES), "activity")
+    tables, write = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df: tables.append(1) or write(df))
+    found = similarity.matched_variants(*sides).collect()
+    assert sum(r["n"] for r in found) == 1200 and len(tables) == 1
+
+
+def test_near_rows_within_a_radius():
+    """Bounds and the band around the diagonal lose nothing within the radius; rows of over a hundred items use wider cells."""
+    rng = random.Random(4)
+    for longest, letters in ((9, "ab"), (9, "abcdefghijklmnopqrst"), (120, "abc")):
+        a, b = (sorted(([rng.choice(letters) for _ in range(rng.randint(0, longest))] for _ in range(40)), key=len) for _ in range(2))
+        b += [x[1:] + x[:1] for x in a[:20]]
+        i, j = (x.ravel() for x in np.indices((len(a), len(b))))
+        want = damerau_distances([a[x] for x in i], [b[x] for x in j])
+        to = [damerau_distances(x, [a[20]] * len(x)).reshape(-1, 1) for x in (a, b)]
+        assert damerau_between(pa.array(a), pa.array(b), i, j).tolist() == want.tolist()
+        for radius in (0, 1, 2, 5, longest):
+            got = {(p, q, d) for rows in damerau_near(pa.array(a), pa.array(b), radius, *to) for p, q, d in zip(*rows, strict=True) if d <= radius}
+            assert got == {(p, q, d) for p, q, d in zip(i, j, want, strict=True) if d <= radius}
+
+
 def test_updated_classifier_on_all_equals_one_fit(spark):
     rows = [(i, b, "ab"[(i + b) % 2], "cd"[i % 2]) for b in range(3) for i in range(20)]
     df = spark.createDataFrame(rows, "tie long, batch long, act string, prev string")
