@@ -16,8 +16,8 @@ CELLS = 1 << 22
 ITEMS = 1 << 16
 #: Columns of tables of short rows that are worked on at once, so that they stay in a core's cache; pairs of which bounds are asked at once.
 TABLES, PAIRS = 1 << 19, 1 << 18
-#: Items are counted by this many codes.
-BUCKETS = 16
+#: Items are counted by this many codes; equal rows that go together at most.
+BUCKETS, RUN = 16, 64
 WORD = 64
 
 
@@ -252,49 +252,73 @@ def _one_length(x: np.ndarray, y: np.ndarray, n: np.ndarray, radius: float) -> n
     return _damerau_cells(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), n, int(min(radius, m + width)))
 
 
-def _bags(codes: np.ndarray, length: np.ndarray, buckets: int, kind: type) -> np.ndarray:
-    """(bucket, row): how many items of a row have codes of a bucket."""
+def _runs(codes: np.ndarray, length: np.ndarray, buckets: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by length and counts of items by bucket of their codes; first row and number of rows of each run, which are of
+    one length and the same counts; (bucket, run): these."""
     there = np.arange(codes.shape[1]) < length[:, None]
-    return np.array([((codes % buckets == k) & there).sum(axis=1) for k in range(buckets)], kind)
+    bags = np.array([((codes % buckets == k) & there).sum(axis=1) for k in range(buckets)], kind).reshape(buckets, len(codes))
+    order = np.lexsort((*bags, length))
+    bags, length = bags[:, order], length[order]
+    new = np.arange(len(order)) % RUN == 0
+    new[1:] |= (np.diff(length) != 0) | (bags[:, 1:] != bags[:, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    return order, first, np.diff(first, append=len(order)), bags[:, first]
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place as often as it says, and the count from 0 inside each."""
+    place = np.repeat(np.arange(len(n)), n)
+    return place, np.arange(len(place)) - (np.cumsum(n) - n)[place]
 
 
 def damerau_near(a: pa.ListArray, b: pa.ListArray, radius: float, to_a: np.ndarray, to_b: np.ndarray, compare: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of a, row of b, distance) of all pairs that no bound keeps further apart than ``radius``: lengths, counts of items, and
     distances of both to others, (row, other). Distances over the radius are not exact, but over it; 0 if not asked to compare.
 
-    Rows of a should be in order of their lengths, as those of one length are compared together.
+    Rows of one length and the same counts go together until their distances to others tell them apart.
     """
     (m, x), (n, y) = _rows(a, b)
-    order = np.argsort(n, kind="stable")
-    n, y, to_b = n[order], y[order], to_b[order]
     longest = max(m.max(initial=0), n.max(initial=0))
     kind = np.uint8 if longest < 1 << 7 else np.uint16 if longest < 1 << 15 else np.int64
-    buckets = min(BUCKETS, max(int(x.max(initial=0)), int(y.max(initial=0))) + 1)
-    bags = list(zip(_bags(x, m, buckets, kind), _bags(y, n, buckets, kind), strict=True)) if radius < longest else []
-    ends = np.flatnonzero(np.diff(m, append=-1)) + 1
+    buckets = min(BUCKETS, max(int(x.max(initial=0)), int(y.max(initial=0))) + 1) if radius < longest else 0
+    (rows, first_a, many_a, bags_a), (columns, first_b, many_b, bags_b) = _runs(x, m, buckets, kind), _runs(y, n, buckets, kind)
+    m, x, n, y = m[rows], x[rows], n[columns], y[columns]
+    to = [(c[rows].astype(np.int32), d[columns].astype(np.int32)) for c, d in zip(to_a.T, to_b.T, strict=True)] if radius < longest else []
+    size_a, size_b = m[first_a], n[first_b]
+    ends = np.flatnonzero(np.diff(size_a, append=-1)) + 1
     for at, end in zip([0, *ends[:-1]], ends, strict=True):
-        first, last = np.searchsorted(n, m[at] - radius), np.searchsorted(n, m[at] + radius, "right")
-        most = np.minimum(radius, radius + m[at] - n[first:last])  # items that only a row of a has, so that those only b has are within the radius
-        some = max(1, PAIRS // max(1, last - first))
+        size = size_a[at]
+        low, high = np.searchsorted(size_b, size - radius), np.searchsorted(size_b, size + radius, "right")
+        most = np.minimum(radius, radius + size - size_b[low:high])  # items that only a row of a has, so that those only b has are within the radius
+        some = max(1, PAIRS // max(1, high - low))
         for k in range(at, end, some):
             stop = min(end, k + some)
-            more, less = np.zeros((last - first, stop - k), kind), np.empty((last - first, stop - k), kind)
-            for p, q in bags:
-                np.maximum(p[None, k:stop], q[first:last, None], out=less)
-                less -= q[first:last, None]
+            more, less = np.zeros((high - low, stop - k), kind), np.empty((high - low, stop - k), kind)
+            for p, q in zip(bags_a, bags_b, strict=True):
+                np.maximum(p[None, k:stop], q[low:high, None], out=less)
+                less -= q[low:high, None]
                 more += less
-            q, p = np.nonzero(more <= most[:, None])
-            p, q = p + k, q + first
-            if radius < longest:
-                for c, d in zip(to_a.T, to_b.T, strict=True):
+            run_b, run_a = np.nonzero(more <= most[:, None])
+            run_a, run_b = run_a + k, run_b + low
+            total = np.cumsum(many_a[run_a] * many_b[run_b])
+            cut = 0
+            while cut < len(total):
+                until = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + PAIRS, "right")))
+                g, h = run_a[cut:until], run_b[cut:until]
+                cut = until
+                e, place = _spread(many_b[h])
+                q = first_b[h][e] + place
+                f, place = _spread(many_a[g][e])
+                p, q = first_a[g][e][f] + place, q[f]
+                for c, d in to:
                     there = np.abs(c[p] - d[q]) <= radius
                     p, q = p[there], q[there]
-            found = np.zeros(len(p))
-            step = _cells_of(n[last - 1]) if len(p) else 1
-            for f in range(0, len(p) if compare else 0, step):
-                c, d = p[f : f + step], q[f : f + step]
-                found[f : f + step] = _one_length(x[c, : m[at]], y[d, : n[d[-1]]], n[d], radius)
-            yield p, order[q], found
+                found = np.zeros(len(p))
+                step = _cells_of(n[q[-1]]) if len(p) else 1
+                for f in range(0, len(p) if compare else 0, step):
+                    c, d = p[f : f + step], q[f : f + step]
+                    found[f : f + step] = _one_length(x[c, :size], y[d, : n[d[-1]]], n[d], radius)
+                yield rows[p], columns[q], found
 
 
 def timed_distances(a: Sequence, b: Sequence, ta: Sequence, tb: Sequence) -> np.ndarray:

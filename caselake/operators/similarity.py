@@ -56,7 +56,8 @@ def _met(left: DataFrame, right: DataFrame, radius: float, pivots: int, f: Calla
     met = x.crossJoin(y).where(near).select("agroup", "bgroup")
     parts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = {"x": F.col("agroup"), "y": F.col("bgroup")}  # columns of its own for each side
-    dealt = lambda side, key: side.join(met, key).withColumns(own).drop("agroup", "bgroup", "place").repartition(parts, "x", "y").groupBy("x", "y")
+    spread = lambda side, key: side.repartition(parts, key).join(met.repartition(parts, key), key)  # noqa: E731  (else few tasks make all copies)
+    dealt = lambda side, key: spread(side, key).withColumns(own).drop("agroup", "bgroup", "place").repartition(parts, "x", "y").groupBy("x", "y")
     return dealt(a, "agroup").cogroup(dealt(b, "bgroup")).applyInArrow(f, schema)
 
 
@@ -72,6 +73,24 @@ def _in_order(x: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return x, x["id"].to_numpy()
 
 
+def _one_apart(left: DataFrame, right: DataFrame, low: float) -> DataFrame:
+    """(id, distance, others) of all pairs with ``low`` < distance <= 1: these are equal with an item of one or of both left out. So
+    they meet by hashes of what is left, and no more pairs are compared than a few for each that is near."""
+
+    def keys(side: DataFrame, id: str) -> DataFrame:
+        n = F.size("variant")
+        without = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.slice("variant", F.lit(1), i - 1), F.slice("variant", i + 1, n))))
+        return side.select(F.col("id").alias(id), F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("variant")), F.when(n > 0, without).otherwise(F.array().cast("array<bigint>"))))).alias("key"))
+
+    def of(v: pa.Array, o: pa.Array) -> pa.Array:
+        each = np.arange(len(v))
+        return pa.array(damerau_between(v, o, each, each, 1.0))
+
+    met = keys(left, "id").join(keys(right, "o_id"), "key").select("id", "o_id").distinct()
+    compared = _named(met, left, right).select("id", "o_id", F.arrow_udf(of, "double")("variant", "other").alias("distance"))
+    return compared.where((F.col("distance") > low) & (F.col("distance") <= 1)).select("id", "distance", F.array("o_id").alias("others"))
+
+
 def near_ids(left: DataFrame, right: DataFrame, low: float, radius: float, pivots: int, compare: bool = True) -> DataFrame:
     """(id, distance, others) of all pairs with ``low`` < distance <= ``radius``: variants of the right at a distance from one of the left.
 
@@ -82,6 +101,8 @@ def near_ids(left: DataFrame, right: DataFrame, low: float, radius: float, pivot
     if radius == 0 and compare:
         both = left.select("id", "variant").join(right.select(F.col("id").alias("o_id"), "variant"), "variant")
         return both.select("id", F.lit(0.0).alias("distance"), F.array("o_id").alias("others"))
+    if radius == 1 and compare:
+        return _one_apart(left, right, low)
 
     def lists(x: pa.Table, y: pa.Table) -> pa.Table:
         (x, a), (y, b), found = _in_order(x), _in_order(y), []
