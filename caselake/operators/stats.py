@@ -227,6 +227,7 @@ def _block_pairs(threshold: float):
     """Function of (key, rows of one block, rows of another) to (a, b, r): pairs above the threshold, by products of matrices of counts."""
 
     def pairs(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        one, two = one.sort_values("resource"), two.sort_values("resource")  # both sides of a block that meets itself come in any order
         known = np.unique(np.concatenate([*one["places"], *two["places"]]))
         dot = np.zeros((len(one), len(two)))
         sides = []

@@ -7,6 +7,7 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,17 @@ def test_similar_profiles_meet_in_blocks(spark, monkeypatch):
     assert len(rows) == len(want) and all(e["r"] == pytest.approx(want[e["x"], e["y"]]) for e in rows)
 
 
+def test_a_block_that_meets_itself_in_another_order():
+    rows = pd.DataFrame({"resource": list("abcd"), "places": [[0, 1], [0, 1], [1, 2], [0, 2]], "counts": [[1, 5], [2, 7], [3, 4], [5, 1]], "t": 3.0})
+    counts = np.array([[1, 5, 0], [2, 7, 0], [0, 3, 4], [5, 0, 1]], float)
+    rows["s"], rows["var"] = counts.sum(axis=1), (counts**2).sum(axis=1) - counts.sum(axis=1) ** 2 / 3
+    r = np.corrcoef(counts)
+    want = {(x, y) for i, x in enumerate("abcd") for j, y in enumerate("abcd") if i < j and r[i, j] > 0.01}
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2], [1, 2, 3, 0]):
+        found = stats._block_pairs(0.01)((0, 0), rows, rows.iloc[order])
+        assert set(zip(found["a"], found["b"], strict=True)) == want and len(found) == len(want)
+
+
 def test_graph_edges_and_penalties(spark):
     log = log_of(spark, [("c1", "a", "r1"), ("c1", "b", "r1"), ("c2", "a", "r2"), ("c2", "b", "r1")])
     g = graph.edges(log)
